@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, packing, token_binary, token_counts
+from factloom.llm import mixing, packing, token_binary, token_counts, winnowing
 from factloom.llm.shared import new_path, table
 
 
@@ -21,6 +21,10 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_tokens(spark, path)
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +36,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op4_token_binary": op4_token_binary,
+    "op6_winnowing": op6_winnowing,
     "op7_packing": op7_packing,
     "op10_mixing": op10_mixing,
 }
