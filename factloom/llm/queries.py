@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, packing, quality, token_binary, token_counts, toxicity, winnowing
+from factloom.llm import mixing, neighbours, packing, quality, token_binary, token_counts, toxicity, winnowing
 from factloom.llm.shared import new_path, table
 
 
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.toxicity_scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_binary": op4_token_binary,
     "op6_winnowing": op6_winnowing,
     "op7_packing": op7_packing,
+    "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
