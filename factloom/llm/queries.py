@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, neighbours, packing, quality, token_binary, token_counts, toxicity, winnowing
+from factloom.llm import html_text, mixing, neighbours, packing, quality, token_binary, token_counts, toxicity, winnowing
 from factloom.llm.shared import new_path, table
 
 
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_binary.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -50,6 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
+    "op3_html_text": op3_html_text,
     "op4_token_binary": op4_token_binary,
     "op6_winnowing": op6_winnowing,
     "op7_packing": op7_packing,
