@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.encoding import encoder, slices, with_end
+from factloom.llm.shared import staged
 
 SCALE_BITS = 18
 LOW = np.uint64(1 << 31)
@@ -119,22 +120,46 @@ class Coder:
         return out.reshape(-1)[: max(0, n - first * lanes)]
 
 
-def frequency_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> dict[int, int]:
-    """How often each id occurs in the whole corpus; as many entries as the vocabulary at most."""
+def narrowed(ids: np.ndarray) -> tuple[bytes, int]:
+    """Ids compressed for the way to their block: two bytes each where they fit."""
+    own = ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4")
+    return pa.compress(own.tobytes(), codec="zstd", asbytes=True), own.itemsize
+
+
+def widened(raw: bytes, n: int, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n * size, codec="zstd", asbytes=True), dtype=f"<u{size}")
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """doc_id, tie, n, size, ids of every document: encoded once, compressed and staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, total = encoder(tokenizer_path), np.zeros(0, np.int64)
+        enc = encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, ends = enc.encode(part.column("text"))
-                own = np.bincount(ids, minlength=max(len(total), end_id + 1))
-                own[end_id] += len(ends) - 1
+                ids, ends = with_end(*enc.encode(part.column("text")), end_id)
+                at = ends.tolist()
+                found = [narrowed(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(np.diff(ends)), pa.array([x[1] for x in found], pa.int32()), pa.array([x[0] for x in found], pa.binary())], names=["doc_id", "tie", "n", "size", "ids"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    return staged(rows.mapInArrow(run, "doc_id bigint, tie bigint, n bigint, size int, ids binary"), "token-ids", "uncompressed")
+
+
+def frequency_table(coded: DataFrame) -> dict[int, int]:
+    """How often each id occurs in the whole corpus; as many entries as the vocabulary at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for n, size, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.bincount(widened(raw, n, size), minlength=len(total))
                 own[: len(total)] += total
                 total = own
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], names=["token_id", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "token_id bigint, n bigint").groupBy("token_id").agg(F.sum("n").alias("n")).collect()
+    rows = coded.select("n", "size", "ids").mapInArrow(run, "token_id bigint, n bigint").groupBy("token_id").agg(F.sum("n").alias("n")).collect()
     return {int(r[0]): int(r[1]) for r in rows}
 
 
@@ -146,12 +171,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    freq = quantised(frequency_table(rows, tokenizer_path, end_id))
+    ids_rows = encoded(rows, tokenizer_path, end_id)
+    freq = quantised(frequency_table(ids_rows))
     spark.createDataFrame(sorted(freq.items()), "token_id bigint, freq bigint").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, coder, part, block = encoder(tokenizer_path), Coder(shared.value), TaskContext.get().partitionId(), 0
+        coder, part, block = Coder(shared.value), TaskContext.get().partitionId(), 0
         docs_now, lengths, ids_now, n = [], [], [], 0
 
         def finish() -> pa.RecordBatch:
@@ -162,25 +188,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
-                ids, ends = with_end(*enc.encode(piece.column("text")), end_id)
-                at, own = ends.tolist(), piece.column("doc_id").to_pylist()
-                first = 0
-                for i in range(len(own)):
-                    docs_now.append(own[i])
-                    lengths.append(at[i + 1] - at[i])
-                    n += lengths[-1]
-                    if n >= block_tokens:
-                        ids_now.append(ids[at[first] : at[i + 1]])
-                        yield finish()
-                        block += 1
-                        docs_now, lengths, ids_now, n, first = [], [], [], 0, i + 1
-                ids_now.append(ids[at[first] :])
+            for doc, m, size, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "size", "ids")), strict=True):
+                docs_now.append(doc)
+                lengths.append(m)
+                ids_now.append(widened(raw, m, size))
+                n += m
+                if n >= block_tokens:
+                    yield finish()
+                    block += 1
+                    docs_now, lengths, ids_now, n = [], [], [], 0
         if n:
             yield finish()
 
-    order = ["doc_id", F.xxhash64("text")]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ids_rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(run, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
