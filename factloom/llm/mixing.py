@@ -61,6 +61,29 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return low.select("source", F.col("_prefix").alias("edge"), (F.col("_n") - F.col("_need") <= F.col("_need")).alias("takes_at"))
 
 
+def sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Columns doc_id, source, size, hash of documents."""
+    doc_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    size = F.regexp_count(text, F.lit(WORDS)).cast("long")
+    return [doc_id.alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), hash60(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).alias("hash")]
+
+
+def mix_plan(base: DataFrame, share: float, weights: tuple[int, ...], most: float) -> DataFrame:
+    """_source, source_size, target, passes, edge, takes_at: a row for each source. ``base`` is a written table (source, hash, size)."""
+    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = staged(source_targets(sizes, share, weights, most), "mix-targets")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    budgets = targets.select("source", (F.col("target") - passes * F.col("source_size")).alias("rest")).where(F.col("rest") > 0)
+    edges = thresholds(base.select("source", "hash", "size"), budgets).select(F.col("source").alias("_s"), "edge", "takes_at")
+    return targets.join(edges, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", passes.alias("passes"), "edge", "takes_at")
+
+
+def times() -> Column:
+    """How often a row (hash) of a planned source is taken."""
+    more = F.when(F.col("edge").isNull(), F.lit(0)).when(F.col("hash") < F.col("edge"), F.lit(1)).when((F.col("hash") == F.col("edge")) & F.col("takes_at"), F.lit(1)).otherwise(F.lit(0))
+    return F.col("passes") + more
+
+
 def mix_sources(docs: DataFrame, *, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken for every document.
 
@@ -69,18 +92,19 @@ def mix_sources(docs: DataFrame, *, share: float = 1.5, weights: tuple[int, ...]
     empty table gives an empty result. Other columns are ignored. The word counts are staged
     once; later passes read only ids' hashes and sizes.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"))
-    base = staged(base.withColumn("hash", hash60(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mix-sizes")
-    sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = staged(source_targets(sizes, share, weights, most), "mix-targets")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    budgets = targets.select("source", (F.col("target") - passes * F.col("source_size")).alias("rest")).where(F.col("rest") > 0)
-    edges = thresholds(base.select("source", "hash", "size"), budgets).join(targets.select(F.col("source").alias("_t")), F.col("source").eqNullSafe(F.col("_t")), "right").select(F.col("_t").alias("source"), "edge", "takes_at")
-    plan = targets.alias("a").join(edges.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(F.col("a.source").alias("_source"), "source_size", "target", passes.alias("_passes"), "edge", "takes_at")
+    base = staged(docs.select(*sized(docs, seed, id_col, text_col, source_col)), "mix-sizes")
+    plan = mix_plan(base, share, weights, most)
     out = base.join(plan, base["source"].eqNullSafe(plan["_source"]))
-    once_more = F.when(F.col("edge").isNull(), F.lit(0)).when(F.col("hash") < F.col("edge"), F.lit(1)).when((F.col("hash") == F.col("edge")) & F.col("takes_at"), F.lit(1)).otherwise(F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("_passes") + once_more)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times()).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, *, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken."""
+    base = staged(docs.select(*sized(docs, seed, id_col, text_col, source_col)), "mix-sizes")
+    plan = mix_plan(base, share, weights, most)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *sized(docs, seed, id_col, text_col, source_col))
+    out = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).withColumn("times", times()).where("times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_turn")).select("_row.*")
 
 
 ORACLE_SQL = r"""

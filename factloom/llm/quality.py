@@ -198,13 +198,14 @@ def quality_scores(docs: DataFrame, model: Additive, *, mod: int = 3, held_out:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = keep or []
-    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), *keep).alias("_row"), F.col(text_col).alias("_text"))
+    own = F.struct(F.col(id_col).cast("long").alias("_id"), *(F.col(c).alias(f"_k_{c}") for c in keep)).alias("_row")
+    rows = docs.select(own, *[F.col(text_col).alias("_text")] * (text_col not in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0).field(f"_k_{text_col}") if text_col in keep else batch.column(1)
             found = np.array([features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(found))], names=["_row", "score"])
 
     scored = rows.mapInArrow(run, rows.select("_row").schema.add("score", "double"))
-    return scored.select("_row.doc_id", *(F.col("_row")[c].alias(c) for c in keep), (fold(F.col("_row.doc_id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(F.col("_row._id").alias("doc_id"), *(F.col("_row")[f"_k_{c}"].alias(c) for c in keep), (fold(F.col("_row._id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

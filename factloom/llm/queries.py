@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import html_text, mixing, neighbours, packing, quality, token_binary, token_counts, toxicity, winnowing
+from factloom.llm import html_text, mixing, neighbours, ngram_join, packing, quality, token_binary, token_counts, toxicity, winnowing
 from factloom.llm.shared import new_path, table
 
 
@@ -30,6 +30,10 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_tokens(spark, path)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_html_text": op3_html_text,
     "op4_token_binary": op4_token_binary,
+    "op5_ngram_join": op5_ngram_join,
     "op6_winnowing": op6_winnowing,
     "op7_packing": op7_packing,
     "op8_neighbours": op8_neighbours,
