@@ -71,7 +71,7 @@ ep as (
 def module_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target: the suppliers of consecutive lines of an order, where the first line has no discount and a full lot."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_discount", "l_quantity")
-    a = li.where((F.col("l_discount") == 0) & (F.col("l_quantity") >= 49)).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_suppkey").alias("s"))
+    a = li.where((F.col("l_discount") == 0) & (F.col("l_quantity") >= 46)).select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_suppkey").alias("s"))
     both = a.join(li.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("t")), ["l_orderkey", "l_linenumber"])
     return both.where("s <> t").select(F.concat(F.lit("svc-"), text("s")).alias("source"), F.concat(F.lit("svc-"), text("t")).alias("target")).distinct()
 
@@ -80,7 +80,7 @@ DEPENDENCIES_SQL = """
 dep as (
   select distinct concat('svc-', cast(a.l_suppkey as varchar)) as source, concat('svc-', cast(b.l_suppkey as varchar)) as target
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
-  where a.l_discount = 0 and a.l_quantity >= 49 and a.l_suppkey <> b.l_suppkey)
+  where a.l_discount = 0 and a.l_quantity >= 46 and a.l_suppkey <> b.l_suppkey)
 """
 
 
