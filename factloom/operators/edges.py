@@ -43,13 +43,18 @@ def resolved_calls(endpoints: DataFrame, aliases: DataFrame | None = None) -> Da
 def rest_edges(endpoints: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """call_id, serve_id, source, target, and the routes: resolved calls against the routes of their target.
 
-    An equi-join on the service, with the route predicate as its residual. A call of method ANY (a
-    gateway) keeps its first route.
+    An equi-join on the service and the first segment, with the route predicate as its residual: a
+    literal first segment meets itself and templates, a template meets all. A call of method ANY
+    (a gateway) keeps its first route.
     """
     calls = resolved_calls(endpoints, aliases).where("status = 'resolved'")
     calls = calls.select(F.col("id").alias("call_id"), F.col("module").alias("source"), "target", F.col("topic").alias("call"), method(F.col("topic")).alias("_cm"), segments(F.col("topic")).alias("_cs")).dropDuplicates(["call_id", "source"])
     serves = endpoints.where("system = 'rest' and role = 'serve' and not topic_dynamic").select(F.col("id").alias("serve_id"), F.col("module").alias("target"), F.col("topic").alias("serve"), method(F.col("topic")).alias("_sm"), segments(F.col("topic")).alias("_ss")).dropDuplicates(["serve_id", "target"])
-    hit = calls.join(serves, "target").where(F.col("source") != F.col("target")).where(routes_match(F.col("_cm"), F.col("_cs"), F.col("_sm"), F.col("_ss")))
+    open_ended = lambda first: first.rlike(r"^(\{.*\}|\*\*)$")
+    call_first, serve_first = F.get("_cs", F.lit(0)), F.get("_ss", F.lit(0))
+    calls = calls.where(F.size("_cs") > 0).withColumn("_key", F.explode(F.when(open_ended(call_first), F.array(F.lit("*any"))).otherwise(F.array(call_first, F.lit("*open")))))
+    serves = serves.withColumn("_key", F.explode(F.array(F.when(open_ended(serve_first), F.lit("*open")).otherwise(serve_first), F.lit("*any"))))
+    hit = calls.join(serves, ["target", "_key"]).where(F.col("source") != F.col("target")).where(routes_match(F.col("_cm"), F.col("_cs"), F.col("_sm"), F.col("_ss")))
     rank = F.row_number().over(Window.partitionBy("call_id", "source", "target").orderBy("serve", "serve_id"))
     hit = hit.withColumn("_n", F.when(F.col("_cm") == "ANY", rank).otherwise(F.lit(1))).where("_n = 1")
     return hit.select("call_id", "serve_id", "source", "target", "call", "serve")
