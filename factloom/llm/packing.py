@@ -125,7 +125,7 @@ class Plan:
     sequences: int = 0
 
 
-def plan_packing(histogram: dict[int, int], capacity: int = 1024, *, large_from: int = 96, groups: int = 64) -> Plan:
+def plan_packing(histogram: dict[int, int], capacity: int = 1024, *, large_from: int = 256, groups: int = 128) -> Plan:
     """Place every piece of a histogram {length: count}; lengths from 1 to ``capacity``."""
     plan, rank = Plan(), dict.fromkeys(histogram, 0)
     cohorts: dict[int, list[tuple[int, int]]] = {}  # by room left: (first sequence, count)
@@ -221,7 +221,7 @@ def plan_packing(histogram: dict[int, int], capacity: int = 1024, *, large_from:
     return plan
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, large_from: int = 96, groups: int = 64, rows_a_salt: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, large_from: int = 256, groups: int = 128, rows_a_salt: int = 100_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns doc_id, piece, start, length, ids_crc32, and any others).
 
     ``pieces`` should be a written table: it is read for its histogram, its ranks and its rows.
