@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,5 +39,21 @@ def staged(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROOT = Path(__file__).resolve().parents[2]
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once a context, where their Python would not find it."""
+    sc = spark.sparkContext
+    paths = {os.path.realpath(p or ".") for p in ["", *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if sc.applicationId in SHIPPED or str(ROOT) in paths:
+        return
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    sc.addPyFile(shutil.make_archive(f"{folder}/factloom", "zip", ROOT, "factloom"))
+    SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
