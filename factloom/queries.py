@@ -284,12 +284,13 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversals.strong_components(facts.module_dependencies(spark, sf_dir))
 
 
-@query(f"""with recursive {DEP}, walk(node, depth, path) as (
-  select 'svc-1', 0, ['svc-1'] union all select d.target, depth + 1, list_append(path, d.target) from walk join dep d on d.source = node where depth < 6 and node <> 'svc-2' and not list_contains(path, d.target)),
+@query(f"""with recursive {DEP}, ways as (select source, target from dep union select target, source from dep), walk(node, depth, path) as (
+  select 'svc-1', 0, ['svc-1'] union all select d.target, depth + 1, list_append(path, d.target) from walk join ways d on d.source = node where depth < 5 and node <> 'svc-2' and not list_contains(path, d.target)),
 hit as (select * from walk where node = 'svc-2'), best as (select array_to_string(path, ' > ') as path, depth from hit where depth = (select min(depth) from hit))
 select cast(depth as integer) as depth, path, (select count(*) from best) > 20 as truncated from best order by path limit 20""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversals.shortest_paths(facts.module_dependencies(spark, sf_dir), "svc-1", "svc-2", max_depth=6)
+    dep = facts.module_dependencies(spark, sf_dir)
+    return traversals.shortest_paths(dep.union(dep.select(F.col("target").alias("source"), F.col("source").alias("target"))), "svc-1", "svc-2", max_depth=5)
 
 
 @query(f"with recursive {DEP}, acyclic as (select * from dep where source < target), nodes as (select source as node from acyclic union select target from acyclic), up(node, level) as (select node, 0 from nodes union select a.target, level + 1 from up join acyclic a on a.source = node) select node, cast(max(level) as integer) as level from up group by node")
