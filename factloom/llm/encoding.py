@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
-CACHE_ENTRIES = 400_000
+SLICE_BYTES = 4 << 20
+CACHE_ENTRIES = 150_000
 ODD_BLANKS = "(^ )|( $)|([\\s\\x{85}\\p{Z}\\x1c-\\x1f] )|( [\\s\\x{85}\\p{Z}\\x1c-\\x1f])"
 
 
@@ -46,7 +46,7 @@ BYTE_CHARS = _byte_chars()
 
 
 class Encoder:
-    """Encodes Arrow string arrays; keeps the ids of the chunks met lately, at most about ``2 * CACHE_ENTRIES``."""
+    """Encodes Arrow string arrays; keeps the ids of the chunks met lately, about ``2 * CACHE_ENTRIES`` and two slices' chunks at most."""
 
     def __init__(self, path: str):
         import json
