@@ -234,7 +234,10 @@ def test_tables_are_sums_of_bins():
 
 
 def test_long_texts_are_scored_whole():
+    """A text of many parts scores as a short one with the same runs of words, wherever they stand."""
     net = toxicity.fit(["good words here", "bad grimbo here"] * 20, np.array([0.0, 1.0] * 20), epochs=20)
-    long = "good words here " * 40_000
-    clean, spoilt = net.score([long, long + "grimbo"])
-    assert clean < 0.5 < spoilt
+    run = "good words here "
+    short = net.score([run * 3, run * 3 + "grimbo", run * 2 + "bad grimbo here " + run])
+    long = net.score([run * 40_000, run * 40_000 + "grimbo", run * 20_000 + "bad grimbo here " + run * 20_000])
+    assert np.allclose(short, long)
+    assert short[0] < short[1] and short[0] < 0.5 < short[2]
