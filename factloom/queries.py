@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import ids, text
-from factloom.operators import audit, deltas, edges, filters, ranking, relations, search
+from factloom.operators import audit, deltas, edges, filters, ranking, relations, resolution, search
 from factloom.plans import catalog, traversals
 from factloom.sources import facts, manifests
 from factloom.sources.facts import DEPENDENCIES_SQL, ENDPOINTS_SQL, FINDINGS_SQL
@@ -473,3 +473,37 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def federated_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = facts.table(spark, sf_dir, "supplier").join(F.broadcast(facts.table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("s_nationkey"))  # 25 nations
     return s.select(F.concat("n_name", F.lit(":"), facts.text("s_suppkey")).alias("id"), F.col("n_name").alias("service"), F.col("s_name").alias("name"))
+
+
+@query("""with t as (select distinct p_brand as package, concat(p_type, cast(p_size as varchar)) as name from part),
+w as (select distinct concat('Brand#', cast(p_size % 25 as varchar)) as package, case p_partkey % 3 when 0 then concat(p_brand, '.', p_type, cast(p_size as varchar)) else concat(p_type, cast(p_size as varchar)) end as type from part)
+select w.package, w.type, coalesce((select concat(package, '.', name) from t where concat(t.package, '.', t.name) = w.type), (select concat(t.package, '.', t.name) from t where t.package = w.package and t.name = w.type),
+  (select min(concat(t.package, '.', t.name)) from t where t.name = w.type having count(*) = 1)) as resolved from w""")
+def type_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    name = F.concat("p_type", facts.text("p_size"))
+    wanted = p.select(F.concat(F.lit("Brand#"), facts.text(F.col("p_size") % 25)).alias("package"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("."), name)).otherwise(name).alias("type"))
+    return resolution.resolve_types(wanted, p.select(F.col("p_brand").alias("package"), name.alias("name")).distinct())
+
+
+@query("""with m as (select concat('m', cast(p_partkey as varchar)) as identity, concat('/p/', cast(p_partkey as varchar)) as path, concat(p_name, ' ', p_brand, ' ', p_type) as name from part),
+w as (select concat('m', cast(p_partkey as varchar)) as source, case when p_size % 2 = 0 then concat('/p/', cast(p_partkey * 7 % 5000 as varchar)) else concat(p_name, ' ', p_brand, ' ', p_type) end as ref from part),
+one as (select name, min(identity) as identity from m group by name having count(*) = 1)
+select distinct source, coalesce(m.identity, one.identity) as target from w left join m on m.path = w.ref left join one on one.name = w.ref where coalesce(m.identity, one.identity) <> source""")
+def build_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    me, name = F.concat(F.lit("m"), facts.text("p_partkey")), F.concat("p_name", F.lit(" "), "p_brand", F.lit(" "), "p_type")
+    ref = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/p/"), facts.text(F.col("p_partkey") * 7 % 5000))).otherwise(name)
+    return resolution.build_dependencies(p.select(me.alias("source"), ref.alias("ref")), p.select(me.alias("identity"), F.concat(F.lit("/p/"), facts.text("p_partkey")).alias("path"), name.alias("name")))
+
+
+@query(f"with recursive {DEP}, roots as (select distinct source as root, source as node from dep where source like '%7'), reach(root, node) as (select root, node from roots union select r.root, d.target from reach r join dep d on d.source = r.node) select root, node from reach")
+def module_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dep = facts.module_dependencies(spark, sf_dir)
+    return resolution.closures(dep.where("source like '%7'").select(F.col("source").alias("root"), F.col("source").alias("node")), dep)
+
+
+@query("select regexp_extract(path, '^(.*)/[^/]*$', 1) as namespace, count(*) as members from (select split_part(split_part(url, '://', 2), '?', 1) as path from pages) x where path like '%/%' group by 1 having count(*) >= 2")
+def namespace_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "pages")
+    return resolution.groups(p.select(F.substring_index(F.split_part("url", F.lit("://"), F.lit(2)), "?", 1).alias("path")).where("path like '%/%'"))
