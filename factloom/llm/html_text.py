@@ -15,12 +15,14 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_hexdigest
 
 from factloom.llm.shared import staged
 
@@ -39,6 +41,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACES = re.compile(r"\s+")
 DEEPEST, MOST_KIDS, LONGEST = 60, 200, 120
+LEAST_PAGES = 5  # different pages a host must have before its unchanging text counts as its own
 
 
 class Node:
@@ -128,16 +131,34 @@ def boilerplate(node: Node) -> bool:
 
 
 # A wrapper node is a list: [kind, optional, repeated, pages, letters, text or None for a slot, children].
+# The root's text is a list: the least digests of different pages, LEAST_PAGES at most.
 KIND, OPT, REP, PAGES, LETTERS, TEXT, KIDS = range(7)
 
 
+def own_text(text: str) -> str:
+    """What stands for a text in a wrapper: itself, or its start and a digest of the whole."""
+    text = SPACES.sub(" ", text).strip()
+    return text if len(text) <= LONGEST else text[:LONGEST] + xxh3_128_hexdigest(text)
+
+
+def page_digest(root: Node) -> str:
+    """A digest of a page's longest text outside boilerplate, by which copies and most near copies are one page."""
+    longest, todo = "", [root]
+    while todo:
+        node = todo.pop()
+        if node.kind == "#":
+            longest = max(longest, node.text, key=len)
+        elif not boilerplate(node):
+            todo.extend(reversed(node.kids))
+    return xxh3_128_hexdigest(SPACES.sub(" ", longest).strip())
+
+
 def wrapper_of(node: Node, depth: int = 0) -> list:
     """The wrapper of a single page, repeated neighbours folded."""
     if node.kind == "#":
-        text = SPACES.sub(" ", node.text).strip()
-        return ["#", 0, 0, 1, len(text), text[:LONGEST], []]
+        return ["#", 0, 0, 1, len(SPACES.sub(" ", node.text).strip()), own_text(node.text), []]
     kids = [] if depth > DEEPEST else [wrapper_of(k, depth + 1) for k in node.kids if k.kind != "#" or not k.text.isspace()]
-    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), None, folded(kids)]
+    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), None if node.kind else [page_digest(node)], folded(kids)]
 
 
 def folded(kids: list) -> list:
@@ -160,7 +181,7 @@ def folded(kids: list) -> list:
 
 def aligned(a: list, b: list) -> list:
     """The wrapper that covers two wrappers of one kind."""
-    text = a[TEXT] if a[TEXT] == b[TEXT] else None
+    text = sorted({*a[TEXT], *b[TEXT]})[:LEAST_PAGES] if not a[KIND] else a[TEXT] if a[TEXT] == b[TEXT] else None
     return [a[KIND], a[OPT] | b[OPT], a[REP] | b[REP], a[PAGES] + b[PAGES], a[LETTERS] + b[LETTERS], text, aligned_kids(a[KIDS], b[KIDS])]
 
 
@@ -206,31 +227,39 @@ def standing(kind: str) -> Node:
 
 
 def rule_of(w: list) -> dict:
-    """From a wrapper: the path of the article (or none), and paths outside any article whose text never differs."""
-    pages = max(1, w[PAGES])
+    """From a wrapper: the path of the article (or none), and paths with the texts of blocks outside any article that no page lacks or changes.
+
+    A block's path counts only if none of its texts varies, inline elements included. Hosts with few
+    different pages have no such texts, nor have hosts whose pages agree in most of their text: these
+    are copies.
+    """
     mains: list[tuple[int, int, str]] = []
-    constant: list[str] = []
+    slots: dict[str, list] = defaultdict(list)
 
-    def visit(node: list, path: str, inside: bool) -> int:
-        """Letters below that aren't boilerplate."""
+    def visit(node: list, path: str, block: str, inside: bool, some: bool) -> int:
+        """Letters below that aren't boilerplate; ``some``: only some pages have the node."""
+        some = some or bool(node[OPT])
         if node[KIND] == "#":
-            if not inside and node[TEXT] is not None and pages >= 5 and node[PAGES] >= 5 and not node[OPT]:
-                constant.append(path)
+            if not inside:
+                slots[block].append((None if some else node[TEXT], node[LETTERS]))
             return node[LETTERS]
         me = standing(node[KIND])
         if boilerplate(me):
             return 0
         own = f"{path}/{node[KIND]}" if path or node[KIND] else ""
         here = me.name in ("article", "main") or "@main" in me.words or "@articlebody" in me.words
-        total = sum(visit(k, own, inside or here) for k in node[KIDS])
+        total = sum(visit(k, own, own if me.name in BLOCK else block, inside or here, some) for k in node[KIDS])
         if here and total:
             mains.append((2 if me.name == "article" or "@articlebody" in me.words else 1, total, own))
         return total
 
-    visit(w, "", False)
+    total = visit(w, "", "", False, False)
+    same = {path: sorted({text for text, _ in found}) for path, found in slots.items() if all(text is not None for text, _ in found)}
+    if len(w[TEXT]) < LEAST_PAGES or 2 * sum(n for path in same for _, n in slots[path]) > total:
+        same = {}
     whole = sum(m[1] for m in mains if m[0] == 2)
     best = [m for m in mains if m[0] == 2 and m[1] * 5 >= whole] or [m for m in mains if m[0] == 1]
-    return {"main": [m[2] for m in best], "constant": [] if best else sorted(set(constant))}
+    return {"main": [m[2] for m in best], "constant": {} if best else same}
 
 
 def main_text(text: str | None, rule: dict | None) -> str:
@@ -240,7 +269,7 @@ def main_text(text: str | None, rule: dict | None) -> str:
     root = parsed(text)
     if rule is None or rule["main"] and not any_path(root, set(rule["main"])):
         rule = rule_of(wrapper_of(root))
-    mains, constant = set(rule["main"]), set(rule["constant"])
+    mains, constant = set(rule["main"]), rule["constant"]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -250,15 +279,15 @@ def main_text(text: str | None, rule: dict | None) -> str:
         if own:
             blocks.append(own)
 
-    todo: list = [(root, "", not mains)]
+    todo: list = [(root, "", "", not mains)]
     while todo:
         item = todo.pop()
         if item is None:
             close()
             continue
-        node, path, inside = item
+        node, path, block, inside = item
         if node.kind == "#":
-            if inside and path not in constant:
+            if inside and not (block in constant and own_text(node.text) in constant[block]):
                 line.append(node.text)
             continue
         if node.name == "br" or node.name in ("td", "th"):
@@ -275,7 +304,8 @@ def main_text(text: str | None, rule: dict | None) -> str:
         if node.name in BLOCK:
             close()
             todo.append(None)
-        todo.extend((k, own, inside) for k in reversed(node.kids))
+        block = own if node.name in BLOCK else block
+        todo.extend((k, own, block, inside) for k in reversed(node.kids))
     close()
     return "\n".join(blocks)
 
