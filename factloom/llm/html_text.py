@@ -6,8 +6,9 @@ odd ones become optional; neighbours of one kind become a repeated group. The re
 no alternatives (it is union-free), and wrappers align with wrappers in the same way. So each
 task folds its own pages, and only wrappers are shuffled: no page is.
 
-From a host's wrapper follows which path holds the article and which paths outside it hold
-text that is the same on every page. Pages are then read along these paths.
+A page is read by its own articles where it has any, however their classes differ on the host.
+Where neither it nor its host has one, the host's wrapper tells which blocks hold text that is the
+same on every page, and the page is read without them.
 """
 
 from __future__ import annotations
@@ -121,6 +122,13 @@ def parsed(text: str) -> Node:
     return root
 
 
+def rank(node: Node) -> int:
+    """2 for an article, 1 for a main part, else 0."""
+    if node.name == "article" or "@articlebody" in node.words:
+        return 2
+    return int(node.name == "main" or "@main" in node.words)
+
+
 def boilerplate(node: Node) -> bool:
     """Whether an element is by its name or naming no part of an article."""
     if node.name in NEVER or node.hidden:
@@ -153,12 +161,27 @@ def page_digest(root: Node) -> str:
     return xxh3_128_hexdigest(SPACES.sub(" ", longest).strip())
 
 
+def letters(node: Node) -> int:
+    """Letters of an element outside boilerplate."""
+    total, todo = 0, [node]
+    while todo:
+        node = todo.pop()
+        if node.kind == "#":
+            total += len(SPACES.sub(" ", node.text).strip())
+        elif not boilerplate(node):
+            todo += node.kids
+    return total
+
+
 def wrapper_of(node: Node, depth: int = 0) -> list:
     """The wrapper of a single page, repeated neighbours folded."""
     if node.kind == "#":
         return ["#", 0, 0, 1, len(SPACES.sub(" ", node.text).strip()), own_text(node.text), []]
-    kids = [] if depth > DEEPEST else [wrapper_of(k, depth + 1) for k in node.kids if k.kind != "#" or not k.text.isspace()]
-    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), None if node.kind else [page_digest(node)], folded(kids)]
+    if depth > DEEPEST:  # what lies deeper counts as one text that varies
+        kids = [["#", 0, 0, 1, letters(node), None, []]]
+    else:
+        kids = [wrapper_of(k, depth + 1) for k in node.kids if k.kind != "#" or not k.text.isspace()]
+    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), None if node.kind else [page_digest(node)], bounded(folded(kids))]
 
 
 def folded(kids: list) -> list:
@@ -204,11 +227,19 @@ def aligned_kids(a: list, b: list) -> list:
         else:
             out.append([b[j][KIND], 1, *b[j][2:]])
             j += 1
-    out = folded(out)
-    if len(out) > MOST_KIDS:  # keeps wrappers small: what hardly any page has decides nothing
-        floor = sorted((x[PAGES] for x in out), reverse=True)[MOST_KIDS - 1]
-        out = [x for x in out if x[PAGES] >= floor][:MOST_KIDS]
-    return out
+    return bounded(folded(out))
+
+
+def bounded(kids: list) -> list:
+    """Few children, nothing lost: where they are more than MOST_KIDS, those of one kind become one optional group, then those of one name."""
+    for key in (lambda kind: kind, lambda kind: kind.split(".")[0]):
+        if len(kids) > MOST_KIDS:
+            groups: dict[str, list] = {}
+            for kid in kids:
+                kid = [key(kid[KIND]), 1, 1, *kid[PAGES:]]
+                groups[kid[KIND]] = aligned(groups[kid[KIND]], kid) if kid[KIND] in groups else kid
+            kids = list(groups.values())
+    return kids
 
 
 def expression(w: list) -> str:
@@ -227,49 +258,60 @@ def standing(kind: str) -> Node:
 
 
 def rule_of(w: list) -> dict:
-    """From a wrapper: the path of the article (or none), and paths with the texts of blocks outside any article that no page lacks or changes.
+    """From a wrapper without any article: paths with the texts of blocks that no page lacks or changes.
 
     A block's path counts only if none of its texts varies, inline elements included. Hosts with few
     different pages have no such texts, nor have hosts whose pages agree in most of their text: these
     are copies.
     """
-    mains: list[tuple[int, int, str]] = []
     slots: dict[str, list] = defaultdict(list)
+    articles = 0
 
-    def visit(node: list, path: str, block: str, inside: bool, some: bool) -> int:
+    def visit(node: list, path: str, block: str, some: bool) -> int:
         """Letters below that aren't boilerplate; ``some``: only some pages have the node."""
+        nonlocal articles
         some = some or bool(node[OPT])
         if node[KIND] == "#":
-            if not inside:
-                slots[block].append((None if some else node[TEXT], node[LETTERS]))
+            slots[block].append((None if some else node[TEXT], node[LETTERS]))
             return node[LETTERS]
         me = standing(node[KIND])
         if boilerplate(me):
             return 0
         own = f"{path}/{node[KIND]}" if path or node[KIND] else ""
-        here = me.name in ("article", "main") or "@main" in me.words or "@articlebody" in me.words
-        total = sum(visit(k, own, own if me.name in BLOCK else block, inside or here, some) for k in node[KIDS])
-        if here and total:
-            mains.append((2 if me.name == "article" or "@articlebody" in me.words else 1, total, own))
+        total = sum(visit(k, own, own if me.name in BLOCK else block, some) for k in node[KIDS])
+        articles += bool(rank(me) and total)
         return total
 
-    total = visit(w, "", "", False, False)
+    total = visit(w, "", "", False)
     same = {path: sorted({text for text, _ in found}) for path, found in slots.items() if all(text is not None for text, _ in found)}
-    if len(w[TEXT]) < LEAST_PAGES or 2 * sum(n for path in same for _, n in slots[path]) > total:
+    if articles or len(w[TEXT]) < LEAST_PAGES or 2 * sum(n for path in same for _, n in slots[path]) > total:
         same = {}
-    whole = sum(m[1] for m in mains if m[0] == 2)
-    best = [m for m in mains if m[0] == 2 and m[1] * 5 >= whole] or [m for m in mains if m[0] == 1]
-    return {"main": [m[2] for m in best], "constant": {} if best else same}
+    return {"constant": same}
+
+
+def mains_of(root: Node) -> list[Node]:
+    """A page's outermost articles that have text, in order; without any, its main parts."""
+    found: dict[int, list[Node]] = {1: [], 2: []}
+    for kind, nodes in found.items():
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            if node.kind == "#" or boilerplate(node):
+                continue
+            if rank(node) == kind and letters(node):
+                nodes.append(node)
+            else:
+                todo.extend(reversed(node.kids))
+    return found[2] or found[1]
 
 
 def main_text(text: str | None, rule: dict | None) -> str:
-    """The blocks of the article of one page, one a line."""
+    """The blocks of the articles of one page, one a line; of the whole page where it has none."""
     if not text:
         return ""
     root = parsed(text)
-    if rule is None or rule["main"] and not any_path(root, set(rule["main"])):
-        rule = rule_of(wrapper_of(root))
-    mains, constant = set(rule["main"]), rule["constant"]
+    mains = mains_of(root)
+    constant = {} if mains or rule is None else rule["constant"]
     blocks: list[str] = []
     line: list[str] = []
 
@@ -279,15 +321,15 @@ def main_text(text: str | None, rule: dict | None) -> str:
         if own:
             blocks.append(own)
 
-    todo: list = [(root, "", "", not mains)]
+    todo: list = [(node, "", "") for node in reversed(mains or [root])]
     while todo:
         item = todo.pop()
         if item is None:
             close()
             continue
-        node, path, block, inside = item
+        node, path, block = item
         if node.kind == "#":
-            if inside and not (block in constant and own_text(node.text) in constant[block]):
+            if not (block in constant and own_text(node.text) in constant[block]):
                 line.append(node.text)
             continue
         if node.name == "br" or node.name in ("td", "th"):
@@ -300,27 +342,15 @@ def main_text(text: str | None, rule: dict | None) -> str:
             close()
             continue
         own = f"{path}/{node.kind}" if path or node.kind else ""
-        inside = inside or own in mains
         if node.name in BLOCK:
             close()
             todo.append(None)
         block = own if node.name in BLOCK else block
-        todo.extend((k, own, block, inside) for k in reversed(node.kids))
+        todo.extend((k, own, block) for k in reversed(node.kids))
     close()
     return "\n".join(blocks)
 
 
-def any_path(root: Node, mains: set[str]) -> bool:
-    todo = [(root, "")]
-    while todo:
-        node, path = todo.pop()
-        own = f"{path}/{node.kind}" if path or node.kind else ""
-        if own in mains:
-            return True
-        todo += [(k, own) for k in node.kids if k.kind != "#" and any(m.startswith(own) for m in mains)]
-    return False
-
-
 def host_of(url) -> object:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -370,7 +400,7 @@ def main_texts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     Null or empty html gives the empty text. Pages without a host in their url form one group.
     Repeated rows and null ids stay; an empty table gives an empty result; other columns are
-    ignored. A page that lacks its host's article path is read by its own structure. Wrappers are
+    ignored. A page with articles is read by them, whatever its host has. Wrappers are
     joined by host: Spark broadcasts them where their size allows, else a host with many pages is
     a skewed join that is split at run time.
     """

@@ -31,3 +31,23 @@ def test_unchanging_text_of_different_pages_goes():
     got = texts([f"<div class=top><p>Welcome</p></div><div><p>{'word ' * 9}{k}</p></div><p class=x>Bye</p>" for k in range(6)])
     assert got == [f"{'word ' * 9}{k}" for k in range(6)]
     assert texts([f"<div class=top><p>Welcome</p></div><div><p>{'word ' * 9}{k}</p></div>" for k in range(4)])[0].startswith("Welcome")
+
+
+def test_articles_of_many_classes_are_read_alone():
+    page = "<div>outside {0}</div><article class='post tag-{1}'><h1>T{0}</h1><p>text {0}</p></article><p>below {0}</p>"
+    assert texts([page.format(k, chr(97 + k)) for k in range(12)]) == [f"T{k}\ntext {k}" for k in range(12)]
+
+
+def test_all_articles_of_a_page_are_read():
+    page = "<main>" + "".join(f"<article class='c{c}'><p>{c} {'word ' * n}end</p></article>" for c, n in zip("abcdef", (90, 1, 1, 1, 1, 1))) + "</main>"
+    assert [line[0] for line in texts([page])[0].split("\n")] == list("abcdef")
+
+
+def test_wrappers_of_many_kinds_lose_nothing():
+    kinds = [chr(97 + k // 26) + chr(97 + k % 26) for k in range(260)]
+    page = "<div>" + "".join(f"<div class='{c}x'>{c}</div>" for c in kinds) + "</div>"
+    w = html_text.wrapper_of(html_text.parsed(page))
+    w = html_text.aligned(w, html_text.wrapper_of(html_text.parsed("<div><i>one</i>" + page[5:])))
+    assert w[html_text.LETTERS] == sum(k[html_text.LETTERS] for k in w[html_text.KIDS][0][html_text.KIDS]) == 4 * 260 + 3
+    assert len(w[html_text.KIDS][0][html_text.KIDS]) < 200
+    assert texts([page] * 6) == ["\n".join(kinds)] * 6
