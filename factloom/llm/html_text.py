@@ -35,6 +35,16 @@ NEVER = frozenset("head script style title noscript template svg iframe object e
 PART_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation topbar footer header masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments reply replies respond disqus widget toolbar pagination pager login signup search copyright legal skip".split()
 )
+# Names of parts that are only told by two words; other compounds (content-with-sidebar, entry-header) name no part.
+PART_COMPOUNDS = frozenset(
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper google-ads adsbygoogle site-header site-footer page-footer site-nav main-nav nav-bar nav-menu main-menu navigation-menu side-bar sidebar-left sidebar-right left-sidebar right-sidebar cookie-banner cookie-bar cookie-consent cookie-notice consent-banner newsletter-signup newsletter-form share-buttons share-links social-links social-share social-media related-articles related-posts related-links comment-list comment-form comments-area comments-section comment-section disqus_thread search-form search-box login-form skip-link breadcrumb-nav legal-notice".split()
+)
+# Words that also name blocks of an article: they count outside articles only.
+OPEN_WORDS = frozenset("header notice alert search legal copyright skip comment reply replies login signup consent gdpr overlay legal-notice".split())
+# Elements that may also wrap a whole page, and those that never hold an article's own text but may wrap an article.
+WRAPS = frozenset("form label button".split())
+ASIDE = frozenset("nav aside footer dialog menu".split())
+PLAIN = frozenset("html body article main p h1".split())
 PART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CLOSES_P = BLOCK - {"body", "html"}
 CLOSERS = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
@@ -48,11 +58,12 @@ LEAST_PAGES = 5  # different pages a host must have before its unchanging text c
 class Node:
     """An element (name, kind, children) or, with kind '#', a text."""
 
-    __slots__ = ("name", "kind", "kids", "text", "words", "hidden")
+    __slots__ = ("name", "kind", "kids", "text", "words", "hidden", "letters")
 
     def __init__(self, name: str, kind: str, text: str = "", words: frozenset = frozenset(), hidden: bool = False):
         self.name, self.kind, self.text, self.words, self.hidden = name, kind, text, words, hidden
         self.kids: list[Node] = []
+        self.letters = 0
 
 
 def opened(name: str, raw: str) -> Node:
@@ -66,8 +77,13 @@ def opened(name: str, raw: str) -> Node:
             hidden = hidden or (key == "hidden" and value in ("", "hidden")) or value == "true"
         else:
             found += [f"{'@' if key in ('role', 'itemprop') else ''}{re.sub('[0-9]+', '', w)}" for w in value.split()]
-    words = frozenset(p for w in found for p in re.split("[-_:]+", w) if p) | frozenset(found)
-    return Node(name, ".".join([name, *sorted(set(found))])[:LONGEST], words=words, hidden=hidden)
+    words = frozenset(w.strip("-_:").replace(".", ":") for w in found)
+    if name in PLAIN:
+        words = frozenset(w for w in words if w[:1] == "@")
+    kind = ".".join([name, *sorted(words)])
+    if len(kind) > LONGEST:
+        kind = ".".join([name, *sorted(w for w in words if w in PART_WORDS or w in PART_COMPOUNDS or w[:1] == "@"), "#" + xxh3_128_hexdigest(kind)])
+    return Node(name, kind, words=words, hidden=hidden)
 
 
 def parsed(text: str) -> Node:
@@ -129,13 +145,36 @@ def rank(node: Node) -> int:
     return int(node.name == "main" or "@main" in node.words)
 
 
+def hint(node: Node, inside: bool = False) -> bool:
+    """Whether an element's class, id or role is the name of a part; ``inside`` an article only what names no block of it."""
+    if node.name in PLAIN:
+        return False
+    found = [w for w in node.words if w in PART_WORDS or w in PART_COMPOUNDS or w[:1] == "@" and w[1:] in PART_ROLES]
+    return any(not inside or w not in OPEN_WORDS for w in found)
+
+
+def unseen(node: Node) -> bool:
+    """Whether nothing in an element is a text of the page, whatever it holds."""
+    return node.hidden or node.name in NEVER and node.name not in WRAPS and node.name not in ASIDE
+
+
 def boilerplate(node: Node) -> bool:
     """Whether an element is by its name or naming no part of an article."""
-    if node.name in NEVER or node.hidden:
-        return True
-    if node.name in ("html", "body", "article", "main", "p", "h1"):
-        return False
-    return bool(node.words & PART_WORDS) or any(w[0] == "@" and w[1:] in PART_ROLES for w in node.words)
+    return node.name in NEVER or node.hidden or hint(node)
+
+
+def weigh(root: Node) -> None:
+    """Sets the letters of each element, without those of unseen elements and of parts by element name."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.kind == "#":
+            node.letters = len(SPACES.sub(" ", node.text).strip())
+        elif not unseen(node):
+            order.append(node)
+            todo += node.kids
+    for node in reversed(order):
+        node.letters = sum(k.letters for k in node.kids if k.name not in ASIDE)
 
 
 # A wrapper node is a list: [kind, optional, repeated, pages, letters, text or None for a slot, children].
@@ -254,17 +293,18 @@ def expression(w: list) -> str:
 
 def standing(kind: str) -> Node:
     name, *found = kind.split(".")
-    return Node(name, kind, words=frozenset(p for w in found for p in re.split("[-_:]+", w) if p) | frozenset(found))
+    return Node(name, kind, words=frozenset(found))
 
 
 def rule_of(w: list) -> dict:
-    """From a wrapper without any article: paths with the texts of blocks that no page lacks or changes.
+    """From a wrapper: paths of parts by their naming; without any article, paths with the texts of blocks that no page lacks or changes.
 
-    A block's path counts only if none of its texts varies, inline elements included. Hosts with few
+    A part's path counts where several pages have it and it holds at most half of the host's text. A block's path counts only if none of its texts varies, inline elements included. Hosts with few
     different pages have no such texts, nor have hosts whose pages agree in most of their text: these
     are copies.
     """
     slots: dict[str, list] = defaultdict(list)
+    held: dict[str, list] = defaultdict(lambda: [0, 0])
     articles = 0
 
     def visit(node: list, path: str, block: str, some: bool) -> int:
@@ -275,43 +315,78 @@ def rule_of(w: list) -> dict:
             slots[block].append((None if some else node[TEXT], node[LETTERS]))
             return node[LETTERS]
         me = standing(node[KIND])
-        if boilerplate(me):
+        if unseen(me) or me.name in ASIDE:
             return 0
         own = f"{path}/{node[KIND]}" if path or node[KIND] else ""
         total = sum(visit(k, own, own if me.name in BLOCK else block, some) for k in node[KIDS])
         articles += bool(rank(me) and total)
+        if me.name in WRAPS or hint(me):
+            held[own] = [held[own][0] + total, max(held[own][1], 0 if node[REP] else node[PAGES])]
         return total
 
     total = visit(w, "", "", False)
+    parts = sorted(path for path, (n, pages) in held.items() if 2 * n <= total and pages >= LEAST_PAGES <= len(w[TEXT]))
+    slots = {path: found for path, found in slots.items() if not any(path == part or path.startswith(part + "/") for part in parts)}
+    total = sum(n for found in slots.values() for _, n in found)
     same = {path: sorted({text for text, _ in found}) for path, found in slots.items() if all(text is not None for text, _ in found)}
     if articles or len(w[TEXT]) < LEAST_PAGES or 2 * sum(n for path in same for _, n in slots[path]) > total:
         same = {}
-    return {"constant": same}
+    return {"parts": parts, "constant": same}
 
 
 def mains_of(root: Node) -> list[Node]:
-    """A page's outermost articles that have text, in order; without any, its main parts."""
-    found: dict[int, list[Node]] = {1: [], 2: []}
-    for kind, nodes in found.items():
+    """A page's outermost articles that have text, in order; without any, its main parts.
+
+    Those in elements that are named as parts count only where they hold more than all other text.
+    """
+    found: dict[tuple[bool, int], list[Node]] = {(wide, kind): [] for wide in (False, True) for kind in (2, 1)}
+    for (wide, kind), nodes in found.items():
         todo = [root]
         while todo:
             node = todo.pop()
-            if node.kind == "#" or boilerplate(node):
+            if node.kind == "#" or (unseen(node) if wide else boilerplate(node)):
                 continue
             if rank(node) == kind and letters(node):
                 nodes.append(node)
             else:
                 todo.extend(reversed(node.kids))
-    return found[2] or found[1]
+        if nodes and (not wide or sum(n.letters for n in nodes) > letters(root)):
+            return nodes
+    return []
+
+
+def headed(node: Node) -> bool:
+    """Whether an element holds a heading of a page or an article."""
+    todo = list(node.kids)
+    while todo:
+        node = todo.pop()
+        if node.name in ("h1", "h2"):
+            return True
+        todo += node.kids
+    return False
 
 
 def main_text(text: str | None, rule: dict | None) -> str:
-    """The blocks of the articles of one page, one a line; of the whole page where it has none."""
+    """The blocks of the articles of one page, one a line; of the whole page where it has none.
+
+    An element named as a part, or a form, is read all the same where it holds most of the page's
+    text, unless the host's wrapper has it as a part.
+    """
     if not text:
         return ""
     root = parsed(text)
+    weigh(root)
     mains = mains_of(root)
+    parts = frozenset() if mains or rule is None else frozenset(rule["parts"])
     constant = {} if mains or rule is None else rule["constant"]
+
+    def dropped(node: Node, own: str) -> bool:
+        if unseen(node) or node.name in ASIDE:
+            return True
+        if not (node.name in WRAPS or hint(node, bool(mains))):
+            return False
+        return own in parts or 2 * node.letters <= root.letters
+
     blocks: list[str] = []
     line: list[str] = []
 
@@ -334,14 +409,11 @@ def main_text(text: str | None, rule: dict | None) -> str:
             continue
         if node.name == "br" or node.name in ("td", "th"):
             line.append(" ")
-        if boilerplate(node):
+        own = f"{path}/{node.kind}" if path or node.kind else ""
+        if dropped(node, own) or node.name == "header" and not headed(node) and 2 * node.letters <= root.letters:
             if node.name in BLOCK:
                 close()
             continue
-        if node.name == "header" and not any(k.name in ("h1", "h2") for k in node.kids):
-            close()
-            continue
-        own = f"{path}/{node.kind}" if path or node.kind else ""
         if node.name in BLOCK:
             close()
             todo.append(None)

@@ -51,3 +51,26 @@ def test_wrappers_of_many_kinds_lose_nothing():
     assert w[html_text.LETTERS] == sum(k[html_text.LETTERS] for k in w[html_text.KIDS][0][html_text.KIDS]) == 4 * 260 + 3
     assert len(w[html_text.KIDS][0][html_text.KIDS]) < 200
     assert texts([page] * 6) == ["\n".join(kinds)] * 6
+
+
+ARTICLE = "<h1>Title {0}</h1><p>The text of page {0}</p>"
+
+
+def test_part_words_count_as_whole_names_only():
+    for name in ("content-with-sidebar", "has-sidebar", "site-search-results"):
+        page = f"<div class='{name}' id=layout><div class=ad>Buy</div>{ARTICLE}</div>"
+        assert texts([page.format(k) for k in range(6)]) == [f"Title {k}\nThe text of page {k}" for k in range(6)]
+    page = "<article><div class='entry-header'><h1>T</h1></div><section class='legal-analysis'><p>law</p></section><ul id='search-results'><li>found</ul><div class=notice>mind</div><div class=ad>Buy</div><header><div><h2>Sub</h2></div></header></article>"
+    assert texts([page]) == ["T\nlaw\nfound\nmind\nSub"]
+
+
+def test_named_wrappers_of_whole_pages_are_read():
+    for tag in ("<form>{}</form>", "<div class=sidebar>{}</div>", "<form><article>{}</article><p>x</p></form>", "<aside><article>{}</article></aside>"):
+        page = tag.format(ARTICLE) + "<div class=ad>Buy</div><nav>Home</nav>"
+        assert texts([page.format(k) for k in range(6)]) == [f"Title {k}\nThe text of page {k}" for k in range(6)]
+
+
+def test_parts_of_a_host_go_even_where_they_are_long():
+    page = "<div class=body>{}</div><div class=comments>{}</div>"
+    pages = [page.format(f"a long enough text of page {k} " * 4, "chat " * (60 if k == 3 else 1)) for k in range(8)]
+    assert texts(pages)[3] == ("a long enough text of page 3 " * 4).strip()
