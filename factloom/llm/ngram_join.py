@@ -86,7 +86,7 @@ def infos(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
                 keys.append(s[: len(s) - least_overlap(len(s), num, den) + -(-len(s) // 10)])
             if len(met) > 2_000_000:
                 met.clear()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column("mark")], names=["doc_id", "n_shingles", "node", "keys", "mark"])
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -157,10 +157,11 @@ def ceil_share(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * F.lit(num) / F.lit(den)).cast("long")
 
 
-def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node of each row; links (a, b) between nodes that connect just what is linked)."""
+def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, node, mark of each row; links (a, b) between nodes that connect just what is linked). ``mark``: a long to tell rows apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    info = staged(rows.mapInArrow(lambda b: infos(b, n, num, den), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>"), "sets")
+    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
+    info = staged(marked.mapInArrow(lambda b: infos(b, n, num, den), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, mark bigint"), "sets")
     keys = info.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     met = keys.join(shared, "key").groupBy("node").agg(F.count_distinct("key").alias("met"))
@@ -186,7 +187,7 @@ def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
     turns = turns.select("node", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"))
     found = turns.join(sets, "node").select("label", "low", "high", "node", "side", "hashes")
     links = found.groupBy("label", "low", "high").applyInArrow(lambda t: forest(t, num, den), "a bigint, b bigint")
-    return info.select("doc_id", "n_shingles", "node"), staged(links, "links")
+    return info.select("doc_id", "n_shingles", "node", "mark"), staged(links, "links")
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,11 +208,25 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int =
 
 
 def distinct_documents(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the rows whose id is their component's smallest, with all columns.
+    """One row of each component, with all columns: the one of the smallest id, rows without an id last.
 
-    Rows with one id have one fate; rows without an id stay only where their component has no id.
+    Among rows of one id, or without one, that of the least hash over all columns stays, and of
+    wholly equal rows one. Null and empty texts are components of their own: all their rows stay.
     """
-    found = jaccard_components(docs, n=n, num=num, den=den, id_col=id_col, text_col=text_col)
-    kept = staged(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct(), "kept")
+    every = [F.col(c).isNull() for c in docs.columns] + [F.col(c) for c in docs.columns]
+    mark = F.xxhash64(*every)
+    info, links = jaccard_links(docs, n=n, num=num, den=den, id_col=id_col, text_col=text_col, mark=mark)
+    rows = info.where(F.col("node").isNotNull()).groupBy("node", "doc_id", "mark").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "copies")).alias("row"))
+    first = first.join(components(links), "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("row").alias("row"))
+    alone = info.where(F.col("node").isNull()).select("doc_id", "mark", F.lit(False).alias("repeated")).distinct()
+    kept = first.select("row.doc_id", "row.mark", (F.col("row.copies") > 1).alias("repeated")).union(alone)
+    kept = staged(kept.select(F.col("doc_id").alias("_kept"), F.col("mark").alias("_mark"), "repeated"), "kept")
     few = kept.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(kept) if few else kept, docs[id_col].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+
+    def held(keys: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(keys) if few else keys, docs[id_col].cast("long").eqNullSafe(keys["_kept"]) & (mark == keys["_mark"]), "left_semi")
+
+    again = kept.where("repeated")
+    once = held(kept.where("not repeated"))
+    return once if again.isEmpty() else once.union(held(again).dropDuplicates())
