@@ -91,9 +91,11 @@ def shortest_paths(edges: DataFrame, source: str, target: str, *, max_depth: int
     """depth, path (nodes joined by ' > ') of all shortest simple paths, in order; at most ``limit``, with ``truncated``.
 
     Edges (source, target and, if parallel ones are to count, id) are followed level by level and only
-    from nodes not met before; the paths are laid together once the target's level is known.
+    from nodes not met before; the paths are laid together once the target's level is known. With id,
+    parallel edges give paths of their own, and ``relations`` has the ids joined by ' > '.
     """
-    e = cut(edges.select("source", "target").distinct())
+    ids = [c for c in edges.columns if c == "id"]
+    e = cut(edges.select("source", "target", *ids).distinct())
     spark: SparkSession = edges.sparkSession
     levels = [spark.createDataFrame([(source,)], "node string")]
     seen = levels[0]
@@ -106,36 +108,43 @@ def shortest_paths(edges: DataFrame, source: str, target: str, *, max_depth: int
         levels.append(step)
         seen = cut(seen.union(step))
         hit = not step.where(F.col("node") == target).isEmpty()
-    empty = "depth int, path string, truncated boolean"
+    order = ["path", *(["relations"] if ids else [])]
     if not hit:
-        return spark.createDataFrame([], empty)
-    paths = spark.createDataFrame([(target, target)], "head string, path string")
-    for level in reversed(levels[:-1]):  # back from the target, only over nodes of each level
-        paths = paths.join(e, F.col("head") == F.col("target")).join(level, F.col("source") == F.col("node"), "left_semi").select(F.col("source").alias("head"), F.concat("source", F.lit(" > "), "path").alias("path"))
-    some = cut(paths.select("path").orderBy("path").limit(limit + 1))
+        return spark.createDataFrame([], "depth int, " + "".join(f"{c} string, " for c in order) + "truncated boolean")
+    paths = spark.createDataFrame([(target, target, "")], "head string, path string, relations string")
+    for k, level in enumerate(reversed(levels[:-1])):  # back from the target, only over nodes of each level
+        step = paths.join(e, F.col("head") == F.col("target")).join(level, F.col("source") == F.col("node"), "left_semi")
+        relations = (F.concat(F.col("id").cast("string"), F.lit(" > "), "relations") if k else F.col("id").cast("string")) if ids else F.col("relations")
+        paths = step.select(F.col("source").alias("head"), F.concat("source", F.lit(" > "), "path").alias("path"), relations.alias("relations"))
+    some = cut(paths.select(*order).orderBy(*order).limit(limit + 1))
     more = some.count() > limit
-    return some.orderBy("path").limit(limit).select(F.lit(len(levels) - 1).alias("depth"), "path", F.lit(more).alias("truncated"))
+    return some.orderBy(*order).limit(limit).select(F.lit(len(levels) - 1).alias("depth"), *order, F.lit(more).alias("truncated"))
 
 
 def flows(publishes: DataFrame, consumes: DataFrame, start: str, *, max_depth: int = 6, limit: int = 50) -> DataFrame:
     """path, ending: topic to consumers to the topics they publish; each path ends as leaf, cycle or at the depth.
 
-    ``publishes`` and ``consumes`` have module, topic. Paths come in lexical order, ``limit`` at most.
+    ``publishes`` and ``consumes`` have module, topic. Depth counts topics: a path at the depth ends with
+    the last topic's consumer. Paths come in lexical order of their nodes, ``limit`` at most.
     """
     hop = cut(consumes.select(F.col("topic").alias("_t"), "module").distinct())
     out = cut(publishes.select(F.col("module").alias("_m"), F.col("topic").alias("next")).distinct())
     spark = publishes.sparkSession
     live = spark.createDataFrame([([start],)], "nodes array<string>")
-    done = spark.createDataFrame([], "path string, ending string")
-    for _ in range(max_depth):
+    done = spark.createDataFrame([], "nodes array<string>, ending string")
+    for depth in range(1, max_depth + 1):
         at = live.withColumn("_t", F.element_at("nodes", -1)).join(hop, "_t", "left")
-        stop = at.where("module is null").select(F.array_join("nodes", " > ").alias("path"), F.lit("leaf").alias("ending"))
-        via = at.where("module is not null").join(out, F.col("module") == F.col("_m"), "left")
-        ends = via.where("next is null").select(F.array_join(F.concat("nodes", F.array("module")), " > ").alias("path"), F.lit("leaf").alias("ending"))
-        loops = via.where("array_contains(nodes, next)").select(F.array_join(F.concat("nodes", F.array("module", "next")), " > ").alias("path"), F.lit("cycle").alias("ending"))
-        live = cut(via.where("next is not null and not array_contains(nodes, next)").select(F.concat("nodes", F.array("module", "next")).alias("nodes")).distinct().orderBy("nodes").limit(limit * 20))
-        done = cut(done.union(stop).union(ends).union(loops).distinct().orderBy("path").limit(limit))
-    return done.union(live.select(F.array_join("nodes", " > "), F.lit("depth"))).orderBy("path").limit(limit)
+        stop = at.where("module is null").select("nodes", F.lit("leaf").alias("ending"))
+        last = depth == max_depth
+        via = at.where("module is not null").join(out.select("_m", F.lit("").alias("next")).distinct() if last else out, F.col("module") == F.col("_m"), "left")
+        ends = via.where("next is null").select(F.concat("nodes", F.array("module")).alias("nodes"), F.lit("leaf").alias("ending"))
+        if last:
+            ends = ends.union(via.where("next is not null").select(F.concat("nodes", F.array("module")), F.lit("depth")))
+        else:  # every live path has an ending that begins with it, so the first ones lead to the first endings
+            ends = ends.union(via.where("array_contains(nodes, next)").select(F.concat("nodes", F.array("module", "next")), F.lit("cycle")))
+            live = cut(via.where("next is not null and not array_contains(nodes, next)").select(F.concat("nodes", F.array("module", "next")).alias("nodes")).distinct().orderBy("nodes").limit(limit))
+        done = cut(done.union(stop).union(ends).distinct().orderBy("nodes").limit(limit))
+    return done.orderBy("nodes").select(F.array_join("nodes", " > ").alias("path"), "ending")
 
 
 def levels(edges: DataFrame) -> DataFrame:

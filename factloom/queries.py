@@ -290,7 +290,7 @@ hit as (select * from walk where node = 'svc-2'), best as (select array_to_strin
 select cast(depth as integer) as depth, path, (select count(*) from best) > 20 as truncated from best order by path limit 20""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep = facts.module_dependencies(spark, sf_dir)
-    return traversals.shortest_paths(dep.union(dep.select(F.col("target").alias("source"), F.col("source").alias("target"))), "svc-1", "svc-2", max_depth=5)
+    return traversals.shortest_paths(dep.union(dep.select(F.col("target").alias("source"), F.col("source").alias("target"))), "svc-1", "svc-2")
 
 
 @query(f"with recursive {DEP}, acyclic as (select * from dep where source < target), nodes as (select source as node from acyclic union select target from acyclic), up(node, level) as (select node, 0 from nodes union select a.target, level + 1 from up join acyclic a on a.source = node) select node, cast(max(level) as integer) as level from up group by node")
@@ -302,7 +302,7 @@ def topology_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = filters.effective_kafka(facts.endpoints(spark, sf_dir)).where("not topic_dynamic")
     start = ep.where("role = 'produce'").agg(F.min("topic")).first()[0]
-    return traversals.flows(ep.where("role = 'produce'").select("module", "topic"), ep.where("role = 'consume'").select("module", "topic"), start or "", max_depth=2)
+    return traversals.flows(ep.where("role = 'produce'").select("module", "topic"), ep.where("role = 'consume'").select("module", "topic"), start or "")
 
 
 @query(f"with {EP}, {EFFECTIVE}, {KAFKA}, x as (select distinct source, target from kafka where source < target) select source as node, cast(count(*) as bigint) as later from x group by source")
