@@ -311,6 +311,17 @@ def kafka_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("later"))
 
 
+@query(None)
+def all_topology_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversals.levels(facts.module_dependencies(spark, sf_dir))
+
+
+@query(f"with {EP}, {EFFECTIVE}, {KAFKA}, x as (select distinct source, target from kafka) select source as node, cast(count(*) as bigint) as targets from x group by source")
+def all_kafka_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = edges.kafka_edges(facts.endpoints(spark, sf_dir)).select("source", "target").distinct()
+    return e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("targets"))
+
+
 TOKENS = "regexp_extract_all(lower({0}), '([\\p{{L}}\\p{{N}}_]+)', 1)"
 
 
@@ -503,6 +514,12 @@ def module_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.closures(dep.where("source like '%7'").select(F.col("source").alias("root"), F.col("source").alias("node")), dep)
 
 
+@query(None)
+def all_module_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dep = facts.module_dependencies(spark, sf_dir)
+    return resolution.closures(dep.select(F.col("source").alias("root"), F.col("source").alias("node")), dep)
+
+
 @query("select regexp_extract(path, '^(.*)/[^/]*$', 1) as namespace, count(*) as members from (select split_part(split_part(url, '://', 2), '?', 1) as path from pages) x where path like '%/%' group by 1 having count(*) >= 2")
 def namespace_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = facts.table(spark, sf_dir, "pages")

@@ -48,3 +48,23 @@ def test_registered_traversals_have_the_references_bounds(spark, monkeypatch):
     for name in ("topic_flows", "shortest_paths"):
         queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert given == [{}, {}]
+
+
+def test_all_roots_and_edges_are_taken(spark, monkeypatch):
+    pairs = sorted({(f"s{rng.randrange(12)}", f"s{rng.randrange(12)}") for rng in [random.Random(8)] for _ in range(14)} | {("s3", "s1"), ("s1", "s3")})
+    dep = spark.createDataFrame(pairs, "source string, target string")
+    monkeypatch.setattr(queries.facts, "module_dependencies", lambda *_: dep)
+    monkeypatch.setattr(queries.facts, "endpoints", lambda *_: dep)
+    monkeypatch.setattr(queries.edges, "kafka_edges", lambda e: e)
+    got = {name: {tuple(r) for r in queries.QUERIES[name](spark, "").collect()} for name in ("all_module_closures", "all_topology_levels", "all_kafka_fan_out")}
+    reach = {(a, a) for a, _ in pairs}
+    while more := {(a, d) for a, b in reach for c, d in pairs if b == c} - reach:
+        reach |= more
+    assert got["all_module_closures"] == reach
+    assert got["all_kafka_fan_out"] == {(a, sum(b == a for b, _ in pairs)) for a, _ in pairs}
+    left, edges_, level, k = {x for p in pairs for x in p}, {p for p in pairs if p[0] != p[1]}, {}, 0
+    while left:
+        free = left - {t for s, t in edges_ if s in left} or left
+        level |= dict.fromkeys(free, k)
+        left, k = left - free, k + 1
+    assert got["all_topology_levels"] == set(level.items())
