@@ -462,7 +462,7 @@ def infer_wrappers(pages: DataFrame, *, fan_in: int = 64, url_col: str = "url",
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).where(F.col("html").isNotNull() & (F.col("html") != ""))
     parts = staged(rows.mapInArrow(local_wrappers, WRAPPERS), "wrappers")
     while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > fan_in:
-        salt = F.pmod(F.xxhash64("wrapper", F.lit(most)), F.lit(-(-most // fan_in * 2)))
+        salt = F.pmod(F.xxhash64("wrapper", F.lit(most)), F.lit(min(-(-most // fan_in * 2), most - 1)))
         parts = staged(parts.withColumn("_salt", salt).groupBy("host", "_salt").applyInArrow(lambda t: merged(t.select(["host", "wrapper"])), WRAPPERS), "wrappers")
     return staged(parts.groupBy("host").applyInArrow(merged, WRAPPERS), "wrappers")
 
