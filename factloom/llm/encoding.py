@@ -13,16 +13,16 @@ So the ids are those of the library for the whole text; tests hold them against
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 150_000
+SLICE_BYTES = 16 << 20
+MOST_WORDS = 700_000
 ODD_BLANKS = "(^ )|( $)|([\\s\\x{85}\\p{Z}\\x1c-\\x1f] )|( [\\s\\x{85}\\p{Z}\\x1c-\\x1f])"
 
 
@@ -33,7 +33,10 @@ def tokenizer_digest(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read() + b"\0" + tokenizers.__version__.encode()).hexdigest()
 #: Latin letters (composed, without the one whose lower case is two characters), then signs of ASCII but the apostrophe.
-PLAIN = re.compile("( ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-;=?@\\[-`{}~]*)")
+PLAIN = "^(?P<letters>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<signs>[!-&(-/:-;=?@\\[-`{}~]*)$"
+#: Patterns of the two files that PLAIN's cut was checked against; a tokenizer with another pattern encodes texts whole.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SINGLE_BREAKS = "([^\\s\\x{85}\\p{Z}\\x1c-\\x1f])\n([^\\s\\x{85}\\p{Z}\\x1c-\\x1f])"
 
 
 def _byte_chars() -> dict[int, int]:
@@ -43,10 +46,33 @@ def _byte_chars() -> dict[int, int]:
 
 
 BYTE_CHARS = _byte_chars()
+BYTE_CHARS_OF_BREAK = chr(BYTE_CHARS[10])
+
+
+class Words:
+    """The ids of the words met lately, as Arrow arrays (some forty bytes a word): ``most`` and those of one slice at most."""
+
+    def __init__(self, encode: Callable[[list[str]], pa.LargeListArray], most: int = MOST_WORDS):
+        self.encode, self.most = encode, most
+        self.words, self.ids = pa.array([], pa.large_string()), encode([])
+
+    def listed(self, words: pa.Array) -> pa.LargeListArray:
+        """The ids of distinct words."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = at.is_null().to_numpy(zero_copy_only=False)
+            known, n = pc.fill_null(at, 0).to_numpy(), len(self.words)
+            fresh = words.filter(pa.array(new))
+            self.words, self.ids = pa.concat_arrays([self.words, fresh]), pa.concat_arrays([self.ids, self.encode(fresh.to_pylist())])
+            at = pa.array(np.where(new, n + np.cumsum(new) - 1, known))
+        found = self.ids.take(at)
+        if len(self.words) > self.most:
+            self.words, self.ids = words, found
+        return found
 
 
 class Encoder:
-    """Encodes Arrow string arrays; keeps the ids of the chunks met lately, about ``2 * CACHE_ENTRIES`` and two slices' chunks at most."""
+    """Encodes Arrow string arrays."""
 
     def __init__(self, path: str):
         import json
@@ -62,98 +88,92 @@ class Encoder:
             spec = json.load(f)
         steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
         level = [s for s in steps if s["type"] == "ByteLevel"]
-        drops = any(s["type"] == "Split" and s.get("behavior") == "Removed" and s.get("invert") for s in steps)
-        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec["added_tokens"])
+        split = [s.get("pattern", {}).get("Regex") for s in steps if s["type"] == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
+        plain = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
         self.kind = "whole"
-        if plain and drops:
+        if plain and split == [WORD_PATTERN] and len(steps) == len(split) + len(level):
             self.kind = "word"
         elif plain and spec.get("normalizer") is None and len(steps) == 1 and level and level[0].get("use_regex") and not level[0].get("add_prefix_space"):
             self.kind = "byte"
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one pre-token from the library's model alone."""
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_CHARS))], dtype="<u4").tobytes()
-
-    def _word(self, m: re.Match[str]) -> bytes:
-        """Ids of Latin letters and the signs after them: two pre-tokens, which need no normalising but lower case."""
-        letters, signs = m.groups()
-        got = self._piece(letters.lower() if self.kind == "word" else letters)
-        if signs:
-            if signs not in self.signs:
-                if len(self.signs) > 10_000:
-                    self.signs.clear()
-                self.signs[signs] = self._piece(signs)
-            got += self.signs[signs]
-        return got
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        known, older, out, hard = self.known, self.older, [], []
-        for i, c in enumerate(chunks):
-            ids = known.get(c)
-            if ids is None:
-                ids = older.get(c)
-                if ids is None and (m := PLAIN.fullmatch(c)):
-                    ids = self._word(m)
-                if ids is None:
-                    hard.append(i)
-                else:
-                    known[c] = ids
-            out.append(ids)
-        if hard:
-            for i, ids in zip(hard, self._raw([chunks[i] for i in hard]), strict=True):
-                out[i] = known[chunks[i]] = ids
-        return out
-
-    def _listed(self, found: list[bytes]) -> pa.LargeListArray:
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
-        return pa.LargeListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), dtype="<u4")))
+        self.spaced = Words(lambda words: self._pieces(words, "\u0120" if self.kind == "byte" else ""))
+        self.bare = Words(self._pieces)
+        self.signs = Words(self._pieces, 10_000)
+
+    def _raw(self, texts: list[str]) -> pa.LargeListArray:
+        """Ids of whole texts by the library."""
+        return self._listed([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _pieces(self, pieces: list[str], lead: str = "") -> pa.LargeListArray:
+        """Ids of pre-tokens of one kind of character, each after ``lead``, from the library's model alone."""
+        text = "\n".join(pieces)
+        if self.kind == "word":
+            text = text.lower()
+        shown = text.encode().decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS_OF_BREAK) if pieces else []
+        return self._listed([[t.id for t in self.model.tokenize(lead + p)] for p in shown])
+
+    @staticmethod
+    def _listed(found: list[list[int]]) -> pa.LargeListArray:
+        ends = np.zeros(len(found) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=ends[1:])
+        return pa.LargeListArray.from_arrays(ends, pa.array(np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1]))))
+
+    def _chunks(self, chunks: pa.Array, words: Words, lead: str) -> pa.LargeListArray:
+        """Ids of distinct chunks: letters and the signs after them are two pre-tokens, which need no normalising but lower case; others go to the library."""
+        cut = pc.extract_regex(chunks, PLAIN)
+        ok = cut.is_valid().to_numpy(zero_copy_only=False)
+        letters, signs = (cut.field(k).filter(pa.array(ok)).dictionary_encode() for k in (0, 1))
+        hard = [lead + c for c in chunks.filter(pa.array(~ok)).to_pylist()]
+        known = pa.concat_arrays([words.listed(letters.dictionary), self.signs.listed(signs.dictionary), self._raw(hard)])
+        first, then = np.empty(len(chunks), dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
+        first[ok] = letters.indices.to_numpy()
+        then[ok] = signs.indices.to_numpy()
+        n, m = len(letters.dictionary), len(signs.dictionary)
+        then += n
+        first[~ok] = n + m + np.arange(len(hard))
+        pairs = np.stack([first, then], axis=1)
+        sizes = np.where(ok, 2, 1)
+        both = known.take(pa.array(pairs.reshape(-1)[np.stack([np.ones(len(ok), bool), ok], axis=1).reshape(-1)]))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.LargeListArray.from_arrays(both.offsets.to_numpy()[starts], both.values)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the offsets of each text's first id (with the end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if self.kind == "whole" or not len(texts):
             found = self._raw(texts.to_pylist())
-            return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
-        odd = None
-        if self.kind == "byte":
-            odd = pc.match_substring_regex(texts, ODD_BLANKS).to_numpy(zero_copy_only=False)
-            rest = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
-            parts = pc.split_pattern(rest, " ")
-        else:
+            return found.values.to_numpy(), found.offsets.to_numpy().astype(np.int64)
+        if self.kind == "word":
             parts = pc.ascii_split_whitespace(texts)
+        else:
+            odd = pc.match_substring_regex(texts, ODD_BLANKS)
+            rest = pc.if_else(odd, "", texts)
+            parts = pc.split_pattern(pc.replace_substring_regex(rest, SINGLE_BREAKS, "\\1 \n\\2"), " ")
         ends = parts.offsets.to_numpy().astype(np.int64)
         ends = ends - ends[0]
         flat = parts.flatten().dictionary_encode()
-        words, at = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
-        if self.kind == "byte":
-            firsts = ends[:-1]  # split_pattern gives each text one part at least
-            heads = [words[i] for i in at[firsts]]
-            if odd.any():
-                whole = dict(zip(np.flatnonzero(odd).tolist(), self._raw(texts.filter(pa.array(odd)).to_pylist()), strict=True))
-            else:
-                whole = {}
-            at = at.copy()
-            at[firsts] = len(words) + np.arange(len(firsts))
-            heads_ids = self._ids([h for i, h in enumerate(heads) if i not in whole])
-            taken = iter(heads_ids)
-            ids = self._ids([f" {w}" for w in words]) + [whole[i] if i in whole else next(taken) for i in range(len(heads))]
+        chunks, at = flat.dictionary.cast(pa.large_string()), flat.indices.to_numpy()
+        if self.kind == "word":
+            listed = self._chunks(chunks, self.spaced, "")
         else:
-            words = [w or "" for w in words]
-            ids = self._ids(words)
-        got = self._listed(ids).take(pa.array(at))
-        out = got.flatten().to_numpy()
-        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-        upto = np.concatenate([[0], np.cumsum(sizes[at])]) if len(at) else np.zeros(1, dtype=np.int64)
-        return out, upto[ends]
+            # Chunks stand after a blank, after a line break, or first in their text; odd texts are encoded whole.
+            broken = pc.starts_with(chunks, "\n").to_numpy(zero_copy_only=False)
+            after = self._chunks(chunks.filter(pa.array(~broken)), self.spaced, " ")
+            lines = pc.utf8_slice_codeunits(chunks.filter(pa.array(broken)), 1)
+            firsts = ends[:-1]  # split_pattern gives each text one part at least
+            heads = chunks.take(pa.array(at[firsts])).dictionary_encode()
+            bare = self._chunks(pa.concat_arrays([lines, heads.dictionary]), self.bare, "")
+            whole, one_break = self._raw(texts.filter(odd).to_pylist()), self._raw(["\n"])
+            listed = pa.concat_arrays([after, bare, whole, one_break])
+            n, k, m = len(after), len(lines), len(listed)
+            pairs = listed.take(pa.array(np.stack([np.full(k, m - 1), n + np.arange(k)], axis=1).reshape(-1)))
+            listed = pa.concat_arrays([listed, pa.LargeListArray.from_arrays(pairs.offsets.to_numpy()[::2], pairs.values)])
+            place = np.where(broken, m + np.cumsum(broken) - 1, np.cumsum(~broken) - 1)
+            at = place[at]
+            at[firsts] = n + k + heads.indices.to_numpy()
+            at[firsts[odd.to_numpy(zero_copy_only=False)]] = n + len(bare) + np.arange(len(whole))
+        out = listed.take(pa.array(at))
+        return out.values.to_numpy(), out.offsets.to_numpy()[ends]
 
 
 @lru_cache(maxsize=4)
