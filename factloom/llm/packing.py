@@ -31,10 +31,14 @@ from factloom.llm.shared import staged
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of ``n`` ids; only the first may be short."""
-    head = n - (n - 1) // capacity * capacity
-    return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
+def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """document, piece, start and length of all pieces of documents of so many ids; only a first piece may be short."""
+    pieces = (sizes - 1) // capacity + 1
+    doc = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    head = sizes - (pieces - 1) * capacity
+    start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+    return doc, piece, start, np.where(piece == 0, head[doc], capacity)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,21 +49,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024,
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, ends = with_end(*enc.encode(part.column("text")), end_id)
-                raw, at = memoryview(ids.tobytes()), ends.tolist()
-                doc, piece, start, length, crc, kept = [], [], [], [], [], []
-                for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                    for k, (s, n) in enumerate(cut(b - a, capacity)):
-                        own = raw[4 * (a + s) : 4 * (a + s + n)]
-                        doc.append(i)
-                        piece.append(k)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(own))
-                        kept.append(ids[a + s : a + s + n])
-                cols = [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                doc, piece, start, length = cuts(np.diff(ends), capacity)
+                raw, at = memoryview(ids.tobytes()), ends[doc] + start
+                crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)), np.int64, len(at))
+                cols = [part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    cols, names = [*cols, pa.array([x.astype(np.int32) for x in kept], pa.list_(pa.int32()))], [*names, "ids"]
+                    cols, names = [*cols, pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
