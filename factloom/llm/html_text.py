@@ -6,9 +6,12 @@ odd ones become optional; neighbours of one kind become a repeated group. The re
 no alternatives (it is union-free), and wrappers align with wrappers in the same way. So each
 task folds its own pages, and only wrappers are shuffled: no page is.
 
-A page is read by its own articles where it has any, however their classes differ on the host.
-Where neither it nor its host has one, the host's wrapper tells which blocks hold text that is the
-same on every page, and the page is read without them.
+A slot keeps a sketch of its different texts, so a wrapper tells how much of each part varies from
+page to page. The host's wrapper decides which part is read: from the root it goes down to the child
+that holds most of the varying text, while no varying heading is left outside. In that part a page is
+read by its own articles where these hold most of it, else as a whole without the blocks whose text
+stands on every page. Pages without that part, and hosts with few different pages, are read by their
+own articles, or as a whole.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_hexdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_hexdigest
 
 from factloom.llm.shared import staged
 
@@ -51,7 +54,10 @@ CLOSERS = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": (
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?|[^<]+|<", re.S)
 ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACES = re.compile(r"\s+")
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote span b i em strong a ul ol dl figure figcaption".split())
 DEEPEST, MOST_KIDS, LONGEST = 60, 200, 120
+SKETCH, HASH_BITS = 16, 48
+SHARE = 0.6  # of the varying text that a part must hold to be read alone
 LEAST_PAGES = 5  # different pages a host must have before its unchanging text counts as its own
 
 
@@ -177,19 +183,24 @@ def weigh(root: Node) -> None:
         node.letters = sum(k.letters for k in node.kids if k.name not in ASIDE)
 
 
-# A wrapper node is a list: [kind, optional, repeated, pages, letters, text or None for a slot, children].
-# The root's text is a list: the least digests of different pages, LEAST_PAGES at most.
-KIND, OPT, REP, PAGES, LETTERS, TEXT, KIDS = range(7)
+# A wrapper node is a list: [kind, optional, repeated, pages, letters, sketch, children, texts, shown]. The
+# sketch of a text holds the least hashes of its different texts, the root's those of its pages; shown is
+# the start of a text that never differs.
+KIND, OPT, REP, PAGES, LETTERS, TEXT, KIDS, SEEN, SHOWN = range(9)
 
 
-def own_text(text: str) -> str:
-    """What stands for a text in a wrapper: itself, or its start and a digest of the whole."""
-    text = SPACES.sub(" ", text).strip()
-    return text if len(text) <= LONGEST else text[:LONGEST] + xxh3_128_hexdigest(text)
+def own_text(text: str) -> int:
+    """The hash of a text, white space made even."""
+    return xxh3_64_intdigest(SPACES.sub(" ", text).strip()) >> (64 - HASH_BITS)
 
 
-def page_digest(root: Node) -> str:
-    """A digest of a page's longest text outside boilerplate, by which copies and most near copies are one page."""
+def distinct(sketch: list[int]) -> float:
+    """About how many different hashes a sketch has met; exact while it isn't full."""
+    return len(sketch) if len(sketch) < SKETCH else (SKETCH - 1) * float(1 << HASH_BITS) / max(1, sketch[-1])
+
+
+def page_digest(root: Node) -> int:
+    """The hash of a page's longest text outside boilerplate, by which copies and most near copies are one page."""
     longest, todo = "", [root]
     while todo:
         node = todo.pop()
@@ -197,7 +208,7 @@ def page_digest(root: Node) -> str:
             longest = max(longest, node.text, key=len)
         elif not boilerplate(node):
             todo.extend(reversed(node.kids))
-    return xxh3_128_hexdigest(SPACES.sub(" ", longest).strip())
+    return own_text(longest)
 
 
 def letters(node: Node) -> int:
@@ -215,12 +226,13 @@ def letters(node: Node) -> int:
 def wrapper_of(node: Node, depth: int = 0) -> list:
     """The wrapper of a single page, repeated neighbours folded."""
     if node.kind == "#":
-        return ["#", 0, 0, 1, len(SPACES.sub(" ", node.text).strip()), own_text(node.text), []]
+        own = SPACES.sub(" ", node.text).strip()
+        return ["#", 0, 0, 1, len(own), [own_text(own)], [], 1, own[:LONGEST]]
     if depth > DEEPEST:  # what lies deeper counts as one text that varies
-        kids = [["#", 0, 0, 1, letters(node), None, []]]
+        kids = [["#", 0, 0, 1, letters(node), list(range(SKETCH)), [], 1, None]]
     else:
         kids = [wrapper_of(k, depth + 1) for k in node.kids if k.kind != "#" or not k.text.isspace()]
-    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), None if node.kind else [page_digest(node)], bounded(folded(kids))]
+    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), [] if node.kind else [page_digest(node)], bounded(folded(kids)), 0, None]
 
 
 def folded(kids: list) -> list:
@@ -243,8 +255,8 @@ def folded(kids: list) -> list:
 
 def aligned(a: list, b: list) -> list:
     """The wrapper that covers two wrappers of one kind."""
-    text = sorted({*a[TEXT], *b[TEXT]})[:LEAST_PAGES] if not a[KIND] else a[TEXT] if a[TEXT] == b[TEXT] else None
-    return [a[KIND], a[OPT] | b[OPT], a[REP] | b[REP], a[PAGES] + b[PAGES], a[LETTERS] + b[LETTERS], text, aligned_kids(a[KIDS], b[KIDS])]
+    sketch = a[TEXT] if a[TEXT] == b[TEXT] else sorted({*a[TEXT], *b[TEXT]})[:SKETCH]
+    return [a[KIND], a[OPT] | b[OPT], a[REP] | b[REP], a[PAGES] + b[PAGES], a[LETTERS] + b[LETTERS], sketch, aligned_kids(a[KIDS], b[KIDS]), a[SEEN] + b[SEEN], a[SHOWN] if a[TEXT] == b[TEXT] else None]
 
 
 def aligned_kids(a: list, b: list) -> list:
@@ -284,7 +296,7 @@ def bounded(kids: list) -> list:
 def expression(w: list) -> str:
     """A wrapper as a regular expression over tags and text slots."""
     if w[KIND] == "#":
-        own = "#text" if w[TEXT] is None else w[TEXT]
+        own = "#text" if w[SHOWN] is None else w[SHOWN]
     else:
         name = w[KIND].split(".")[0]
         own = f"<{w[KIND]}>{' '.join(expression(k) for k in w[KIDS])}</{name}>" if name else " ".join(expression(k) for k in w[KIDS])
@@ -296,42 +308,135 @@ def standing(kind: str) -> Node:
     return Node(name, kind, words=frozenset(found))
 
 
+def excluded(me: Node) -> bool:
+    """Whether an element is by its name alone no part of an article."""
+    return unseen(me) or me.name in ASIDE
+
+
+def region_of(w: list) -> list[str] | None:
+    """The path of the part that holds the varying text of a host's pages, or None.
+
+    A text's letters weigh by its variance: different texts for each different page. Links, and
+    elements named as parts with at most half of the whole, weigh nothing. From the root the path
+    goes on to the child with ``SHARE`` of its parent's weight, if that is a container that most
+    pages have once, and no heading that varies stands beside it. Articles whose classes differ
+    count together; such a step is the element's name with a star.
+    """
+    pages = distinct(w[TEXT])
+    if pages < LEAST_PAGES:
+        return None
+    weights: dict[int, float] = {}
+    headings: dict[int, bool] = {}
+
+    def weigh_up(node: list, whole: float | None, inside_heading: bool) -> float:
+        if node[KIND] == "#":
+            share = min(1.0, distinct(node[TEXT]) * w[PAGES] / (max(1, node[SEEN]) * pages))
+            weights[id(node)] = node[LETTERS] * share
+            headings[id(node)] = inside_heading and share > 0.5
+            return weights[id(node)]
+        me = standing(node[KIND])
+        if excluded(me) or me.name == "a":
+            total, head = 0.0, False
+        else:
+            inside_heading = inside_heading or me.name in ("h1", "h2")
+            total = sum([weigh_up(k, whole, inside_heading) for k in node[KIDS]])
+            head = any(headings[id(k)] for k in node[KIDS])
+            if whole is not None and hint(me) and 2 * total <= whole:
+                total, head = 0.0, False
+        weights[id(node)], headings[id(node)] = total, head
+        return total
+
+    whole = weigh_up(w, None, False)
+    weigh_up(w, whole, False)
+    path: list[str] = []
+    here = [w]
+
+    def step(group: list, others: list, parent: list) -> bool:
+        name = group[0][KIND].split(".")[0]
+        mass, seen = sum(weights.get(id(k), 0.0) for k in group), sum(k[PAGES] for k in group)
+        return (
+            name not in TEXTUAL
+            and mass > 0
+            and mass >= SHARE * sum(weights[id(n)] for n in parent)
+            and not any(k[REP] for k in group)
+            and w[PAGES] <= 2 * seen
+            and 10 * seen <= 11 * sum(n[PAGES] for n in parent)
+            and not any(headings.get(id(k)) for k in others)
+        )
+
+    while whole > 0:
+        kids = [k for n in here for k in n[KIDS]]
+        for key in (lambda kind: kind, lambda kind: f"{kind.split('.')[0]}*"):
+            groups: dict[str, list] = defaultdict(list)
+            for k in kids:
+                if k[KIND] != "#" and (key(k[KIND]) in (k[KIND], "article*", "main*")):
+                    groups[key(k[KIND])].append(k)
+            best = max(groups, key=lambda g: sum(weights.get(id(k), 0.0) for k in groups[g]), default=None)
+            taken = {id(k) for k in groups.get(best, [])}
+            if best is not None and step(groups[best], [k for k in kids if id(k) not in taken], here):
+                path.append(best)
+                here = groups[best]
+                break
+        else:
+            break
+    return path if path and path[-1].split(".")[0] not in ("html", "body") else None
+
+
 def rule_of(w: list) -> dict:
-    """From a wrapper: paths of parts by their naming; without any article, paths with the texts of blocks that no page lacks or changes.
+    """From a wrapper: the part to read, paths of parts by their naming, and the texts of blocks that no page lacks or changes.
 
-    A part's path counts where several pages have it and it holds at most half of the host's text. A block's path counts only if none of its texts varies, inline elements included. Hosts with few
+    A named part's path counts where several pages have it and it holds at most half of the host's text.
+    A block's path counts only if none of its texts varies, inline elements included. Hosts with few
     different pages have no such texts, nor have hosts whose pages agree in most of their text: these
     are copies.
     """
     slots: dict[str, list] = defaultdict(list)
     held: dict[str, list] = defaultdict(lambda: [0, 0])
-    articles = 0
 
     def visit(node: list, path: str, block: str, some: bool) -> int:
         """Letters below that aren't boilerplate; ``some``: only some pages have the node."""
-        nonlocal articles
         some = some or bool(node[OPT])
         if node[KIND] == "#":
-            slots[block].append((None if some else node[TEXT], node[LETTERS]))
+            fixed = not some and len(node[TEXT]) < SKETCH and 4 * len(node[TEXT]) * w[PAGES] <= 5 * node[SEEN]
+            slots[block].append((node[TEXT] if fixed else None, node[LETTERS]))
             return node[LETTERS]
         me = standing(node[KIND])
-        if unseen(me) or me.name in ASIDE:
+        if excluded(me):
             return 0
         own = f"{path}/{node[KIND]}" if path or node[KIND] else ""
         total = sum(visit(k, own, own if me.name in BLOCK else block, some) for k in node[KIDS])
-        articles += bool(rank(me) and total)
         if me.name in WRAPS or hint(me):
             held[own] = [held[own][0] + total, max(held[own][1], 0 if node[REP] else node[PAGES])]
         return total
 
     total = visit(w, "", "", False)
-    parts = sorted(path for path, (n, pages) in held.items() if 2 * n <= total and pages >= LEAST_PAGES <= len(w[TEXT]))
+    several = distinct(w[TEXT]) >= LEAST_PAGES
+    parts = sorted(path for path, (n, pages) in held.items() if 2 * n <= total and pages >= LEAST_PAGES and several)
     slots = {path: found for path, found in slots.items() if not any(path == part or path.startswith(part + "/") for part in parts)}
     total = sum(n for found in slots.values() for _, n in found)
-    same = {path: sorted({text for text, _ in found}) for path, found in slots.items() if all(text is not None for text, _ in found)}
-    if articles or len(w[TEXT]) < LEAST_PAGES or 2 * sum(n for path in same for _, n in slots[path]) > total:
+    same = {path: sorted({h for text, _ in found for h in text}) for path, found in slots.items() if all(text is not None for text, _ in found)}
+    if not several or 2 * sum(n for path in same for _, n in slots[path]) > total:
         same = {}
-    return {"parts": parts, "constant": same}
+    return {"region": region_of(w), "parts": parts, "constant": same}
+
+
+def located(root: Node, region: list[str] | None) -> list[tuple[Node, str]]:
+    """A page's elements on the wrapper's path that have text, with the paths of their parents."""
+    found = [(root, "", "")] if region else []
+    for step in region or []:
+        found = [(k, own, f"{own}/{k.kind}") for node, _, own in found for k in node.kids if k.kind == step or step[-1] == "*" and k.kind != "#" and k.name == step[:-1]]
+    return [(node, path) for node, path, _ in found if node.letters]
+
+
+def below(tops: list[Node]) -> set[int]:
+    """The elements under some of a page's elements, themselves included."""
+    found, todo = set(), list(tops)
+    while todo:
+        node = todo.pop()
+        if id(node) not in found:
+            found.add(id(node))
+            todo += node.kids
+    return found
 
 
 def mains_of(root: Node) -> list[Node]:
@@ -367,8 +472,10 @@ def headed(node: Node) -> bool:
 
 
 def main_text(text: str | None, rule: dict | None) -> str:
-    """The blocks of the articles of one page, one a line; of the whole page where it has none.
+    """The blocks of one page, one a line.
 
+    They are those of the articles in the part that the host's wrapper has found, if these hold most of its
+    text, else of that part; where the page lacks that part, of its own articles, or of the whole page.
     An element named as a part, or a form, is read all the same where it holds most of the page's
     text, unless the host's wrapper has it as a part.
     """
@@ -377,13 +484,19 @@ def main_text(text: str | None, rule: dict | None) -> str:
     root = parsed(text)
     weigh(root)
     mains = mains_of(root)
+    part = located(root, rule["region"]) if rule else []
+    if part:
+        inside = below([node for node, _ in part])
+        mains = [node for node in mains if id(node) in inside]
+        if 2 * sum(n.letters for n in mains) < sum(node.letters for node, _ in part):
+            mains = []
     parts = frozenset() if mains or rule is None else frozenset(rule["parts"])
     constant = {} if mains or rule is None else rule["constant"]
 
     def dropped(node: Node, own: str) -> bool:
         if unseen(node) or node.name in ASIDE:
             return True
-        if not (node.name in WRAPS or hint(node, bool(mains))):
+        if not (node.name in WRAPS or hint(node, bool(mains))) or any(node is start for start, _ in starts):
             return False
         return own in parts or 2 * node.letters <= root.letters
 
@@ -396,7 +509,8 @@ def main_text(text: str | None, rule: dict | None) -> str:
         if own:
             blocks.append(own)
 
-    todo: list = [(node, "", "") for node in reversed(mains or [root])]
+    starts = [(node, "") for node in mains] or part or [(root, "")]
+    todo: list = [(node, path, path) for node, path in reversed(starts)]
     while todo:
         item = todo.pop()
         if item is None:
