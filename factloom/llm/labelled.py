@@ -11,16 +11,32 @@ def fold(doc_id: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, most: int, columns: list[str], *, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold: y and the given columns of ``docs``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, most: int, columns: dict[str, Column], *, id_col: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
+    """(labelled documents outside the held-out fold: _id, y and the named columns of ``docs``; the weight of a row of each class).
 
-    Half of the places at most go to either class as far as the other fills its own; within a class
-    the ids' hashes decide. An id with several labels counts as its largest one. Rows without an id
-    or a label are no examples. The sample has ``most`` ids at most, so it is broadcast to ``docs``.
+    They are of at most ``most`` ids. Each class has half of the places and those that the other
+    leaves free; within a class the ids' hashes decide. Weights give the classes their true shares
+    again, so a bound that is reached moves no scores. An id with several labels counts as its
+    largest one; ids without a document are no examples, nor are rows without an id or a label.
+    Documents that repeat an id are all in the result: ``one_each`` keeps one of them. The sample has ``most`` ids at most, so it is
+    broadcast to ``docs``.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("_id"), mod) != held_out))
-    ids = ids.groupBy("_id").agg(F.max("y").alias("y"))
+    ids = ids.groupBy("_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    counts = {int(r[0]): int(r[1]) for r in ids.groupBy("y").count().collect()}
+    ones, zeros = counts.get(1, 0), counts.get(0, 0)
+    take_ones = min(ones, max(most // 2, most - zeros))
+    take_zeros = min(zeros, most - take_ones)
     order = F.xxhash64("_id")
-    one, zero = (ids.where(F.col("y") == y).orderBy(order, "_id").limit(most // 2) for y in (1, 0))
+    one, zero = (ids.where(F.col("y") == y).orderBy(order, "_id").limit(n) for y, n in ((1, take_ones), (0, take_zeros)))
     picked = one.unionByName(zero)
-    return docs.join(F.broadcast(picked), docs[id_col].cast("long") == picked["_id"]).select("y", *(docs[c] for c in columns))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *(c.alias(name) for name, c in columns.items()))
+    share = (take_ones + take_zeros) / max(1, ones + zeros)
+    weights = {1: ones / max(1, take_ones) * share, 0: zeros / max(1, take_zeros) * share}
+    return rows.join(F.broadcast(picked), "_id"), weights
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row of each id, that of the least other columns: rows that repeat an id are partially aggregated before they are sent."""
+    rest = [c for c in rows.columns if c != "_id"]
+    return rows.groupBy("_id").agg(F.min(F.struct(*rest)).alias("_row")).select("_id", *(F.col(f"_row.{c}").alias(c) for c in rest))

@@ -16,10 +16,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.labelled import fold, labelled_sample
+from factloom.llm.labelled import fold, labelled_sample, one_each
 
 FEATURES = ["log_chars", "word_length", "upper", "digit", "exclaim", "sign", "stop", "space", "other", "distinct_words", "top_word", "words_a_line", "repeated_lines", "line_ends", "sign_words", "top_byte"]
 
@@ -177,35 +177,46 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, *, bins:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, mod: int = 3, held_out: int = 1, label: str = "quality", text_col: str = "text") -> Additive:
-    """Fit on at most ``most`` labelled rows outside the held-out fold; only their features reach the driver."""
-    sample = labelled_sample(docs, labels, label, mod, held_out, most, [text_col])
+def train(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, mod: int = 3, held_out: int = 1, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Additive:
+    """Fit on the labelled documents of at most ``most`` ids outside the held-out fold, one for each; only their features reach the driver."""
+    sample, weights = labelled_sample(docs, labels, label, mod, held_out, most, {"text": F.col(text_col)}, id_col=id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.float64()), pa.array(found, pa.list_(pa.float64()))], names=["y", "x"])
+            found = [features(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("y").cast(pa.float64()), pa.array(found, pa.list_(pa.float64()))], names=["_id", "y", "x"])
 
-    rows = sorted((tuple(r["x"]), r["y"]) for r in sample.mapInArrow(run, "y double, x array<double>").collect())
-    return fit(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    found = one_each(sample.select("_id", "y", "text").mapInArrow(run, "_id bigint, y double, x array<double>"))
+    rows = sorted((tuple(r["x"]), r["y"]) for r in found.collect())
+    y = np.array([r[1] for r in rows])
+    return fit(np.array([r[0] for r in rows]), y, weight=np.where(y > 0, weights[1], weights[0]) if len(y) else None)
 
 
-def quality_scores(docs: DataFrame, model: Additive, *, mod: int = 3, held_out: int = 1, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, and the columns named by ``keep``.
-
-    Null texts are scored as empty ones, null ids are not held out, repeated rows score alike; an
-    empty table gives an empty result. Nothing but the text is an input of the score.
-    """
+def scored(docs: DataFrame, model: Additive, columns: dict[str, Column], text_col: str) -> DataFrame:
+    """_row (a struct of the given columns) and score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = keep or []
-    own = F.struct(F.col(id_col).cast("long").alias("_id"), *(F.col(c).alias(f"_k_{c}") for c in keep)).alias("_row")
-    rows = docs.select(own, *[F.col(text_col).alias("_text")] * (text_col not in keep))
+    rows = docs.select(F.struct(*(c.alias(name) for name, c in columns.items())).alias("_row"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).field(f"_k_{text_col}") if text_col in keep else batch.column(1)
-            found = np.array([features(t.as_py()) for t in texts]).reshape(-1, len(FEATURES))
+            found = np.array([features(t.as_py()) for t in batch.column(1)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(found))], names=["_row", "score"])
 
-    scored = rows.mapInArrow(run, rows.select("_row").schema.add("score", "double"))
-    return scored.select(F.col("_row._id").alias("doc_id"), *(F.col("_row")[f"_k_{c}"].alias(c) for c in keep), (fold(F.col("_row._id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, rows.select("_row").schema.add("score", "double"))
+
+
+def quality_scores(docs: DataFrame, model: Additive, *, mod: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted of every row.
+
+    Null texts are scored as empty ones, null ids are not held out, repeated rows and ties score
+    alike; very long texts are scored whole; an empty table gives an empty result. Nothing but the text is an
+    input of the score; other columns are ignored, whatever their names.
+    """
+    out = scored(docs, model, {"id": F.col(id_col).cast("long")}, text_col)
+    return out.select(F.col("_row.id").alias("doc_id"), (fold(F.col("_row.id"), mod) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Additive, *, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that score ``least`` or more."""
+    names = {f"c{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}
+    return scored(docs, model, names, text_col).where(F.col("score") >= least).select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
