@@ -14,15 +14,13 @@ from factloom.llm.shared import staged, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return quality.quality_scores(docs, model, keep=rest).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier lets pass."""
+    """Documents that the toxicity classifier lets pass, by the threshold calibrated for their language."""
     net = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return toxicity.toxicity_scores(docs, net, keep=rest).where("predicted = 0").select(*docs.columns)
+    return toxicity.passed(docs, net)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
