@@ -6,12 +6,15 @@ Linked sets of sizes a and b share at least 85 in 100 of the larger one. Three s
    smaller set's size among them. A set too few of whose least hashes occur in another set links
    with nothing. Equal sets are one node throughout.
 2. The whole sets of those left are counted. A set with too few shared hashes goes. The rest, rarest
-   hashes first, keep the shortest prefix in which a linked pair must meet; sets that meet through
-   prefixes form a class of candidates.
-3. Classes are verified in pairs of blocks. In a task the sets of one block are indexed; index
-   lists are cut by position (sets in order of size) and parts are skipped whose sizes can't link.
-   Shared counts of a set are derived from those of the set before it by the hashes that came and
-   went, when these are fewer. A task returns the links of a spanning forest, not all pairs.
+   hashes first, keep the shortest prefix in which a linked pair must meet. The least set that holds
+   a hash in its prefix leads it, and the sets led by one leader are a unit: each pair that meets
+   through a prefix is in some unit, and units don't chain. Units over ``BLOCK`` sets are cut into
+   bands of sizes, of which only neighbours can link, and blocks.
+3. Units are verified in pairs of blocks. In a task the sets of one block are indexed: an index list
+   is in order of size, cut by position into parts, and a set skips the parts whose sizes can't link
+   before it reads a list. Sets that agree in their least hash follow each other, and the shared
+   counts of one are derived from those of the one before by the hashes that came and went, when
+   these are fewer. A task returns the links of a spanning forest, not all pairs.
 
 Nothing is capped, and no hash is taken for rare that isn't: hot hashes are only counted
 (partially aggregated) and joined back (a skewed join that is split), never paired.
@@ -20,6 +23,7 @@ Nothing is capped, and no hash is taken for rare that isn't: hot hashes are only
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from factloom.llm.components import components
 from factloom.llm.shared import staged
 
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 BLOCK, PART = 256, 64
 
 
@@ -70,7 +74,7 @@ def least_overlap(n, num: int, den: int):
 
 
 def infos(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_shingles, node, keys: the least hashes of each set that its task hasn't met before (else null)."""
+    """doc_id, n_shingles, node, keys, mark, text_hash: the least hashes of each set that its task hasn't met before (else null)."""
     known, met = WordHashes(), set()
     for batch in batches:
         sizes, nodes, keys = [], [], []
@@ -86,7 +90,7 @@ def infos(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
                 keys.append(s[: len(s) - least_overlap(len(s), num, den) + -(-len(s) // 10)])
             if len(met) > 2_000_000:
                 met.clear()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column("mark")], names=["doc_id", "n_shingles", "node", "keys", "mark"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column("mark"), batch.column("text_hash")], names=["doc_id", "n_shingles", "node", "keys", "mark", "text_hash"])
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -117,6 +121,7 @@ def forest(t: pa.Table, num: int, den: int) -> pa.Table:
     sizes = size[right]
     parts = [(a, min(a + PART, len(right))) for a in range(0, len(right), PART)]
     root = list(range(len(nodes)))
+    key = np.repeat(np.arange(len(token), dtype=np.int64), np.diff(starts)) * (len(right) + 1) + lists  # ascending: a list's places are
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -124,32 +129,39 @@ def forest(t: pa.Table, num: int, den: int) -> pa.Table:
             i = root[i]
         return i
 
-    def shared(tokens: np.ndarray) -> np.ndarray:
-        n = starts[tokens + 1] - starts[tokens]
-        rows = np.repeat(starts[tokens] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
-        return np.bincount(lists[rows], minlength=len(right))
+    def shared(tokens: np.ndarray, low: int, high: int) -> np.ndarray:
+        """How many of the tokens the sets at places ``low`` to ``high`` hold; other parts of the lists are skipped."""
+        first, last = np.searchsorted(key, tokens * (len(right) + 1) + low), np.searchsorted(key, tokens * (len(right) + 1) + high)
+        n = last - first
+        rows = np.repeat(first - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+        return np.bincount(lists[rows] - low, minlength=high - low)
+
+    def reach(n: int) -> tuple[int, int]:
+        """The places whose parts hold sizes that can link with ``n``."""
+        fits = [(a, b) for a, b in parts if sizes[b - 1] * den >= n * num and n * den >= sizes[a] * num]
+        return (fits[0][0], fits[-1][1]) if fits else (0, 0)
 
     links = []
-    last, counts = None, None
-    for i in left[np.lexsort((nodes[left], size[left]))]:
+    reaches = {int(n): reach(int(n)) for n in np.unique(size[left])}
+    least = np.array([flat[ends[i]] if size[i] else 0 for i in left], dtype=np.int64)  # sets are sorted: the least hash
+    last, counts, span = None, None, (0, 0)
+    for i in left[np.lexsort((nodes[left], size[left], least))]:
         n = int(size[i])
-        fits = [(a, b) for a, b in parts if sizes[b - 1] * den >= n * num and n * den >= sizes[a] * num]
-        if not fits:
+        low, high = reaches[n]
+        if low == high:
             continue
         if last is not None:
             gone, come = np.setdiff1d(at[last], at[i], assume_unique=True), np.setdiff1d(at[i], at[last], assume_unique=True)
-        if last is None or len(gone) + len(come) >= n:
-            counts = shared(at[i])
+        if last is None or (low, high) != span or len(gone) + len(come) >= n:
+            counts = shared(at[i], low, high)
         else:
-            counts = counts - shared(gone) + shared(come)
-        last = i
-        for a, b in fits:
-            both = counts[a:b]
-            for j in right[a:b][both * den >= (n + sizes[a:b] - both) * num]:
-                x, y = find(int(i)), find(int(j))
-                if x != y:
-                    root[x] = y
-                    links.append((int(nodes[i]), int(nodes[j])))
+            counts = counts - shared(gone, low, high) + shared(come, low, high)
+        last, span = i, (low, high)
+        for j in right[low:high][counts * den >= (n + sizes[low:high] - counts) * num]:
+            x, y = find(int(i)), find(int(j))
+            if x != y:
+                root[x] = y
+                links.append((int(nodes[i]), int(nodes[j])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
@@ -157,19 +169,47 @@ def ceil_share(n: Column, num: int, den: int) -> Column:
     return F.ceil(n * F.lit(num) / F.lit(den)).cast("long")
 
 
+def block_turns(members: DataFrame, num: int, den: int) -> DataFrame:
+    """node, leader, low, high, side: the pairs of blocks (band, block) in which each set of a unit is verified.
+
+    ``members`` is a written table of node, leader and n, the set's size. The sizes of linked sets
+    differ by one band at most; a unit of up to ``BLOCK`` sets is one block.
+    """
+    width = log(den / num) * 1.001 if num < den else 1e-9
+    small = members.groupBy("leader").agg((F.count("*") <= BLOCK).alias("small"))
+    banded = members.join(small, "leader").withColumn("band", F.when(F.col("small"), F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")).cast("long"))
+    amount = banded.groupBy("leader", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    beside = amount.select("leader", "band", "blocks", F.lit(0).alias("up"), F.lit(0).alias("down"))
+    beside = beside.union(amount.select("leader", F.col("band") - 1, F.lit(0), "blocks", F.lit(0))).union(amount.select("leader", F.col("band") + 1, F.lit(0), F.lit(0), "blocks"))
+    beside = beside.groupBy("leader", "band").agg(F.sum("blocks").cast("int").alias("blocks"), F.sum("up").cast("int").alias("up"), F.sum("down").cast("int").alias("down")).where("blocks > 0")
+    placed = banded.join(beside, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+    def numbers(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def place(band: Column, block: Column) -> Column:
+        return F.struct(band.cast("long").alias("band"), block.cast("int").alias("block"))
+
+    band, block = F.col("band"), F.col("block")
+    same = F.transform(numbers(F.col("blocks")), lambda o: F.struct(place(band, F.least(block, o)).alias("low"), place(band, F.greatest(block, o)).alias("high"), F.when(o == block, 2).when(block < o, 0).otherwise(1).alias("side")))
+    above = F.transform(numbers(F.col("up")), lambda o: F.struct(place(band, block).alias("low"), place(band + 1, o).alias("high"), F.lit(0).alias("side")))
+    under = F.transform(numbers(F.col("down")), lambda o: F.struct(place(band - 1, o).alias("low"), place(band, block).alias("high"), F.lit(1).alias("side")))
+    return placed.select("node", "leader", F.explode(F.concat(same, above, under)).alias("_turn")).select("node", "leader", "_turn.low", "_turn.high", "_turn.side")
+
+
 def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node, mark of each row; links (a, b) between nodes that connect just what is linked). ``mark``: a long to tell rows apart."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
-    info = staged(marked.mapInArrow(lambda b: infos(b, n, num, den), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, mark bigint"), "sets")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
+    info = staged(rows.mapInArrow(lambda b: infos(b, n, num, den), "doc_id bigint, n_shingles bigint, node bigint, keys array<bigint>, mark bigint, text_hash bigint"), "sets")
     keys = info.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
     met = keys.join(shared, "key").groupBy("node").agg(F.count_distinct("key").alias("met"))
-    reps = info.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    reps = info.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"))
     need = F.ceil(ceil_share(F.col("n"), num, den) / 10)
     live = staged(met.join(reps, "node").where(F.col("met") >= need).select("node", "rep", "n"), "live-sets")
     few = live.count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(live) if few else live, rows["doc_id"].eqNullSafe(live["rep"])).select("node", "text")
+    wanted = live.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    joined = rows.join(F.broadcast(wanted) if few else wanted, (rows["text_hash"] == wanted["rep_hash"]) & rows["doc_id"].eqNullSafe(wanted["rep_id"])).select("node", "text")
     sets = staged(joined.mapInArrow(lambda b: whole_sets(b, n), "node bigint, hashes array<bigint>").dropDuplicates(["node"]), "whole-sets")
     held = sets.select("node", F.explode("hashes").alias("key"))
     counts = held.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
@@ -177,16 +217,11 @@ def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
     ranked = ranked.join(live.select("node", "n"), "node").where(F.size("own") >= ceil_share(F.col("n"), num, den))
     prefix = F.slice("own", F.lit(1), (F.size("own") - ceil_share(F.col("n"), num, den) + 1).cast("int"))
     meets = staged(ranked.select("node", F.explode(F.transform(prefix, lambda s: s["key"])).alias("key")), "prefixes")
-    least = meets.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    classes = components(meets.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    amount = classes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = classes.join(amount, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    turns = placed.select("label", "node", "block", other.alias("other"))
-    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    turns = turns.select("node", "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), side.alias("side"))
-    found = turns.join(sets, "node").select("label", "low", "high", "node", "side", "hashes")
-    links = found.groupBy("label", "low", "high").applyInArrow(lambda t: forest(t, num, den), "a bigint, b bigint")
+    least = meets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").select("key", "leader")
+    members = meets.join(least, "key").select("node", "leader").distinct().join(live.select("node", "n"), "node")
+    turns = block_turns(staged(members, "units"), num, den)
+    found = turns.join(sets, "node").select("leader", "low", "high", "node", "side", "hashes")
+    links = found.groupBy("leader", "low", "high").applyInArrow(lambda t: forest(t, num, den), "a bigint, b bigint")
     return info.select("doc_id", "n_shingles", "node", "mark"), staged(links, "links")
 
 
@@ -194,8 +229,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int =
     """doc_id, n_shingles, component_id: the smallest id reachable by links, its own included.
 
     Null and empty texts have no shingles and are components of their own. A row without an id
-    takes the smallest id of its component (null if that has none). Repeated rows stay. An empty
-    table gives an empty result; other columns are ignored. Sets count as equal by 63 bits of hash.
+    takes the smallest id of its component (null if that has none). Repeated rows stay, rows that repeat an id count each by its own text. Very long texts are taken whole. An empty
+    table gives an empty result; other columns are ignored, whatever their names. Sets count as equal by 63 bits of hash.
     """
     info, links = jaccard_links(docs, n=n, num=num, den=den, id_col=id_col, text_col=text_col)
     labels = components(links)
