@@ -13,15 +13,16 @@ pick, the hash of the whole; the empty text has none.
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import staged
+
 TOP = (1 << 31) - 1
 K, W = 16, 32
 ROWS_A_BUCKET = 1024
-MOST_BUCKETS = 100_000
+MOST_BUCKETS = 10_000
+SAMPLE_A_BUCKET = 20
 
 
 def let(value: Column, body) -> Column:
@@ -83,27 +84,55 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def ordered(number: Column) -> Column:
+    """A long as 16 hexadecimal digits in the numbers' order."""
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+
+
+def place_key(doc_id: Column, tie: Column, row: Column) -> Column:
+    """A string in the order of rows: ids (null first), their texts' hashes, then the rows' own numbers."""
+    return F.concat(F.when(doc_id.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), ordered(doc_id))), F.lit("."), ordered(tie), F.lit("."), ordered(row))
+
+
+def cut_keys(docs: DataFrame, buckets: int, rows: int) -> list[str]:
+    """Keys that cut the rows into about equal parts, from a sample of ``SAMPLE_A_BUCKET`` rows for each part."""
+    share = min(1.0, SAMPLE_A_BUCKET * buckets / max(1, rows))
+    sample = docs.select("doc_id", "text", "row").sample(fraction=share, seed=5) if share < 1 else docs
+    keys = sorted(r[0] for r in sample.select(place_key(F.col("doc_id"), F.xxhash64("text"), F.col("row"))).collect())
+    return sorted({keys[len(keys) * k // buckets] for k in range(1, buckets)}) if keys else []
+
+
+def bucket_of(key: Column, cuts: list[str]) -> Column:
+    """How many of the cuts are at most the key: first among every 100th, then among the hundred after it."""
+    lots = [" ".join(cuts[a : a + 100]) for a in range(0, len(cuts), 100)]
+    if not lots:
+        return F.lit(0).cast("long")
+    heads = F.split(F.lit(" ".join(cuts[::100])), " ")
+    inner = F.split(F.lit("|".join(lots)), "[|]")
+    lot = F.size(F.filter(heads, lambda c: c <= key))
+    own = F.split(F.element_at(inner, F.greatest(lot, F.lit(1))), " ")
+    return F.when(lot == 0, F.lit(0)).otherwise((lot - 1) * 100 + F.size(F.filter(own, lambda c: c <= key))).cast("long")
+
+
 def with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
-    """doc_id, text, bucket, copy: rows dealt to buckets of neighbouring ids, each bucket with a copy of the row after its last.
+    """doc_id, text, row, bucket, copy: rows dealt to buckets of neighbouring ids, each bucket with a copy of the row after its last.
 
-    Ids are cut into equal ranges, at most ``MOST_BUCKETS``, so the table of buckets' first ids is
-    small enough to broadcast at any size. After the last bucket comes the first.
+    Buckets are cut at quantiles of a sample, at most ``MOST_BUCKETS``, so the cuts and the table of
+    buckets' first rows are small at any size. Rows of one id are cut by their texts' hashes, equal
+    rows by their numbers. After the last bucket comes the first.
     """
-    least, most, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    if least is None:
-        least = most = 0
-    count = max(1, min(MOST_BUCKETS, -(-rows // rows_a_bucket)))
-    width = (most - least) // count + 1
-    place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(Decimal(least))) / F.lit(Decimal(width))).cast("long")
-    rows_in = docs.withColumn("bucket", F.coalesce(place, F.lit(-1).cast("long")))
-    firsts = rows_in.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    rows = docs.count()
+    cuts = cut_keys(docs, max(1, min(MOST_BUCKETS, -(-rows // rows_a_bucket))), rows)
+    keyed = docs.withColumn("key", place_key(F.col("doc_id"), F.xxhash64("text"), F.col("row"))).withColumn("bucket", bucket_of(F.col("key"), cuts))
+    firsts = keyed.groupBy("bucket").agg(F.min("key").alias("first_key"))
     order = Window.orderBy("bucket")
     before = F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select(F.col("first_id"), before.alias("before"), F.lit(True).alias("hit"))
-    found = rows_in.join(F.broadcast(firsts), rows_in["doc_id"].eqNullSafe(firsts["first_id"]), "left")
+    firsts = staged(firsts.select(F.col("first_key"), before.alias("before"), F.lit(True).alias("hit")), "bucket-firsts")
+    found = keyed.join(F.broadcast(firsts), keyed["key"] == firsts["first_key"], "left")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("copy"))
     homes = F.when(F.col("hit"), F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("copy")))).otherwise(F.array(own))
-    return found.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", "home.bucket", "home.copy")
+    return found.select("doc_id", "text", "row", F.explode(homes).alias("home")).select("doc_id", "text", "row", "home.bucket", "home.copy")
 
 
 def fingerprints(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,11 +141,11 @@ def fingerprints(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_
     The edited text has the last quarter of the code points replaced by as many first ones of the
     next document in ascending order of ids (after the last: the first). Null texts are empty, null
     ids come first, rows with one id in the order of their texts' hashes; a lone document is its own
-    next one. An empty table gives an empty result. Other columns are ignored. The part of the
+    next one. An empty table gives an empty result. Other columns are ignored, whatever their names. Very long texts are hashed whole. The part of the
     edited text that is unchanged keeps its windows' picks, only the rest is hashed anew.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row")
     t = with_next(base).withColumn("next_text", F.lead("text").over(order)).withColumn("n_chars", F.length("text"))
     zero = F.lit(0).cast("long")
     t = t.withColumns({"own_windows": windows(F.col("text"), F.col("n_chars"), zero, k, w), "cut": F.floor(F.col("n_chars") / 4).cast("int")})
