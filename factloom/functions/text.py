@@ -41,12 +41,34 @@ def alias(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(name)), r"\.$", "")
 
 
-def target_hint(snippet: Column) -> Column:
-    """The service that a call names: host of an http(s) or lb:// address, else a domain marker; null if none."""
-    host = F.regexp_extract(snippet, r"https?://([A-Za-z0-9._-]+)", 1)
-    balanced = F.regexp_extract(snippet, r"lb://([A-Za-z0-9._-]+)", 1)
-    marker = F.regexp_extract(snippet, r"domain=([A-Za-z0-9._-]+)", 1)
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in (host, balanced, marker)))
+def _found(snippet: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(snippet, pattern, 1), F.lit(""))
+
+
+def domain(snippet: Column) -> Column:
+    """The domain of a configured client, from its marker; null if none."""
+    return _found(snippet, r"domain=([A-Za-z0-9._-]+)")
+
+
+def external(snippet: Column) -> Column:
+    """The service outside that a call is marked with; null if none."""
+    return _found(snippet, r"external=([A-Za-z0-9._-]+)")
+
+
+def kebab(name: Column) -> Column:
+    """A camel-case name in lower case, its parts joined by hyphens."""
+    return F.lower(F.regexp_replace(name, "(?<!^)(?=[A-Z])", "-"))
+
+
+def target_hint(snippet: Column, *, getters: bool = False) -> Column:
+    """The service that a call names: host of an http(s) or lb:// address, else a domain marker; null if none.
+
+    With ``getters``, a getter of a service's address (``.getPaymentServiceUrl(``) comes first.
+    """
+    getter = _found(snippet, r"\.get([A-Z][A-Za-z0-9]*)ServiceUrl\(")
+    named = F.concat(kebab(getter), F.lit("-service"))
+    hints = [_found(snippet, r"https?://([A-Za-z0-9._-]+)"), _found(snippet, r"lb://([A-Za-z0-9._-]+)"), domain(snippet)]
+    return F.coalesce(*([named] if getters else []), *hints)
 
 
 def glob_pattern(glob: str, negation: str = "^") -> str:

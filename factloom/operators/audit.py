@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.edges import kafka_edges
 from factloom.operators.filters import effective_kafka
 
 
@@ -27,6 +28,40 @@ def orphans(endpoints: DataFrame) -> DataFrame:
     return t.where("p <> c").select("topic", F.when(F.col("p") == 1, "no consumer").otherwise("no producer").alias("side"))
 
 
+def orphan_endpoints(endpoints: DataFrame, kafka: DataFrame) -> DataFrame:
+    """The static Kafka endpoints whose service has no edge of their topic on their side. ``kafka``: source, target, topic."""
+    static = endpoints.where("system = 'kafka' and not topic_dynamic and module is not null")
+    out = static.where("role = 'produce'").join(kafka.select(F.col("source").alias("module"), "topic").distinct(), ["module", "topic"], "left_anti")
+    return out.unionByName(static.where("role = 'consume'").join(kafka.select(F.col("target").alias("module"), "topic").distinct(), ["module", "topic"], "left_anti"))
+
+
+def orphan_integrations(endpoints: DataFrame) -> DataFrame:
+    """kind, name, side: topics and routes, dynamic ones too, that no module of one side has."""
+    first = F.col("role").isin("produce", "serve")
+    known = F.col("module").isNotNull()
+    t = endpoints.groupBy(F.when(F.col("system") == "kafka", "topic").otherwise("api").alias("kind"), F.col("topic").alias("name")).agg(F.max((first & known).cast("int")).alias("p"), F.max((~first & known).cast("int")).alias("c"))
+    side = F.when((F.col("p") == 0) & (F.col("c") == 0), "both").when(F.col("p") == 0, F.when(F.col("kind") == "topic", "producer").otherwise("provider")).otherwise("consumer")
+    return t.where("p = 0 or c = 0").select("kind", "name", F.concat(F.lit("no "), side).alias("side"))
+
+
+# Operations that write a collection.
+WRITES = ["bulkOps", "findAndModify", "findAndReplace", "insert", "remove", "save", "updateFirst", "updateMulti", "upsert"]
+
+
+def idle_module_activity(modules: DataFrame, endpoints: DataFrame, collections: DataFrame) -> DataFrame:
+    """module, and how many routes it serves, topics it writes and reads, collections it reads and writes: modules that don't run, aggregators left out.
+
+    ``modules``: identity, kind, starts_application; ``collections``: module, collection, operation.
+    """
+    quiet = modules.where("not starts_application and kind <> 'aggregator'").select(F.col("identity").alias("module"))
+    n = lambda condition, what: F.count_distinct(F.when(condition, F.col(what)))
+    e = endpoints.groupBy("module").agg(n(F.col("role") == "serve", "topic").alias("served"), n(F.col("role") == "produce", "topic").alias("published"), n(F.col("role") == "consume", "topic").alias("consumed"))
+    writes = F.col("operation").isin(WRITES)
+    c = collections.groupBy("module").agg(n(~writes, "collection").alias("read"), n(writes, "collection").alias("written"))
+    out = quiet.join(e, "module", "left").join(c, "module", "left").na.fill(0)
+    return out.where("served + published + consumed + read + written > 0")
+
+
 def rest_cycles(edges: DataFrame) -> DataFrame:
     """a, b: services that call each other, each pair once."""
     e = edges.select("source", "target").distinct()
@@ -34,18 +69,51 @@ def rest_cycles(edges: DataFrame) -> DataFrame:
     return e.join(back, ["source", "target"]).where("source < target").select(F.col("source").alias("a"), F.col("target").alias("b"))
 
 
-def audit(endpoints: DataFrame, rest: DataFrame, inside: DataFrame) -> DataFrame:
-    """All rules together: rule, severity, n subjects."""
-    dynamic = F.col("topic_dynamic")
+# How sure a rule is, where it isn't high.
+CONFIDENCE = {"kafka-message-contract-mismatch": "medium", "kafka-message-contract-unknown": "medium", "event-dependency-cycle": "medium"}
+
+
+def audit(endpoints: DataFrame, rest: DataFrame, inside: DataFrame, *, kafka: DataFrame | None = None, idle: DataFrame | None = None, cycles: DataFrame | None = None) -> DataFrame:
+    """rule, severity, subject, services, evidence, confidence of all findings, each once.
+
+    ``rest`` and ``kafka`` are service edges, ``inside`` calls in consumers, ``idle`` activity of
+    modules that don't run, ``cycles`` (component, services, path) cycles of messages. The subject is
+    the endpoint, topic, pair or module that a rule is about; the evidence its place or its names.
+    """
+    if kafka is None:
+        kafka = kafka_edges(endpoints)
+    place = F.concat("path", F.lit(":"), F.col("start_line").cast("string"))
+    service = F.coalesce("module", F.lit(""))
+
+    def rows(df: DataFrame, rule, subject, services, evidence, severity: str = "WARNING") -> DataFrame:
+        rule = F.lit(rule) if isinstance(rule, str) else rule
+        return df.select(rule.alias("rule"), F.lit(severity).alias("severity"), subject.alias("subject"), services.alias("services"), evidence.alias("evidence"))
+
+    both = F.concat("a", F.lit(" "), "b")
+    types = F.concat(F.lit("writes "), F.col("producer_types"), F.lit(", reads "), F.col("consumer_types"))
+    members = endpoints.where("system = 'kafka' and not topic_dynamic").groupBy("topic").agg(F.array_join(F.array_sort(F.collect_set("module")), " ").alias("members"))
     parts = [
-        endpoints.where(dynamic & (F.col("system") == "kafka")).select(F.lit("dynamic-kafka-topic").alias("rule"), F.lit("WARNING").alias("severity"), F.col("id").alias("subject")),
-        endpoints.where(dynamic & (F.col("system") == "rest")).select(F.lit("dynamic-http-target"), F.lit("WARNING"), F.col("id")),
-        orphans(endpoints).select(F.concat(F.lit("orphan-kafka-"), F.when(F.col("side") == "no consumer", "producer").otherwise("consumer")), F.lit("WARNING"), F.col("topic")),
-        contracts(endpoints).select(F.concat(F.lit("kafka-message-contract-"), F.col("finding")), F.lit("WARNING"), F.col("topic")),
-        rest_cycles(rest).select(F.lit("synchronous-rest-cycle"), F.lit("ERROR"), F.concat("a", F.lit(" "), "b")),
-        inside.select(F.lit("synchronous-http-in-kafka-consumer"), F.lit("WARNING"), F.col("consumer_id")),
+        rows(endpoints.where("system = 'kafka' and topic_dynamic"), "dynamic-kafka-topic", F.col("id"), service, place),
+        rows(endpoints.where("system = 'rest' and role = 'call' and topic like '% <dynamic>'"), "dynamic-http-target", F.col("id"), service, place),
+        rows(orphan_endpoints(endpoints, kafka), F.when(F.col("role") == "produce", "orphan-kafka-producer").otherwise("orphan-kafka-consumer"), F.col("id"), service, F.concat("topic", F.lit(" "), place)),
+        rows(contracts(endpoints).join(members, "topic"), F.concat(F.lit("kafka-message-contract-"), F.col("finding")), F.col("topic"), F.col("members"), types),
+        rows(rest_cycles(rest), "synchronous-rest-cycle", both, both, both, "ERROR"),
+        rows(inside, "synchronous-http-in-kafka-consumer", F.concat("consumer_id", F.lit(" "), "call_id"), F.coalesce("module", F.lit("")), F.col("path")),
     ]
+    if idle is not None:
+        counts = F.concat_ws(" ", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("served", "published", "consumed", "read", "written")))
+        parts.append(rows(idle, "non-runtime-module-activity", F.col("module"), F.col("module"), counts))
+    if cycles is not None:
+        parts.append(rows(cycles, "event-dependency-cycle", F.col("component"), F.col("services"), F.col("path")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.distinct()
+    sure = F.lit("high")
+    for rule, value in CONFIDENCE.items():
+        sure = F.when(F.col("rule") == rule, value).otherwise(sure)
+    return out.distinct().withColumn("confidence", sure)
+
+
+def in_order(issues: DataFrame) -> DataFrame:
+    """Findings by severity, rule and evidence, as a report lists them."""
+    return issues.orderBy("severity", "rule", "evidence", "subject")

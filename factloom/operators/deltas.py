@@ -55,7 +55,7 @@ def save_snapshot(tables: dict[str, DataFrame], path: str, version: int) -> None
 
 def load_snapshot(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame] | object:
     """A reader of the newest snapshot's tables by name; another schema version raises."""
-    row = spark.read.parquet(f"{path}/_current").orderBy(F.col("at").desc()).first()
+    row = spark.read.parquet(f"{path}/_current").orderBy(F.col("at").desc(), F.col("snapshot").desc()).first()
     if row["schema_version"] != version:
         raise ValueError(f"snapshot has schema version {row['schema_version']}, not {version}")
 

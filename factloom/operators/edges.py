@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import alias, method, routes_match, segments, target_hint
+from factloom.functions.text import alias, domain, external, method, routes_match, segments, target_hint
 from factloom.operators.filters import effective_kafka
 
 
@@ -31,33 +31,87 @@ def resolved_calls(endpoints: DataFrame, aliases: DataFrame | None = None) -> Da
     names = endpoints.where(F.col("module").isNotNull()).select(F.col("module").alias("service")).distinct()
     named = names.select("service", alias(F.col("service")).alias("name"))
     if aliases is not None:
-        named = named.union(aliases.select("service", alias(F.col("alias")).alias("name"))).distinct()
+        named = named.union(aliases.join(names, "service", "left_semi").select("service", alias(F.col("alias")).alias("name"))).distinct()
     by_name = named.groupBy("name").agg(F.count_distinct("service").alias("matches"), F.min("service").alias("only"))
     calls = rest.where("role = 'call'").withColumn("hint", target_hint(F.col("snippet")))
     found = calls.join(by_name, alias(F.col("hint")) == F.col("name"), "left").withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
-    external = F.coalesce(F.contains(F.col("snippet"), F.lit("external=")), F.lit(False))
-    status = F.when(external, "external").when(F.col("matches") == 1, "resolved").when(F.col("matches") > 1, "ambiguous").otherwise("unresolved")
+    status = F.when(external(F.col("snippet")).isNotNull(), "external").when(F.col("matches") == 1, "resolved").when(F.col("matches") > 1, "ambiguous").otherwise("unresolved")
     return found.withColumn("status", status).withColumn("target", F.when(F.col("status") == "resolved", F.col("only"))).drop("name", "only")
 
 
 def rest_edges(endpoints: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """call_id, serve_id, source, target, and the routes: resolved calls against the routes of their target.
 
-    An equi-join on the service and the first segment, with the route predicate as its residual: a
-    literal first segment meets itself and templates, a template meets all. A call of method ANY
-    (a gateway) keeps its first route.
+    A dynamic call of a configured client (its domain stands in the snippet) takes on each route of
+    its target whose method fits. A call of method ANY (a gateway) keeps its target's first route,
+    by place.
+
+    An equi-join on the service, the first segment and the number of segments, with the route
+    predicate as its residual. Open first segments (templates) and open ends (**) have keys of their
+    own, so that each pair of a call and a route meets under one key.
     """
     calls = resolved_calls(endpoints, aliases).where("status = 'resolved'")
-    calls = calls.select(F.col("id").alias("call_id"), F.col("module").alias("source"), "target", F.col("topic").alias("call"), method(F.col("topic")).alias("_cm"), segments(F.col("topic")).alias("_cs")).dropDuplicates(["call_id", "source"])
-    serves = endpoints.where("system = 'rest' and role = 'serve' and not topic_dynamic").select(F.col("id").alias("serve_id"), F.col("module").alias("target"), F.col("topic").alias("serve"), method(F.col("topic")).alias("_sm"), segments(F.col("topic")).alias("_ss")).dropDuplicates(["serve_id", "target"])
-    open_ended = lambda first: first.rlike(r"^(\{.*\}|\*\*)$")
+    client = F.col("topic_dynamic") & domain(F.col("snippet")).isNotNull()
+    calls = calls.select(F.col("id").alias("call_id"), F.col("module").alias("source"), "target", F.col("topic").alias("call"), client.alias("_client"), method(F.col("topic")).alias("_cm"), segments(F.col("topic")).alias("_cs")).dropDuplicates(["call_id", "source"])
+    serves = endpoints.where("system = 'rest' and role = 'serve'").select(F.col("id").alias("serve_id"), F.col("module").alias("target"), F.col("topic").alias("serve"), method(F.col("topic")).alias("_sm"), segments(F.col("topic")).alias("_ss"), "path", "start_line", "end_line").dropDuplicates(["serve_id", "target"])
+
+    def key(first: Column, n) -> Column:
+        return F.concat_ws(" ", first, n)
+
+    any_, open_, wide, ends = F.lit("*any"), F.lit("*open"), F.lit("*wide"), F.lit("**")
+    is_open = lambda first: first.rlike(r"^\{.*\}$")
     call_first, serve_first = F.get("_cs", F.lit(0)), F.get("_ss", F.lit(0))
-    calls = calls.where(F.size("_cs") > 0).withColumn("_key", F.explode(F.when(open_ended(call_first), F.array(F.lit("*any"))).otherwise(F.array(call_first, F.lit("*open")))))
-    serves = serves.withColumn("_key", F.explode(F.array(F.when(open_ended(serve_first), F.lit("*open")).otherwise(serve_first), F.lit("*any"))))
-    hit = calls.join(serves, ["target", "_key"]).where(F.col("source") != F.col("target")).where(routes_match(F.col("_cm"), F.col("_cs"), F.col("_sm"), F.col("_ss")))
-    rank = F.row_number().over(Window.partitionBy("call_id", "source", "target").orderBy("serve", "serve_id"))
+    call_n, serve_n = F.size("_cs").cast("string"), F.size("_ss").cast("string")
+    call_ends, serve_ends = F.array_contains("_cs", "**"), F.array_contains("_ss", "**")
+    plain = F.array(key(call_first, call_n), key(open_, call_n), key(call_first, ends), key(open_, ends))
+    call_keys = F.when(F.col("_client") | call_ends, F.array(key(any_, wide))).when(is_open(call_first), F.array(key(any_, call_n), key(any_, ends))).otherwise(plain)
+    own = F.when(is_open(serve_first) | (serve_first == "**"), open_).otherwise(F.coalesce(serve_first, F.lit("")))
+    size = F.when(serve_ends, ends).otherwise(serve_n)
+    calls = calls.where((F.size("_cs") > 0) | F.col("_client")).withColumn("_key", F.explode(call_keys))
+    serves = serves.withColumn("_key", F.explode(F.array(key(own, size), key(any_, size), key(any_, wide))))
+    fits = routes_match(F.col("_cm"), F.col("_cs"), F.col("_sm"), F.col("_ss"))
+    taken = F.col("_client") & ((F.col("_cm") == F.col("_sm")) | (F.col("_cm") == "ANY") | (F.col("_sm") == "ANY"))
+    hit = calls.join(serves, ["target", "_key"]).where(F.col("source") != F.col("target")).withColumn("_fits", fits).where(F.col("_fits") | taken)
+    rank = F.row_number().over(Window.partitionBy("call_id", "source", "target").orderBy("path", "start_line", "end_line", "serve_id"))
     hit = hit.withColumn("_n", F.when(F.col("_cm") == "ANY", rank).otherwise(F.lit(1))).where("_n = 1")
-    return hit.select("call_id", "serve_id", "source", "target", "call", "serve")
+    return hit.select("call_id", "serve_id", "source", "target", F.when(F.col("_fits"), F.col("call")).otherwise(F.col("serve")).alias("call"), "serve")
+
+
+def configured_edges(endpoints: DataFrame, rest: DataFrame) -> DataFrame:
+    """call_id, source, target: a configured client's dependency on its domain where no route of it was matched.
+
+    One for each caller and domain, the least call by id. The domain must be a service's exact name.
+    """
+    services = endpoints.where(F.col("module").isNotNull()).select(F.col("module").alias("target")).distinct()
+    calls = endpoints.where("system = 'rest' and role = 'call'").select(F.col("id").alias("call_id"), F.col("module").alias("source"), F.lower(domain(F.col("snippet"))).alias("target")).where("target is not null and source <> target")
+    open_ = calls.join(rest.select("call_id", "target").distinct(), ["call_id", "target"], "left_anti").join(services, "target", "left_semi")
+    return open_.groupBy("source", "target").agg(F.min("call_id").alias("call_id")).select("call_id", "source", "target")
+
+
+def external_edges(endpoints: DataFrame) -> DataFrame:
+    """call_id, source, target: calls of services that are marked as external, one for each caller and service."""
+    calls = endpoints.where("system = 'rest' and role = 'call'").select(F.col("id").alias("call_id"), F.col("module").alias("source"), F.lower(external(F.col("snippet"))).alias("target")).where("target is not null and source <> target")
+    return calls.groupBy("source", "target").agg(F.min("call_id").alias("call_id")).select("call_id", "source", "target")
+
+
+def service_graph(endpoints: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """kind, source, target, label, links: all edges between services, REST edges by route and Kafka edges by topic.
+
+    ``kind`` is rest (label: the served route), configured or external (without a label), or kafka.
+    """
+    rest = rest_edges(endpoints, aliases)
+    nothing = F.lit(None).cast("string")
+    one = F.lit(1).cast("long")
+    parts = [
+        rest.groupBy(F.lit("rest").alias("kind"), "source", "target", F.col("serve").alias("label")).agg(F.count("*").alias("links")),
+        configured_edges(endpoints, rest).select(F.lit("configured"), "source", "target", nothing, one),
+        external_edges(endpoints).select(F.lit("external"), "source", "target", nothing, one),
+        kafka_edges(endpoints).select(F.lit("kafka"), "source", "target", F.col("topic"), "links"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
 
 
 def calls_in_consumers(endpoints: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import glob_pattern
@@ -12,18 +12,25 @@ SEVERITIES = ["INFO", "WARNING", "ERROR"]
 
 
 def filter_endpoints(endpoints: DataFrame, *, system: str = "", role: str = "", topic: str = "", path_glob: str = "", module: str = "") -> DataFrame:
-    """Endpoints that meet every given condition (the empty string is none), in order of place."""
+    """Endpoints that meet every given condition (the empty string is none)."""
     out = endpoints
     for name, value in (("system", system), ("role", role), ("topic", topic), ("module", module)):
         if value:
             out = out.where(F.col(name) == value)
     if path_glob:
         out = out.where(F.col("path").rlike(glob_pattern(path_glob)))
-    return out.orderBy("path", "start_line", "end_line", "id")
+    return out
 
 
-def filter_findings(findings: DataFrame, *, least: str = "INFO", rule: str = "", path_glob: str = "") -> DataFrame:
+def by_place(rows: DataFrame) -> DataFrame:
+    """Rows in order of place, as a listing shows them."""
+    return rows.orderBy("path", "start_line", "end_line", "id")
+
+
+def filter_findings(findings: DataFrame, *, least: str = "INFO", rule: str = "", path_glob: str = "", module: str = "") -> DataFrame:
     out = findings.where(F.col("severity").isin(SEVERITIES[SEVERITIES.index(least) :]))
+    if module:
+        out = out.where(F.col("module") == module)
     if rule:
         out = out.where(F.col("rule_id") == rule)
     return out.where(F.col("path").rlike(glob_pattern(path_glob))) if path_glob else out
@@ -46,16 +53,38 @@ def exportable(name):
     return ~F.contains(F.lower(name), F.lit("test")) & ~(F.startswith(name, F.lit("${")) & F.endswith(name, F.lit("}")))
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters."""
+    return F.array_distinct(F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+
+
 def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     """query, resolved: the exact name, else the only name that contains the query (any case), else null.
 
-    ``queries`` has query, ``names`` name; equality is an equi-join, containment a broadcast of the queries.
+    ``queries`` has query, ``names`` name; equality is an equi-join. Containment joins a query by the
+    rarest of its runs of three characters to the names that hold it (shorter queries by the whole),
+    with ``instr`` as the residual. The empty query is in every name.
     """
-    names = names.select("name").distinct()
-    exact = queries.join(names, F.col("query") == F.col("name"), "left_semi").select("query", F.col("query").alias("exact"))
-    inside = names.join(F.broadcast(queries.distinct()), F.instr(F.lower("name"), F.lower("query")) > 0)
-    only = inside.groupBy("query").agg(F.count("*").alias("n"), F.min("name").alias("only")).where("n = 1")
-    return queries.distinct().join(exact, "query", "left").join(only, "query", "left").select("query", F.coalesce("exact", "only").alias("resolved"))
+    names = names.select("name").where("name is not null").distinct()
+    asked = queries.select("query").where("query is not null").distinct()
+    exact = asked.join(names, F.col("query") == F.col("name"), "left_semi").select("query", F.col("query").alias("exact"))
+    low, part = F.lower("name"), F.lower("query")
+    held = None
+    for n in (1, 2, 3):
+        mine = asked.where(F.length(part) >= n if n == 3 else F.length(part) == n)
+        if n < 3 and mine.isEmpty():
+            continue
+        grams = names.select("name", F.explode(_grams(low, n)).alias("gram"))
+        sizes = grams.groupBy("gram").agg(F.count("*").alias("n"))
+        own = mine.select("query", F.explode(_grams(part, n)).alias("gram")).join(sizes, "gram", "left")
+        rare = own.groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).select("query", F.col("g.gram").alias("gram"))
+        found = rare.join(grams, "gram").where(F.instr(low, part) > 0).select("query", "name")
+        held = found if held is None else held.union(found)
+    empty = asked.where("query = ''")
+    if not empty.isEmpty():
+        held = held.union(empty.crossJoin(names))  # one query
+    only = held.groupBy("query").agg(F.count("*").alias("n"), F.min("name").alias("only")).where("n = 1")
+    return queries.select("query").distinct().join(exact, "query", "left").join(only, "query", "left").select("query", F.coalesce("exact", "only").alias("resolved"))
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.scratch import staged
+
 # Layers from the lowest rank of ownership to the highest.
 LAYERS = ["api", "application", "orchestration", "infrastructure", "domain", "persistence", "external"]
 
 
 def terciles(scores: DataFrame, *, by: list[str] | None = None) -> DataFrame:
-    """Adds rank, population, tier (1 to 3), tier_start, tier_end to rows of (id, score); lower tiers take the remainder."""
-    w = Window.partitionBy(*(by or []))
-    order = w.orderBy("score", "id")
-    out = scores.withColumns({"rank": F.row_number().over(order), "population": F.count("*").over(w), "tier": F.ntile(3).over(order)})
-    tier = Window.partitionBy(*(by or []), "tier")
-    return out.withColumns({"tier_start": F.min("rank").over(tier), "tier_end": F.max("rank").over(tier)})
+    """Adds rank, population, tier (1 to 3), tier_start, tier_end to rows of (id, score); lower tiers take the remainder.
+
+    Without ``by`` rows are ranked in ranges of (score, id): each range ranks its own rows, and the
+    ranges' sizes, a row each, say where it begins. So no task holds all rows.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        out = scores.withColumns({"rank": F.row_number().over(w.orderBy("score", "id")), "population": F.count("*").over(w)})
+    else:
+        rows = staged(scores.repartitionByRange(F.col("score"), F.col("id")).withColumn("_range", F.spark_partition_id()), "ranges")
+        sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = staged(sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("population")), "range-starts")
+        own = F.row_number().over(Window.partitionBy("_range").orderBy("score", "id"))
+        out = rows.withColumn("_own", own).join(starts, "_range").withColumn("rank", (F.col("_before") + F.col("_own")).cast("int")).select(*scores.columns, "rank", "population")
+    # sizes differ by one at most, the first tiers are the larger ones
+    size, more = F.floor(F.col("population") / 3), F.col("population") % 3
+    end = lambda k: F.lit(k) * size + F.least(F.lit(k), more)
+    tier = F.when(F.col("rank") <= end(1), 1).when(F.col("rank") <= end(2), 2).otherwise(3)
+    last = F.col("tier")
+    return out.withColumn("tier", tier).withColumns({"tier_start": ((last - 1) * size + F.least(last - 1, more) + 1).cast("int"), "tier_end": (last * size + F.least(last.cast("long"), more)).cast("int")})
 
 
-def layer(name, kind) -> F.Column:
-    """The layer of a module by its name and kind."""
+def layer(name: Column, runs: Column, namespace: Column | None = None) -> Column:
+    """The layer of a module by its namespace, the ends of its name, and whether it starts an application."""
     n = F.lower(name)
-    return F.when(n.rlike("(^|[-_])(repository|persistence|dao)($|[-_])"), "persistence").when(n.rlike("(^|[-_])domain($|[-_])"), "domain").when(n.rlike("(^|[-_])(api|client)($|[-_])"), "api").when(n.rlike("(^|[-_])(infra|infrastructure|config)($|[-_])"), "infrastructure").when(kind == "application", "application").otherwise("module")
+
+    def named(starts: str, ends: str) -> Column:
+        return n.rlike(f"^({starts})-") | n.rlike(f"-({ends})$")
+
+    space = F.lower(F.lit("") if namespace is None else F.coalesce(namespace, F.lit("")))
+    out = F.when(space == "portail", "api").when(space == "cycle-de-vie", "orchestration")
+    out = out.when(named("persistence|repository|storage|data", "persistence|repository|storage|data"), "persistence").when(n.rlike("^domain-"), "domain")
+    out = out.when(named("api|contract|contracts", "api|contract|contracts"), "api").when(named("infra|infrastructure", "infra|infrastructure"), "infrastructure").when(n.rlike("^(shared|common|lib|library)-"), "shared")
+    return out.when(runs, "application").otherwise("module")
 
 
 def owners(writers: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import tokens
+from factloom.operators.filters import filter_findings
 
 # Fields of a finding and their weights.
 WEIGHTS = {"rule_id": 6, "message": 4, "path": 3, "cwe": 5, "owasp": 5, "snippet": 2, "severity": 1}
@@ -40,6 +41,13 @@ def search_page(hits: DataFrame, *, limit: int, offset: int = 0) -> DataFrame:
     return hits.orderBy(F.col("score").desc(), severity.desc(), "path", "start_line", "id").offset(offset).limit(limit)
 
 
+def search_findings(findings: DataFrame, query: str, *, limit: int, offset: int = 0, least: str = "INFO", rule: str = "", path_glob: str = "") -> DataFrame:
+    """A page of the findings that meet the filters, with score; a blank query gives the inventory in its order, each with score 0."""
+    rows = filter_findings(findings, least=least, rule=rule, path_glob=path_glob)
+    hits = keyword_hits(rows, query) if query.strip() else rows.withColumn("score", F.lit(0.0))
+    return search_page(hits, limit=limit, offset=offset)
+
+
 def context_lines(texts: DataFrame, spots: DataFrame, *, before: int, after: int) -> DataFrame:
     """id, line, shown: the lines around each spot (id, path, at) of ``texts`` (path, text), numbered from 1."""
     near = spots.join(texts, "path").withColumn("_lines", F.split("text", "\n"))

@@ -2,42 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.scratch import Grown, staged
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names (a temporary one only where none is named)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    """``df`` written to the shared folder once and read again."""
+    return staged(df, "traversal")
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """source, target: every pair joined by a path of one edge or more. Semi-naive: each round extends only what was new."""
-    e = cut(edges.select("source", "target").distinct())
-    every, fresh = e, e
+    """source, target: every pair joined by a path of one edge or more. Semi-naive: each round extends only what was new.
+
+    The result has a row for each pair, so it is for graphs of modules; ``reachable_from`` asks a large graph about some nodes.
+    """
+    every = Grown(edges.select("source", "target").distinct(), "reach")
+    e = fresh = every.all()
     while not fresh.isEmpty():
         step = fresh.select("source", F.col("target").alias("_m")).join(e.select(F.col("source").alias("_m"), "target"), "_m").select("source", "target").distinct()
-        fresh = cut(step.join(every, ["source", "target"], "left_anti"))
-        every = cut(every.union(fresh))
-    return every
+        fresh = every.add(step.join(every.all(), ["source", "target"], "left_anti"))
+    return every.all()
 
 
 def reachable_from(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """node, hops: the nodes that can be reached from any of ``starts`` (node), with the least number of edges."""
     e = cut(edges.select("source", "target").distinct())
-    seen = cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
-    fresh, hops = seen, 0
+    seen = Grown(starts.select("node").distinct().withColumn("hops", F.lit(0)), "seen")
+    fresh, hops = seen.all(), 0
     while not fresh.isEmpty():
         hops += 1
         step = fresh.join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        fresh = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(hops)))
-        seen = cut(seen.union(fresh))
-    return seen
+        fresh = seen.add(step.join(seen.all(), "node", "left_anti").withColumn("hops", F.lit(hops)))
+    return seen.all()
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -67,12 +67,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
                 break
         inside = e.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("cs")), "source").join(colour.select(F.col("node").alias("target"), F.col("colour").alias("ct")), "target").where("cs = ct").select("source", "target", F.col("cs").alias("colour"))
         inside = cut(inside)
-        own = cut(colour.where("node = colour"))
-        fresh = own
+        parts = Grown(colour.where("node = colour"), "component")
+        fresh = parts.all()
         while not fresh.isEmpty():
             back = inside.join(fresh.select(F.col("node").alias("target")), "target").select(F.col("source").alias("node"), "colour").distinct()
-            fresh = cut(back.join(own, ["node", "colour"], "left_anti"))
-            own = cut(own.union(fresh))
+            fresh = parts.add(back.join(parts.all(), ["node", "colour"], "left_anti"))
+        own = parts.all()
         big = own.groupBy("colour").count().where("count > 1").select("colour")
         found = cut(found.union(own.join(big, "colour").select("node", F.col("colour").alias("component"))))
         left = own.select("node")
@@ -88,77 +88,145 @@ def event_cycles(edges: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, source: str, target: str, *, max_depth: int = 12, limit: int = 20) -> DataFrame:
-    """depth, path (nodes joined by ' > ') of all shortest simple paths, in order; at most ``limit``, with ``truncated``.
+    """depth, path (nodes joined by ' > ') of all shortest simple paths, in order of their steps; at most ``limit``, with ``truncated``.
 
     Edges (source, target and, if parallel ones are to count, id) are followed level by level and only
-    from nodes not met before; the paths are laid together once the target's level is known. With id,
-    parallel edges give paths of their own, and ``relations`` has the ids joined by ' > '.
+    from nodes not met before, until the target's level is known. Then levels keep what leads to the
+    target, and paths are laid forward over them, of each level the first ``limit`` and one more: all of
+    them lead to the target. With id, parallel edges give paths of their own, and ``relations`` has the
+    ids joined by ' > '.
     """
     ids = [c for c in edges.columns if c == "id"]
     e = cut(edges.select("source", "target", *ids).distinct())
     spark: SparkSession = edges.sparkSession
-    levels = [spark.createDataFrame([(source,)], "node string")]
-    seen = levels[0]
+    start = spark.createDataFrame([(source,)], "node string")
+    levels, seen = [start], Grown(start, "seen")
     hit = source == target
     while not hit and len(levels) <= max_depth:
         step = levels[-1].join(e, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        step = cut(step.join(seen, "node", "left_anti"))
+        step = seen.add(step.join(seen.all(), "node", "left_anti"))
         if step.isEmpty():
             break
         levels.append(step)
-        seen = cut(seen.union(step))
         hit = not step.where(F.col("node") == target).isEmpty()
     order = ["path", *(["relations"] if ids else [])]
     if not hit:
         return spark.createDataFrame([], "depth int, " + "".join(f"{c} string, " for c in order) + "truncated boolean")
-    paths = spark.createDataFrame([(target, target, "")], "head string, path string, relations string")
-    for k, level in enumerate(reversed(levels[:-1])):  # back from the target, only over nodes of each level
-        step = paths.join(e, F.col("head") == F.col("target")).join(level, F.col("source") == F.col("node"), "left_semi")
-        relations = (F.concat(F.col("id").cast("string"), F.lit(" > "), "relations") if k else F.col("id").cast("string")) if ids else F.col("relations")
-        paths = step.select(F.col("source").alias("head"), F.concat("source", F.lit(" > "), "path").alias("path"), relations.alias("relations"))
-    some = cut(paths.select(*order).orderBy(*order).limit(limit + 1))
-    more = some.count() > limit
-    return some.orderBy(*order).limit(limit).select(F.lit(len(levels) - 1).alias("depth"), *order, F.lit(more).alias("truncated"))
+    keeps = [spark.createDataFrame([(target,)], "node string")]
+    for level in reversed(levels[1:-1]):
+        back = e.join(keeps[-1], F.col("target") == F.col("node"), "left_semi").select(F.col("source").alias("node"))
+        keeps.append(cut(level.join(back.distinct(), "node", "left_semi")))
+    paths = spark.createDataFrame([([source],)], "steps array<string>")
+    own = F.col("id").cast("string") if ids else F.lit("")
+    for keep in reversed(keeps[: len(levels) - 1]):
+        at = F.col("steps")[0] if keep is keeps[-1] or len(levels) == 2 else F.element_at("steps", -2)
+        e_here = e.join(keep, F.col("target") == F.col("node"), "left_semi")
+        paths = paths.join(e_here, at == F.col("source")).select(F.concat("steps", F.array("target", own)).alias("steps"))
+        paths = cut(paths.orderBy("steps").limit(limit + 1))
+    more = paths.count() > limit
+    odd = lambda start: F.filter("steps", lambda x, i: (i > 0) & (i % 2 == start))
+    paths = paths.orderBy("steps").limit(limit)
+    shown = paths.select(F.lit(len(levels) - 1).alias("depth"), F.array_join(F.concat(F.slice("steps", 1, 1), odd(1)), " > ").alias("path"), F.array_join(odd(0), " > ").alias("relations"), F.lit(more).alias("truncated"))
+    return shown.select("depth", *order, "truncated")
+
+
+def first_paths(start: DataFrame, extend: Callable[[DataFrame, int], tuple[DataFrame, DataFrame]], max_depth: int, limit: int) -> tuple[DataFrame, bool]:
+    """The first ``limit`` endings (nodes, ending) in lexical order of a search over paths (nodes), and whether there are more.
+
+    ``extend`` takes the live paths of a depth and gives endings and longer live paths, which begin
+    with what they extend. Of each depth the first paths go on, and the first one left out is
+    remembered: all endings before it are complete. If these are too few, the search is repeated with
+    more paths, so nothing is lost.
+    """
+    width = 8 * limit
+    while True:
+        live, done, left_out = start, None, None
+        for depth in range(1, max_depth + 1):
+            ends, longer = extend(live, depth)
+            found = ends.select("nodes", "ending")
+            done = cut((found if done is None else done.union(found)).distinct().orderBy("nodes").limit(limit + 1))
+            if depth == max_depth:
+                break
+            live = cut(longer.select("nodes").distinct().orderBy("nodes").limit(width + 1))
+            if live.count() > width:
+                last = live.agg(F.max("nodes")).first()[0]
+                left_out = last if left_out is None else min(left_out, last)
+                live = live.where(F.col("nodes") < F.lit(last))
+        if left_out is not None and done.where(F.col("nodes") < F.lit(left_out)).count() <= limit:
+            width *= 8
+            continue
+        return done.orderBy("nodes").limit(limit), done.count() > limit
 
 
 def flows(publishes: DataFrame, consumes: DataFrame, start: str, *, max_depth: int = 6, limit: int = 50) -> DataFrame:
-    """path, ending: topic to consumers to the topics they publish; each path ends as leaf, cycle or at the depth.
+    """path, ending, truncated: from a topic to its consumers, to the topics they publish, and so on.
 
-    ``publishes`` and ``consumes`` have module, topic. Depth counts topics: a path at the depth ends with
-    the last topic's consumer. Paths come in lexical order of their nodes, ``limit`` at most.
+    A path ends at a consumer that publishes nothing (leaf) or at ``max_depth`` topics (depth), or at a
+    topic that it has met (cycle). Topics without a consumer end nothing and give no path. Paths come in
+    lexical order of their nodes, ``limit`` at most. ``publishes`` and ``consumes`` have module, topic.
     """
     hop = cut(consumes.select(F.col("topic").alias("_t"), "module").distinct())
     out = cut(publishes.select(F.col("module").alias("_m"), F.col("topic").alias("next")).distinct())
+    writes = out.select("_m").distinct().withColumn("_w", F.lit(True))
+
+    def extend(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        at = live.join(hop, F.element_at("nodes", -1) == F.col("_t")).join(writes, F.col("module") == F.col("_m"), "left").select(F.concat("nodes", F.array("module")).alias("nodes"), "module", "_w")
+        stop = at if depth == max_depth else at.where("_w is null")
+        ends = stop.select("nodes", F.when(F.col("_w").isNull(), "leaf").otherwise("depth").alias("ending"))
+        if depth == max_depth:
+            return ends, live
+        via = at.where("_w").join(out, F.col("module") == F.col("_m"))
+        longer = via.select(F.concat("nodes", F.array("next")).alias("nodes"), F.array_contains("nodes", F.col("next")).alias("met"))
+        return ends.union(longer.where("met").select("nodes", F.lit("cycle"))), longer.where("not met")
+
     spark = publishes.sparkSession
-    live = spark.createDataFrame([([start],)], "nodes array<string>")
-    done = spark.createDataFrame([], "nodes array<string>, ending string")
-    for depth in range(1, max_depth + 1):
-        at = live.withColumn("_t", F.element_at("nodes", -1)).join(hop, "_t", "left")
-        stop = at.where("module is null").select("nodes", F.lit("leaf").alias("ending"))
-        last = depth == max_depth
-        via = at.where("module is not null").join(out.select("_m", F.lit("").alias("next")).distinct() if last else out, F.col("module") == F.col("_m"), "left")
-        ends = via.where("next is null").select(F.concat("nodes", F.array("module")).alias("nodes"), F.lit("leaf").alias("ending"))
-        if last:
-            ends = ends.union(via.where("next is not null").select(F.concat("nodes", F.array("module")), F.lit("depth")))
-        else:  # every live path has an ending that begins with it, so the first ones lead to the first endings
-            ends = ends.union(via.where("array_contains(nodes, next)").select(F.concat("nodes", F.array("module", "next")), F.lit("cycle")))
-            live = cut(via.where("next is not null and not array_contains(nodes, next)").select(F.concat("nodes", F.array("module", "next")).alias("nodes")).distinct().orderBy("nodes").limit(limit))
-        done = cut(done.union(stop).union(ends).distinct().orderBy("nodes").limit(limit))
-    return done.orderBy("nodes").select(F.array_join("nodes", " > ").alias("path"), "ending")
+    found, more = first_paths(spark.createDataFrame([([start],)], "nodes array<string>"), extend, max_depth, limit)
+    return found.select(F.array_join("nodes", " > ").alias("path"), "ending", F.lit(more).alias("truncated"))
+
+
+def simple_paths(edges: DataFrame, source: str, target: str, *, max_depth: int = 8, limit: int = 8) -> DataFrame:
+    """path, depth, truncated of the first simple paths from ``source`` to ``target``, in lexical order; ``max_depth`` edges at most.
+
+    Only edges whose target leads to ``target`` in the edges that are left are followed.
+    """
+    spark = edges.sparkSession
+    e = cut(edges.select("source", "target").where("source <> target").distinct())
+    back = cut(reachable_from(e.select(F.col("target").alias("source"), F.col("source").alias("target")), spark.createDataFrame([(target,)], "node string")).where(F.col("hops") <= max_depth))
+    e = cut(e.join(back, F.col("target") == F.col("node")).select("source", "target", "hops"))
+
+    def extend(live: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        longer = live.join(e, F.element_at("nodes", -1) == F.col("source")).where((F.col("hops") <= max_depth - depth) & ~F.array_contains("nodes", F.col("target")))
+        longer = longer.select(F.concat("nodes", F.array("target")).alias("nodes"), (F.col("target") == target).alias("hit"))
+        return longer.where("hit").select("nodes", F.lit("target").alias("ending")), longer.where("not hit")
+
+    found, more = first_paths(spark.createDataFrame([([source],)], "nodes array<string>"), extend, max_depth, limit)
+    return found.select(F.array_join("nodes", " > ").alias("path"), (F.size("nodes") - 1).alias("depth"), F.lit(more).alias("truncated"))
+
+
+def itinerary(edges: DataFrame, query: str, *, max_depth: int = 12) -> DataFrame:
+    """leg, path, depth: the first shortest path of each leg of a query ``a -> b -> c``; an unreachable leg has none."""
+    stops = [x.strip() for x in query.split("->") if x.strip()]
+    spark = edges.sparkSession
+    out = spark.createDataFrame([], "leg int, path string, depth int")
+    for k, (a, b) in enumerate(zip(stops, stops[1:], strict=False)):
+        leg = shortest_paths(edges.select("source", "target"), a, b, max_depth=max_depth, limit=1)
+        out = out.union(leg.select(F.lit(k + 1).alias("leg"), "path", "depth"))
+    return out
 
 
 def levels(edges: DataFrame) -> DataFrame:
     """node, level: the longest path from a node without edges in; nodes on or behind cycles share the level after the last."""
     e = cut(edges.select("source", "target").where("source <> target").distinct())
-    nodes = cut(e.select(F.col("source").alias("node")).union(e.select(F.col("target").alias("node"))).distinct())
-    placed = e.sparkSession.createDataFrame([], "node string, level int")
-    left, rest, k = nodes, e, 0
+    left = cut(e.select(F.col("source").alias("node")).union(e.select(F.col("target").alias("node"))).distinct())
+    placed = Grown(edges.sparkSession.createDataFrame([], "node string, level int"), "levels")
+    rest, k = e, 0
     while not left.isEmpty():
         free = cut(left.join(rest.select(F.col("target").alias("node")).distinct(), "node", "left_anti"))
         if free.isEmpty():
-            return placed.union(left.withColumn("level", F.lit(k)))
-        placed = cut(placed.union(free.withColumn("level", F.lit(k))))
+            placed.add(left.withColumn("level", F.lit(k)))
+            break
+        placed.add(free.withColumn("level", F.lit(k)))
         left = cut(left.join(free, "node", "left_anti"))
         rest = cut(rest.join(free.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"))
         k += 1
-    return placed
+    return placed.all()

@@ -11,7 +11,8 @@ from factloom.functions import ids, text
 from factloom.operators import audit, deltas, edges, filters, ranking, relations, resolution, search
 from factloom.plans import catalog, traversals
 from factloom.sources import facts, manifests
-from factloom.sources.facts import DEPENDENCIES_SQL, ENDPOINTS_SQL, FINDINGS_SQL
+from factloom.scratch import index
+from factloom.sources.facts import ALIASES_SQL, COLLECTIONS_SQL, DEPENDENCIES_SQL, ENDPOINTS_SQL, FINDINGS_SQL, MODULES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,16 +34,30 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 EP, DEP, FI = ENDPOINTS_SQL.strip(), DEPENDENCIES_SQL.strip(), FINDINGS_SQL.strip()
 EFFECTIVE = "eff as (select * from ep where system = 'kafka' and (source = 'manifest' or module not in (select module from ep where system = 'kafka' and source = 'manifest')))"
 SEGMENTS = "list_filter(string_split(split_part(substr({0}, instr({0}, ' ') + 1), '?', 1), '/'), lambda x: x <> '')"
+AL, MOD, COLL = ALIASES_SQL.strip(), MODULES_SQL.strip(), COLLECTIONS_SQL.strip()
 REST = f"""
-names as (select distinct module from ep),
-calls as (select distinct id as call_id, module as source, topic as call, regexp_extract(snippet, 'https?://([A-Za-z0-9._-]+)', 1) as hint from ep where system = 'rest' and role = 'call'),
-serves as (select distinct id as serve_id, module as target, topic as serve from ep where system = 'rest' and role = 'serve' and not topic_dynamic),
+{AL},
+names as (select distinct module from ep where module is not null),
+named as (select module as service, lower(module) as name from names union select service, lower(alias) from aliases join names on names.module = service),
+by_name as (select name, count(distinct service) as matches, min(service) as only_ from named group by name),
+hinted as (select *, nullif(regexp_extract(snippet, 'external=([A-Za-z0-9._-]+)', 1), '') as ext, nullif(regexp_extract(snippet, 'domain=([A-Za-z0-9._-]+)', 1), '') as dom from ep where system = 'rest' and role = 'call'),
+resolved as (
+  select h.*, case when ext is not null then 'external' when matches = 1 then 'resolved' when matches > 1 then 'ambiguous' else 'unresolved' end as status, only_
+  from hinted h left join by_name b on b.name = lower(coalesce(nullif(regexp_extract(snippet, 'https?://([A-Za-z0-9._-]+)', 1), ''), nullif(regexp_extract(snippet, 'lb://([A-Za-z0-9._-]+)', 1), ''), dom))),
+calls as (select id as call_id, module as source, only_ as target, topic as call, topic_dynamic and dom is not null as client, split_part(topic, ' ', 1) as cm, {SEGMENTS.format('topic')} as cs from resolved where status = 'resolved'),
+serves as (select id as serve_id, module as target, topic as serve, split_part(topic, ' ', 1) as sm, {SEGMENTS.format('topic')} as ss, path, start_line, end_line from ep where system = 'rest' and role = 'serve'),
+matched_ as (
+  select *, len(cs) > 0 and cs[1] <> '<dynamic>' and (
+      len(cs) = len(ss) and len(list_filter(range(1, len(cs) + 1), lambda i: not (cs[i] = ss[i] or regexp_matches(cs[i], '^\\{{.*\\}}$') or regexp_matches(ss[i], '^\\{{.*\\}}$')))) = 0
+      or cs[-1] = '**' and len(ss) > len(cs) - 1 and len(list_filter(range(1, len(cs)), lambda i: not (cs[i] = ss[i] or regexp_matches(cs[i], '^\\{{.*\\}}$') or regexp_matches(ss[i], '^\\{{.*\\}}$')))) = 0) as fits
+  from calls join serves using (target) where source <> target and (cm = sm or cm = 'ANY' or sm = 'ANY')),
 rest as (
-  select call_id, serve_id, source, target, call, serve from (
-    select *, {SEGMENTS.format('call')} as cs, {SEGMENTS.format('serve')} as ss, split_part(call, ' ', 1) as cm, split_part(serve, ' ', 1) as sm
-    from calls join names on hint = names.module join serves on serves.target = names.module where source <> target) x
-  where (cm = sm or cm = 'ANY' or sm = 'ANY') and len(cs) > 0 and len(cs) = len(ss)
-    and len(list_filter(range(1, len(cs) + 1), lambda i: not (cs[i] = ss[i] or regexp_matches(cs[i], '^\\{{.*\\}}$') or regexp_matches(ss[i], '^\\{{.*\\}}$')))) = 0)
+  select call_id, serve_id, source, target, case when fits then call else serve end as call, serve from matched_ where fits or client
+  qualify case when cm = 'ANY' then row_number() over (partition by call_id, source, target order by path, start_line, end_line, serve_id) else 1 end = 1),
+configured as (
+  select source, target, min(call_id) as call_id from (select id as call_id, module as source, lower(dom) as target from hinted where dom is not null and lower(dom) <> module) x
+  where target in (select module from names) and not exists (select 1 from rest r where r.call_id = x.call_id and r.target = x.target) group by source, target),
+external_ as (select module as source, lower(ext) as target, min(id) as call_id from hinted where ext is not null and lower(ext) <> module group by 1, 2)
 """
 KAFKA = """
 counted as (select topic, module, role, count(distinct id) as n from eff where not topic_dynamic group by all),
@@ -50,6 +65,16 @@ kafka as (select p.module as source, c.module as target, p.topic, p.n * c.n as l
 """
 
 
+def rest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REST edges of all endpoints, from the index."""
+    return index(spark, sf_dir, "rest", lambda: edges.rest_edges(facts.endpoints(spark, sf_dir), facts.aliases(spark, sf_dir)))
+
+
+def kafka_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kafka edges of all endpoints, from the index."""
+    return index(spark, sf_dir, "kafka", lambda: edges.kafka_edges(facts.endpoints(spark, sf_dir)))
+
+
 @query(f"with {EP} select id, role, topic, path, start_line, end_line, module from ep where system = 'kafka' and role = 'consume' and path glob 'o/1*7.java'")
 def endpoint_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.filter_endpoints(facts.endpoints(spark, sf_dir), system="kafka", role="consume", path_glob="o/1*7.java").select("id", "role", "topic", "path", "start_line", "end_line", "module")
@@ -73,19 +98,17 @@ def effective_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {EP}, {EFFECTIVE}, {KAFKA} select source, target, topic, cast(links as bigint) as links from kafka")
 def kafka_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.kafka_edges(facts.endpoints(spark, sf_dir))
+    return kafka_index(spark, sf_dir)
 
 
 @query(f"with {EP}, {REST} select call_id, serve_id, source, target, call, serve from rest")
 def rest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.rest_edges(facts.endpoints(spark, sf_dir))
+    return rest_index(spark, sf_dir)
 
 
-@query(f"""with {EP}, {REST} select module, status, count(*) as n from (
-  select c.module, case when n.module is null then 'unresolved' else 'resolved' end as status
-  from ep c left join names n on n.module = regexp_extract(c.snippet, 'https?://([A-Za-z0-9._-]+)', 1) where c.system = 'rest' and c.role = 'call') x group by all""")
+@query(f"with {EP}, {REST} select module, status, count(*) as n from resolved group by all")
 def rest_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.resolved_calls(facts.endpoints(spark, sf_dir)).groupBy("module", "status").agg(F.count("*").alias("n"))
+    return edges.resolved_calls(facts.endpoints(spark, sf_dir), facts.aliases(spark, sf_dir)).groupBy("module", "status").agg(F.count("*").alias("n"))
 
 
 @query(f"""with {EP} select distinct c.id as consumer_id, k.id as call_id, c.module, c.path from ep c join ep k on c.path = k.path and k.start_line between c.start_line and c.end_line
@@ -124,7 +147,7 @@ select e.module, count(distinct case when role = 'serve' then topic end) as serv
 from ep e group by e.module""".replace("(id, e.module) not in (select (call_id, source) from rest)", "not exists (select 1 from rest r where r.call_id = e.id and r.source = e.module)"))
 def module_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
-    return catalog.module_summary(ep, facts.module_dependencies(spark, sf_dir), edges.rest_edges(ep))
+    return catalog.module_summary(ep, facts.module_dependencies(spark, sf_dir), rest_index(spark, sf_dir))
 
 
 NEIGHBOURS = f"""with {EP}, {DEP}, near as (
@@ -144,9 +167,11 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("kind", "name").agg(F.count("*").alias("direct"), F.count_distinct("other_kind").alias("kinds"))
 
 
-@query(f"with {EP}, {EFFECTIVE} select topic, case when max(case when role = 'produce' then 1 else 0 end) = 1 then 'no consumer' else 'no producer' end as side from eff where not topic_dynamic group by topic having max(case when role = 'produce' then 1 else 0 end) <> max(case when role = 'consume' then 1 else 0 end)")
+@query(f"""with {EP} select kind, name, concat('no ', case when p = 0 and c = 0 then 'both' when p = 0 then case kind when 'topic' then 'producer' else 'provider' end else 'consumer' end) as side from (
+  select case when system = 'kafka' then 'topic' else 'api' end as kind, topic as name, max(case when role in ('produce', 'serve') then 1 else 0 end) as p, max(case when role in ('consume', 'call') then 1 else 0 end) as c
+  from ep where module is not null group by all) x where p = 0 or c = 0""")
 def orphan_integrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.orphans(facts.endpoints(spark, sf_dir))
+    return audit.orphan_integrations(facts.endpoints(spark, sf_dir))
 
 
 CONTRACTS = """contracts as (select * from (select topic, producer_types, consumer_types, case when producer_types <> '' and consumer_types <> '' and producer_types <> consumer_types then 'mismatch' when (producer_types <> '') <> (consumer_types <> '') then 'unknown' end as finding from (
@@ -159,27 +184,86 @@ def contract_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.contracts(facts.endpoints(spark, sf_dir))
 
 
-@query(f"""with {EP}, {EFFECTIVE}, {REST}, {CONTRACTS}, orphan as (select topic, max(case when role = 'produce' then 1 else 0 end) as p, max(case when role = 'consume' then 1 else 0 end) as c from eff where not topic_dynamic group by topic)
-select rule, severity, count(*) as n from (
-  select distinct 'dynamic-kafka-topic' as rule, 'WARNING' as severity, id as subject from ep where topic_dynamic and system = 'kafka'
-  union all select distinct 'dynamic-http-target', 'WARNING', id from ep where topic_dynamic and system = 'rest'
-  union all select case when p = 1 then 'orphan-kafka-producer' else 'orphan-kafka-consumer' end, 'WARNING', topic from orphan where p <> c
-  union all select concat('kafka-message-contract-', finding), 'WARNING', topic from contracts
-  union all select 'synchronous-rest-cycle', 'ERROR', a.source from (select distinct source, target from rest) a join (select distinct source, target from rest) b on a.source = b.target and a.target = b.source and a.source < a.target
-  union all select distinct 'synchronous-http-in-kafka-consumer', 'WARNING', c.id from ep c join ep k on c.path = k.path and k.start_line between c.start_line and c.end_line where c.system = 'kafka' and c.role = 'consume' and k.system = 'rest' and k.role = 'call') x group by all""")
-def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+INSIDE = "inside as (select distinct c.id as consumer_id, k.id as call_id, c.module, c.path from ep c join ep k on c.path = k.path and k.start_line between c.start_line and c.end_line where c.system = 'kafka' and c.role = 'consume' and k.system = 'rest' and k.role = 'call')"
+IDLE = """idle as (select * from (select m.identity as module, coalesce(served, 0) as served, coalesce(published, 0) as published, coalesce(consumed, 0) as consumed, coalesce("read", 0) as "read", coalesce(written, 0) as written
+  from modules m left join (select module, count(distinct case when role = 'serve' then topic end) as served, count(distinct case when role = 'produce' then topic end) as published, count(distinct case when role = 'consume' then topic end) as consumed from ep group by module) e on e.module = m.identity
+  left join (select module, count(distinct case when operation not in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert') then collection end) as "read",
+    count(distinct case when operation in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert') then collection end) as written from coll group by module) c on c.module = m.identity
+  where not m.starts_application and m.kind <> 'aggregator') x where served + published + consumed + "read" + written > 0)"""
+AUDIT = f"""with {EP}, {EFFECTIVE}, {KAFKA}, {REST}, {CONTRACTS}, {MOD}, {COLL}, {INSIDE}, {IDLE}, two as (select a.source as a, a.target as b from (select distinct source, target from rest) a join (select distinct source, target from rest) b on a.source = b.target and a.target = b.source and a.source < a.target),
+members as (select topic, string_agg(distinct module, ' ' order by module) as members from ep where system = 'kafka' and not topic_dynamic group by topic),
+issues as (
+  select distinct 'dynamic-kafka-topic' as rule, 'WARNING' as severity, id as subject, coalesce(module, '') as services, concat(path, ':', cast(start_line as varchar)) as evidence, 'high' as confidence from ep where topic_dynamic and system = 'kafka'
+  union all select distinct 'dynamic-http-target', 'WARNING', id, coalesce(module, ''), concat(path, ':', cast(start_line as varchar)), 'high' from ep where system = 'rest' and role = 'call' and topic like '% <dynamic>'
+  union all select distinct case when role = 'produce' then 'orphan-kafka-producer' else 'orphan-kafka-consumer' end, 'WARNING', id, module, concat(topic, ' ', path, ':', cast(start_line as varchar)), 'high' from ep
+    where system = 'kafka' and not topic_dynamic and module is not null and not exists (select 1 from kafka k where k.topic = ep.topic and case when role = 'produce' then k.source else k.target end = ep.module)
+  union all select concat('kafka-message-contract-', finding), 'WARNING', contracts.topic, members, concat('writes ', producer_types, ', reads ', consumer_types), 'medium' from contracts join members on members.topic = contracts.topic
+  union all select 'synchronous-rest-cycle', 'ERROR', concat(a, ' ', b), concat(a, ' ', b), concat(a, ' ', b), 'high' from two
+  union all select 'synchronous-http-in-kafka-consumer', 'WARNING', concat(consumer_id, ' ', call_id), coalesce(module, ''), path, 'high' from inside
+  union all select 'non-runtime-module-activity', 'WARNING', module, module, concat('served=', cast(served as varchar), ' published=', cast(published as varchar), ' consumed=', cast(consumed as varchar), ' read=', cast("read" as varchar), ' written=', cast(written as varchar)), 'high' from idle)"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
-    return audit.audit(ep, edges.rest_edges(ep), edges.calls_in_consumers(ep)).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    idle = audit.idle_module_activity(facts.modules(spark, sf_dir), ep, facts.collections(spark, sf_dir))
+    return audit.audit(ep, rest_index(spark, sf_dir), edges.calls_in_consumers(ep), kafka=kafka_index(spark, sf_dir), idle=idle)
+
+
+@query(f"{AUDIT} select rule, severity, count(*) as n from issues group by all")
+def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(spark, sf_dir).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"{AUDIT} select * from issues")
+def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.in_order(_issues(spark, sf_dir))
+
+
+@query(f"with {EP}, {MOD}, {COLL}, {IDLE} select * from idle")
+def idle_module_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.idle_module_activity(facts.modules(spark, sf_dir), facts.endpoints(spark, sf_dir), facts.collections(spark, sf_dir))
+
+
+@query(f"with {EP}, {EFFECTIVE}, {KAFKA} select id, role, module, topic from ep where system = 'kafka' and not topic_dynamic and not exists (select 1 from kafka k where k.topic = ep.topic and case when role = 'produce' then k.source else k.target end = ep.module)")
+def orphan_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.orphan_endpoints(facts.endpoints(spark, sf_dir), kafka_index(spark, sf_dir)).select("id", "role", "module", "topic")
+
+
+@query(f"with {EP}, {REST} select call_id, source, target from configured")
+def configured_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.configured_edges(facts.endpoints(spark, sf_dir), rest_index(spark, sf_dir))
+
+
+@query(f"with {EP}, {REST} select call_id, source, target from external_")
+def external_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.external_edges(facts.endpoints(spark, sf_dir))
+
+
+SERVICE_GRAPH = f"""with {EP}, {EFFECTIVE}, {KAFKA}, {REST}, service_graph as (
+  select 'rest' as kind, source, target, serve as label, count(*) as links from rest group by all
+  union all select 'configured', source, target, null, 1 from configured union all select 'external', source, target, null, 1 from external_
+  union all select 'kafka', source, target, topic, cast(links as bigint) from kafka)"""
+
+
+@query(f"{SERVICE_GRAPH} select * from service_graph")
+def service_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.service_graph(facts.endpoints(spark, sf_dir), facts.aliases(spark, sf_dir))
+
+
+@query(f"with {EP}, {REST} select r.call_id, r.serve_id, r.source, r.target, r.call from rest r join hinted h on h.id = r.call_id where h.topic_dynamic and h.dom is not null")
+def projected_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ep = facts.endpoints(spark, sf_dir).where("topic_dynamic").where(text.domain(F.col("snippet")).isNotNull()).select(F.col("id").alias("call_id"))
+    return rest_index(spark, sf_dir).join(ep, "call_id", "left_semi").select("call_id", "serve_id", "source", "target", "call")
 
 
 @query(f"with {EP}, {REST} select a.source as a, a.target as b from (select distinct source, target from rest) a join (select distinct source, target from rest) b on a.source = b.target and a.target = b.source and a.source < a.target")
 def rest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.rest_cycles(edges.rest_edges(facts.endpoints(spark, sf_dir)))
+    return audit.rest_cycles(rest_index(spark, sf_dir))
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
-    return relations.architecture_relations(ep, facts.module_dependencies(spark, sf_dir), runtime_modules(spark, sf_dir), edges.rest_edges(ep).select("source", "target").distinct(), edges.kafka_edges(ep).select("source", "target").distinct())
+    return relations.architecture_relations(ep, facts.module_dependencies(spark, sf_dir), runtime_modules(spark, sf_dir), rest_index(spark, sf_dir).select("source", "target").distinct(), kafka_index(spark, sf_dir).select("source", "target").distinct())
 
 
 RELATIONS = f"""with {EP}, {DEP}, {RUNTIME}, {EFFECTIVE}, {KAFKA}, {REST}, kinds as (select module, case when module in (select module from run) then 'microservice' else 'module' end as k from (select module from ep union select source from dep union select target from dep) x),
@@ -221,10 +305,10 @@ def reply_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 select code, severity, count(*) as n from (
   select 'dynamic_kafka_topic' as code, 'warning' as severity from ep where system = 'kafka' and topic_dynamic
   union all select 'unknown_kafka_message_type', 'info' from ep where system = 'kafka' and message_type is null
-  union all select 'unmatched_http_call', case when topic_dynamic then 'warning' else 'info' end from ep where system = 'rest' and role = 'call' and id not in (select call_id from matched)) x group by all""")
+  union all select case when status = 'ambiguous' then 'ambiguous_http_target' else 'unmatched_http_call' end, case when status = 'ambiguous' or topic_dynamic then 'warning' else 'info' end from resolved where id not in (select call_id from matched)) x group by all""")
 def indexing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
-    return catalog.issues(ep, edges.resolved_calls(ep), edges.rest_edges(ep))
+    return catalog.issues(ep, edges.resolved_calls(ep, facts.aliases(spark, sf_dir)), rest_index(spark, sf_dir))
 
 
 DEPENDENCY_EDGES = f"""with {EP}, {REST}, graph as (
@@ -237,7 +321,7 @@ DEPENDENCY_EDGES = f"""with {EP}, {REST}, graph as (
 @query(f"{DEPENDENCY_EDGES} select * from graph")
 def dependency_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
-    return catalog.dependency_edges(ep, edges.rest_edges(ep))
+    return catalog.dependency_edges(ep, rest_index(spark, sf_dir))
 
 
 DEGREES = f"""{DEPENDENCY_EDGES}, links as (select distinct source, target, case when kind in ('publishes', 'consumes') then 'kafka' else 'http' end as kind from graph),
@@ -261,14 +345,25 @@ def complexity_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.terciles(d.select(F.col("node").alias("id"), F.col("degree").alias("score")))
 
 
-@query("""with m as (select p_partkey, concat(p_name, case p_size % 4 when 0 then '-repository' when 1 then '-api' when 2 then '-domain' else '' end) as owner, concat(p_brand, '/', cast(p_size % 10 as varchar)) as resource, case when p_size % 8 = 3 then 'application' else 'library' end as kind from part),
-l as (select distinct resource, owner, case when regexp_matches(lower(owner), '(^|[-_])(repository|persistence|dao)($|[-_])') then 'persistence' when regexp_matches(lower(owner), '(^|[-_])domain($|[-_])') then 'domain' when regexp_matches(lower(owner), '(^|[-_])(api|client)($|[-_])') then 'api' when kind = 'application' then 'application' else 'module' end as layer from m)
-select resource, owner, layer from l qualify row_number() over (partition by resource order by case layer when 'api' then 0 when 'application' then 1 when 'domain' then 4 when 'persistence' then 5 else -1 end desc, owner) = 1""")
+LAYER = """case when lower(namespace) = 'portail' then 'api' when lower(namespace) = 'cycle-de-vie' then 'orchestration'
+  when regexp_matches(lower(name), '^(persistence|repository|storage|data)-|-(persistence|repository|storage|data)$') then 'persistence' when regexp_matches(lower(name), '^domain-') then 'domain'
+  when regexp_matches(lower(name), '^(api|contract|contracts)-|-(api|contract|contracts)$') then 'api' when regexp_matches(lower(name), '^(infra|infrastructure)-|-(infra|infrastructure)$') then 'infrastructure'
+  when regexp_matches(lower(name), '^(shared|common|lib|library)-') then 'shared' when starts_application then 'application' else 'module' end"""
+
+
+@query(f"with {MOD} select identity, name, namespace, {LAYER} as layer from modules")
+def module_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = facts.modules(spark, sf_dir)
+    return m.select("identity", "name", "namespace", ranking.layer(F.col("name"), F.col("starts_application"), F.col("namespace")).alias("layer"))
+
+
+@query(f"""with {MOD}, {COLL}, l as (select distinct collection as resource, name as owner, {LAYER} as layer from coll join modules on identity = module where operation in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert'))
+select resource, owner, layer from l qualify row_number() over (partition by resource order by case layer when 'api' then 0 when 'application' then 1 when 'orchestration' then 2 when 'infrastructure' then 3 when 'domain' then 4 when 'persistence' then 5 when 'external' then 6 else -1 end desc, owner) = 1""")
 def resource_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = facts.table(spark, sf_dir, "part")
-    suffix = F.when(F.col("p_size") % 4 == 0, "-repository").when(F.col("p_size") % 4 == 1, "-api").when(F.col("p_size") % 4 == 2, "-domain").otherwise("")
-    w = p.select(F.concat("p_name", suffix).alias("owner"), F.concat("p_brand", F.lit("/"), facts.text(F.col("p_size") % 10)).alias("resource"), F.when(F.col("p_size") % 8 == 3, "application").otherwise("library").alias("kind"))
-    return ranking.owners(w.select("resource", "owner", ranking.layer(F.col("owner"), F.col("kind")).alias("layer")).distinct())
+    m = facts.modules(spark, sf_dir)
+    own = m.select(F.col("identity").alias("module"), F.col("name").alias("owner"), ranking.layer(F.col("name"), F.col("starts_application"), F.col("namespace")).alias("layer"))
+    writes = facts.collections(spark, sf_dir).where(F.col("operation").isin(audit.WRITES)).select("module", F.col("collection").alias("resource")).distinct()
+    return ranking.owners(writes.join(own, "module").select("resource", "owner", "layer"))
 
 
 @query(f"with recursive {DEP}, reach(source, target) as (select source, target from dep union select r.source, d.target from reach r join dep d on r.target = d.source) select source, target from reach")
@@ -284,18 +379,41 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversals.strong_components(facts.module_dependencies(spark, sf_dir))
 
 
-@query(f"""with recursive {DEP}, ways as (select source, target from dep union select target, source from dep), walk(node, depth, path) as (
-  select 'svc-1', 0, ['svc-1'] union all select d.target, depth + 1, list_append(path, d.target) from walk join ways d on d.source = node where depth < 5 and node <> 'svc-2' and not list_contains(path, d.target)),
-hit as (select * from walk where node = 'svc-2'), best as (select array_to_string(path, ' > ') as path, depth from hit where depth = (select min(depth) from hit))
-select cast(depth as integer) as depth, path, (select count(*) from best) > 20 as truncated from best order by path limit 20""")
+LINKS = "links as (select distinct source, target, concat('http ', target, ': ', serve) as id from rest union select distinct source, topic, 'publishes' from kafka union select distinct topic, target, 'consumes' from kafka)"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target, id: relations between services and topics; a message is two, by its topic."""
+    rest = rest_index(spark, sf_dir).select("source", "target", F.concat(F.lit("http "), "target", F.lit(": "), "serve").alias("id"))
+    kafka = kafka_index(spark, sf_dir)
+    return rest.union(kafka.select("source", "topic", F.lit("publishes"))).union(kafka.select("topic", "target", F.lit("consumes"))).distinct()
+
+
+def _runtime_ends(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The first and the last of the modules that run."""
+    found = facts.modules(spark, sf_dir).where("starts_application").agg(F.min("identity"), F.max("identity")).first()
+    return found[0] or "", found[1] or ""
+
+
+@query(f"""with recursive {EP}, {EFFECTIVE}, {KAFKA}, {REST}, {MOD}, {LINKS}, ends as (select min(identity) as a, max(identity) as b from modules where starts_application),
+dist(node, depth) as (select a, 0 from ends union select l.target, d.depth + 1 from dist d join links l on l.source = d.node where d.depth < 12),
+near as (select node, min(depth) as depth from dist group by node), goal as (select near.depth from near join ends on near.node = ends.b),
+walk(node, depth, steps) as (select a, 0, [a] from ends union all select l.target, w.depth + 1, w.steps || [l.target, l.id] from walk w join links l on l.source = w.node join near n on n.node = l.target and n.depth = w.depth + 1 join goal g on w.depth < g.depth join ends on w.depth + 1 < g.depth or l.target = ends.b),
+best as (select walk.steps, walk.depth from walk join ends on walk.node = ends.b join goal g on walk.depth = g.depth)
+select cast(depth as integer) as depth, array_to_string([steps[1]] || list_filter(steps, lambda x, i: i > 1 and i % 2 = 0), ' > ') as path, array_to_string(list_filter(steps, lambda x, i: i > 1 and i % 2 = 1), ' > ') as relations, (select count(*) from best) > 20 as truncated
+from best order by steps limit 20""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dep = facts.module_dependencies(spark, sf_dir)
-    return traversals.shortest_paths(dep.union(dep.select(F.col("target").alias("source"), F.col("source").alias("target"))), "svc-1", "svc-2")
+    return traversals.shortest_paths(_links(spark, sf_dir), *_runtime_ends(spark, sf_dir))
 
 
-@query(f"with recursive {DEP}, acyclic as (select * from dep where source < target), nodes as (select source as node from acyclic union select target from acyclic), up(node, level) as (select node, 0 from nodes union select a.target, level + 1 from up join acyclic a on a.source = node) select node, cast(max(level) as integer) as level from up group by node")
+@query(None)
+def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversals.simple_paths(_links(spark, sf_dir).where("id in ('publishes', 'consumes')"), *_runtime_ends(spark, sf_dir))
+
+
+@query(f"with recursive {DEP}, nodes as (select source as node from dep union select target from dep), reach(source, target) as (select source, target from dep where source <> target union select r.source, d.target from reach r join dep d on d.source = r.target), stuck as (select distinct node from nodes where exists (select 1 from reach c where c.source = c.target and (c.source = node or exists (select 1 from reach r where r.source = c.source and r.target = node)))), up(node, level) as (select node, 0 from nodes where node not in (select node from stuck) union select d.target, level + 1 from up join dep d on d.source = up.node where d.target not in (select node from stuck)), free as (select node, max(level) as level from up group by node) select node, cast(level as integer) as level from free union all select node, coalesce((select max(level) + 1 from free), 0) from stuck")
 def topology_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traversals.levels(facts.module_dependencies(spark, sf_dir).where("source < target"))
+    return traversals.levels(facts.module_dependencies(spark, sf_dir))
 
 
 @query(None)
@@ -305,10 +423,9 @@ def topic_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversals.flows(ep.where("role = 'produce'").select("module", "topic"), ep.where("role = 'consume'").select("module", "topic"), start or "")
 
 
-@query(f"with {EP}, {EFFECTIVE}, {KAFKA}, x as (select distinct source, target from kafka where source < target) select source as node, cast(count(*) as bigint) as later from x group by source")
+@query(f"with {EP}, {EFFECTIVE}, {KAFKA} select source as node, count(distinct target) as targets, count(distinct topic) as topics from kafka group by source")
 def kafka_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges.kafka_edges(facts.endpoints(spark, sf_dir)).where("source < target").select("source", "target").distinct()
-    return e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("later"))
+    return kafka_index(spark, sf_dir).groupBy(F.col("source").alias("node")).agg(F.count_distinct("target").alias("targets"), F.count_distinct("topic").alias("topics"))
 
 
 @query(None)
@@ -318,7 +435,7 @@ def all_topology_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {EP}, {EFFECTIVE}, {KAFKA}, x as (select distinct source, target from kafka) select source as node, cast(count(*) as bigint) as targets from x group by source")
 def all_kafka_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges.kafka_edges(facts.endpoints(spark, sf_dir)).select("source", "target").distinct()
+    e = kafka_index(spark, sf_dir).select("source", "target").distinct()
     return e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("targets"))
 
 
@@ -508,10 +625,10 @@ def build_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.build_dependencies(p.select(me.alias("source"), ref.alias("ref")), p.select(me.alias("identity"), F.concat(F.lit("/p/"), facts.text("p_partkey")).alias("path"), name.alias("name")))
 
 
-@query(f"with recursive {DEP}, roots as (select distinct source as root, source as node from dep where source like '%7'), reach(root, node) as (select root, node from roots union select r.root, d.target from reach r join dep d on d.source = r.node) select root, node from reach")
+@query(f"with recursive {DEP}, reach(root, node) as (select source, source from dep union select r.root, d.target from reach r join dep d on d.source = r.node) select root, node from reach")
 def module_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep = facts.module_dependencies(spark, sf_dir)
-    return resolution.closures(dep.where("source like '%7'").select(F.col("source").alias("root"), F.col("source").alias("node")), dep)
+    return resolution.closures(dep.select(F.col("source").alias("root"), F.col("source").alias("node")), dep)
 
 
 @query(None)

@@ -17,7 +17,10 @@ def activity(stream: DataFrame, *, window: str = "10 minutes", delay: str = "1 h
 
 
 def replace_facts(stream: DataFrame, target: str, checkpoint: str):
-    """Start a query that writes each batch of changed files' facts as a version; ``current`` reads the newest of each path."""
+    """Start a query that writes each batch of changed files' facts as a version; ``current`` reads the newest of each path.
+
+    A file that went is a row of its path with ``deleted`` true.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{target}/version={number:020d}")
@@ -26,7 +29,8 @@ def replace_facts(stream: DataFrame, target: str, checkpoint: str):
 
 
 def current(spark, target: str) -> DataFrame:
-    """The facts of the newest version of each path."""
+    """The facts of the newest version of each path, without deleted files."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(target)
     newest = rows.groupBy("path").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["path", "version"], "left_semi")
+    out = rows.join(newest, ["path", "version"], "left_semi")
+    return out.where("not coalesce(deleted, false)").drop("deleted") if "deleted" in out.columns else out

@@ -158,7 +158,7 @@ def test_event_cycles_and_flows(spark):
     assert [tuple(r) for r in traversals.event_cycles(e, kinds).collect()] == [("a", 3, 2, 1)]
     pub = spark.createDataFrame([("b", "u"), ("c", "t")], "module string, topic string")
     con = spark.createDataFrame([("b", "t"), ("c", "u"), ("d", "u")], "module string, topic string")
-    assert {tuple(r) for r in traversals.flows(pub, con, "t").collect()} == {("t > b > u > c > t", "cycle"), ("t > b > u > d", "leaf")}
+    assert {tuple(r) for r in traversals.flows(pub, con, "t").collect()} == {("t > b > u > c > t", "cycle", False), ("t > b > u > d", "leaf", False)}
 
 
 def test_streamed_replacement(spark, tmp_path):

@@ -5,14 +5,11 @@ from factloom.plans import traversals
 
 
 def plain_flows(pub, con, start, max_depth=6, limit=50):
-    """The reference's search, with a leaf where a topic has no consumer."""
+    """A plain depth-first search; topics without a consumer give no path."""
     found = []
 
     def visit(nodes, depth):
-        modules = sorted({m for m, t in con if t == nodes[-1]})
-        if not modules:
-            found.append((" > ".join(nodes), "leaf"))
-        for m in modules:
+        for m in sorted({m for m, t in con if t == nodes[-1]}):
             topics = sorted({t for n, t in pub if n == m})
             if depth >= max_depth or not topics:
                 found.append((" > ".join([*nodes, m]), "depth" if topics else "leaf"))
@@ -24,7 +21,7 @@ def plain_flows(pub, con, start, max_depth=6, limit=50):
                     visit([*nodes, m, t], depth + 1)
 
     visit([start], 1)
-    return found[:limit]
+    return [(*f, len(found) > limit) for f in found[:limit]]
 
 
 def test_flows_against_plain_python(spark):
@@ -33,7 +30,38 @@ def test_flows_against_plain_python(spark):
     wild = tuple([(f"m{rng.randrange(9)}", f"t{rng.randrange(9)}") for _ in range(18)] for _ in range(2))
     for pub, con in (chain, wild):
         a, b = (spark.createDataFrame(x, "module string, topic string") for x in (pub, con))
-        assert [tuple(r) for r in traversals.flows(a, b, "t0").collect()] == plain_flows(pub, con, "t0")
+        for limit in (50, 3):
+            assert [tuple(r) for r in traversals.flows(a, b, "t0", limit=limit).collect()] == plain_flows(pub, con, "t0", limit=limit)
+
+
+def test_flows_search_on_where_first_paths_end_nothing(spark):
+    """Many early branches lead to topics that nothing reads; the search widens until the later endings are known."""
+    pub = [("m", f"a{k:03}") for k in range(200)] + [(f"c{k:03}", f"dead{k}") for k in range(200)] + [("m", "z")]
+    con = [("m", "t0")] + [(f"c{k:03}", f"a{k:03}") for k in range(200)] + [("end", "z")]
+    a, b = (spark.createDataFrame(x, "module string, topic string") for x in (pub, con))
+    got = [tuple(r) for r in traversals.flows(a, b, "t0", limit=2).collect()]
+    assert got == plain_flows(pub, con, "t0", limit=2) == [("t0 > m > z > end", "leaf", False)]
+
+
+def test_simple_paths_against_plain_python(spark):
+    rng = random.Random(4)
+    pairs = sorted({(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}") for _ in range(26)})
+    found = []
+
+    def visit(nodes):
+        if nodes[-1] == "n8":
+            found.append(" > ".join(nodes))
+        elif len(nodes) <= 5:
+            for a, b in pairs:
+                if a == nodes[-1] and b not in nodes:
+                    visit([*nodes, b])
+
+    visit(["n0"])
+    e = spark.createDataFrame(pairs, "source string, target string")
+    got = traversals.simple_paths(e, "n0", "n8", max_depth=5, limit=4).collect()
+    assert [r.path for r in got] == sorted(found)[:4] and all(r.truncated == (len(found) > 4) for r in got)
+    line = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "source string, target string")
+    assert [tuple(r) for r in traversals.itinerary(line, "a -> b -> c -> a").collect()] == [(1, "a > b", 1), (2, "b > c", 1)]
 
 
 def test_parallel_edges_give_paths_of_their_own(spark):
