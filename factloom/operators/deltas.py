@@ -64,3 +64,32 @@ def load_snapshot(spark: SparkSession, path: str, version: int) -> dict[str, Dat
             return spark.read.parquet(f"{path}/{row['snapshot']}/{name}")
 
     return Tables()
+
+
+def insert_unique(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """``old`` and ``new`` together; a key that ``old`` has or ``new`` repeats raises when the result is computed."""
+    both = old.unionByName(new)
+    counts = both.groupBy(key).agg(F.count("*").alias("_n"))
+    checked = counts.select(F.col(key), F.assert_true(F.col("_n") == 1, F.concat(F.lit("repeated key "), F.col(key).cast("string"))).alias("_ok")).where("_ok is null")
+    return both.join(checked.select(key), key)
+
+
+def delete_keys(rows: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def remove_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the rows of the given paths."""
+    return {name: df.join(paths.select("path").distinct(), "path", "left_anti") for name, df in tables.items()}
+
+
+def purge_once(rows: DataFrame, meta: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
+    """No rows and the flag set in ``meta`` (key, value), if it isn't set yet; else both as they are."""
+    if not meta.where(F.col("key") == flag).isEmpty():
+        return rows, meta
+    return rows.limit(0), upsert(meta, rows.sparkSession.createDataFrame([(flag, "done")], "key string, value string"), "key")
+
+
+def as_json(rows: DataFrame, order: list[str]) -> DataFrame:
+    """line: each row as a JSON object with its keys in order of the columns, rows in a stated order."""
+    return rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))

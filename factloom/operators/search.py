@@ -69,6 +69,13 @@ def top_rules(findings: DataFrame, n: int = 10) -> DataFrame:
     return severity_counts(findings, "rule_id").orderBy(F.col("n").desc(), "value").limit(n)
 
 
+def finding_summary(findings: DataFrame, rules: int = 10) -> DataFrame:
+    """measure, value, n: findings by severity, by the ``rules`` most frequent rules, and by first folder."""
+    folder = findings.groupBy(F.lit("folder").alias("measure"), F.substring_index("path", "/", 1).alias("value")).agg(F.count("*").alias("n"))
+    severity = severity_counts(findings, "severity").select(F.lit("severity"), "value", "n")
+    return severity.union(top_rules(findings, rules).select(F.lit("rule"), "value", "n")).union(folder).toDF("measure", "value", "n")
+
+
 def first_per_category(rows: DataFrame, category: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each category and whether it has more."""
     w = Window.partitionBy(category)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.filters import exportable, first_per_key, resolve_names
+from factloom.operators.search import first_per_category
+
 
 def _names(condition, column: str) -> F.Column:
     return F.array_join(F.array_sort(F.collect_set(F.when(condition, F.col(column)))), ",")
@@ -124,3 +127,152 @@ def federate(parts: dict[str, DataFrame]) -> DataFrame:
         own = df.withColumn("id", F.concat(F.lit(f"{service}:"), "id")).withColumn("service", F.lit(service))
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out.dropDuplicates(["id"])
+
+
+KINDS = ["microservice", "module", "topic", "api", "collection", "dto", "endpoint"]
+ALIASES = {"service": "microservice", "microservices": "microservice", "services": "microservice", "modules": "module", "topics": "topic", "apis": "api", "route": "api", "routes": "api", "collections": "collection", "dtos": "dto", "endpoints": "endpoint"}
+
+
+def kind_of(name: str) -> str:
+    """The kind that a name or its plural stands for."""
+    low = name.strip().lower()
+    return ALIASES.get(low, low)
+
+
+def list_objects(kind: str, endpoints: DataFrame, modules: DataFrame, collections: DataFrame) -> DataFrame:
+    """kind, name: all objects of a kind, each once; of an unknown kind none. ``modules``: identity, starts_application; ``collections``: collection."""
+    kind = kind_of(kind)
+    names = {
+        "microservice": lambda: modules.where("starts_application").select("identity"),
+        "module": lambda: modules.select("identity"),
+        "topic": lambda: endpoints.where("system = 'kafka'").select("topic"),
+        "api": lambda: endpoints.where("system = 'rest'").select("topic"),
+        "collection": lambda: collections.select("collection"),
+        "dto": lambda: endpoints.where("system = 'kafka' and message_type <> ''").select("message_type"),
+        "endpoint": lambda: endpoints.select("id"),
+    }
+    found = names[kind]() if kind in names else modules.select("identity").limit(0)
+    return found.distinct().select(F.lit(kind).alias("kind"), F.col(found.columns[0]).alias("name"))
+
+
+def show_objects(wanted: DataFrame, near: DataFrame) -> DataFrame:
+    """The neighbours of each wanted object (kind, name); objects that aren't known give no row."""
+    return near.join(wanted.select("kind", "name").distinct(), ["kind", "name"])
+
+
+def external_apis(endpoints: DataFrame, rest: DataFrame) -> DataFrame:
+    """module, api: routes that a module calls and no edge of its own matches."""
+    matched = rest.select(F.col("call_id").alias("_c"), F.col("source").alias("_s")).distinct()
+    calls = endpoints.where("system = 'rest' and role = 'call' and module is not null")
+    return calls.join(matched, (F.col("id") == F.col("_c")) & (F.col("module") == F.col("_s")), "left_anti").select("module", F.col("topic").alias("api")).distinct()
+
+
+def collection_summary(collections: DataFrame, modules: DataFrame) -> DataFrame:
+    """collection, modules, services (runtime modules only; both sorted, by comma) and the number of its operations."""
+    m = modules.select(F.col("identity").alias("module"), "starts_application")
+    return collections.join(m, "module").groupBy("collection").agg(_names(F.lit(True), "module").alias("modules"), _names(F.col("starts_application"), "module").alias("services"), F.count("*").alias("operations"))
+
+
+def collection_access(collections: DataFrame, writes: list[str]) -> DataFrame:
+    """node, module, collection, access: reads or writes of collections, as nodes of their services."""
+    way = F.when(F.col("operation").isin(writes), "writes").otherwise("reads")
+    return collections.select(F.concat("module", F.lit(":"), "collection").alias("node"), "module", "collection", way.alias("access")).distinct()
+
+
+def module_lists(endpoints: DataFrame) -> DataFrame:
+    """module, and what it serves, calls, publishes and consumes, sorted and joined by commas."""
+    e = endpoints.where(F.col("module").isNotNull())
+    sides = {"served": "serve", "called": "call", "published": "produce", "consumed": "consume"}
+    return e.groupBy("module").agg(*(_names(F.col("role") == role, "topic").alias(name) for name, role in sides.items()))
+
+
+def flow_sites(asked: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """query, topic, service, id, role: where the topic or route that a query names is used; the query is exact or in one name only."""
+    found = resolve_names(asked, endpoints.select(F.col("topic").alias("name"))).where("resolved is not null").select("query", F.col("resolved").alias("topic"))
+    return endpoints.join(found, "topic").select("query", "topic", F.coalesce("module", F.lit("")).alias("service"), "id", "role").distinct()
+
+
+def visual_edges(endpoints: DataFrame) -> DataFrame:
+    """source, target, relation, evidence: one link of a service and a topic, with the strongest of its evidence: dynamic, manifest, code."""
+    k = endpoints.where("system = 'kafka' and module is not null")
+    out = F.col("role") == "produce"
+    links = k.groupBy(F.when(out, F.col("module")).otherwise(F.col("topic")).alias("source"), F.when(out, F.col("topic")).otherwise(F.col("module")).alias("target"), F.when(out, "publishes").otherwise("consumes").alias("relation"))
+    t = links.agg(F.max("topic_dynamic").alias("d"), F.max(F.col("source") == "manifest").alias("m"))
+    return t.select("source", "target", "relation", F.when(F.col("d"), "dynamic").when(F.col("m"), "manifest").otherwise("code").alias("evidence"))
+
+
+def graph_totals(graph: DataFrame) -> DataFrame:
+    """measure, n: nodes, links, and links by kind and confidence of a dependency graph."""
+    nodes = graph.select(F.col("source").alias("node")).union(graph.select("target")).distinct()
+    parts = [
+        nodes.agg(F.lit("nodes").alias("measure"), F.count("*").alias("n")),
+        graph.agg(F.lit("links"), F.count("*")),
+        graph.groupBy(F.concat(F.lit("kind "), "kind")).agg(F.count("*")),
+        graph.groupBy(F.concat(F.lit("confidence "), "confidence")).agg(F.count("*")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def endpoints_by_module(endpoints: DataFrame, *, keep_null: bool = False) -> DataFrame:
+    """module, n; endpoints without a module are left out or, with ``keep_null``, a group of their own."""
+    return (endpoints if keep_null else endpoints.where(F.col("module").isNotNull())).groupBy("module").agg(F.count("*").alias("n"))
+
+
+def unresolved_samples(endpoints: DataFrame, rest: DataFrame, n: int = 20) -> DataFrame:
+    """category, id, module, topic, path, start_line, truncated: the first ``n`` dynamic topics, topics of unknown type and unmatched calls by place."""
+    calls = endpoints.where("system = 'rest' and role = 'call'").join(rest.select(F.col("call_id").alias("id")).distinct(), "id", "left_anti")
+    own = lambda df, name: df.select(F.lit(name).alias("category"), "id", "module", "topic", "path", "start_line")
+    k = endpoints.where("system = 'kafka'")
+    every = own(k.where("topic_dynamic"), "dynamic_kafka_topics").union(own(k.where("message_type is null"), "unknown_kafka_message_types")).union(own(calls, "unmatched_http_calls"))
+    return first_per_category(every, "category", ["path", "start_line", "id"], n)
+
+
+def deployable(endpoints: DataFrame, modules: DataFrame) -> DataFrame:
+    """service: services of endpoints that no local module is, or whose module starts an application, by exportable names."""
+    m = modules.select(F.col("identity").alias("service"), "starts_application")
+    names = endpoints.where(F.col("module").isNotNull()).select(F.col("module").alias("service")).distinct()
+    return names.join(m, "service", "left").where((F.col("starts_application").isNull() | F.col("starts_application")) & exportable(F.col("service"))).select("service")
+
+
+def module_by_reference(asked: DataFrame, modules: DataFrame) -> DataFrame:
+    """reference, identity: the module of that identity, else the only one of that display name, else null."""
+    exact = modules.select(F.col("identity").alias("reference"), F.col("identity").alias("_exact"))
+    named = modules.groupBy(F.col("name").alias("reference")).agg(F.count("*").alias("_n"), F.min("identity").alias("_only")).where("_n = 1").drop("_n")
+    return asked.select("reference").distinct().join(exact, "reference", "left").join(named, "reference", "left").select("reference", F.coalesce("_exact", "_only").alias("identity"))
+
+
+def workload_modules(workloads: DataFrame, modules: DataFrame) -> DataFrame:
+    """All workloads (workload, ...) with the module of exactly that name, null if none."""
+    return workloads.join(modules.select(F.col("name").alias("workload"), F.col("identity").alias("module")), "workload", "left")
+
+
+def federated(rows: DataFrame, services: DataFrame) -> DataFrame:
+    """Rows of many local inventories (column service) in one: ids get their service before them, and a service's own local name becomes the service.
+
+    ``services``: service, local (its own identity in its inventory). Columns module, source_name and
+    target_name are rewritten where they are; names of relations only where their kind is a microservice.
+    Of rows with one id the first in order of all columns stays.
+    """
+    out = rows.join(services.select("service", F.col("local").alias("_local")), "service", "left")
+    out = out.withColumn("id", F.concat("service", F.lit(":"), "id"))
+    for name, kind in (("module", None), ("source_name", "source_kind"), ("target_name", "target_kind")):
+        if name in rows.columns:
+            own = F.col(name) == F.col("_local")
+            own = own & (F.col(kind) == "microservice") if kind else own
+            out = out.withColumn(name, F.when(own, F.col("service")).otherwise(F.col(name)))
+    out = out.drop("_local")
+    return first_per_key(out, ["id"], [F.col(c).asc_nulls_first() for c in sorted(set(out.columns) - {"id"})])
+
+
+def federation_warnings(services: DataFrame, indexed: DataFrame) -> DataFrame:
+    """service, warning: runtime services (service, kind) that a federation lacks; edges are derived from the others alone."""
+    lacking = services.where("kind = 'microservice'").join(indexed.select("service").distinct(), "service", "left_anti")
+    return lacking.select("service", F.lit("not indexed: dependencies are partial").alias("warning"))
+
+
+def workspace_services(modules: DataFrame) -> DataFrame:
+    """service, kind: modules but aggregators as services; a module that starts no application is a shared one."""
+    return modules.where("kind <> 'aggregator'").select(F.col("identity").alias("service"), F.when(F.col("starts_application"), "microservice").otherwise("shared-module").alias("kind"))

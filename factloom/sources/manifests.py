@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import cpu_millicores, glob_pattern, is_test_source, memory_bytes
+from factloom.functions.text import ancestors, cpu_millicores, glob_pattern, is_test_source, memory_bytes
 
 
 def scan_files(spark, folder: str, *, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
@@ -79,3 +79,121 @@ def workload_sizes(containers: DataFrame) -> DataFrame:
     """workload and its summed requests and limits; missing ones are skipped, all missing gives null. Init containers don't count."""
     run = containers.where(~F.col("init"))
     return run.groupBy("workload").agg(F.sum(cpu_millicores(F.col("cpu_request"))).alias("cpu_request_millicores"), F.sum(memory_bytes(F.col("memory_request"))).alias("memory_request_bytes"), F.sum(cpu_millicores(F.col("cpu_limit"))).alias("cpu_limit_millicores"), F.sum(memory_bytes(F.col("memory_limit"))).alias("memory_limit_bytes"))
+
+
+# What facts of a manifest may say of themselves.
+NODE_KINDS = ["microservice", "module", "topic", "api", "collection", "dto", "external", "database", "queue", "class"]
+STATUSES = ["confirmed", "inferred", "ambiguous", "unresolved"]
+CONFIDENCES = ["high", "medium", "low", "unknown"]
+
+
+def _manifests(files: DataFrame) -> DataFrame:
+    item = "struct<id: string, kind: string, name: string, source: string, target: string, relation: string, status: string, confidence: string, reason: string, technology: string, evidence: array<struct<path: string, start_line: int>>>"
+    schema = f"mode string, generated_by struct<namespace: string, pass: string, source_revision: string>, nodes array<{item}>, edges array<{item}>"
+    return files.select("path", F.from_json("text", schema).alias("m"))
+
+
+def fact_items(files: DataFrame) -> DataFrame:
+    """path, namespace, pass, source_revision, complete, fact_type, n (its place), and the fields of each node and edge of fact manifests in JSON (path, text)."""
+    m = _manifests(files)
+    own = [F.col("path"), F.coalesce("m.generated_by.namespace", F.lit("default")).alias("namespace"), F.col("m.generated_by.pass").alias("pass"), F.col("m.generated_by.source_revision").alias("source_revision"), (F.coalesce("m.mode", F.lit("partial")) == "complete").alias("complete")]
+    side = lambda column, kind: m.select(*own, F.lit(kind).alias("fact_type"), F.posexplode(f"m.{column}").alias("n", "x"))
+    every = side("nodes", "node").union(side("edges", "edge"))
+    first = F.get("x.evidence", F.lit(0))
+    line = F.when(first["start_line"] >= 1, first["start_line"])
+    fields = ["id", "kind", "name", "source", "target", "relation", "reason", "technology"]
+    return every.select("path", "namespace", "pass", "source_revision", "complete", "fact_type", "n", *(F.col(f"x.{c}").alias(c) for c in fields), F.coalesce("x.status", F.lit("confirmed")).alias("status"), F.coalesce("x.confidence", F.lit("unknown")).alias("confidence"), first["path"].alias("evidence_path"), line.alias("evidence_line"))
+
+
+def fact_violations(items: DataFrame) -> DataFrame:
+    """path, fact_type, n, problem: what is wrong with the items of manifests; a manifest with any problem is not imported."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    edge, doubt = F.col("fact_type") == "edge", F.col("status").isin("ambiguous", "unresolved")
+    checks = [
+        (blank("id"), "no id"),
+        (blank("kind"), "no kind"),
+        (~edge & blank("name"), "no name"),
+        (~edge & ~blank("kind") & ~F.col("kind").isin(NODE_KINDS), "unknown kind"),
+        (edge & (blank("source") | blank("target")), "no end"),
+        (~F.col("status").isin(STATUSES) | ~F.col("confidence").isin(CONFIDENCES), "status or confidence"),
+        (doubt & blank("reason"), "no reason"),
+    ]
+    own = items.select("path", "fact_type", "n", F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in checks)))).alias("problem"))
+    twice = items.where("id is not null").groupBy("path", "id").agg(F.count("*").alias("_k")).where("_k > 1").select("path", "id")
+    repeated = items.join(twice, ["path", "id"]).select("path", "fact_type", "n", F.lit("repeated id").alias("problem"))
+    ends = items.where(edge).select("path", "fact_type", "n", F.explode(F.array("source", "target")).alias("id")).where("id is not null")
+    unknown = ends.join(items.where(~edge).select("path", "id").distinct(), ["path", "id"], "left_anti").select("path", "fact_type", "n", F.lit("unknown end").alias("problem"))
+    return own.union(repeated).union(unknown).distinct()
+
+
+def manifest_facts(items: DataFrame) -> DataFrame:
+    """Facts of the manifests without a problem: id in its namespace, fact_type, kind, name, ends by kind and name, relation, namespace, status, confidence, evidence and note."""
+    good = items.join(fact_violations(items).select("path").distinct(), "path", "left_anti")
+    nodes = good.where("fact_type = 'node'").select("path", "id", F.col("kind").alias("k"), F.col("name").alias("n_"))
+    s = nodes.select("path", F.col("id").alias("source"), F.col("k").alias("source_kind"), F.col("n_").alias("source_name"))
+    t = nodes.select("path", F.col("id").alias("target"), F.col("k").alias("target_kind"), F.col("n_").alias("target_name"))
+    out = good.join(s, ["path", "source"], "left").join(t, ["path", "target"], "left")
+    edge = F.col("fact_type") == "edge"
+    key = F.concat("namespace", F.lit("::"), "fact_type", F.lit("::"), "id")
+    relation = F.when(edge, F.coalesce(F.nullif(F.trim("relation"), F.lit("")), F.col("kind")))
+    return out.select(key.alias("id"), "fact_type", "kind", F.when(~edge, F.col("name")).alias("name"), "source_kind", "source_name", "target_kind", "target_name", relation.alias("relation"), "namespace", "status", "confidence", "evidence_path", "evidence_line", F.col("reason").alias("note"), "complete")
+
+
+def fact_services(facts: DataFrame, services: DataFrame) -> DataFrame:
+    """id, service: the services that a fact names as itself or as an end. ``services``: service."""
+    names = facts.select("id", F.explode(F.array_distinct(F.array_compact(F.array("name", "source_name", "target_name")))).alias("service"))
+    return names.join(services.select("service").distinct(), "service", "left_semi").select("id", "service")
+
+
+def property_rank(files: DataFrame, spots: DataFrame, profiles: list[str]) -> DataFrame:
+    """spot, path, rank of the property files that a place reads: nearer folders first, in a folder the base file before profiles in their order.
+
+    ``files`` has path (``folder/application[-profile].properties``), ``spots`` spot, a path.
+    """
+    name = F.regexp_extract("path", r"application(?:-([A-Za-z0-9_]+))?\.(?:properties|ya?ml)$", 1)
+    own = files.where(F.col("path").rlike(r"(^|/)application(-[A-Za-z0-9_]+)?\.(properties|ya?ml)$")).select("path", name.alias("profile"), F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit(".")).alias("dir"))
+    order = F.when(F.col("profile") == "", 0)
+    for k, p in enumerate(profiles):
+        order = order.when(F.col("profile") == p, k + 1)
+    up = spots.select("spot", F.posexplode(ancestors(F.col("spot"))).alias("up", "dir"))
+    near = up.join(own.withColumn("order", order).where("order is not null"), "dir")
+    rank = F.row_number().over(Window.partitionBy("spot").orderBy("up", "order", "path"))
+    return near.select("spot", "path", rank.alias("rank"))
+
+
+def enclosing(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """path, folder: the deepest of the folders (folder) that a file is in; files in none are left out."""
+    up = files.select("path", F.posexplode(ancestors(F.col("path"))).alias("up", "folder"))
+    return up.join(folders.select("folder").distinct(), "folder").groupBy("path").agg(F.min_by("folder", "up").alias("folder"))
+
+
+def nested_roots(descriptors: DataFrame, *, most_depth: int = 5) -> DataFrame:
+    """folder: the outermost folders with a build descriptor (path), at most ``most_depth`` deep, if the root has none."""
+    parts = F.split("path", "/")
+    own = descriptors.select(F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), "/")).otherwise(F.lit(".")).alias("folder")).distinct()
+    top = own.where("folder = '.'").limit(1).select(F.lit(True).alias("_top"))
+    deep = own.where((F.col("folder") != ".") & (F.size(F.split("folder", "/")) <= most_depth))
+    above = deep.select("folder", F.explode(ancestors(F.col("folder"))).alias("up")).where("up <> '.'")
+    inner = above.join(deep.select(F.col("folder").alias("up")), "up", "left_semi").select("folder").distinct()
+    return deep.join(inner, "folder", "left_anti").join(top, F.lit(True), "left_anti")
+
+
+# Parts of names of modules that are left out.
+EXCLUDED_MODULES = "mock|test|archteype"
+
+
+def without_excluded(files: DataFrame, modules: DataFrame) -> DataFrame:
+    """Files outside modules (path) whose folder has a name that is left out."""
+    bad = modules.where(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(EXCLUDED_MODULES)).select(F.col("path").alias("_m")).distinct()
+    up = files.select("path", F.explode(ancestors(F.col("path"))).alias("_m")).join(bad, "_m", "left_semi").select("path").distinct()
+    return files.join(up, "path", "left_anti")
+
+
+def contract_owners(documents: DataFrame, configured: DataFrame, modules: DataFrame) -> DataFrame:
+    """path, module: of each contract document the module whose build names it, else the deepest module folder around it.
+
+    ``documents`` has path, ``configured`` path and module, ``modules`` folder and module.
+    """
+    named = configured.groupBy("path").agg(F.min("module").alias("_named"))
+    around = enclosing(documents.select("path"), modules.select("folder")).join(modules.groupBy("folder").agg(F.min("module").alias("_around")), "folder").select("path", "_around")
+    return documents.select("path").distinct().join(named, "path", "left").join(around, "path", "left").select("path", F.coalesce("_named", "_around").alias("module"))
