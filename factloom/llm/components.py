@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import staged
+from factloom.llm.shared import discard, staged
 
 
 def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
@@ -23,9 +23,11 @@ def components(edges: DataFrame, *, most_rounds: int = 50) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["u"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = staged(large.distinct(), "edges")
+        discard(e)
         small_least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         moved = large.join(small_least, large["a"] == small_least["u"]).where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = staged(moved.union(small_least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a > b").distinct(), "edges")
+        discard(large)
         now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first())
         if now == last:
             break

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from factloom.llm.components import components
-from factloom.llm.shared import staged
+from factloom.llm.shared import discard, staged
 
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 BROADCAST_ROWS = 200_000
@@ -219,10 +219,13 @@ def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
     meets = staged(ranked.select("node", F.explode(F.transform(prefix, lambda s: s["key"])).alias("key")), "prefixes")
     least = meets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").select("key", "leader")
     members = meets.join(least, "key").select("node", "leader").distinct().join(live.select("node", "n"), "node")
-    turns = block_turns(staged(members, "units"), num, den)
+    units = staged(members, "units")
+    turns = block_turns(units, num, den)
     found = turns.join(sets, "node").select("leader", "low", "high", "node", "side", "hashes")
     links = found.groupBy("leader", "low", "high").applyInArrow(lambda t: forest(t, num, den), "a bigint, b bigint")
-    return info.select("doc_id", "n_shingles", "node", "mark"), staged(links, "links")
+    links = staged(links, "links")
+    discard(live, sets, meets, units)
+    return info.select("doc_id", "n_shingles", "node", "mark"), links
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,11 +16,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary folder is made and put there.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset in a local session
+    (tests, a laptop) a temporary folder is made and put there.
     """
     where = spark.conf.get(CHECKPOINT_KEY, "") or ""
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, where)
     return where.rstrip("/")
@@ -36,7 +38,16 @@ def staged(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 ROOT = Path(__file__).resolve().parents[2]
