@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import audit, deltas, filters, search
+from factloom.operators import audit, deltas, filters, resolution, search
 from factloom.plans import catalog, traversals
 from factloom.queries import COLL, DEPENDENCY_EDGES, EFFECTIVE, EP, FI, KAFKA, LINKS, MOD, NEIGHBOURS, REST, _links, dependency_graph, query, rest_index
 from factloom.sources import facts, manifests
@@ -260,3 +260,58 @@ def contract_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = docs.where("k % 4 = 0").select("path", F.concat(F.lit("built-"), facts.text("k")).alias("module"))
     around = p.select(folder.alias("folder"), folder.alias("module")).union(p.select("p_brand", "p_brand")).distinct()
     return manifests.contract_owners(docs, named, around)
+
+
+def _config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested configuration file of each supplier, with a list and a remark that count for nothing."""
+    s = facts.table(spark, sf_dir, "supplier")
+    n = facts.text("s_suppkey")
+    body = F.concat(F.lit("# supplier\nserver:\n  port: 80"), n, F.lit("\n  hosts:\n    - a: 1\n    - b\nspring:\n  kafka:\n    group: 'g"), facts.text("s_nationkey"), F.lit("'\n  name: "), "s_name", F.lit("\nflag: true # on\n"))
+    return s.select(F.concat(F.lit("c/"), n, F.lit(".yml")).alias("path"), body.alias("text"))
+
+
+PAIRS_SQL = """pairs as (select concat('c/', cast(s_suppkey as varchar), '.yml') as path, unnest(['server.port', 'spring.kafka.group', 'spring.name', 'flag']) as key,
+  unnest([concat('80', cast(s_suppkey as varchar)), concat('g', cast(s_nationkey as varchar)), s_name, 'true']) as value from supplier)"""
+
+
+@query(f"with {PAIRS_SQL} select path, key, value from pairs")
+def nested_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.flattened(_config_files(spark, sf_dir))
+
+
+@query(f"""with {PAIRS_SQL}, up as (select path, array_to_string(string_split(key, '.')[1:d], '.') as key, d as depth, case when d = len(string_split(key, '.')) then value end as value from pairs, lateral (select unnest(range(1, len(string_split(key, '.')) + 1)) as d) x)
+select key, case when depth > 1 then regexp_replace(key, '[.][^.]*$', '') end as parent, cast(depth as integer) as depth, count(distinct path) as files, min(value) as example from up group by key, depth""")
+def config_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifests.config_keys(manifests.flattened(_config_files(spark, sf_dir)))
+
+
+@query("""with c as (select concat(cast(conv_id as varchar), ':', cast(turn as varchar)) as id, string_split(text, chr(10)) as l, cast(1 + turn % 3 as integer) as a, cast(1 + turn % 3 + conv_id % 2 as integer) as b from conversations where text is not null)
+select id, case when a <= least(b, len(l)) then array_to_string(l[a:least(b, len(l))], chr(10)) end as snippet from c""")
+def endpoint_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = facts.table(spark, sf_dir, "conversations").where("text is not null").withColumn("path", F.concat(facts.text("conv_id"), F.lit(":"), facts.text("turn")))
+    start = (1 + F.col("turn") % 3).cast("int")
+    return manifests.snippets(c.select("path", "text"), c.select(F.col("path").alias("id"), "path", start.alias("start_line"), (start + F.col("conv_id") % 2).cast("int").alias("end_line")))
+
+
+@query("""with recursive ty as (select distinct p_type as name, p_brand as package, p_size % 7 as k from part), uses as (select distinct a.name as source, b.name as target from ty a join ty b on b.k = (a.k + 1) % 7 and a.package = b.package where a.name <> b.name),
+roots as (select distinct 'dto' as kind, name as root from ty), reach(root, node) as (select root, root from roots union select r.root, u.target from reach r join uses u on u.source = r.node) select root, node from reach""")
+def dto_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part").select(F.col("p_type").alias("name"), F.col("p_brand").alias("package"), (F.col("p_size") % 7).alias("k")).distinct()
+    uses = p.alias("a").join(p.alias("b"), (F.col("a.package") == F.col("b.package")) & ((F.col("a.k") + 1) % 7 == F.col("b.k"))).where("a.name <> b.name").select(F.col("a.name").alias("source"), F.col("b.name").alias("target")).distinct()
+    return resolution.closures(p.select(F.col("name").alias("root"), F.col("name").alias("node")), uses)
+
+
+@query(f"with {EP} select id, role, system, topic, topic_dynamic, module, concat(path, ':', cast(start_line as varchar), '-', cast(end_line as varchar)) as place from ep")
+def endpoint_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.endpoint_projection(facts.endpoints(spark, sf_dir))
+
+
+@query(f"{DEPENDENCY_EDGES} select target as api, count(distinct source) as callers, bool_or(confidence = 'medium') as dynamic from graph where kind = 'calls_external' group by target")
+def external_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = dependency_graph(spark, sf_dir).where("kind = 'calls_external'")
+    return g.groupBy(F.col("target").alias("api")).agg(F.count_distinct("source").alias("callers"), F.max(F.col("confidence") == "medium").alias("dynamic"))
+
+
+@query(f"with {EP}, {REST} select source, target, count(distinct serve) as routes, count(distinct call_id) as calls from rest group by all")
+def service_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rest_index(spark, sf_dir).groupBy("source", "target").agg(F.count_distinct("serve").alias("routes"), F.count_distinct("call_id").alias("calls"))

@@ -93,3 +93,30 @@ def purge_once(rows: DataFrame, meta: DataFrame, flag: str) -> tuple[DataFrame,
 def as_json(rows: DataFrame, order: list[str]) -> DataFrame:
     """line: each row as a JSON object with its keys in order of the columns, rows in a stated order."""
     return rows.orderBy(*order).select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def migrated(rows: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
+    """``rows`` with exactly the given columns (name to type): lacking ones are added with their default or null, others cast."""
+    defaults = defaults or {}
+    return rows.select(*((F.col(c) if c in rows.columns else F.lit(defaults.get(c))).cast(t).alias(c) for c, t in columns.items()))
+
+
+def stale(meta: DataFrame, signature: str, key: str = "signature") -> bool:
+    """Whether an inventory's stored signature (meta: key, value) is lacking or another one."""
+    row = meta.where(F.col("key") == key).select("value").first()
+    return row is None or row[0] != signature
+
+
+def load_inventories(spark: SparkSession, paths: dict[str, str], version: int, table: str) -> tuple[DataFrame | None, dict[str, str]]:
+    """One table of many services' snapshots with a column service, and a warning for each service whose snapshot can't be read."""
+    from pyspark.errors import AnalysisException
+
+    out, warnings = None, {}
+    for service, path in sorted(paths.items()):
+        try:
+            own = load_snapshot(spark, path, version)[table].withColumn("service", F.lit(service))
+        except (AnalysisException, ValueError) as problem:
+            warnings[service] = str(problem).splitlines()[0]
+            continue
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out, warnings

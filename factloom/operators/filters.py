@@ -87,6 +87,12 @@ def resolve_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     return queries.select("query").distinct().join(exact, "query", "left").join(only, "query", "left").select("query", F.coalesce("exact", "only").alias("resolved"))
 
 
+def endpoint_projection(endpoints: DataFrame) -> DataFrame:
+    """Endpoints without their snippets, their place as one text."""
+    place = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.coalesce("end_line", "start_line").cast("string"))
+    return endpoints.select("id", "role", "system", "topic", "topic_dynamic", "module", place.alias("place"))
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a stated order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

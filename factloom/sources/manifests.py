@@ -197,3 +197,64 @@ def contract_owners(documents: DataFrame, configured: DataFrame, modules: DataFr
     named = configured.groupBy("path").agg(F.min("module").alias("_named"))
     around = enclosing(documents.select("path"), modules.select("folder")).join(modules.groupBy("folder").agg(F.min("module").alias("_around")), "folder").select("path", "_around")
     return documents.select("path").distinct().join(named, "path", "left").join(around, "path", "left").select("path", F.coalesce("_named", "_around").alias("module"))
+
+
+def _flat(text: str | None) -> dict[str, str]:
+    """Dotted keys and scalar values of a nested mapping by indentation; lists, remarks and block texts are left out."""
+    found: dict[str, str] = {}
+    open_: list[tuple[int, str]] = []
+    skip = None  # the indentation below which a list or a block text is left out
+    for line in (text or "").splitlines():
+        body = line.split(" #")[0].rstrip()
+        own = body.lstrip(" ")
+        if not own or own[0] == "#" or own == "---":
+            continue
+        at = len(body) - len(own)
+        if skip is not None and at > skip:
+            continue
+        skip = None
+        if own.startswith("- ") or own == "-":
+            skip = at
+            continue
+        key, colon, value = own.partition(":")
+        if not colon or value[:1] not in ("", " "):
+            continue
+        open_ = [(i, k) for i, k in open_ if i < at]
+        name, value = ".".join([*(k for _, k in open_), key.strip().strip("'\"")]), value.strip()
+        if value in ("|", ">", "|-", ">-"):
+            skip = at
+        elif value and value[0] not in "[{&*":
+            found[name] = value.strip("'\"")
+        elif not value:
+            open_.append((at, key.strip().strip("'\"")))
+    return found
+
+
+def flattened(files: DataFrame) -> DataFrame:
+    """path, key, value of nested configuration files (path, text) by dotted keys; scalars only, the last of a key counts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(p, k, v) for p, t in zip(*(batch.column(c).to_pylist() for c in ("path", "text")), strict=True) for k, v in _flat(t).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["path", "key", "value"])
+
+    return files.select("path", "text").mapInArrow(run, "path string, key string, value string")
+
+
+def config_keys(pairs: DataFrame) -> DataFrame:
+    """key, parent, depth, files, example: every dotted key and the keys above it, in how many files they are, and an example value of leaves."""
+    parts = F.split("key", r"\.")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), ".").alias("key"), n.alias("depth"), (n == F.size(parts)).alias("leaf")))
+    rows = pairs.select("path", "value", F.explode(up).alias("x")).select("path", "x.key", "x.depth", F.when(F.col("x.leaf"), F.col("value")).alias("value"))
+    out = rows.groupBy("key", "depth").agg(F.count_distinct("path").alias("files"), F.min("value").alias("example"))
+    return out.select("key", F.when(F.col("depth") > 1, F.regexp_replace("key", r"\.[^.]*$", "")).alias("parent"), "depth", "files", "example")
+
+
+def snippets(files: DataFrame, spots: DataFrame) -> DataFrame:
+    """id, snippet: the lines ``start_line`` to ``end_line`` of each spot (id, path, start_line, end_line)."""
+    near = spots.join(files.select("path", "text"), "path").withColumn("_l", F.split("text", "\n"))
+    low = F.greatest(F.col("start_line"), F.lit(1))
+    high = F.least(F.coalesce("end_line", "start_line"), F.size("_l"))
+    return near.select("id", F.when(low <= high, F.array_join(F.slice("_l", low, high - low + 1), "\n")).alias("snippet"))
