@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.edges import kafka_edges
 from factloom.operators.filters import effective_kafka
+from factloom.operators.relations import WRITES
 
 
 def contracts(endpoints: DataFrame) -> DataFrame:
@@ -44,10 +45,6 @@ def orphan_integrations(endpoints: DataFrame) -> DataFrame:
     return t.where("p = 0 or c = 0").select("kind", "name", F.concat(F.lit("no "), side).alias("side"))
 
 
-# Operations that write a collection.
-WRITES = ["bulkOps", "findAndModify", "findAndReplace", "insert", "remove", "save", "updateFirst", "updateMulti", "upsert"]
-
-
 def idle_module_activity(modules: DataFrame, endpoints: DataFrame, collections: DataFrame) -> DataFrame:
     """module, and how many routes it serves, topics it writes and reads, collections it reads and writes: modules that don't run, aggregators left out.
 

@@ -77,6 +77,10 @@ def finding_summary(findings: DataFrame, rules: int = 10) -> DataFrame:
 
 
 def first_per_category(rows: DataFrame, category: str, order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of each category and whether it has more."""
+    """The first ``n`` rows of each category and whether it has more.
+
+    Each task keeps the first ``n`` and one more of a category, so only these are sent on.
+    """
     w = Window.partitionBy(category)
-    return rows.withColumns({"_n": F.row_number().over(w.orderBy(*order)), "_all": F.count("*").over(w)}).where(F.col("_n") <= n).withColumn("truncated", F.col("_all") > n).drop("_n", "_all")
+    first = rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).where(F.col("_n") <= n + 1)
+    return first.withColumn("truncated", F.max("_n").over(w) > n).where(F.col("_n") <= n).drop("_n")

@@ -67,9 +67,9 @@ def coverage(endpoints: DataFrame, relations: DataFrame) -> DataFrame:
     """measure, value, n: endpoints by role and system, relations by type and by confidence, in one long table."""
     e = endpoints.groupBy(F.lit("endpoints").alias("measure"), F.concat("system", F.lit(" "), "role").alias("value")).agg(F.count("*").alias("n"))
     r = relations.groupBy("relation", "confidence").agg(F.count("*").alias("n"))
-    kind = r.groupBy(F.lit("relations").alias("measure"), F.col("relation").alias("value")).agg(F.sum("n").alias("n"))
-    sure = r.groupBy(F.lit("confidence").alias("measure"), F.col("confidence").alias("value")).agg(F.sum("n").alias("n"))
-    return e.union(kind).union(sure)
+    side = lambda name, column: F.struct(F.lit(name).alias("measure"), F.col(column).alias("value"), "n")
+    both = r.select(F.explode(F.array(side("relations", "relation"), side("confidence", "confidence"))).alias("x")).select("x.*")
+    return e.union(both.groupBy("measure", "value").agg(F.sum("n").alias("n")))
 
 
 def issues(endpoints: DataFrame, calls: DataFrame, rest: DataFrame) -> DataFrame:
@@ -94,22 +94,23 @@ def dependency_edges(endpoints: DataFrame, rest: DataFrame, collections: DataFra
     k = endpoints.where("system = 'kafka'")
     node = F.when(F.col("topic_dynamic"), F.concat("module", F.lit(":"), "topic")).otherwise(F.col("topic"))
     sure = F.when(F.col("topic_dynamic"), "medium").otherwise("high")
-    typed = lambda verb: F.concat(F.lit(verb), F.coalesce(F.concat(F.lit(" "), "message_type"), F.lit("")))
+    out = F.col("role") == "produce"
+    verb = F.when(out, "publishes").otherwise("consumes")
+    typed = F.concat(verb, F.coalesce(F.concat(F.lit(" "), "message_type"), F.lit("")))
     matched = rest.select("call_id").distinct()
     calls = endpoints.where("system = 'rest' and role = 'call'")
     open_calls = calls.join(matched, calls["id"] == matched["call_id"], "left_anti")
     parts = [
         rest.select("source", "target", F.lit("http").alias("kind"), F.concat("target", F.lit(": "), "serve").alias("label"), F.lit("high").alias("confidence")),
-        k.where("role = 'produce'").select("module", node, F.lit("publishes"), typed("publishes"), sure),
-        k.where("role = 'consume'").select(node, "module", F.lit("consumes"), typed("consumes"), sure),
+        k.select(F.when(out, F.col("module")).otherwise(node), F.when(out, node).otherwise(F.col("module")), verb, typed, sure),
         open_calls.select("module", "topic", F.lit("calls_external"), F.col("topic"), sure),
     ]
     if collections is not None:
         parts.append(collections.select("module", F.concat("module", F.lit(":"), "collection"), F.lit("uses"), F.lit("uses"), F.lit("high")))
-    out = parts[0]
+    graph = parts[0]
     for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+        graph = graph.union(p)
+    return graph.distinct()
 
 
 def merge_facts(nodes: DataFrame, edges: DataFrame, fact_nodes: DataFrame, fact_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
