@@ -315,3 +315,22 @@ def external_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {EP}, {REST} select source, target, count(distinct serve) as routes, count(distinct call_id) as calls from rest group by all")
 def service_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rest_index(spark, sf_dir).groupBy("source", "target").agg(F.count_distinct("serve").alias("routes"), F.count_distinct("call_id").alias("calls"))
+
+
+@query("""with w as (select concat('k', cast(p_partkey as varchar)) as id, concat('app.', lower(p_type), '.', cast(p_size as varchar)) as key, p_brand as "default" from part),
+f as (select p_size % 3 as rank, concat('app.', lower(p_type), '.', cast(p_size as varchar)) as key, max(p_name) as value from part where p_partkey % 2 = 0 group by 1, 2),
+one as (select key, value from f qualify row_number() over (partition by key order by rank) = 1)
+select w.id, coalesce(one.value, w."default") as value from w left join one on one.key = w.key""")
+def resolved_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = facts.table(spark, sf_dir, "part")
+    key = F.concat(F.lit("app."), F.lower("p_type"), F.lit("."), facts.text("p_size"))
+    wanted = p.select(F.concat(F.lit("k"), facts.text("p_partkey")).alias("id"), key.alias("key"), F.col("p_brand").alias("default"))
+    found = p.where("p_partkey % 2 = 0").groupBy((F.col("p_size") % 3).alias("rank"), key.alias("key")).agg(F.max("p_name").alias("value"))
+    return manifests.resolve_property(wanted, found)
+
+
+@query(f"with {MOD} select identity as service from modules where starts_application and identity not in (select concat('svc-', cast(user_id % 100 as varchar)) from events where event_type = 'error' and value > 120)")
+def missing_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = facts.modules(spark, sf_dir).where("starts_application").select(F.col("identity").alias("service"))
+    e = facts.table(spark, sf_dir, "events").where("event_type = 'error' and value > 120")
+    return resolution.missing_services(declared, e.select(F.concat(F.lit("svc-"), facts.text(F.col("user_id") % 100)).alias("service")).distinct())

@@ -263,15 +263,16 @@ def rest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
-    return relations.architecture_relations(ep, facts.module_dependencies(spark, sf_dir), runtime_modules(spark, sf_dir), rest_index(spark, sf_dir).select("source", "target").distinct(), kafka_index(spark, sf_dir).select("source", "target").distinct())
+    return relations.architecture_relations(ep, facts.module_dependencies(spark, sf_dir), runtime_modules(spark, sf_dir), rest_index(spark, sf_dir).select("source", "target").distinct(), kafka_index(spark, sf_dir).select("source", "target").distinct(), collections=facts.collections(spark, sf_dir))
 
 
-RELATIONS = f"""with {EP}, {DEP}, {RUNTIME}, {EFFECTIVE}, {KAFKA}, {REST}, kinds as (select module, case when module in (select module from run) then 'microservice' else 'module' end as k from (select module from ep union select source from dep union select target from dep) x),
+RELATIONS = f"""with {EP}, {DEP}, {COLL}, {RUNTIME}, {EFFECTIVE}, {KAFKA}, {REST}, kinds as (select module, case when module in (select module from run) then 'microservice' else 'module' end as k from (select module from ep union select source from dep union select target from dep union select module from coll) x),
 rows_ as (
   select 1 as rule, a.k as source_kind, source as source_name, 'depends_on' as relation, b.k as target_kind, target as target_name, 'derived' as origin, 'high' as confidence, cast(null as varchar) as path, cast(null as integer) as start_line from dep join kinds a on a.module = source join kinds b on b.module = target
   union all select 2, k, e.module, case role when 'produce' then 'publishes' when 'consume' then 'consumes' when 'serve' then 'provides' else 'calls' end, case when system = 'kafka' then 'topic' else 'api' end, topic, source, case when topic_dynamic then 'medium' else 'high' end, path, start_line from ep e join kinds on kinds.module = e.module
   union all select 4, k, e.module, 'uses_configuration', 'property', regexp_extract(snippet, '[$][{{]([^}}:]+)', 1), source, 'high', path, start_line from ep e join kinds on kinds.module = e.module where regexp_matches(snippet, '[$][{{]([^}}:]+)')
   union all select 5, 'topic', topic, case when role = 'produce' then 'publishes_type' else 'consumes_type' end, 'dto', message_type, source, case when topic_dynamic then 'medium' else 'high' end, path, start_line from ep where system = 'kafka' and message_type is not null
+  union all select 7, k, c.module, case when operation in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert') then 'writes' else 'reads' end, 'collection', collection, 'code', 'high', path, start_line from coll c join kinds on kinds.module = c.module
   union all select distinct 9, 'microservice', source, 'calls_service', 'microservice', target, 'derived', 'high', null, null from rest
   union all select distinct 10, 'microservice', source, 'publishes_to', 'microservice', target, 'derived', 'high', null, null from kafka),
 ided as (select distinct substr(sha256(concat(source_kind, '|', source_name, '|', relation, '|', target_kind, '|', target_name, case when path is null or start_line is null then '' else concat('|', path, ':', cast(start_line as varchar)) end)), 1, 16) as id, * from rows_),

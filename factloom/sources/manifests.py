@@ -9,7 +9,10 @@ from factloom.functions.text import ancestors, cpu_millicores, glob_pattern, is_
 
 
 def scan_files(spark, folder: str, *, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """path, sha256, content of files below a folder; test sources and .git are left out, then excluded globs, then all but included ones."""
+    """path, sha256, content of files below a folder; test sources and .git are left out, then excluded globs, then all but included ones.
+
+    Spark's file source gives no row for an empty file.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     return keep_paths(files.select("path", F.sha2("content", 256).alias("sha256"), "content"), include=include, exclude=exclude)
 

@@ -196,3 +196,55 @@ def test_indexes_are_written_once(spark):
     grown = scratch.Grown(spark.range(2))
     grown.add(spark.range(5, 7))
     assert sorted(r.id for r in grown.all().collect()) == [0, 1, 5, 6]
+
+
+def test_files_are_scanned_with_digests(spark, tmp_path):
+    import hashlib
+
+    for path, body in {"a/x.py": "one", "src/test/y.py": "no", ".git/z": "no", "b/x.txt": "two"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(body)
+    got = {r.path.rsplit("/", 2)[-2] + "/" + r.path.rsplit("/", 1)[-1]: r.sha256 for r in manifests.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {"a/x.py": hashlib.sha256(b"one").hexdigest(), "b/x.txt": hashlib.sha256(b"two").hexdigest()}
+    assert [r.path.rsplit("/", 1)[-1] for r in manifests.scan_files(spark, str(tmp_path), include=["*.py"]).collect()] == ["x.py"]
+
+
+def test_properties_missing_services_and_ids(spark):
+    import hashlib
+
+    from factloom.functions import ids
+    from factloom.operators import resolution
+
+    wanted = spark.createDataFrame([("1", "k", "d"), ("2", "z", "d"), ("3", None, "d"), ("4", "z", None)], "id string, key string, default string")
+    found = spark.createDataFrame([(2, "k", "late"), (1, "k", "first")], "rank int, key string, value string")
+    assert {tuple(r) for r in manifests.resolve_property(wanted, found).collect()} == {("1", "first"), ("2", "d"), ("3", "d"), ("4", None)}
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "service string")
+    assert [r.service for r in resolution.missing_services(names("a", "b", "b"), names("a")).collect()] == ["b"]
+    own = spark.range(1).select(ids.fact_id(F.lit("a"), F.lit(None).cast("string"), F.lit("b")).alias("x")).first().x
+    assert own == hashlib.sha256(b"a||b").hexdigest()
+
+
+def test_streams_of_endpoints(spark, tmp_path):
+    from factloom.streaming import incremental
+
+    rows = [("1", "a", "2024-01-01 00:01:00"), ("1", "a", "2024-01-01 00:02:00"), ("2", "b", "2024-01-01 00:12:00")]
+    df = spark.createDataFrame(rows, "id string, module string, at string").withColumn("at", F.to_timestamp("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = incremental.latest_endpoints(stream()).writeStream.format("memory").queryName("latest").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.id for r in spark.table("latest").collect()) == ["1", "2"]
+    q = incremental.activity(stream()).writeStream.format("memory").queryName("activity").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.module, r.n) for r in spark.table("activity").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_deleted_files_leave(spark, tmp_path):
+    from factloom.streaming import incremental
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "path string, v string, deleted boolean"
+    for rows in ([("a", "old", False), ("b", "kept", None)], [("a", None, True)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental.replace_facts(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck")).awaitTermination()
+    assert {(r.path, r.v) for r in incremental.current(spark, out).collect()} == {("b", "kept")}
