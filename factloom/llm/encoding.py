@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 16 << 20
-MOST_WORDS = 700_000
+SLICE_BYTES = 8 << 20
+MOST_WORDS = 350_000
 ODD_BLANKS = "(^ )|( $)|([\\s\\x{85}\\p{Z}\\x1c-\\x1f] )|( [\\s\\x{85}\\p{Z}\\x1c-\\x1f])"
 
 
@@ -110,7 +110,8 @@ class Encoder:
         if self.kind == "word":
             text = text.lower()
         shown = text.encode().decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS_OF_BREAK) if pieces else []
-        return self._listed([[t.id for t in self.model.tokenize(lead + p)] for p in shown])
+        some = [self._listed([[t.id for t in self.model.tokenize(lead + p)] for p in shown[a : a + 20_000]]) for a in range(0, max(1, len(shown)), 20_000)]
+        return pa.concat_arrays(some)
 
     @staticmethod
     def _listed(found: list[list[int]]) -> pa.LargeListArray:
@@ -173,6 +174,8 @@ class Encoder:
             at[firsts] = n + k + heads.indices.to_numpy()
             at[firsts[odd.to_numpy(zero_copy_only=False)]] = n + len(bare) + np.arange(len(whole))
         out = listed.take(pa.array(at))
+        del listed, flat, parts, chunks, at
+        pa.default_memory_pool().release_unused()
         return out.values.to_numpy(), out.offsets.to_numpy()[ends]
 
 
