@@ -176,13 +176,16 @@ def block_turns(members: DataFrame, num: int, den: int) -> DataFrame:
     differ by one band at most; a unit of up to ``BLOCK`` sets is one block.
     """
     width = log(den / num) * 1.001 if num < den else 1e-9
-    small = members.groupBy("leader").agg((F.count("*") <= BLOCK).alias("small"))
-    banded = members.join(small, "leader").withColumn("band", F.when(F.col("small"), F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")).cast("long"))
+    big = staged(members.groupBy("leader").agg(F.count("*").alias("_k")).where(F.col("_k") > BLOCK).select("leader"), "big-units")
+    few = F.broadcast if big.count() <= BROADCAST_ROWS // 50 else lambda df: df  # a unit has some dozens of bands
+    whole = F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
+    small = members.join(few(big), "leader", "left_anti").select("node", "leader", whole.alias("low"), whole.alias("high"), F.lit(2).alias("side"))
+    banded = members.join(few(big), "leader", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long"))
     amount = banded.groupBy("leader", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     beside = amount.select("leader", "band", "blocks", F.lit(0).alias("up"), F.lit(0).alias("down"))
     beside = beside.union(amount.select("leader", F.col("band") - 1, F.lit(0), "blocks", F.lit(0))).union(amount.select("leader", F.col("band") + 1, F.lit(0), F.lit(0), "blocks"))
     beside = beside.groupBy("leader", "band").agg(F.sum("blocks").cast("int").alias("blocks"), F.sum("up").cast("int").alias("up"), F.sum("down").cast("int").alias("down")).where("blocks > 0")
-    placed = banded.join(beside, ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = banded.join(few(staged(beside, "bands")), ["leader", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
     def numbers(n: Column) -> Column:
         return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -194,7 +197,7 @@ def block_turns(members: DataFrame, num: int, den: int) -> DataFrame:
     same = F.transform(numbers(F.col("blocks")), lambda o: F.struct(place(band, F.least(block, o)).alias("low"), place(band, F.greatest(block, o)).alias("high"), F.when(o == block, 2).when(block < o, 0).otherwise(1).alias("side")))
     above = F.transform(numbers(F.col("up")), lambda o: F.struct(place(band, block).alias("low"), place(band + 1, o).alias("high"), F.lit(0).alias("side")))
     under = F.transform(numbers(F.col("down")), lambda o: F.struct(place(band - 1, o).alias("low"), place(band, block).alias("high"), F.lit(1).alias("side")))
-    return placed.select("node", "leader", F.explode(F.concat(same, above, under)).alias("_turn")).select("node", "leader", "_turn.low", "_turn.high", "_turn.side")
+    return small.union(placed.select("node", "leader", F.explode(F.concat(same, above, under)).alias("_turn")).select("node", "leader", "_turn.low", "_turn.high", "_turn.side"))
 
 
 def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
