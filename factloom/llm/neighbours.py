@@ -95,7 +95,7 @@ def top_cells(points: np.ndarray, blocks: int) -> Cells:
         side = int(spread.argmax())
         if n > 1 and spread[side] > 0:
             values = points[own, side]
-            cut = float(np.median(values))
+            cut = float(np.quantile(values, (n // 2) / n))
             cut = cut if cut > values.min() else float(values[values > cut].min())
             low = values < cut
             share = min(n - 1, max(1, round(n * float(low.mean()))))
