@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import html_text, mixing, neighbours, ngram_join, packing, quality, token_binary, token_counts, toxicity, winnowing
+from factloom.llm import centroids, chunk_reuse, html_text, importance, mixing, neighbours, ngram_join, packing, quality, token_binary, token_counts, toxicity, winnowing
 from factloom.llm.shared import new_path, table
 
 
@@ -55,6 +55,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_reuse.encoded_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality": op2_quality,
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_chunk_reuse": op11_chunk_reuse,
+    "op12_centroids": op12_centroids,
+    "op13_importance": op13_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": mixing.ORACLE_SQL, "op12_centroids": centroids.oracle_sql(), "op13_importance": importance.oracle_sql()}
