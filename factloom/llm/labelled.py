@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.shared import staged
+
 
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; -1 for a null id."""
@@ -14,15 +16,17 @@ def fold(doc_id: Column, mod: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, most: int, columns: dict[str, Column], *, id_col: str = "doc_id") -> tuple[DataFrame, dict[int, float]]:
     """(labelled documents outside the held-out fold: _id, y and the named columns of ``docs``; the weight of a row of each class).
 
-    They are of at most ``most`` ids. Each class has half of the places and those that the other
-    leaves free; within a class the ids' hashes decide. Weights give the classes their true shares
+    They are of at most ``most`` ids, and of so many wherever as many have a label and a document.
+    Each class has half of the places and those that the other
+    leaves free; within a class the ids' hashes decide. Weights give the classes the shares that they have among labelled documents
     again, so a bound that is reached moves no scores. An id with several labels counts as its
-    largest one; ids without a document are no examples, nor are rows without an id or a label.
+    largest one; labels without a document take no place, nor do rows without an id or a label.
     Documents that repeat an id are all in the result: ``one_each`` keeps one of them. The sample has ``most`` ids at most, so it is
     broadcast to ``docs``.
     """
     ids = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where(F.col("_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("_id"), mod) != held_out))
-    ids = ids.groupBy("_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    here = docs.select(F.col(id_col).cast("long").alias("_id")).distinct()
+    ids = staged(ids.groupBy("_id").agg((F.max("y") > 0).cast("int").alias("y")).join(here, "_id", "left_semi"), "labelled-ids")
     counts = {int(r[0]): int(r[1]) for r in ids.groupBy("y").count().collect()}
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     take_ones = min(ones, max(most // 2, most - zeros))

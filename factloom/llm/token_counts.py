@@ -44,9 +44,9 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, *, limit
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``; fills the cache on the way.
 
     Null texts count as empty (0 bytes, 0 tokens). Repeated rows and null ids stay as they are,
-    each with its own count; of rows with one text and id any is the one encoded. Very long texts are counted whole. An empty table gives an empty result. Other columns of ``docs`` are
+    each with its own count; of equal texts any one is encoded. Very long texts are counted whole. An empty table gives an empty result. Other columns of ``docs`` are
     ignored, whatever their names. The text moves once, by (digest, id), so that a group of equal
-    texts spreads over tasks; the smallest id of each missing digest is the one encoded.
+    texts spreads over tasks; of each missing digest the rows with its smallest id stay, and one of them is encoded.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
@@ -56,8 +56,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, *, limit
     known = cache.where(F.col("tokenizer_digest") == version).select("content_digest")
     misses = light.groupBy("content_digest").agg(F.min("doc_id").alias("rep")).join(known.distinct(), "content_digest", "left_anti")
     picked = rows.alias("r").join(misses.hint("shuffle_hash").alias("m"), (F.col("r.content_digest") == F.col("m.content_digest")) & F.col("r.doc_id").eqNullSafe(F.col("m.rep")), "left_semi")
-    counted = picked.select("content_digest", "text").mapInArrow(count_with(tokenizer_path), "content_digest binary, n_tokens bigint")
-    counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")).select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache_path)
+    counted = picked.select("content_digest", "text").dropDuplicates(["content_digest"]).mapInArrow(count_with(tokenizer_path), "content_digest binary, n_tokens bigint")
+    counted.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts = staged(counts, "token-counts")  # a plain table, so that a group of equal texts is a skewed join that is split
     return light.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -16,6 +16,18 @@ def test_places_are_filled_and_repeats_are_one(spark):
     assert none.count() == 0
 
 
+def test_labels_without_a_document_take_no_place(spark):
+    docs = spark.createDataFrame([(i * 10, "x" * (40_000 if i % 4 == 1 else 5)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 60 == 0)) for i in range(800)], "doc_id long, toxic int")
+    got, weights = labelled.labelled_sample(docs, labels, "toxic", 4, 99, 60, {"text": F.col("text")})
+    rows = got.collect()
+    ones = sum(r.y for r in rows)
+    assert len(rows) == 60 and ones == 14  # of 80 labelled documents, 14 of class 1
+    assert abs(weights[1] * 14 + weights[0] * 46 - 60) < 1e-9 and abs(weights[1] / weights[0] - (14 / 14) / (66 / 46)) < 1e-9
+    short = docs.where(F.length("text") < 100)
+    assert labelled.labelled_sample(short, labels, "toxic", 4, 99, 55, {"text": F.col("text")})[0].count() == 55
+
+
 def test_bounded_samples_keep_the_classes_shares():
     rng = np.random.default_rng(4)
     x = np.hstack([rng.normal(size=(4000, 1)), np.zeros((4000, len(quality.FEATURES) - 1))])

@@ -50,6 +50,29 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts.token_counts(docs.limit(0), str(tmp_path / "none"), BYTE).count() == 0
 
 
+def test_one_row_a_digest_is_encoded(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    inner = token_counts.count_with
+
+    def counting(path):
+        def run(batches):
+            def counted():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            yield from inner(path)(counted())
+
+        return run
+
+    monkeypatch.setattr(token_counts, "count_with", counting)
+    rows = [(1, "same text")] * 30 + [(None, "same text")] * 20 + [(None, "only without an id")] * 21
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), str(tmp_path / "c"), BYTE)
+    assert got.count() == 71 and seen.value == 2
+    token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "c"), BYTE).collect()
+    assert seen.value == 2  # all are hits now
+
+
 def test_rans_round_trip_and_parts():
     rng = np.random.default_rng(1)
     for n in (1, 2, 63, 1000, 300_000):
