@@ -19,7 +19,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,9 @@ PART_COMPOUNDS = frozenset(
     "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper google-ads adsbygoogle site-header site-footer page-footer site-nav main-nav nav-bar nav-menu main-menu navigation-menu side-bar sidebar-left sidebar-right left-sidebar right-sidebar cookie-banner cookie-bar cookie-consent cookie-notice consent-banner newsletter-signup newsletter-form share-buttons share-links social-links social-share social-media related-articles related-posts related-links comment-list comment-form comments-area comments-section comment-section disqus_thread search-form search-box login-form skip-link breadcrumb-nav legal-notice".split()
 )
 # Words that also name blocks of an article: they count outside articles only.
-OPEN_WORDS = frozenset("header notice alert search legal copyright skip comment reply replies login signup consent gdpr overlay legal-notice".split())
+OPEN_WORDS = frozenset("header notice alert search legal copyright skip login signup consent gdpr overlay legal-notice".split())
+# Words that name reader comments, alone or as the first or last word of a name.
+COMMENT_WORDS = frozenset("comment comments reply replies respond disqus".split())
 # Elements that may also wrap a whole page, and those that never hold an article's own text but may wrap an article.
 WRAPS = frozenset("form label button".split())
 ASIDE = frozenset("nav aside footer dialog menu".split())
@@ -55,7 +58,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACES = re.compile(r"\s+")
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote span b i em strong a ul ol dl figure figcaption".split())
-DEEPEST, MOST_KIDS, LONGEST = 60, 200, 120
+DEEPEST, MOST_KIDS, LONGEST, DENSE_CELLS = 60, 200, 120, 40_000
 SKETCH, HASH_BITS = 16, 48
 SHARE = 0.6  # of the varying text that a part must hold to be read alone
 LEAST_PAGES = 5  # different pages a host must have before its unchanging text counts as its own
@@ -151,14 +154,27 @@ def rank(node: Node) -> int:
     return int(node.name == "main" or "@main" in node.words)
 
 
+def comments(node: Node) -> bool:
+    """Whether an element's class or id names reader comments (comment, comment-body, user-comments)."""
+    return any({w.replace("_", "-").split("-")[0], w.replace("_", "-").split("-")[-1]} & COMMENT_WORDS for w in node.words)
+
+
 def hint(node: Node, inside: bool = False) -> bool:
     """Whether an element's class, id or role is the name of a part; ``inside`` an article only what names no block of it."""
     if node.name in PLAIN:
         return False
+    if comments(node):
+        return True
     found = [w for w in node.words if w in PART_WORDS or w in PART_COMPOUNDS or w[:1] == "@" and w[1:] in PART_ROLES]
     return any(not inside or w not in OPEN_WORDS for w in found)
 
 
+def part_name(node: Node) -> str:
+    """The name of an element that is named as a part: its own and those of its words that name parts; else the empty text."""
+    found = sorted(w for w in node.words if w in PART_WORDS or w in PART_COMPOUNDS or w[:1] == "@" and w[1:] in PART_ROLES)
+    return ".".join([node.name, *found]) if node.name in ASIDE or found and node.name not in PLAIN else ""
+
+
 def unseen(node: Node) -> bool:
     """Whether nothing in an element is a text of the page, whatever it holds."""
     return node.hidden or node.name in NEVER and node.name not in WRAPS and node.name not in ASIDE
@@ -228,11 +244,35 @@ def wrapper_of(node: Node, depth: int = 0) -> list:
     if node.kind == "#":
         own = SPACES.sub(" ", node.text).strip()
         return ["#", 0, 0, 1, len(own), [own_text(own)], [], 1, own[:LONGEST]]
-    if depth > DEEPEST:  # what lies deeper counts as one text that varies
-        kids = [["#", 0, 0, 1, letters(node), list(range(SKETCH)), [], 1, None]]
+    if depth > DEEPEST:
+        kids = flat(node)
     else:
         kids = [wrapper_of(k, depth + 1) for k in node.kids if k.kind != "#" or not k.text.isspace()]
-    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), [] if node.kind else [page_digest(node)], bounded(folded(kids)), 0, None]
+    return [node.kind, 0, 0, 1, sum(k[LETTERS] for k in kids), [] if node.kind else [page_digest(node)], bounded(folded(kids), 1), 0, None]
+
+
+def flat(node: Node) -> list:
+    """Of a very deep tree the blocks below an element as its own children; their kinds are the paths to them, so that a block's path stays what it is."""
+    out: list = []
+    todo = [(k, "", "") for k in reversed(node.kids)]
+    while todo:
+        kid, path, block = todo.pop()
+        if kid.kind != "#":
+            if not excluded(kid):
+                path = f"{path}/{kid.kind}" if path else kid.kind
+                todo += [(k, path, path if kid.name in BLOCK else block) for k in reversed(kid.kids)]
+        elif not kid.text.isspace():
+            text = wrapper_of(kid)
+            if not block:
+                out.append(text)
+            elif out and out[-1][KIND] == block and out[-1][PAGES] == 0:
+                out[-1][KIDS].append(text)
+            else:
+                out.append([block, 0, 0, 0, 0, [], [text], 0, None])
+    for own in out:
+        if own[KIND] != "#":
+            own[PAGES], own[LETTERS], own[KIDS] = 1, sum(k[LETTERS] for k in own[KIDS]), folded(own[KIDS])
+    return out
 
 
 def folded(kids: list) -> list:
@@ -256,41 +296,120 @@ def folded(kids: list) -> list:
 def aligned(a: list, b: list) -> list:
     """The wrapper that covers two wrappers of one kind."""
     sketch = a[TEXT] if a[TEXT] == b[TEXT] else sorted({*a[TEXT], *b[TEXT]})[:SKETCH]
-    return [a[KIND], a[OPT] | b[OPT], a[REP] | b[REP], a[PAGES] + b[PAGES], a[LETTERS] + b[LETTERS], sketch, aligned_kids(a[KIDS], b[KIDS]), a[SEEN] + b[SEEN], a[SHOWN] if a[TEXT] == b[TEXT] else None]
+    return [a[KIND], a[OPT] | b[OPT], a[REP] | b[REP], a[PAGES] + b[PAGES], a[LETTERS] + b[LETTERS], sketch, aligned_kids(a[KIDS], b[KIDS], a[PAGES] + b[PAGES]), a[SEEN] + b[SEEN], a[SHOWN] if a[TEXT] == b[TEXT] else None]
 
 
-def aligned_kids(a: list, b: list) -> list:
+def aligned_kids(a: list, b: list, pages: int) -> list:
     if [x[KIND] for x in a] == [x[KIND] for x in b]:
         return [aligned(x, y) for x, y in zip(a, b, strict=True)]
+    out, at, upto = [], 0, 0
+    for i, j in [*matched([x[KIND] for x in a], [x[KIND] for x in b]), (len(a), len(b))]:
+        out += [[x[KIND], 1, *x[2:]] for x in a[at:i]] + [[x[KIND], 1, *x[2:]] for x in b[upto:j]]
+        if i < len(a):
+            out.append(aligned(a[i], b[j]))
+        at, upto = i + 1, j + 1
+    return bounded(folded(out), pages)
+
+
+def matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Of long lists that differ in many places, one through the kinds that both have as often: the
+    k-th of a kind answers the k-th, as many of them as are in order; what lies between is matched in the same way."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    ends = [(k, k) for k in range(lo)], [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
+    mid_a, mid_b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    inner = common(mid_a, mid_b) if len(mid_a) * len(mid_b) <= DENSE_CELLS else in_order(mid_a, mid_b)
+    return [*ends[0], *((lo + i, lo + j) for i, j in inner), *ends[1]]
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of short lists."""
     n, m = len(a), len(b)
     same = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            same[i][j] = same[i + 1][j + 1] + 1 if a[i][KIND] == b[j][KIND] else max(same[i + 1][j], same[i][j + 1])
+            same[i][j] = same[i + 1][j + 1] + 1 if a[i] == b[j] else max(same[i + 1][j], same[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][KIND] == b[j][KIND]:
-            out.append(aligned(a[i], b[j]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and same[i + 1][j] >= same[i][j + 1]:
-            out.append([a[i][KIND], 1, *a[i][2:]])
+        elif same[i + 1][j] >= same[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][KIND], 1, *b[j][2:]])
             j += 1
-    return bounded(folded(out))
-
-
-def bounded(kids: list) -> list:
-    """Few children, nothing lost: where they are more than MOST_KIDS, those of one kind become one optional group, then those of one name."""
-    for key in (lambda kind: kind, lambda kind: kind.split(".")[0]):
-        if len(kids) > MOST_KIDS:
-            groups: dict[str, list] = {}
-            for kid in kids:
-                kid = [key(kid[KIND]), 1, 1, *kid[PAGES:]]
-                groups[kid[KIND]] = aligned(groups[kid[KIND]], kid) if kid[KIND] in groups else kid
-            kids = list(groups.values())
-    return kids
+    return out
+
+
+def in_order(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal kinds of long lists, increasing in both: kinds that both have equally often answer by their turns, and the longest increasing run of answers stays."""
+    turns_a, turns_b = Counter(a), Counter(b)
+    spots: dict[tuple[str, int], int] = {}
+    met: Counter = Counter()
+    for j, kind in enumerate(b):
+        spots[kind, met[kind]] = j
+        met[kind] += 1
+    met.clear()
+    ends: list[int] = []  # the least last answer of an increasing run of each length
+    tails: list[tuple[int, int, tuple | None]] = []
+    for i, kind in enumerate(a):
+        j = spots.get((kind, met[kind])) if turns_a[kind] == turns_b[kind] else None
+        met[kind] += 1
+        if j is not None:
+            k = bisect_left(ends, j)
+            item = (i, j, tails[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                tails.append(item)
+            else:
+                ends[k], tails[k] = j, item
+    run, item = [], tails[-1] if tails else None
+    while item:
+        run.append(item[:2])
+        item = item[2]
+    run.reverse()
+    if not run:
+        return []
+    out, at, upto = [], 0, 0
+    for i, j in [*run, (len(a), len(b))]:
+        if (i - at) * (j - upto) <= DENSE_CELLS:
+            out += [(at + x, upto + y) for x, y in common(a[at:i], b[upto:j])]
+        else:
+            out += [(at + x, upto + y) for x, y in in_order(a[at:i], b[upto:j])]
+        if i < len(a):
+            out.append((i, j))
+        at, upto = i + 1, j + 1
+    return out
+
+
+def bounded(kids: list, pages: int) -> list:
+    """Children of a wrapper of so many pages without a growing tail of rare kinds.
+
+    As many as four times a page's children on average stay, and ``MOST_KIDS`` at least, so every kind that half
+    of the pages have stays. Beyond that, those of the fewest pages become one optional group of each
+    element name: no part of a host, nor a text of every page, is among them.
+    """
+    most = max(MOST_KIDS, 4 * sum(k[PAGES] for k in kids) // max(1, pages))
+    if len(kids) <= most:
+        return kids
+    least = sorted((k[PAGES] for k in kids), reverse=True)[most // 2]
+    out: list = []
+    groups: dict[str, list] = {}
+    for kid in kids:
+        if kid[PAGES] > least or 2 * kid[PAGES] >= pages:
+            out.append(kid)
+            continue
+        kid = [kid[KIND].split("/")[0].split(".")[0], 1, 1, *kid[PAGES:]]
+        if kid[KIND] in groups:
+            groups[kid[KIND]][:] = aligned(groups[kid[KIND]], kid)
+        else:
+            groups[kid[KIND]] = kid
+            out.append(kid)
+    return out
 
 
 def expression(w: list) -> str:
@@ -388,10 +507,20 @@ def rule_of(w: list) -> dict:
     A named part's path counts where several pages have it and it holds at most half of the host's text.
     A block's path counts only if none of its texts varies, inline elements included. Hosts with few
     different pages have no such texts, nor have hosts whose pages agree in most of their text: these
-    are copies.
+    are copies. ``once`` has the names of parts that a host of several pages has on one page only.
     """
     slots: dict[str, list] = defaultdict(list)
     held: dict[str, list] = defaultdict(lambda: [0, 0])
+    named: Counter = Counter()
+
+    def count_named(node: list) -> None:
+        """Counts named parts in what isn't visited."""
+        if node[KIND] != "#":
+            me = standing(node[KIND])
+            if part_name(me):
+                named[part_name(me)] += node[PAGES]
+            for k in node[KIDS]:
+                count_named(k)
 
     def visit(node: list, path: str, block: str, some: bool) -> int:
         """Letters below that aren't boilerplate; ``some``: only some pages have the node."""
@@ -401,10 +530,14 @@ def rule_of(w: list) -> dict:
             slots[block].append((node[TEXT] if fixed else None, node[LETTERS]))
             return node[LETTERS]
         me = standing(node[KIND])
+        if part_name(me):
+            named[part_name(me)] += node[PAGES]
         if excluded(me):
+            for k in node[KIDS]:
+                count_named(k)
             return 0
         own = f"{path}/{node[KIND]}" if path or node[KIND] else ""
-        total = sum(visit(k, own, own if me.name in BLOCK else block, some) for k in node[KIDS])
+        total = sum(visit(k, own, own if me.name in BLOCK or "/" in node[KIND] else block, some) for k in node[KIDS])
         if me.name in WRAPS or hint(me):
             held[own] = [held[own][0] + total, max(held[own][1], 0 if node[REP] else node[PAGES])]
         return total
@@ -417,7 +550,8 @@ def rule_of(w: list) -> dict:
     same = {path: sorted({h for text, _ in found for h in text}) for path, found in slots.items() if all(text is not None for text, _ in found)}
     if not several or 2 * sum(n for path in same for _, n in slots[path]) > total:
         same = {}
-    return {"region": region_of(w), "parts": parts, "constant": same}
+    once = sorted(name for name, pages in named.items() if pages < 2) if several else []
+    return {"region": region_of(w), "parts": parts, "constant": same, "once": once}
 
 
 def located(root: Node, region: list[str] | None) -> list[tuple[Node, str]]:
@@ -477,7 +611,9 @@ def main_text(text: str | None, rule: dict | None) -> str:
     They are those of the articles in the part that the host's wrapper has found, if these hold most of its
     text, else of that part; where the page lacks that part, of its own articles, or of the whole page.
     An element named as a part, or a form, is read all the same where it holds most of the page's
-    text, unless the host's wrapper has it as a part.
+    text, unless the host's wrapper has it as a part. In an article, elements named as parts are dropped
+    where the host's wrapper shows that they recur, so a block of this page alone is read whatever
+    its name; reader comments are dropped in any case, and hosts of few pages go by names.
     """
     if not text:
         return ""
@@ -492,9 +628,14 @@ def main_text(text: str | None, rule: dict | None) -> str:
             mains = []
     parts = frozenset() if mains or rule is None else frozenset(rule["parts"])
     constant = {} if mains or rule is None else rule["constant"]
+    once = frozenset(rule["once"]) if mains and rule else frozenset()
 
     def dropped(node: Node, own: str) -> bool:
-        if unseen(node) or node.name in ASIDE:
+        if unseen(node):
+            return True
+        if once and part_name(node) in once and not comments(node):
+            return False
+        if node.name in ASIDE:
             return True
         if not (node.name in WRAPS or hint(node, bool(mains))) or any(node is start for start, _ in starts):
             return False

@@ -49,7 +49,11 @@ def test_wrappers_of_many_kinds_lose_nothing():
     w = html_text.wrapper_of(html_text.parsed(page))
     w = html_text.aligned(w, html_text.wrapper_of(html_text.parsed("<div><i>one</i>" + page[5:])))
     assert w[html_text.LETTERS] == sum(k[html_text.LETTERS] for k in w[html_text.KIDS][0][html_text.KIDS]) == 4 * 260 + 3
-    assert len(w[html_text.KIDS][0][html_text.KIDS]) < 200
+    assert len(w[html_text.KIDS][0][html_text.KIDS]) == 261  # what each page has stays apart
+    rare = ["<div>" + "".join(f"<div class='{c}{k // 26 * 'z'}{chr(97 + k % 26)}'>{c}</div><p>x</p>" for c in kinds[:20]) + "<b>all</b></div>" for k in range(60)]
+    w = reduce(html_text.aligned, [html_text.wrapper_of(html_text.parsed(p)) for p in rare])
+    assert len(w[html_text.KIDS][0][html_text.KIDS]) <= 200  # 1,200 kinds of one page each
+    assert w[html_text.LETTERS] == 60 * (20 * 3 + 3) and ["b", 0, 0, 60] in [k[:4] for k in w[html_text.KIDS][0][html_text.KIDS]]
     assert texts([page] * 6) == ["\n".join(kinds)] * 6
 
 

@@ -95,3 +95,77 @@ def test_a_wrapper_counts_what_all_pages_hold():
 
         visit(reduce(html_text.aligned, [html_text.wrapper_of(t) for t in trees]), "")
         assert {p: (n, letters, h) for p, (n, letters, h) in got.items()} == {p: (len(x), sum(map(len, x)), {html_text.own_text(t) for t in x}) for p, x in want.items()}
+
+
+def test_many_different_children_change_nothing():
+    """Blocks of 260 kinds on every page, some pages lack a few: the unchanging one goes, all others stay in order."""
+    rng = random.Random(6)
+    for n in (20, 150, 260, 900):
+        pages, wants = [], []
+        for k in range(7):
+            here = [j for j in range(n) if j != n // 3 and not (k and j % 50 == k)]
+            words = {j: f"{prose(rng, 5)} {k} {j}" for j in here}
+            body = "".join("<div class=own><p>Our house rules</p></div>" if j == n // 3 else f"<div class=k{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{'z' * (j // 676)}><p>{words[j]}</p></div>" for j in range(n) if j == n // 3 or j in words)
+            pages.append(f"<body>{body}</body>")
+            wants.append("\n".join(words[j] for j in here))
+        own = rule(pages)
+        assert [html_text.main_text(p, own) for p in pages] == wants, n
+
+
+def test_depth_changes_nothing():
+    rng = random.Random(7)
+    for depth in (5, 62, 80, 300):
+        texts = [f"{prose(rng, 40)} {k}" for k in range(6)]
+        pages = ["<body>" + "<div>" * depth + f"<div class=own>Our house rules</div><p>{t} <b>bold {k}</b></p>" + "</div>" * depth + "</body>" for k, t in enumerate(texts)]
+        own = rule(pages)
+        assert [html_text.main_text(p, own) for p in pages] == [f"{t} bold {k}" for k, t in enumerate(texts)], depth
+
+
+def test_reader_comments_in_an_article_go():
+    rng = random.Random(8)
+    page = "<body><article><h1>T{0}</h1><p>{1}</p><div class=comment><p>first {0}</p></div><div class='comment-body'>second {0}</div><section class=user-comments><p>third {0}</p></section><ul class=comments-list><li>fourth {0}</li></ul></article></body>"
+    for n in (3, 9):
+        texts = [prose(rng, 40) for _ in range(n)]
+        pages = [page.format(k, t) for k, t in enumerate(texts)]
+        own = rule(pages)
+        assert [html_text.main_text(p, own) for p in pages] == [f"T{k}\n{t}" for k, t in enumerate(texts)]
+
+
+def test_named_blocks_of_one_page_stay_and_those_that_recur_go():
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(8)]
+    odd = {2: "<aside>A note of this page</aside>", 3: "<div class=menu>Soup and bread</div>", 4: "<div class='related'>Related work is this</div>"}
+    pages = [f"<body><article><h1>T{k}</h1>{odd.get(k, '')}<p>{t}</p><div class='share x{k}'>Share this {k}</div></article></body>" for k, t in enumerate(texts)]
+    own = rule(pages)
+    want = {2: "A note of this page\n", 3: "Soup and bread\n", 4: "Related work is this\n"}
+    assert [html_text.main_text(p, own) for p in pages] == [f"T{k}\n{want.get(k, '')}{t}" for k, t in enumerate(texts)]
+    assert html_text.main_text(pages[3], None) == f"T3\n{texts[3]}"
+
+
+def test_generated_pages_equal_their_articles():
+    """Hosts of random layout whose articles are known: what the templates say on every page, and named parts, go; all else stays."""
+    rng = random.Random(10)
+    for host in range(12):
+        wrap = rng.choice(["div class=story", "article", "section class=body-text", "main"])
+        top, low = prose(rng, 6), prose(rng, 4)
+        pages, wants = [], []
+        for k in range(rng.randrange(6, 14)):
+            blocks = [f"{prose(rng, rng.randrange(8, 40))} {host} {k} {j}" for j in range(rng.randrange(2, 9))]
+            inner = "".join(f"<{t}>{b}</{t}>" for b, t in ((b, rng.choice(["p", "blockquote", "h2", "div class=q"])) for b in blocks))
+            side = "".join(f"<li><a href=/{j}>{prose(rng, 2)}</a></li>" for j in range(4))
+            pages.append(f"<body><nav>{side}</nav><div class=xt><p>{top}</p></div><{wrap}><h1>T {host} {k}</h1>{inner}</{wrap.split()[0]}><div class=sidebar><ul>{side}</ul></div><div class=xl><p>{low}</p></div></body>")
+            wants.append("\n".join([f"T {host} {k}", *blocks]))
+        own = rule(pages)
+        assert [html_text.main_text(p, own) for p in pages] == wants, wrap
+
+
+def test_places_in_order_are_equal_and_increasing():
+    rng = random.Random(11)
+    for _ in range(40):
+        a = [rng.choice("abcdefgh") * rng.randrange(1, 60) for _ in range(rng.randrange(300, 500))]
+        b = [x for x in a if rng.random() < 0.9]
+        for _ in range(20):
+            b.insert(rng.randrange(len(b)), "new")
+        found = html_text.matched(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:]))
+        assert len(found) > 0.7 * len(b)
