@@ -179,20 +179,25 @@ def repeated_chunks(known: Broadcast):
     return run
 
 
-def binary_ids(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Ids as little-endian unsigned 32-bit integers, a value for each text."""
-    raw = np.ascontiguousarray(ids, dtype="<u4").tobytes()
-    return pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+def stored_as(table: pa.Array) -> np.dtype:
+    """How ids lie in staged tables: two bytes each where the vocabulary fits, else four."""
+    return np.dtype("<u2" if len(table) <= 1 << 16 else "<u4")
+
+
+def binary_ids(ids: np.ndarray, ends: np.ndarray, kind: np.dtype) -> pa.Array:
+    """Ids as little-endian unsigned integers, a value for each text."""
+    raw, n = np.ascontiguousarray(ids, dtype=kind).tobytes(), kind.itemsize
+    return pa.array([raw[n * a : n * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
 
 def encoded_chunks(tokenizer_path: str):
     """(digest, chunk) -> (digest, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc, kind = encoder(tokenizer_path), stored_as(bytes_of_ids(tokenizer_path))
         for batch in batches:
             for part in slices(batch, "chunk"):
-                yield pa.RecordBatch.from_arrays([part.column("digest"), binary_ids(*enc.encode(part.column("chunk")))], names=["digest", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("digest"), binary_ids(*enc.encode(part.column("chunk")), kind)], names=["digest", "ids"])
 
     return run
 
@@ -338,7 +343,7 @@ def encoded_runs(known: Broadcast, tokenizer_path: str):
                             named.append(name), order.append(k), digests.append(digest(view[begins[c] : cuts[c]])), run_of.append(-1)
                             at, k = int(cuts[c]), k + 1
                 ids, ends = enc.encode(pa.array(runs, pa.large_binary()).cast(pa.large_string()))
-                values, run_of = binary_ids(ids, ends), np.array(run_of, dtype=np.int64)
+                values, run_of = binary_ids(ids, ends, stored_as(table)), np.array(run_of, dtype=np.int64)
                 whole = np.array(order, dtype=np.int64) == -1
                 n_tokens, of_ids, of_text = results(ids, ends, table)
                 pick = lambda values, where: values.take(pa.array(run_of, pa.int64(), mask=~where))
@@ -357,8 +362,9 @@ def assembled(tokenizer_path: str):
         enc, table = encoder(tokenizer_path), bytes_of_ids(tokenizer_path)
 
         def finished(names: list[bytes], docs: list[list[bytes]]) -> pa.RecordBatch:
-            sizes = [len(p) // 4 for doc in docs for p in doc]
-            pieces = np.frombuffer(b"".join(p for doc in docs for p in doc), dtype="<u4")
+            kind = stored_as(table)
+            sizes = [len(p) // kind.itemsize for doc in docs for p in doc]
+            pieces = np.frombuffer(b"".join(p for doc in docs for p in doc), dtype=kind).astype(np.uint32)
             counts = np.cumsum([len(doc) for doc in docs])
             piece_ends = np.cumsum(sizes)
             ids, ends = repaired(pieces, piece_ends, piece_ends[counts - 1], table, enc.encode)
