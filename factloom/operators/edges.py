@@ -22,13 +22,14 @@ def kafka_edges(endpoints: DataFrame) -> DataFrame:
     return p.join(c, "topic").where("source <> target").select("source", "target", "topic", (F.col("np") * F.col("nc")).alias("links"))
 
 
-def resolved_calls(endpoints: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def resolved_calls(endpoints: DataFrame, aliases: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
     """Each REST call with hint, matches, status and target: resolved by exactly one service with the hint's alias.
 
-    ``aliases`` (service, alias) adds declared names to the services' own.
+    ``aliases`` (service, alias) adds declared names to the services' own; ``services`` (service) are those
+    that are known, by default the modules of ``endpoints``.
     """
     rest = endpoints.where("system = 'rest'")
-    names = endpoints.where(F.col("module").isNotNull()).select(F.col("module").alias("service")).distinct()
+    names = endpoints.where(F.col("module").isNotNull()).select(F.col("module").alias("service")).distinct() if services is None else services.select("service").distinct()
     named = names.select("service", alias(F.col("service")).alias("name"))
     if aliases is not None:
         named = named.union(aliases.join(names, "service", "left_semi").select("service", alias(F.col("alias")).alias("name"))).distinct()
@@ -39,7 +40,7 @@ def resolved_calls(endpoints: DataFrame, aliases: DataFrame | None = None) -> Da
     return found.withColumn("status", status).withColumn("target", F.when(F.col("status") == "resolved", F.col("only"))).drop("name", "only")
 
 
-def rest_edges(endpoints: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def rest_edges(endpoints: DataFrame, aliases: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
     """call_id, serve_id, source, target, and the routes: resolved calls against the routes of their target.
 
     A dynamic call of a configured client (its domain stands in the snippet) takes on each route of
@@ -50,7 +51,7 @@ def rest_edges(endpoints: DataFrame, aliases: DataFrame | None = None) -> DataFr
     predicate as its residual. Open first segments (templates) and open ends (**) have keys of their
     own, so that each pair of a call and a route meets under one key.
     """
-    calls = resolved_calls(endpoints, aliases).where("status = 'resolved'")
+    calls = resolved_calls(endpoints, aliases, services).where("status = 'resolved'")
     client = F.col("topic_dynamic") & domain(F.col("snippet")).isNotNull()
     calls = calls.select(F.col("id").alias("call_id"), F.col("module").alias("source"), "target", F.col("topic").alias("call"), client.alias("_client"), method(F.col("topic")).alias("_cm"), segments(F.col("topic")).alias("_cs")).dropDuplicates(["call_id", "source"])
     serves = endpoints.where("system = 'rest' and role = 'serve'").select(F.col("id").alias("serve_id"), F.col("module").alias("target"), F.col("topic").alias("serve"), method(F.col("topic")).alias("_sm"), segments(F.col("topic")).alias("_ss"), "path", "start_line", "end_line").dropDuplicates(["serve_id", "target"])

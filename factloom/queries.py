@@ -67,12 +67,12 @@ kafka as (select p.module as source, c.module as target, p.topic, p.n * c.n as l
 
 def rest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REST edges of all endpoints, from the index."""
-    return index(spark, sf_dir, "rest", lambda: edges.rest_edges(facts.endpoints(spark, sf_dir), facts.aliases(spark, sf_dir)))
+    return index(spark, sf_dir, "rest", lambda: edges.rest_edges(facts.endpoints(spark, sf_dir), facts.aliases(spark, sf_dir)), ["lineitem", "part", "supplier"])
 
 
 def kafka_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kafka edges of all endpoints, from the index."""
-    return index(spark, sf_dir, "kafka", lambda: edges.kafka_edges(facts.endpoints(spark, sf_dir)))
+    return index(spark, sf_dir, "kafka", lambda: edges.kafka_edges(facts.endpoints(spark, sf_dir)), ["lineitem", "part"])
 
 
 @query(f"with {EP} select id, role, topic, path, start_line, end_line, module from ep where system = 'kafka' and role = 'consume' and path glob 'o/1*7.java'")

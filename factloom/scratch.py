@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -9,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-INDEXES: dict[tuple[str, str, str], str] = {}
+INDEXES: dict[tuple[str, str, str], tuple[str, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,13 +53,31 @@ class Grown:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
-def index(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The table that ``make()`` derives, written once for a session and folder, so that each later query scans only the columns it needs."""
+def listing_digest(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files below some paths: names, sizes and times of change, from the file system's listing alone."""
+    jvm = spark._jvm
+    rows = []
+    for path in paths:
+        top = jvm.org.apache.hadoop.fs.Path(path)
+        files = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            rows.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
+
+
+def index(spark: SparkSession, sf_dir: str, name: str, make, sources: list[str]) -> DataFrame:
+    """The table that ``make()`` derives from the tables ``sources``, written once for a session, folder and state of the sources' files.
+
+    Each later query scans only the columns it needs. A table whose files have changed is derived anew.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key in INDEXES:
+    digest = listing_digest(spark, [f"{sf_dir}/{source}.parquet" for source in sources])
+    known, path = INDEXES.get(key, ("", ""))
+    if known == digest:
         try:
-            return spark.read.parquet(INDEXES[key])
+            return spark.read.parquet(path)
         except AnalysisException:  # the folder was cleared
-            del INDEXES[key]
-    INDEXES[key] = written(make(), name)
-    return spark.read.parquet(INDEXES[key])
+            pass
+    INDEXES[key] = digest, written(make(), name)
+    return spark.read.parquet(INDEXES[key][1])
