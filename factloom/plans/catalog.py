@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.filters import exportable, first_per_key, resolve_names
@@ -277,3 +277,172 @@ def federation_warnings(services: DataFrame, indexed: DataFrame) -> DataFrame:
 def workspace_services(modules: DataFrame) -> DataFrame:
     """service, kind: modules but aggregators as services; a module that starts no application is a shared one."""
     return modules.where("kind <> 'aggregator'").select(F.col("identity").alias("service"), F.when(F.col("starts_application"), "microservice").otherwise("shared-module").alias("kind"))
+
+
+def api_names(endpoints: DataFrame) -> DataFrame:
+    """api, providers, callers of each route: the modules, sorted, by comma."""
+    r = endpoints.where("system = 'rest' and module is not null")
+    return r.groupBy(F.col("topic").alias("api")).agg(_names(F.col("role") == "serve", "module").alias("providers"), _names(F.col("role") == "call", "module").alias("callers"))
+
+
+def dto_names(endpoints: DataFrame, runtime: DataFrame) -> DataFrame:
+    """dto, topics, producers, consumers of each message type: names, sorted, by comma, of runtime modules only."""
+    e = endpoints.where("system = 'kafka' and message_type is not null").join(runtime.select("module").distinct(), "module", "left_semi")
+    return e.groupBy(F.col("message_type").alias("dto")).agg(_names(F.lit(True), "topic").alias("topics"), _names(F.col("role") == "produce", "module").alias("producers"), _names(F.col("role") == "consume", "module").alias("consumers"))
+
+
+def topic_types(endpoints: DataFrame) -> DataFrame:
+    """topic, published, consumed: the message types of a topic by side, sorted, by comma; topics without a known type have no row."""
+    typed = endpoints.where("system = 'kafka' and message_type <> ''")
+    return typed.groupBy("topic").agg(_names(F.col("role") == "produce", "message_type").alias("published"), _names(F.col("role") == "consume", "message_type").alias("consumed"))
+
+
+def object_neighbours(endpoints: DataFrame, dependencies: DataFrame, collections: DataFrame) -> DataFrame:
+    """kind, name, relation, other_kind, other: ``neighbours``, and those of message types, endpoints and collections, distinct.
+
+    ``collections``: module, collection. A message type is near to the topics that carry it and to the
+    modules at their ends, an endpoint to its module and what it implements, a collection to its users.
+    """
+    out_side = F.col("role") == "produce"
+    thing = F.when(F.col("system") == "kafka", "topic").otherwise("api")
+
+    def near(condition, kind: str, name: Column, relation, other_kind, other: Column) -> Column:
+        lit = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.when(condition, F.struct(F.lit(kind).alias("kind"), name.alias("name"), lit(relation).alias("relation"), lit(other_kind).alias("other_kind"), other.alias("other")))
+
+    typed = (F.col("system") == "kafka") & (F.col("message_type") != "")
+    known = F.col("module").isNotNull()
+    rows = endpoints.select("id", "module", "system", "role", "topic", "message_type").select(
+        F.explode(
+            F.array_compact(
+                F.array(
+                    near(typed, "dto", F.col("message_type"), F.when(out_side, "published_as").otherwise("consumed_as"), "topic", F.col("topic")),
+                    near(typed & known, "dto", F.col("message_type"), F.when(out_side, "producer").otherwise("consumer"), "module", F.col("module")),
+                    near(known, "endpoint", F.col("id"), "belongs_to", "module", F.col("module")),
+                    near(F.lit(True), "endpoint", F.col("id"), "implements", thing, F.col("topic")),
+                )
+            )
+        ).alias("x")
+    )
+    uses = collections.select(F.explode(F.array(near(F.lit(True), "module", F.col("module"), "uses", "collection", F.col("collection")), near(F.lit(True), "collection", F.col("collection"), "uses", "module", F.col("module")))).alias("x"))
+    return neighbours(endpoints, dependencies).union(rows.select("x.*").union(uses.select("x.*")).distinct())
+
+
+def impacts(near: DataFrame) -> DataFrame:
+    """kind, name, direct, kinds: how many neighbours (rows of ``neighbours``) an object has, and of how many kinds."""
+    return near.groupBy("kind", "name").agg(F.count("*").alias("direct"), F.count_distinct("other_kind").alias("kinds"))
+
+
+def implementations(endpoints: DataFrame, ids: DataFrame) -> DataFrame:
+    """Endpoints of the given ids (id) with their evidence as one struct."""
+    evidence = F.struct("path", "start_line", "end_line", (F.col("qualified_name") if "qualified_name" in endpoints.columns else F.lit(None).cast("string")).alias("qualified_name"), "snippet")
+    return endpoints.join(ids.select("id").distinct(), "id", "left_semi").select(F.lit("integration").alias("kind"), "id", F.col("topic").alias("name"), "role", "system", "module", "message_type", evidence.alias("implementation"))
+
+
+def node_id(kind: Column, name: Column, service: Column | None = None) -> Column:
+    """``kind[:service]:name``; without a service, or with a null one, its part is left out."""
+    return F.concat_ws(":", kind, service, name) if service is not None else F.concat_ws(":", kind, name)
+
+
+def known_services(endpoints: DataFrame, modules: DataFrame) -> DataFrame:
+    """service: modules of endpoints and declared modules (identity)."""
+    return endpoints.where("module is not null").select(F.col("module").alias("service")).union(modules.select("identity")).distinct()
+
+
+def graph_nodes(graph: DataFrame, services: DataFrame) -> DataFrame:
+    """kind, service, name, id of the nodes of ``dependency_edges``: microservices, topics (a dynamic one belongs to its service) and external services, in no order."""
+    ends = graph.select(F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(True).alias("first"), F.col("kind")), F.struct(F.col("target").alias("node"), F.lit(False).alias("first"), F.col("kind")))).alias("x")).select("x.*")
+    on_topic = F.when(F.col("kind") == "publishes", ~F.col("first")).when(F.col("kind") == "consumes", F.col("first")).otherwise(F.lit(False))
+    kind = F.when(on_topic, "topic").when((F.col("kind") == "calls_external") & ~F.col("first"), "external_service").otherwise("microservice")
+    nodes = ends.select(kind.alias("kind"), "node").distinct().withColumn("_first", F.substring_index("node", ":", 1))
+    own = services.select(F.col("service").alias("_first")).distinct().withColumn("_known", F.lit(True))
+    found = nodes.join(own, "_first", "left")
+    local = (F.col("kind") == "topic") & F.col("_known") & F.contains("node", F.lit(":"))
+    service = F.when(local, F.col("_first"))
+    name = F.when(local, F.expr("substr(node, length(_first) + 2)")).otherwise(F.col("node"))
+    return found.select("kind", service.alias("service"), name.alias("name")).withColumn("id", node_id(F.col("kind"), F.col("name"), F.col("service")))
+
+
+def issues_in_order(found: DataFrame) -> DataFrame:
+    """Issues (severity, code, message) with warnings first, then by code and message."""
+    return found.orderBy(F.when(F.col("severity") == "warning", 0).otherwise(1), "code", "message")
+
+
+def nodes_in_order(nodes: DataFrame) -> DataFrame:
+    """Nodes by kind, service (none first) and name, as a graph lists them."""
+    return nodes.orderBy("kind", F.coalesce("service", F.lit("")), "name")
+
+
+def edges_in_order(graph: DataFrame) -> DataFrame:
+    """Edges by source, target, kind and label, as a graph lists them."""
+    return graph.orderBy("source", "target", "kind", "label")
+
+
+# How sure a link's evidence makes it, the strongest first.
+EVIDENCE = ["strategy1", "openapi", "dynamic", "manifest", "code"]
+
+
+def link_evidence(flags: dict[str, Column]) -> Column:
+    """The first of ``EVIDENCE`` whose flag is set for any row of a group; code without one."""
+    out = F
+    for name in EVIDENCE[:-1]:
+        if name in flags:
+            out = out.when(F.max(F.coalesce(flags[name], F.lit(False))), name)
+    return out.otherwise(EVIDENCE[-1])
+
+
+def service_links(endpoints: DataFrame, *, conventions: Column | None = None) -> DataFrame:
+    """source, target, relation, evidence of every link of a module and a topic or route, by all five kinds of evidence.
+
+    Endpoints of source ``openapi`` are those of declared contracts;
+    ``conventions`` marks endpoints that follow naming conventions only.
+    """
+    e = endpoints.where("module is not null")
+    out = F.col("role").isin("produce", "call")
+    verb = F.when(F.col("role") == "produce", "publishes").when(F.col("role") == "consume", "consumes").when(F.col("role") == "serve", "provides").otherwise("calls")
+    flags = {"openapi": F.col("source") == "openapi", "dynamic": F.col("topic_dynamic"), "manifest": F.col("source") == "manifest"}
+    if conventions is not None:
+        flags["strategy1"] = conventions
+    links = e.groupBy(F.when(out, F.col("module")).otherwise(F.col("topic")).alias("source"), F.when(out, F.col("topic")).otherwise(F.col("module")).alias("target"), verb.alias("relation"))
+    return links.agg(link_evidence(flags).alias("evidence"))
+
+
+FACT_FIELDS = ["technology", "layer", "status"]
+
+
+def merged_nodes(nodes: DataFrame, known_facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the nodes of a graph with what facts say of them; id, field, kept, other where the two origins differ).
+
+    ``nodes``: kind, name, label and, as far as known, technology, layer, status; ``known_facts``: kind,
+    name, namespace, technology, layer, status and ``at``, their order. Both are one node where kind and
+    name agree; a fact's kind ``service`` is a microservice. A label stays the graph's, or is the name of
+    a node that only facts have. Technology and layer are the last fact's that has them, else the graph's;
+    the status is the graph's, and of a new node its first fact's. Namespaces of facts are listed, sorted, for
+    microservices. One aggregation over both origins, none of them gathered.
+    """
+    own = nodes.select(node_id(F.col("kind"), F.col("name")).alias("id"), "kind", "name", "label", *FACT_FIELDS, F.lit(None).cast("string").alias("namespace"), F.lit(None).cast("long").alias("at"))
+    kind = F.when(F.col("kind") == "service", "microservice").otherwise(F.col("kind"))
+    told = known_facts.where("name is not null").select(node_id(kind, F.col("name")).alias("id"), kind.alias("kind"), "name", F.lit(None).cast("string").alias("label"), *FACT_FIELDS, "namespace", F.col("at").cast("long").alias("at"))
+    fact = F.col("at").isNotNull()
+
+    def last(field: str) -> Column:
+        has = fact & F.col(field).isNotNull() & (F.col(field) != "")
+        return F.max_by(F.when(has, F.col(field)), F.when(has, F.struct("at", field)))
+
+    graphs = lambda field: F.max(F.when(~fact, F.col(field)))
+    both = own.unionByName(told).groupBy("id").agg(
+        F.max("kind").alias("kind"),
+        F.max("name").alias("name"),
+        F.max("label").alias("label"),
+        F.max(~fact).alias("_in_graph"),
+        *(graphs(f).alias(f"_graph_{f}") for f in FACT_FIELDS),
+        *(last(f).alias(f"_fact_{f}") for f in FACT_FIELDS),
+        F.min_by("status", F.when(fact, F.struct("at", "status"))).alias("_first_status"),
+        F.array_join(F.array_sort(F.collect_set("namespace")), ",").alias("_namespaces"),
+    )
+    picked = {f: F.coalesce(f"_fact_{f}", f"_graph_{f}") for f in ("technology", "layer")} | {"status": F.when(F.col("_in_graph"), F.col("_graph_status")).otherwise(F.col("_first_status"))}
+    spaces = F.when(F.col("kind") == "microservice", F.col("_namespaces")).otherwise("")
+    merged = both.select("id", "kind", "name", F.coalesce("label", "name").alias("label"), *(c.alias(f) for f, c in picked.items()), spaces.alias("namespaces"))
+    differ = [F.when(F.col("_in_graph") & (F.col(f"_graph_{f}") != F.col(f"_fact_{f}")), F.struct(F.lit(f).alias("field"), picked[f].alias("kept"), (F.col("_graph_" + f) if f != "status" else F.col("_fact_" + f)).alias("other"))) for f in FACT_FIELDS]
+    conflicts = both.select("id", F.explode(F.array_compact(F.array(*differ))).alias("x")).select("id", "x.*")
+    return merged, conflicts

@@ -163,8 +163,7 @@ def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{NEIGHBOURS} select kind, name, count(*) as direct, count(distinct other_kind) as kinds from near group by all")
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = catalog.neighbours(facts.endpoints(spark, sf_dir), facts.module_dependencies(spark, sf_dir))
-    return near.groupBy("kind", "name").agg(F.count("*").alias("direct"), F.count_distinct("other_kind").alias("kinds"))
+    return catalog.impacts(catalog.neighbours(facts.endpoints(spark, sf_dir), facts.module_dependencies(spark, sf_dir)))
 
 
 @query(f"""with {EP} select kind, name, concat('no ', case when p = 0 and c = 0 then 'both' when p = 0 then case kind when 'topic' then 'producer' else 'provider' end else 'consumer' end) as side from (
@@ -184,13 +183,23 @@ def contract_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.contracts(facts.endpoints(spark, sf_dir))
 
 
+LINKS = "links as (select distinct source, target, concat('http ', target, ': ', serve) as id from rest union select distinct source, topic, 'publishes' from kafka union select distinct topic, target, 'consumes' from kafka)"
+CYCLES_OF_EVENTS = """svc as (select distinct module as node from ep), edge as (select distinct source, target from links),
+hop as (select distinct a.source, b.target from edge a join edge b on a.target = b.source and a.target not in (select node from svc) where a.source in (select node from svc) union select source, target from edge where source in (select node from svc) and target in (select node from svc)),
+reach(source, target) as (select source, target from hop union select r.source, h.target from reach r join hop h on h.source = r.target),
+comp as (select a.source as node, min(a.target) as least from (select a.source, a.target from reach a join reach b on a.source = b.target and a.target = b.source) a group by a.source),
+ring_topics as (select distinct t.target as node, c.least from edge t join comp c on c.node = t.source join edge u on u.source = t.target join comp d on d.node = u.target and d.least = c.least where t.target not in (select node from svc)),
+every as (select node, least, 'service' as kind from comp union all select node, least, 'topic' from ring_topics),
+ring as (select min(node) as component, list(node order by node) as nodes, list(node order by node) filter (kind = 'service') as services from every group by least having count(*) >= 3 and count(*) filter (kind = 'service') >= 2 and count(*) filter (kind = 'topic') >= 1)"""
+
+
 INSIDE = "inside as (select distinct c.id as consumer_id, k.id as call_id, c.module, c.path from ep c join ep k on c.path = k.path and k.start_line between c.start_line and c.end_line where c.system = 'kafka' and c.role = 'consume' and k.system = 'rest' and k.role = 'call')"
 IDLE = """idle as (select * from (select m.identity as module, coalesce(served, 0) as served, coalesce(published, 0) as published, coalesce(consumed, 0) as consumed, coalesce("read", 0) as "read", coalesce(written, 0) as written
   from modules m left join (select module, count(distinct case when role = 'serve' then topic end) as served, count(distinct case when role = 'produce' then topic end) as published, count(distinct case when role = 'consume' then topic end) as consumed from ep group by module) e on e.module = m.identity
   left join (select module, count(distinct case when operation not in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert') then collection end) as "read",
     count(distinct case when operation in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert') then collection end) as written from coll group by module) c on c.module = m.identity
   where not m.starts_application and m.kind <> 'aggregator') x where served + published + consumed + "read" + written > 0)"""
-AUDIT = f"""with {EP}, {EFFECTIVE}, {KAFKA}, {REST}, {CONTRACTS}, {MOD}, {COLL}, {INSIDE}, {IDLE}, two as (select a.source as a, a.target as b from (select distinct source, target from rest) a join (select distinct source, target from rest) b on a.source = b.target and a.target = b.source and a.source < a.target),
+AUDIT = f"""with recursive {EP}, {EFFECTIVE}, {KAFKA}, {REST}, {CONTRACTS}, {MOD}, {COLL}, {INSIDE}, {IDLE}, {LINKS}, {CYCLES_OF_EVENTS}, two as (select a.source as a, a.target as b from (select distinct source, target from rest) a join (select distinct source, target from rest) b on a.source = b.target and a.target = b.source and a.source < a.target),
 members as (select topic, string_agg(distinct module, ' ' order by module) as members from ep where system = 'kafka' and not topic_dynamic group by topic),
 issues as (
   select distinct 'dynamic-kafka-topic' as rule, 'WARNING' as severity, id as subject, coalesce(module, '') as services, concat(path, ':', cast(start_line as varchar)) as evidence, 'high' as confidence from ep where topic_dynamic and system = 'kafka'
@@ -200,13 +209,27 @@ issues as (
   union all select concat('kafka-message-contract-', finding), 'WARNING', contracts.topic, members, concat('writes ', producer_types, ', reads ', consumer_types), 'medium' from contracts join members on members.topic = contracts.topic
   union all select 'synchronous-rest-cycle', 'ERROR', concat(a, ' ', b), concat(a, ' ', b), concat(a, ' ', b), 'high' from two
   union all select 'synchronous-http-in-kafka-consumer', 'WARNING', concat(consumer_id, ' ', call_id), coalesce(module, ''), path, 'high' from inside
-  union all select 'non-runtime-module-activity', 'WARNING', module, module, concat('served=', cast(served as varchar), ' published=', cast(published as varchar), ' consumed=', cast(consumed as varchar), ' read=', cast("read" as varchar), ' written=', cast(written as varchar)), 'high' from idle)"""
+  union all select 'non-runtime-module-activity', 'WARNING', module, module, concat('served=', cast(served as varchar), ' published=', cast(published as varchar), ' consumed=', cast(consumed as varchar), ' read=', cast("read" as varchar), ' written=', cast(written as varchar)), 'high' from idle
+  union all select 'event-dependency-cycle', 'WARNING', component, concat(array_to_string(services[:20], ' '), case when len(services) > 20 then concat(' and ', cast(len(services) - 20 as varchar), ' more') else '' end), concat(array_to_string(nodes[:20], ' -> '), case when len(nodes) > 20 then concat(' -> and ', cast(len(nodes) - 20 as varchar), ' more') else '' end), 'medium' from ring)"""
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
     idle = audit.idle_module_activity(facts.modules(spark, sf_dir), ep, facts.collections(spark, sf_dir))
-    return audit.audit(ep, rest_index(spark, sf_dir), edges.calls_in_consumers(ep), kafka=kafka_index(spark, sf_dir), idle=idle)
+    inside = index(spark, sf_dir, "inside", lambda: edges.calls_in_consumers(ep), ["lineitem", "part"])
+    return audit.audit(ep, rest_index(spark, sf_dir), inside, kafka=kafka_index(spark, sf_dir), idle=idle, cycles=_event_cycles(spark, sf_dir))
+
+
+def _event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles of messages and calls, from the index."""
+
+    def derived() -> DataFrame:
+        links = _links(spark, sf_dir).select("source", "target").distinct()
+        ep = facts.endpoints(spark, sf_dir)
+        kinds = ep.where("system = 'kafka'").select(F.col("topic").alias("node"), F.lit("topic").alias("kind")).union(ep.where("module is not null").select("module", F.lit("service")))
+        return audit.event_cycle_rows(links, kinds)
+
+    return index(spark, sf_dir, "event-cycles", derived, ["lineitem", "part", "supplier"])
 
 
 @query(f"{AUDIT} select rule, severity, count(*) as n from issues group by all")
@@ -216,7 +239,7 @@ def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{AUDIT} select * from issues")
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.in_order(_issues(spark, sf_dir))
+    return _issues(spark, sf_dir)
 
 
 @query(f"with {EP}, {MOD}, {COLL}, {IDLE} select * from idle")
@@ -262,6 +285,11 @@ def rest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations, from the index."""
+    return index(spark, sf_dir, "relations", lambda: _derived_relations(spark, sf_dir), ["lineitem", "part", "supplier", "events"])
+
+
+def _derived_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = facts.endpoints(spark, sf_dir)
     return relations.architecture_relations(ep, facts.module_dependencies(spark, sf_dir), runtime_modules(spark, sf_dir), rest_index(spark, sf_dir).select("source", "target").distinct(), kafka_index(spark, sf_dir).select("source", "target").distinct(), collections=facts.collections(spark, sf_dir))
 
@@ -355,14 +383,14 @@ LAYER = """case when lower(namespace) = 'portail' then 'api' when lower(namespac
 @query(f"with {MOD} select identity, name, namespace, {LAYER} as layer from modules")
 def module_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = facts.modules(spark, sf_dir)
-    return m.select("identity", "name", "namespace", ranking.layer(F.col("name"), F.col("starts_application"), F.col("namespace")).alias("layer"))
+    return m.select("identity", "name", "namespace", ranking.layer(F.col("name"), F.col("starts_application"), F.col("namespace"), conventions=True).alias("layer"))
 
 
 @query(f"""with {MOD}, {COLL}, l as (select distinct collection as resource, name as owner, {LAYER} as layer from coll join modules on identity = module where operation in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert'))
 select resource, owner, layer from l qualify row_number() over (partition by resource order by case layer when 'api' then 0 when 'application' then 1 when 'orchestration' then 2 when 'infrastructure' then 3 when 'domain' then 4 when 'persistence' then 5 when 'external' then 6 else -1 end desc, owner) = 1""")
 def resource_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = facts.modules(spark, sf_dir)
-    own = m.select(F.col("identity").alias("module"), F.col("name").alias("owner"), ranking.layer(F.col("name"), F.col("starts_application"), F.col("namespace")).alias("layer"))
+    own = m.select(F.col("identity").alias("module"), F.col("name").alias("owner"), ranking.layer(F.col("name"), F.col("starts_application"), F.col("namespace"), conventions=True).alias("layer"))
     writes = facts.collections(spark, sf_dir).where(F.col("operation").isin(audit.WRITES)).select("module", F.col("collection").alias("resource")).distinct()
     return ranking.owners(writes.join(own, "module").select("resource", "owner", "layer"))
 
@@ -380,7 +408,6 @@ def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traversals.strong_components(facts.module_dependencies(spark, sf_dir))
 
 
-LINKS = "links as (select distinct source, target, concat('http ', target, ': ', serve) as id from rest union select distinct source, topic, 'publishes' from kafka union select distinct topic, target, 'consumes' from kafka)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
