@@ -8,8 +8,12 @@ Linked sets of sizes a and b share at least 85 in 100 of the larger one. Three s
 2. The whole sets of those left are counted. A set with too few shared hashes goes. The rest, rarest
    hashes first, keep the shortest prefix in which a linked pair must meet. The least set that holds
    a hash in its prefix leads it, and the sets led by one leader are a unit: each pair that meets
-   through a prefix is in some unit, and units don't chain. Units over ``BLOCK`` sets are cut into
-   bands of sizes, of which only neighbours can link, and blocks.
+   through a prefix is in some unit, and units don't chain. In a unit over ``BLOCK`` sets each is first
+   held against one of them, the pivot: those that link with it are one component and don't meet each
+   other any more, and by the triangle inequality of Jaccard distances only sets within twice
+   the distance of a link can link with them. So a group of M near copies costs about M. What doesn't link
+   with the pivot gets the next one; what is left after ``PIVOTS`` is cut into bands of sizes,
+   of which only neighbours can link, and blocks.
 3. Units are verified in pairs of blocks. In a task the sets of one block are indexed: an index list
    is in order of size, cut by position into parts, and a set skips the parts whose sizes can't link
    before it reads a list. Sets that agree in their least hash follow each other, and the shared
@@ -36,7 +40,7 @@ from factloom.llm.shared import discard, staged
 
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 BROADCAST_ROWS = 200_000
-BLOCK, PART = 256, 64
+BLOCK, PART, PIVOTS = 256, 64, 4
 
 
 class WordHashes(dict):
@@ -200,6 +204,59 @@ def block_turns(members: DataFrame, num: int, den: int) -> DataFrame:
     return small.union(placed.select("node", "leader", F.explode(F.concat(same, above, under)).alias("_turn")).select("node", "leader", "_turn.low", "_turn.high", "_turn.side"))
 
 
+def crossing_turns(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """node, leader, low, high, side: the pairs of a block of linked sets and a block of near ones of the same or a neighbouring band.
+
+    ``placed`` is a written table of node, leader, n and linked. Units with sets of one kind only have no pairs.
+    """
+    width = log(den / num) * 1.001 if num < den else 1e-9
+    both = placed.groupBy("leader").agg(F.max("linked").alias("some"), F.min("linked").alias("all")).where("some and not all").select("leader")
+    banded = staged(placed.join(both, "leader", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(width)).cast("long")), "crossing")
+    amount = banded.groupBy("leader", "band", "linked").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    around = F.explode(F.array(*(F.struct((F.col("band") + by).alias("band"), F.lit(-by).alias("by")) for by in (-1, 0, 1))))
+    offers = amount.select("leader", (~F.col("linked")).alias("linked"), "blocks", around.alias("x")).select("leader", "linked", "x.band", "x.by", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    own = banded.join(amount.select("leader", "band", "linked", "blocks"), ["leader", "band", "linked"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    place = lambda band, block: F.struct(band.cast("long").alias("band"), block.cast("int").alias("block"))
+    offers = staged(offers.groupBy("leader", "band", "linked").agg(F.collect_list(place(F.col("band") + F.col("by"), F.col("other"))).alias("others")), "crossing-blocks")  # the blocks of three bands
+    met = own.join(offers, ["leader", "band", "linked"]).select("node", "leader", "linked", place(F.col("band"), F.col("block")).alias("me"), F.explode("others").alias("other"))
+    return met.select("node", "leader", F.when(F.col("linked"), F.col("me")).otherwise(F.col("other")).alias("low"), F.when(F.col("linked"), F.col("other")).otherwise(F.col("me")).alias("high"), F.when(F.col("linked"), 0).otherwise(1).alias("side"))
+
+
+def pivoted(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame | None, DataFrame]:
+    """(links (a, b) with pivots; node, leader, part, low, high, side: what is left to verify in blocks).
+
+    ``members``: node, leader, n; ``sets``: node, hashes; both written tables. A unit of up to ``BLOCK`` sets is one block.
+    Linked sets differ by at most 1 - num / den in distance, a metric, so what links with a set that
+    the pivot links with lies within twice that of the pivot.
+    """
+    whole = F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
+    names = ["node", "leader", "part", "low", "high", "side"]
+    links, turns = None, []
+    for k in range(PIVOTS):
+        sizes = members.groupBy("leader").agg(F.count("*").alias("_k"), F.min("node").alias("pivot"))
+        big = staged(sizes.where(F.col("_k") > BLOCK).select("leader", "pivot"), "big-units")
+        turns.append(members.join(big, "leader", "left_anti").select("node", "leader", F.lit(2 * k).alias("part"), whole.alias("low"), whole.alias("high"), F.lit(2).alias("side")))
+        if big.isEmpty():
+            break
+        heads = big.select("pivot").distinct().join(sets, F.col("pivot") == F.col("node")).select("pivot", F.col("hashes").alias("head"))
+        inside = members.join(big, "leader").join(sets, "node").join(heads, "pivot")
+        shared, of = F.size(F.array_intersect("hashes", "head")).cast("long"), F.size("head").cast("long")
+        inside = inside.select("node", "leader", "n", "pivot", shared.alias("shared"), (F.col("n") + of - shared).alias("union"))
+        linked = F.col("shared") * den >= F.col("union") * num
+        near = F.col("shared") * den >= F.col("union") * (2 * num - den)
+        placed = staged(inside.select("node", "leader", "n", "pivot", linked.alias("linked"), near.alias("near")), "pivoted")
+        found = placed.where("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        links = found if links is None else links.union(found)
+        turns.append(crossing_turns(placed.where("near").select("node", "leader", "n", "linked"), num, den).withColumn("part", F.lit(2 * k + 1)).select(*names))
+        members = placed.where("not linked").select("node", "leader", "n")
+    else:
+        turns.append(block_turns(members, num, den).withColumn("part", F.lit(2 * PIVOTS)).select(*names))
+    out = turns[0]
+    for t in turns[1:]:
+        out = out.union(t)
+    return links, out
+
+
 def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, node, mark of each row; links (a, b) between nodes that connect just what is linked). ``mark``: a long to tell rows apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), (F.lit(0).cast("long") if mark is None else mark).alias("mark"))
@@ -223,10 +280,10 @@ def jaccard_links(docs: DataFrame, *, n: int = 4, num: int = 85, den: int = 100,
     least = meets.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader < most").select("key", "leader")
     members = meets.join(least, "key").select("node", "leader").distinct().join(live.select("node", "n"), "node")
     units = staged(members, "units")
-    turns = block_turns(units, num, den)
-    found = turns.join(sets, "node").select("leader", "low", "high", "node", "side", "hashes")
-    links = found.groupBy("leader", "low", "high").applyInArrow(lambda t: forest(t, num, den), "a bigint, b bigint")
-    links = staged(links, "links")
+    by_pivot, turns = pivoted(units, sets, num, den)
+    found = turns.join(sets, "node").select("leader", "part", "low", "high", "node", "side", "hashes")
+    links = found.groupBy("leader", "part", "low", "high").applyInArrow(lambda t: forest(t, num, den), "a bigint, b bigint")
+    links = staged(links if by_pivot is None else links.union(by_pivot), "links")
     discard(live, sets, meets, units)
     return info.select("doc_id", "n_shingles", "node", "mark"), links
 

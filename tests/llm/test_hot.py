@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, neighbours, ngram_join, winnowing
+from factloom.llm import mixing, neighbours, ngram_join, shared, winnowing
 from factloom.llm.components import components
 
 
@@ -157,3 +157,73 @@ def test_neighbour_blocks_are_skipped_with_one_hot_vector(spark):
 def test_components_of_a_hot_node(spark):
     e = spark.range(1, 3000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     assert components(e).where("label = 0").count() == 3000
+
+
+def set_frames(spark, sets):
+    """Units, sets and the sets by node, as the join has them: one unit of all."""
+    rows = [(k + 1, sorted({int(x) for x in s})) for k, s in enumerate(sets)]
+    units = shared.staged(spark.createDataFrame([(node, 7, len(h)) for node, h in rows], "node long, leader long, n long"), "units")
+    return units, shared.staged(spark.createDataFrame(rows, "node long, hashes array<long>"), "whole-sets"), dict(rows)
+
+
+def joined(spark, units, sets):
+    by_pivot, turns = ngram_join.pivoted(units, sets, 85, 100)
+    turns = shared.staged(turns, "turns")
+    found = turns.join(sets, "node").select("leader", "part", "low", "high", "node", "side", "hashes").groupBy("leader", "part", "low", "high").applyInArrow(lambda t: ngram_join.forest(t, 85, 100), "a bigint, b bigint")
+    links = found if by_pivot is None else found.union(by_pivot)
+    return turns.count(), {r["node"]: r["label"] for r in components(links).collect()}
+
+
+def labels(rows):
+    """Components by all pairs."""
+    root = {k: k for k in rows}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    own = {k: set(v) for k, v in rows.items()}
+    for a in rows:
+        for b in rows:
+            if a < b and 100 * len(own[a] & own[b]) >= 85 * len(own[a] | own[b]):
+                x, y = find(a), find(b)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in rows}
+
+
+def test_pivots_lose_no_link(spark, monkeypatch):
+    """Templates at many distances from each other, chains between them, and sets that link with some linked sets only."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    rng = random.Random(9)
+    sets = []
+    for _ in range(3):
+        base = rng.sample(range(4000), 60)
+        for _ in range(30):
+            drop = rng.randrange(0, 12)
+            sets.append(base[drop:] + rng.sample(range(5000, 9000), rng.randrange(0, 8)))
+        chain = list(base)
+        for _ in range(25):  # each links with the one before, the ends don't
+            chain = chain[3:] + rng.sample(range(9000, 20000), 3)
+            sets.append(list(chain))
+    rng.shuffle(sets)
+    units, frames, rows = set_frames(spark, sets)
+    _, got = joined(spark, units, frames)
+    assert {k: got.get(k, k) for k in rows} == labels(rows)
+
+
+def test_near_copies_of_templates_cost_about_their_number(spark):
+    rng = np.random.default_rng(4)
+    m, sets = 6000, []
+    for t in range(2):
+        base = np.arange(200) + 1000 * t
+        for k in range(m // 2):
+            own = base.copy()
+            own[rng.integers(0, 200, 4)] = 10_000_000 + 1000 * (t * m + k) + np.arange(4)
+            sets.append(own)
+    units, frames, rows = set_frames(spark, sets)
+    turns, got = joined(spark, units, frames)
+    assert turns <= 2 * m  # in pairs of blocks each set would be in about 24 of them
+    assert len(got) == m and len(set(got.values())) == 2
+    assert ngram_join.block_turns(units, 85, 100).count() > 5 * m
