@@ -117,11 +117,11 @@ def bucket_of(key: Column, cuts: list[str]) -> Column:
 def with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """doc_id, text, row, bucket, copy: rows dealt to buckets of neighbouring ids, each bucket with a copy of the row after its last.
 
-    Buckets are cut at quantiles of a sample, at most ``MOST_BUCKETS``, so the cuts and the table of
+    Rows are numbered once and written, so that each later pass meets the same numbers. Buckets are cut at quantiles of a sample, at most ``MOST_BUCKETS``, so the cuts and the table of
     buckets' first rows are small at any size. Rows of one id are cut by their texts' hashes, equal
     rows by their numbers. After the last bucket comes the first.
     """
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered-rows")
     rows = docs.count()
     cuts = cut_keys(docs, max(1, min(MOST_BUCKETS, -(-rows // rows_a_bucket))), rows)
     keyed = docs.withColumn("key", place_key(F.col("doc_id"), F.xxhash64("text"), F.col("row"))).withColumn("bucket", bucket_of(F.col("key"), cuts))
