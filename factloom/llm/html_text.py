@@ -64,6 +64,11 @@ SHARE = 0.6  # of the varying text that a part must hold to be read alone
 LEAST_PAGES = 5  # different pages a host must have before its unchanging text counts as its own
 
 
+def even(text: str) -> str:
+    """A text with one blank for each run of white space, and none at its ends."""
+    return " ".join(text.split())
+
+
 class Node:
     """An element (name, kind, children) or, with kind '#', a text."""
 
@@ -191,7 +196,7 @@ def weigh(root: Node) -> None:
     while todo:
         node = todo.pop()
         if node.kind == "#":
-            node.letters = len(SPACES.sub(" ", node.text).strip())
+            node.letters = len(even(node.text))
         elif not unseen(node):
             order.append(node)
             todo += node.kids
@@ -207,7 +212,7 @@ KIND, OPT, REP, PAGES, LETTERS, TEXT, KIDS, SEEN, SHOWN = range(9)
 
 def own_text(text: str) -> int:
     """The hash of a text, white space made even."""
-    return xxh3_64_intdigest(SPACES.sub(" ", text).strip()) >> (64 - HASH_BITS)
+    return xxh3_64_intdigest(even(text)) >> (64 - HASH_BITS)
 
 
 def distinct(sketch: list[int]) -> float:
@@ -233,7 +238,7 @@ def letters(node: Node) -> int:
     while todo:
         node = todo.pop()
         if node.kind == "#":
-            total += len(SPACES.sub(" ", node.text).strip())
+            total += len(even(node.text))
         elif not boilerplate(node):
             todo += node.kids
     return total
@@ -242,7 +247,7 @@ def letters(node: Node) -> int:
 def wrapper_of(node: Node, depth: int = 0) -> list:
     """The wrapper of a single page, repeated neighbours folded."""
     if node.kind == "#":
-        own = SPACES.sub(" ", node.text).strip()
+        own = even(node.text)
         return ["#", 0, 0, 1, len(own), [own_text(own)], [], 1, own[:LONGEST]]
     if depth > DEEPEST:
         kids = flat(node)
@@ -645,7 +650,7 @@ def main_text(text: str | None, rule: dict | None) -> str:
     line: list[str] = []
 
     def close() -> None:
-        own = SPACES.sub(" ", html_lib.unescape("".join(line))).strip()
+        own = even(html_lib.unescape("".join(line)))
         line.clear()
         if own:
             blocks.append(own)
