@@ -446,3 +446,34 @@ def merged_nodes(nodes: DataFrame, known_facts: DataFrame) -> tuple[DataFrame, D
     differ = [F.when(F.col("_in_graph") & (F.col(f"_graph_{f}") != F.col(f"_fact_{f}")), F.struct(F.lit(f).alias("field"), picked[f].alias("kept"), (F.col("_graph_" + f) if f != "status" else F.col("_fact_" + f)).alias("other"))) for f in FACT_FIELDS]
     conflicts = both.select("id", F.explode(F.array_compact(F.array(*differ))).alias("x")).select("id", "x.*")
     return merged, conflicts
+
+
+def complexity_details(links: DataFrame, services: DataFrame, found: DataFrame) -> DataFrame:
+    """service, relations, findings, summary: at how many ends of links a service stands, and its findings by severity, worst first.
+
+    ``links``: distinct source, target and whatever tells links apart; ``services``: service; ``found``:
+    service, severity. A link from a service to itself counts twice. Services without any are listed.
+    """
+    ends = links.select(F.explode(F.array("source", "target")).alias("service")).groupBy("service").agg(F.count("*").alias("relations"))
+    levels = ("ERROR", "WARNING", "INFO")
+    counts = found.groupBy("service").agg(F.count("*").alias("findings"), *(F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in levels))
+    told = F.concat_ws(", ", *(F.when(F.col(s) > 0, F.concat(F.lit(f"{s}="), F.col(s).cast("string"))) for s in levels))
+    out = services.select("service").distinct().join(ends, "service", "left").join(counts, "service", "left").na.fill(0)
+    return out.select("service", "relations", "findings", F.when(told == "", "none").otherwise(told).alias("summary"))
+
+
+def service_cards(endpoints: DataFrame, modules: DataFrame, relations: DataFrame, collections: DataFrame) -> DataFrame:
+    """module, kind, databases, technologies, outgoing, incoming (all lists sorted, by comma) of every module (identity, starts_application).
+
+    Databases are the collections that a module uses. Every module is Java; one that starts is Spring Boot, one that writes or
+    reads topics Kafka, one with collections MongoDB. Outgoing and incoming are the microservices of service relations.
+    """
+    m = modules.select(F.col("identity").alias("module"), "starts_application")
+    k = endpoints.where("system = 'kafka' and module is not null").select("module").distinct().withColumn("_kafka", F.lit(True))
+    c = collections.groupBy("module").agg(_names(F.lit(True), "collection").alias("databases"))
+    r = relations.where(F.col("relation").isin("calls_service", "publishes_to") & (F.col("source_kind") == "microservice") & (F.col("target_kind") == "microservice"))
+    sides = r.select(F.explode(F.array(F.struct(F.col("source_name").alias("module"), F.col("target_name").alias("to"), F.lit(None).cast("string").alias("of")), F.struct(F.col("target_name").alias("module"), F.lit(None).cast("string").alias("to"), F.col("source_name").alias("of")))).alias("x")).select("x.*")
+    near = sides.groupBy("module").agg(_names(F.lit(True), "to").alias("outgoing"), _names(F.lit(True), "of").alias("incoming"))
+    out = m.join(k, "module", "left").join(c, "module", "left").join(near, "module", "left").na.fill("", ["databases", "outgoing", "incoming"])
+    used = F.concat_ws(",", F.lit("Java"), F.when(F.col("starts_application"), "Spring Boot"), F.when(F.col("_kafka"), "Kafka"), F.when(F.col("databases") != "", "MongoDB"))
+    return out.select("module", F.when(F.col("starts_application"), "microservice").otherwise("module").alias("kind"), "databases", used.alias("technologies"), "outgoing", "incoming")

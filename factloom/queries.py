@@ -286,7 +286,7 @@ def rest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All relations, from the index."""
-    return index(spark, sf_dir, "relations", lambda: _derived_relations(spark, sf_dir), ["lineitem", "part", "supplier", "events"])
+    return index(spark, sf_dir, "relations", lambda: _derived_relations(spark, sf_dir), ["lineitem", "part", "supplier", "events"], by=("relation",))
 
 
 def _derived_relations(spark: SparkSession, sf_dir: str) -> DataFrame:

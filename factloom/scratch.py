@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
-INDEXES: dict[tuple[str, str, str], tuple[str, str]] = {}
+INDEXES: dict[tuple[str, str, str], tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> str:
-    """The path of a new Parquet table with the rows of ``df``."""
+def written(df: DataFrame, what: str, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> str:
+    """The path of a new Parquet table with the rows of ``df``, in folders of the columns ``by``, each task's rows in an order."""
     path = f"{shared_dir(df.sparkSession)}/factloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = df.sortWithinPartitions(*by, *order) if order else df
+    (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
     return path
 
 
@@ -66,18 +67,20 @@ def listing_digest(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
 
 
-def index(spark: SparkSession, sf_dir: str, name: str, make, sources: list[str]) -> DataFrame:
+def index(spark: SparkSession, sf_dir: str, name: str, make, sources: list[str], by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
     """The table that ``make()`` derives from the tables ``sources``, written once for a session, folder and state of the sources' files.
 
-    Each later query scans only the columns it needs. A table whose files have changed is derived anew.
+    Each later query scans only the columns it needs, of the folders (``by``) and row groups (``order``) that
+    its filters leave. A table whose files have changed is derived anew.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     digest = listing_digest(spark, [f"{sf_dir}/{source}.parquet" for source in sources])
-    known, path = INDEXES.get(key, ("", ""))
-    if known == digest:
+    known, path = INDEXES.get(key, ((), ""))
+    if known[:1] == (digest,):
         try:
-            return spark.read.parquet(path)
+            return spark.read.schema(known[1]).parquet(path).select(*known[1].names)
         except AnalysisException:  # the folder was cleared
             pass
-    INDEXES[key] = digest, written(make(), name)
-    return spark.read.parquet(INDEXES[key][1])
+    made = make()
+    INDEXES[key] = (digest, made.schema), written(made, name, by, order)
+    return spark.read.schema(made.schema).parquet(INDEXES[key][1]).select(*made.columns)

@@ -25,7 +25,7 @@ def text(x) -> F.Column:
 
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The endpoints of all line items, from the index."""
-    return index(spark, sf_dir, "endpoints", lambda: derived_endpoints(spark, sf_dir), ["lineitem", "part"])
+    return index(spark, sf_dir, "endpoints", lambda: derived_endpoints(spark, sf_dir), ["lineitem", "part"], by=("system", "role"), order=("topic",))
 
 
 def derived_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,9 @@ def resolve_property(wanted: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def openapi_routes(files: DataFrame) -> DataFrame:
-    """path, route: METHOD /path of OpenAPI documents in JSON (path, text)."""
+    """path, route: METHOD /path of OpenAPI documents (path, text), in YAML where a path ends in .yml or .yaml, else in JSON."""
+    by_yaml = F.lower("path").rlike(r"\.ya?ml$")
+    files = files.where(~by_yaml).select("path", "text").union(yaml_as_json(files.where(by_yaml)))
     d = files.select("path", F.from_json("text", "paths map<string,map<string,string>>").alias("d"))
     ways = d.select("path", F.explode("d.paths").alias("url", "methods")).select("path", "url", F.explode("methods").alias("method", "_"))
     return ways.where(F.lower("method").isin("get", "put", "post", "delete", "patch", "head", "options", "trace")).select("path", F.concat(F.upper("method"), F.lit(" "), "url").alias("route"))
@@ -142,6 +144,30 @@ def manifest_facts(items: DataFrame) -> DataFrame:
     return out.select(key.alias("id"), "fact_type", "kind", F.when(~edge, F.col("name")).alias("name"), "source_kind", "source_name", "target_kind", "target_name", relation.alias("relation"), "namespace", "status", "confidence", "evidence_path", "evidence_line", F.col("reason").alias("note"), "complete")
 
 
+# manifests' edges between services, the roles of their ends and the kind of edge that they are.
+PROJECTED = {"http": ("call", "serve", "rest"), "kafka": ("produce", "consume", "kafka")}
+
+
+def projected_facts(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(endpoints, edges, issues) that the edges between services of manifests stand for, beside what was indexed.
+
+    An edge of kind http or kafka with an id, a relation's topic and two service ends gives a call or
+    producer at its source, a route or consumer at its target, and the edge between them. Ambiguous
+    and unresolved ones give an issue with their reason instead, edges of other kinds nothing.
+    """
+    good = manifest_facts(items).where("fact_type = 'edge'").where(F.col("kind").isin(*PROJECTED))
+    services = F.col("source_kind").isin("microservice", "external") & F.col("target_kind").isin("microservice", "external")
+    doubt = F.col("status").isin("ambiguous", "unresolved")
+    issues = good.where(doubt).select("id", F.coalesce("note", F.lit("unresolved relation")).alias("reason"))
+    sure = good.where(services & ~doubt)
+    pick = lambda k: F.create_map(*(F.lit(x) for kind, own in PROJECTED.items() for x in (kind, own[k])))[F.col("kind")]
+    site = lambda end, k: F.struct(F.concat("id", F.lit(f"#{end}")).alias("id"), pick(k).alias("role"), F.col(f"{end}_name").alias("module"))
+    ends = sure.select(F.explode(F.array(site("source", 0), site("target", 1))).alias("x"), pick(2).alias("system"), F.col("relation").alias("topic"), "evidence_path", "evidence_line", "confidence")
+    endpoints = ends.select("x.id", "x.role", "system", "topic", "x.module", F.lit("manifest").alias("source"), F.col("evidence_path").alias("path"), F.col("evidence_line").alias("start_line"), "confidence")
+    edges = sure.select(pick(2).alias("kind"), F.col("source_name").alias("source"), F.col("target_name").alias("target"), F.concat("id", F.lit("#source")).alias("source_id"), F.concat("id", F.lit("#target")).alias("target_id"))
+    return endpoints, edges, issues
+
+
 def fact_services(facts: DataFrame, services: DataFrame) -> DataFrame:
     """id, service: the services that a fact names as itself or as an end. ``services``: service."""
     names = facts.select("id", F.explode(F.array_distinct(F.array_compact(F.array("name", "source_name", "target_name")))).alias("service"))
@@ -202,50 +228,67 @@ def contract_owners(documents: DataFrame, configured: DataFrame, modules: DataFr
     return documents.select("path").distinct().join(named, "path", "left").join(around, "path", "left").select("path", F.coalesce("_named", "_around").alias("module"))
 
 
-def _flat(text: str | None) -> dict[str, str]:
-    """Dotted keys and scalar values of a nested mapping by indentation; lists, remarks and block texts are left out."""
-    found: dict[str, str] = {}
-    open_: list[tuple[int, str]] = []
-    skip = None  # the indentation below which a list or a block text is left out
-    for line in (text or "").splitlines():
-        body = line.split(" #")[0].rstrip()
-        own = body.lstrip(" ")
-        if not own or own[0] == "#" or own == "---":
-            continue
-        at = len(body) - len(own)
-        if skip is not None and at > skip:
-            continue
-        skip = None
-        if own.startswith("- ") or own == "-":
-            skip = at
-            continue
-        key, colon, value = own.partition(":")
-        if not colon or value[:1] not in ("", " "):
-            continue
-        open_ = [(i, k) for i, k in open_ if i < at]
-        name, value = ".".join([*(k for _, k in open_), key.strip().strip("'\"")]), value.strip()
-        if value in ("|", ">", "|-", ">-"):
-            skip = at
-        elif value and value[0] not in "[{&*":
-            found[name] = value.strip("'\"")
-        elif not value:
-            open_.append((at, key.strip().strip("'\"")))
+def _documents(text: str | None) -> list:
+    """The documents of a YAML (or JSON) text with all scalars as they are written; none where it can't be read."""
+    try:
+        import yaml
+    except ImportError as problem:
+        raise RuntimeError("reading YAML needs the yaml library on the executors") from problem
+    try:
+        return [d for d in yaml.load_all(text or "", Loader=yaml.BaseLoader) if d is not None]
+    except yaml.YAMLError:
+        return []
+
+
+def _flat(found: dict[str, str], node, name: str = "") -> dict[str, str]:
+    """Dotted keys and scalar values of a nested mapping; lists are left out, an empty value is none."""
+    if isinstance(node, dict):
+        for key, value in node.items():
+            if isinstance(key, str):
+                _flat(found, value, f"{name}.{key}" if name else key)
+    elif isinstance(node, str) and name and node:
+        found[name] = node
     return found
 
 
 def flattened(files: DataFrame) -> DataFrame:
-    """path, key, value of nested configuration files (path, text) by dotted keys; scalars only, the last of a key counts."""
+    """path, key, value of nested configuration files (path, text; YAML or JSON) by dotted keys.
+
+    Scalars only, as they are written (quotes and remarks taken off, flow maps and block texts read); the last of a key
+    counts, over all documents of a file. A file that can't be read, or a null one, gives no row.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(p, k, v) for p, t in zip(*(batch.column(c).to_pylist() for c in ("path", "text")), strict=True) for k, v in _flat(t).items()]
+            rows = []
+            for path, text in zip(*(batch.column(c).to_pylist() for c in ("path", "text")), strict=True):
+                found: dict[str, str] = {}
+                for document in _documents(text):
+                    _flat(found, document)
+                rows += [(path, k, v) for k, v in found.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["path", "key", "value"])
 
     return files.select("path", "text").mapInArrow(run, "path string, key string, value string")
 
 
+def yaml_as_json(files: DataFrame) -> DataFrame:
+    """path, text: the first document of each YAML file (path, text) as JSON, all scalars as texts; null where it can't be read."""
+
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [_documents(t) for t in batch.column("text").to_pylist()]
+            texts = [json.dumps(d[0]) if d else None for d in found]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], names=["path", "text"])
+
+    return files.select("path", "text").mapInArrow(run, "path string, text string")
+
+
 def config_keys(pairs: DataFrame) -> DataFrame:
     """key, parent, depth, files, example: every dotted key and the keys above it, in how many files they are, and an example value of leaves."""
     parts = F.split("key", r"\.")

@@ -7,11 +7,11 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import deltas, ranking
+from factloom.operators import deltas, ranking, relations
 from factloom.plans import catalog
-from factloom.queries import COLL, DEPENDENCY_EDGES, EP, LAYER, MOD, NEIGHBOURS, RELATIONS, RUNTIME, _relations, dependency_graph, query, runtime_modules
+from factloom.queries import COLL, DEPENDENCY_EDGES, EP, FI, LAYER, MOD, NEIGHBOURS, RELATIONS, RUNTIME, _relations, dependency_graph, query, runtime_modules
 from factloom.scratch import shared_dir
-from factloom.sources import facts
+from factloom.sources import facts, manifests
 
 _SET = "coalesce(string_agg(distinct {0}, ',' order by {0}) filter ({1}), '') as {2}"
 
@@ -124,3 +124,91 @@ def federated_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found.groupBy("service", "role").agg(F.count("*").alias("endpoints"), F.lit("").alias("warning"))
     told = [(s, None, 0, w if w.startswith("snapshot") else "not indexed") for s, w in sorted(warnings.items())]
     return rows.union(spark.createDataFrame(told, "service string, role string, endpoints long, warning string"))
+
+
+@query(f"""{DEPENDENCY_EDGES}, {FI}, {MOD}, links as (select distinct source, target, kind, label from graph), ends as (select unnest([source, target]) as service from links), e as (select service, count(*) as relations from ends group by service),
+f as (select concat('svc-', cast(id % 120 as varchar)) as service, severity from fi), c as (select service, count(*) as findings, count(*) filter (severity = 'ERROR') as er, count(*) filter (severity = 'WARNING') as wa, count(*) filter (severity = 'INFO') as inf from f group by service)
+select identity as service, coalesce(relations, 0) as relations, coalesce(findings, 0) as findings, coalesce(nullif(concat_ws(', ', case when er > 0 then concat('ERROR=', cast(er as varchar)) end, case when wa > 0 then concat('WARNING=', cast(wa as varchar)) end, case when inf > 0 then concat('INFO=', cast(inf as varchar)) end), ''), 'none') as summary
+from modules left join e on e.service = identity left join c on c.service = identity""")
+def complexity_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = dependency_graph(spark, sf_dir).select("source", "target", "kind", "label").distinct()
+    found = facts.findings(spark, sf_dir).select(F.concat(F.lit("svc-"), facts.text(F.col("id") % 120)).alias("service"), "severity")
+    return catalog.complexity_details(links, facts.modules(spark, sf_dir).select(F.col("identity").alias("service")), found)
+
+
+@query(f"""{RELATIONS}, {MOD}, r as (select source_name, target_name from rel where relation in ('calls_service', 'publishes_to') and source_kind = 'microservice' and target_kind = 'microservice'),
+o as (select source_name as module, string_agg(distinct target_name, ',' order by target_name) as outgoing from r group by 1), i as (select target_name as module, string_agg(distinct source_name, ',' order by source_name) as incoming from r group by 1),
+c as (select module, string_agg(distinct collection, ',' order by collection) as databases from coll group by module), k as (select distinct module from ep where system = 'kafka' and module is not null)
+select identity as module, case when starts_application then 'microservice' else 'module' end as kind, coalesce(databases, '') as databases, concat('Java', case when starts_application then ',Spring Boot' else '' end, case when k.module is not null then ',Kafka' else '' end, case when databases is not null then ',MongoDB' else '' end) as technologies, coalesce(outgoing, '') as outgoing, coalesce(incoming, '') as incoming
+from modules left join o on o.module = identity left join i on i.module = identity left join c on c.module = identity left join k on k.module = identity""")
+def service_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.service_cards(facts.endpoints(spark, sf_dir), facts.modules(spark, sf_dir), _relations(spark, sf_dir), facts.collections(spark, sf_dir))
+
+
+CLASSED = f"{EP.replace('ep as (', 'all_ep as (', 1)}, ep as (select * replace (case when start_line = 70 then concat('retour_', topic) else topic end as topic), case when start_line <= 20 then concat('app.', replace(module, '-', ''), '.Line', cast(start_line as varchar)) end as qualified_name from all_ep where system = 'kafka' or start_line <= 30)"
+
+
+@query(f"""with {CLASSED}, {RUNTIME}, kinds as (select module, case when module in (select module from run) then 'microservice' else 'module' end as k from (select distinct module from ep) x),
+keyed as (select *, regexp_extract(snippet, '[$][{{]([^}}:]+)', 1) as key from ep), t as (select distinct topic from ep where system = 'kafka' and not topic_dynamic),
+rows_ as (
+  select 2 as rule, k as source_kind, e.module as source_name, case role when 'produce' then 'publishes' when 'consume' then 'consumes' when 'serve' then 'provides' else 'calls' end as relation, case when system = 'kafka' then 'topic' else 'api' end as target_kind, topic as target_name, source as origin, case when topic_dynamic then 'medium' else 'high' end as confidence, path, start_line from ep e join kinds on kinds.module = e.module
+  union all select 3, 'class', qualified_name, 'implements', case when system = 'kafka' then 'topic' else 'api' end, topic, source, case when topic_dynamic then 'medium' else 'high' end, path, start_line from ep where qualified_name is not null
+  union all select 4, case when qualified_name is null then k else 'class' end, coalesce(qualified_name, e.module), 'uses_configuration', 'property', key, source, 'high', path, start_line from keyed e join kinds on kinds.module = e.module where key <> ''
+  union all select 5, 'topic', topic, case when role = 'produce' then 'publishes_type' else 'consumes_type' end, 'dto', message_type, source, case when topic_dynamic then 'medium' else 'high' end, path, start_line from ep where system = 'kafka' and message_type is not null
+  union all select 6, 'topic', a.topic, 'request_reply', 'topic', b.topic, 'derived', 'high', null, null from t a join t b on b.topic = concat('retour_', a.topic)),
+ided as (select distinct substr(sha256(concat(source_kind, '|', source_name, '|', relation, '|', target_kind, '|', target_name, case when path is null or start_line is null then '' else concat('|', path, ':', cast(start_line as varchar)) end)), 1, 16) as id, * from rows_)
+select id, source_kind, source_name, relation, target_kind, target_name, origin, confidence, path, start_line from ided qualify row_number() over (partition by id order by rule desc, origin, confidence) = 1""")
+def class_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of endpoints whose classes are known, with replies: classes implement and use properties."""
+    at = F.col("start_line")
+    ep = facts.endpoints(spark, sf_dir).where((F.col("system") == "kafka") | (at <= 30))
+    ep = ep.withColumns({"topic": F.when(at == 70, F.concat(F.lit("retour_"), "topic")).otherwise(F.col("topic")), "qualified_name": F.when(at <= 20, F.concat(F.lit("app."), F.replace("module", F.lit("-"), F.lit("")), F.lit(".Line"), facts.text("start_line")))})
+    nothing = facts.module_dependencies(spark, sf_dir).limit(0)
+    return relations.architecture_relations(ep, nothing, runtime_modules(spark, sf_dir), nothing, nothing, replies=True)
+
+
+PROJECTED_SQL = """m as (select c_custkey as k, case c_custkey % 4 when 0 then 'http' when 1 then 'kafka' when 2 then 'data' else 'http' end as kind, case when c_custkey % 9 = 0 then 'ambiguous' else 'confirmed' end as status from customer where c_custkey % 25 <> 7),
+sure as (select * from m where kind in ('http', 'kafka') and status = 'confirmed')"""
+
+
+def _projected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A manifest for each customer: two services and a collection with one edge; some name an unknown end and aren't taken."""
+    c = facts.table(spark, sf_dir, "customer").select("c_custkey", facts.text("c_custkey").alias("k"))
+    n = F.col("c_custkey")
+    name = lambda x: F.concat(F.lit(x), "k")
+    node = lambda i, kind, label: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), name(label).alias("name"))
+    kind = F.get(F.array(F.lit("http"), F.lit("kafka"), F.lit("data"), F.lit("http")), (n % 4).cast("int"))
+    target = F.when(n % 25 == 7, "nowhere").when(n % 4 == 2, "c").otherwise("b")
+    edge = F.struct(F.lit("e").alias("id"), kind.alias("kind"), F.lit("a").alias("source"), target.alias("target"), name("t-").alias("relation"), F.when(n % 9 == 0, "ambiguous").otherwise("confirmed").alias("status"), F.lit("high").alias("confidence"), F.when(n % 9 == 0, "two ways").alias("reason"), F.array(F.struct(name("src/").alias("path"), F.lit(3).alias("start_line"))).alias("evidence"))
+    whole = F.struct(F.struct(name("ns").alias("namespace")).alias("generated_by"), F.array(node("a", "microservice", "a-"), node("b", "microservice", "b-"), node("c", "collection", "c-")).alias("nodes"), F.array(edge).alias("edges"))
+    return manifests.projected_facts(manifests.fact_items(c.select(F.concat(F.lit("m/"), "k").alias("path"), F.to_json(whole).alias("text"))))
+
+
+@query(f"""with {PROJECTED_SQL} select concat('ns', k, '::edge::e#source') as id, case kind when 'http' then 'call' else 'produce' end as role, case kind when 'http' then 'rest' else 'kafka' end as system, concat('t-', k) as topic, concat('a-', k) as module, 'manifest' as source, concat('src/', k) as path, 3 as start_line, 'high' as confidence from sure
+  union all select concat('ns', k, '::edge::e#target'), case kind when 'http' then 'serve' else 'consume' end, case kind when 'http' then 'rest' else 'kafka' end, concat('t-', k), concat('b-', k), 'manifest', concat('src/', k), 3, 'high' from sure""")
+def projected_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projected(spark, sf_dir)[0]
+
+
+@query(f"with {PROJECTED_SQL} select case kind when 'http' then 'rest' else 'kafka' end as kind, concat('a-', k) as source, concat('b-', k) as target, concat('ns', k, '::edge::e#source') as source_id, concat('ns', k, '::edge::e#target') as target_id from sure")
+def projected_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projected(spark, sf_dir)[1]
+
+
+@query(f"with {PROJECTED_SQL} select concat('ns', k, '::edge::e') as id, 'two ways' as reason from m where kind in ('http', 'kafka') and status = 'ambiguous'")
+def projected_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _projected(spark, sf_dir)[2]
+
+
+@query("""select concat('api/', cast(p_partkey as varchar), '.yml') as path, concat(case p_partkey % 3 when 0 then 'GET' when 1 then 'POST' else 'DELETE' end, ' /', lower(p_type), '/{id}') as route from part where p_size % 6 > 0
+  union all select concat('api/', cast(p_partkey as varchar), '.json'), concat('PUT /', lower(p_type)) from part where p_size % 6 = 0""")
+def openapi_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contracts in YAML and JSON; descriptions hold signs that only a parser tells from structure."""
+    p = facts.table(spark, sf_dir, "part")
+    kind = F.lower("p_type")
+    verb = F.get(F.array(F.lit("get"), F.lit("post"), F.lit("delete")), (F.col("p_partkey") % 3).cast("int"))
+    yml = F.concat(F.lit('openapi: "3.0 # not a remark"\npaths:\n  /'), kind, F.lit("/{id}:\n    "), verb, F.lit(":\n      summary: |\n        get: no method\n      responses: {200: {description: 'a: b # c'}}\n    parameters:\n      - name: id\n"))
+    js = F.concat(F.lit('{"paths": {"/'), kind, F.lit('": {"put": {}, "summary": "x"}}}'))
+    by_yaml = F.col("p_size") % 6 > 0
+    files = p.select(F.concat(F.lit("api/"), facts.text("p_partkey"), F.when(by_yaml, ".yml").otherwise(".json")).alias("path"), F.when(by_yaml, yml).otherwise(js).alias("text"))
+    return manifests.openapi_routes(files)
