@@ -8,7 +8,8 @@ all vectors are, and each block has the rest of the tree over its own projection
 in order of projected distance, leaf by leaf, verifies them on the original vectors and stops when
 the next one is so far out that a better neighbour behind it has a chance of at most ``1 - sure``.
 First a query searches the block nearest to it; by the distance found there it skips all blocks that
-the same test rules out, searches the others, and its answers are merged.
+the same test rules out. Of the others it searches the ``NEAR`` nearest ones next, skips by the better
+distance again, searches what is left, and its answers are merged.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.shared import staged
 
-DIMS, LEAF, BLOCK_ROWS, QUERY_ROWS = 8, 64, 8192, 2048
+DIMS, LEAF, BLOCK_ROWS, QUERY_ROWS, NEAR = 8, 64, 8192, 2048, 3
 SAMPLE_ROWS, MOST_BLOCKS = 100_000, 50_000
 INDEX = "block bigint, ids binary, vectors binary, points binary, starts binary, low binary, high binary, box binary"
 
@@ -82,6 +83,24 @@ class Cells:
         return self.below[at] + salt % np.maximum(1, self.above[at])
 
 
+def best_cut(points: np.ndarray, n: int) -> tuple[int, float]:
+    """The side and the share of points below it that leave the least variance, among shares of whole blocks from a quarter to three quarters of ``n``.
+
+    So clusters mostly stay whole, and cells stay parts of about equal size.
+    """
+    m = len(points)
+    ks = np.arange(max(1, n // 4), min(n - 1, -(-3 * n // 4)) + 1)
+    at = np.clip(np.rint(m * ks / n).astype(np.int64), 1, max(1, m - 1))
+    best = (-1.0, int(np.ptp(points, axis=0).argmax()), (n // 2) / n)
+    for side in range(points.shape[1]):
+        total = np.cumsum(np.sort(points[:, side] - points[:, side].mean()))
+        won = total[at - 1] ** 2 * m / (at * np.maximum(1, m - at))  # between the two parts, as the sum over all is 0
+        k = int(won.argmax())
+        if won[k] > best[0] * (1 + 1e-9):
+            best = (float(won[k]), side, float(ks[k]) / n)
+    return best[1:]
+
+
 def top_cells(points: np.ndarray, blocks: int) -> Cells:
     """Cells of about equal parts of a sample, as many as blocks. A cell of one point takes the blocks that its share calls for."""
     nodes: list[list] = []
@@ -92,10 +111,10 @@ def top_cells(points: np.ndarray, blocks: int) -> Cells:
         k = len(nodes)
         nodes.append([-1, 0.0, 0, 1])
         spread = np.ptp(points[own], axis=0) if len(own) else np.zeros(points.shape[1])
-        side = int(spread.argmax())
-        if n > 1 and spread[side] > 0:
+        if n > 1 and spread.max() > 0:
+            side, share = best_cut(points[own], n)
             values = points[own, side]
-            cut = float(np.quantile(values, (n // 2) / n))
+            cut = float(np.quantile(values, share))
             cut = cut if cut > values.min() else float(values[values > cut].min())
             low = values < cut
             share = min(n - 1, max(1, round(n * float(low.mean()))))
@@ -218,13 +237,14 @@ def search_block(tree: dict, query: np.ndarray, own: int, k: int, norm: float, w
     return ids[best], exact[best]
 
 
-def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, sure: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, sure: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, told: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each id divisible by ``every``, its ``k`` largest inner products.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
     without an id and vectors of another length than most, which have no inner product with these. Of
     rows with one id, which no result could tell apart, the least vector counts. Ties go to the
     smaller id. With fewer candidates all are returned; an empty table gives an empty result. Other columns are ignored, whatever their names.
+    ``told`` is given the numbers of queries and blocks, and of the pairs of these that were searched.
     """
     index, rows, figures = build_index(vectors, id_col=id_col, vector_col=vector_col, block_rows=block_rows)
     spark = vectors.sparkSession
@@ -249,14 +269,29 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, sure: float = 0
             block = [int(shared.value[0][g.argmin()]) for g in gaps(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([float("inf")] * len(block), pa.float64()), pa.array(block, pa.int64())], names=["vec_id", "v", "worst", "block"])
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The blocks but its home that a query can't skip."""
-        for batch in batches:
-            worst, first = batch.column("worst").to_numpy(), batch.column("home").to_numpy()
-            left = [shared.value[0][(g <= bound * w) & (shared.value[0] != h)] for g, w, h in zip(gaps(batch), worst, first, strict=True)]
-            at = np.repeat(np.arange(batch.num_rows), [len(x) for x in left])
-            picked = batch.select(["vec_id", "v", "worst"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(left) if left else np.zeros(0, np.int64))], names=["vec_id", "v", "worst", "block"])
+    def next_ones(g: np.ndarray, worst: float, first: int) -> np.ndarray:
+        """Places of the ``NEAR`` nearest blocks but its home that a query can't skip."""
+        left = np.flatnonzero((g <= bound * worst) & (shared.value[0] != first))
+        return left[np.argsort(g[left], kind="stable")[:NEAR]]
+
+    def others(near: bool):
+        """The blocks that a query searches after its home: the nearest ones, or what is left after them by the better distance."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                left = []
+                for g, worst, better, first in zip(gaps(batch), *(batch.column(c).to_numpy() for c in ("worst", "better", "home")), strict=True):
+                    own = next_ones(g, worst, first)
+                    if not near:
+                        open_ = (g <= bound * better) & (shared.value[0] != first)
+                        open_[own] = False
+                        own = np.flatnonzero(open_)
+                    left.append(shared.value[0][own])
+                at = np.repeat(np.arange(batch.num_rows), [len(x) for x in left])
+                picked = batch.select(["vec_id", "v", "better"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(np.concatenate(left) if left else np.zeros(0, np.int64))], names=["vec_id", "v", "worst", "block"])
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,11 +318,22 @@ def nearest(vectors: DataFrame, *, every: int = 20, k: int = 20, sure: float = 0
 
     asked = staged(queries.mapInArrow(home, "vec_id bigint, v array<double>, worst double, block bigint"), "queries")
     first = answers(asked)
-    if len(found) > 1:
-        known = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-        length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+
+    def reached(got: DataFrame, name: str) -> DataFrame:
+        """query_id and the squared distance of the k-th best answer so far; infinite with fewer."""
+        best = got.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc()))).where(F.col("_n") == k).select("query_id", F.col("score").alias("kth"))
         worst = F.coalesce(F.greatest(F.lit(0.0), F.lit(norm * norm) + length - 2 * F.col("kth")) * (1 + 1e-9) + 1e-12, F.lit(float("inf")))
-        more = asked.join(known, asked["vec_id"] == known["query_id"], "left").select("vec_id", "v", worst.alias("worst"), F.col("block").alias("home"))
-        first = first.union(answers(more.mapInArrow(others, "vec_id bigint, v array<double>, worst double, block bigint")))
+        return asked.join(best, asked["vec_id"] == best["query_id"], "left").select("vec_id", worst.alias(name))
+
+    if len(found) > 1:
+        schema = "vec_id bigint, v array<double>, worst double, block bigint"
+        homes = asked.select("vec_id", "v", F.col("block").alias("home")).join(reached(first, "worst"), "vec_id")
+        near = staged(homes.withColumn("better", F.col("worst")).mapInArrow(others(True), schema), "queries")
+        second = first.union(answers(near))
+        rest = staged(homes.join(reached(second, "better"), "vec_id").mapInArrow(others(False), schema), "queries")
+        if told is not None:
+            told |= {"queries": asked.count(), "blocks": len(found), "near": near.count(), "rest": rest.count()}
+        first = second.union(answers(rest))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return first.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
