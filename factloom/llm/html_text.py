@@ -56,7 +56,6 @@ CLOSES_P = BLOCK - {"body", "html"}
 CLOSERS = {"li": ("li", ("ul", "ol", "menu")), "dd": ("dd dt", ("dl",)), "dt": ("dd dt", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>?|[^<]+|<", re.S)
 ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-SPACES = re.compile(r"\s+")
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote span b i em strong a ul ol dl figure figcaption".split())
 DEEPEST, MOST_KIDS, LONGEST, DENSE_CELLS = 60, 200, 120, 40_000
 SKETCH, HASH_BITS = 16, 48

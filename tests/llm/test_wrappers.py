@@ -60,7 +60,7 @@ def paths(node, path=""):
     for k in node.kids:
         if k.kind == "#":
             if not k.text.isspace():
-                yield path, html_text.SPACES.sub(" ", k.text).strip()
+                yield path, html_text.even(k.text)
         else:
             yield from paths(k, f"{path}/{k.kind}")
 
