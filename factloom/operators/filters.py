@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.ids import fact_id
 from factloom.functions.text import glob_pattern
 
 # Severities in ascending order.
@@ -22,9 +23,35 @@ def filter_endpoints(endpoints: DataFrame, *, system: str = "", role: str = "",
     return out
 
 
+# The order in which each kind of fact is read whole.
+ORDERS = {
+    "modules": ["path"],
+    "module_dependencies": ["source", "target"],
+    "architecture_relations": ["source_kind", "source_name", "relation", "target_kind", "target_name", "path", "start_line"],
+    "graph_facts": ["id"],
+    "extraction_diagnostics": ["path", "extractor", "category"],
+    "kafka_dto_definitions": ["id"],
+    "openapi_contracts": ["module", "path"],
+    "endpoints": ["path", "start_line", "end_line", "id"],
+    "findings": ["path", "start_line", "end_line", "id"],
+}
+
+
+def listed(kind: str, rows: DataFrame) -> DataFrame:
+    """All rows of a kind of fact in its order, nulls first: a sort of all rows, for listings only."""
+    return rows.orderBy(*(F.col(c).asc_nulls_first() for c in ORDERS[kind]))
+
+
 def by_place(rows: DataFrame) -> DataFrame:
     """Rows in order of place, as a listing shows them."""
-    return rows.orderBy("path", "start_line", "end_line", "id")
+    return listed("endpoints", rows)
+
+
+def facts_exist(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """The asked facts (fact_type, kind, name, source_kind, source_name, target_kind, target_name, relation, namespace) with id, computed of these, and exists: whether ``known`` (id) has it."""
+    fields = ["fact_type", "kind", "name", "source_kind", "source_name", "target_kind", "target_name", "relation", "namespace"]
+    own = asked.withColumn("id", fact_id(*(F.col(c) for c in fields)))
+    return own.join(known.select("id").distinct().withColumn("_there", F.lit(True)), "id", "left").withColumn("exists", F.coalesce("_there", F.lit(False))).drop("_there")
 
 
 def filter_findings(findings: DataFrame, *, least: str = "INFO", rule: str = "", path_glob: str = "", module: str = "") -> DataFrame:

@@ -477,3 +477,28 @@ def service_cards(endpoints: DataFrame, modules: DataFrame, relations: DataFrame
     out = m.join(k, "module", "left").join(c, "module", "left").join(near, "module", "left").na.fill("", ["databases", "outgoing", "incoming"])
     used = F.concat_ws(",", F.lit("Java"), F.when(F.col("starts_application"), "Spring Boot"), F.when(F.col("_kafka"), "Kafka"), F.when(F.col("databases") != "", "MongoDB"))
     return out.select("module", F.when(F.col("starts_application"), "microservice").otherwise("module").alias("kind"), "databases", used.alias("technologies"), "outgoing", "incoming")
+
+
+def reply_patterns(relations: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """request, reply, and the producers and consumers of both (sorted, by comma) of each pair of topics that persisted relations call request and reply."""
+    pairs = relations.where("relation = 'request_reply' and source_kind = 'topic' and target_kind = 'topic'").select(F.col("source_name").alias("request"), F.col("target_name").alias("reply")).distinct()
+    ends = topic_summary(endpoints).select("topic", "producers", "consumers")
+    side = lambda name: ends.select(F.col("topic").alias(name), F.col("producers").alias(f"{name}_producers"), F.col("consumers").alias(f"{name}_consumers"))
+    return pairs.join(side("request"), "request", "left").join(side("reply"), "reply", "left").na.fill("").select("request", "reply", "request_producers", "request_consumers", "reply_producers", "reply_consumers")
+
+
+def module_counts(modules: DataFrame, endpoints: DataFrame, collections: DataFrame) -> DataFrame:
+    """Modules (identity, name, kind, starts_application) with collections (sorted, by comma) and how many uses of collections, of topics and of routes they serve and call they have."""
+    e = endpoints.where("module is not null").groupBy(F.col("module").alias("identity"))
+    n = lambda condition: F.count(F.when(condition, 1))
+    counts = e.agg(n(F.col("system") == "kafka").alias("kafka_methods"), n(F.col("role") == "serve").alias("routes"), n(F.col("role") == "call").alias("calls"))
+    c = collections.groupBy(F.col("module").alias("identity")).agg(_names(F.lit(True), "collection").alias("collections"), F.count("*").alias("collection_methods"))
+    out = modules.select("identity", "name", "kind", "starts_application").join(counts, "identity", "left").join(c, "identity", "left")
+    return out.na.fill(0, ["kafka_methods", "routes", "calls", "collection_methods"]).na.fill("", ["collections"])
+
+
+def collection_details(collections: DataFrame, modules: DataFrame, classes: DataFrame) -> DataFrame:
+    """collection, modules, services, operations, classes: ``collection_summary`` with the classes of ``resolution.persistence_classes``, roots first, each by name, by comma."""
+    own = classes.groupBy("collection").agg(F.array_sort(F.collect_set(F.struct((~F.col("root")).alias("last"), "qualified"))).alias("_own"))
+    shown = F.array_join(F.transform("_own", lambda x: x["qualified"]), ",")
+    return collection_summary(collections, modules).join(own, "collection", "left").select("collection", "modules", "services", "operations", F.coalesce(shown, F.lit("")).alias("classes"))

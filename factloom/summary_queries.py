@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import deltas, ranking, relations
+from factloom.operators import deltas, filters, ranking, relations
 from factloom.plans import catalog
 from factloom.queries import COLL, DEPENDENCY_EDGES, EP, FI, LAYER, MOD, NEIGHBOURS, RELATIONS, RUNTIME, _relations, dependency_graph, query, runtime_modules
 from factloom.scratch import shared_dir
@@ -212,3 +212,31 @@ def openapi_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_yaml = F.col("p_size") % 6 > 0
     files = p.select(F.concat(F.lit("api/"), facts.text("p_partkey"), F.when(by_yaml, ".yml").otherwise(".json")).alias("path"), F.when(by_yaml, yml).otherwise(js).alias("text"))
     return manifests.openapi_routes(files)
+
+
+@query(f"""with {CLASSED}, t as (select distinct topic from ep where system = 'kafka' and not topic_dynamic), pairs as (select a.topic as request, b.topic as reply from t a join t b on b.topic = concat('retour_', a.topic)),
+s as (select topic, {_set('module', 'role = ' + repr('produce'), 'p')}, {_set('module', 'role = ' + repr('consume'), 'c')} from ep where system = 'kafka' group by topic)
+select request, reply, a.p as request_producers, a.c as request_consumers, b.p as reply_producers, b.c as reply_consumers from pairs join s a on a.topic = request join s b on b.topic = reply""")
+def reply_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From relations, where topics of seventh lines are replies."""
+    at = F.col("start_line")
+    ep = facts.endpoints(spark, sf_dir).where((F.col("system") == "kafka") | (at <= 30)).withColumn("topic", F.when(at == 70, F.concat(F.lit("retour_"), "topic")).otherwise(F.col("topic")))
+    return catalog.reply_patterns(class_relations(spark, sf_dir), ep)
+
+
+@query(f"""with {EP}, {MOD}, {COLL}, e as (select module, count(*) filter (system = 'kafka') as k, count(*) filter (role = 'serve') as r, count(*) filter (role = 'call') as c from ep group by module), c as (select module, string_agg(distinct collection, ',' order by collection) as names, count(*) as n from coll group by module)
+select identity, name, kind, starts_application, coalesce(k, 0) as kafka_methods, coalesce(r, 0) as routes, coalesce(c, 0) as calls, coalesce(names, '') as collections, coalesce(n, 0) as collection_methods from modules left join (select module, k, r, c from e) e on e.module = identity left join (select module, names, n from c) cc on cc.module = identity""")
+def module_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.module_counts(facts.modules(spark, sf_dir), facts.endpoints(spark, sf_dir), facts.collections(spark, sf_dir))
+
+
+@query(f"""with {EP} , k as (select distinct sha256(concat_ws('|', 'edge', 'http', '', 'microservice', module, 'api', topic, role, 'manual')) as id from ep where system = 'rest' and start_line <= 30),
+a as (select distinct module, topic, role from ep where system = 'rest' and module is not null)
+select module as source_name, topic as target_name, role as relation, sha256(concat_ws('|', 'edge', 'http', '', 'microservice', module, 'api', topic, role, 'manual')) in (select id from k) as "exists" from a""")
+def facts_exist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every module's routes, asked of the facts of the first three lines of files."""
+    ep = facts.endpoints(spark, sf_dir).where("system = 'rest' and module is not null")
+    lit = lambda x: F.lit(x)
+    fact = lambda df: df.select(lit("edge").alias("fact_type"), lit("http").alias("kind"), lit(None).cast("string").alias("name"), lit("microservice").alias("source_kind"), F.col("module").alias("source_name"), lit("api").alias("target_kind"), F.col("topic").alias("target_name"), F.col("role").alias("relation"), lit("manual").alias("namespace")).distinct()
+    known = filters.facts_exist(fact(ep.where("start_line <= 30")), ep.limit(0))
+    return filters.facts_exist(fact(ep), known).select("source_name", "target_name", "relation", "exists")
