@@ -8,12 +8,13 @@ Linked sets of sizes a and b share at least 85 in 100 of the larger one. Three s
 2. The whole sets of those left are counted. A set with too few shared hashes goes. The rest, rarest
    hashes first, keep the shortest prefix in which a linked pair must meet. The least set that holds
    a hash in its prefix leads it, and the sets led by one leader are a unit: each pair that meets
-   through a prefix is in some unit, and units don't chain. In a unit over ``BLOCK`` sets each is first
+   through a prefix is in some unit, and units don't chain. In a unit over ``PIVOTED`` sets each is first
    held against one of them, the pivot: those that link with it are one component and don't meet each
    other any more, and by the triangle inequality of Jaccard distances only sets within twice
    the distance of a link can link with them. So a group of M near copies costs about M. What doesn't link
-   with the pivot gets the next one; what is left after ``PIVOTS`` is cut into bands of sizes,
-   of which only neighbours can link, and blocks.
+   with the pivot gets the next one, while an eighth of the unit links with the last. Smaller units, where
+   pairs of blocks are cheaper, and what is left are cut into bands of sizes, of which only neighbours
+   can link, and blocks of ``BLOCK`` sets.
 3. Units are verified in pairs of blocks. In a task the sets of one block are indexed: an index list
    is in order of size, cut by position into parts, and a set skips the parts whose sizes can't link
    before it reads a list. Sets that agree in their least hash follow each other, and the shared
@@ -40,7 +41,7 @@ from factloom.llm.shared import discard, staged
 
 MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 BROADCAST_ROWS = 200_000
-BLOCK, PART, PIVOTS = 256, 64, 4
+BLOCK, PART, PIVOTS, PIVOTED = 256, 64, 4, 4096
 
 
 class WordHashes(dict):
@@ -225,32 +226,36 @@ def crossing_turns(placed: DataFrame, num: int, den: int) -> DataFrame:
 def pivoted(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame | None, DataFrame]:
     """(links (a, b) with pivots; node, leader, part, low, high, side: what is left to verify in blocks).
 
-    ``members``: node, leader, n; ``sets``: node, hashes; both written tables. A unit of up to ``BLOCK`` sets is one block.
+    ``members``: node, leader, n; ``sets``: node, hashes; both written tables.
     Linked sets differ by at most 1 - num / den in distance, a metric, so what links with a set that
     the pivot links with lies within twice that of the pivot.
     """
-    whole = F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).alias("block"))
     names = ["node", "leader", "part", "low", "high", "side"]
-    links, turns = None, []
+    links, turns, left = None, [], [members]
     for k in range(PIVOTS):
         sizes = members.groupBy("leader").agg(F.count("*").alias("_k"), F.min("node").alias("pivot"))
-        big = staged(sizes.where(F.col("_k") > BLOCK).select("leader", "pivot"), "big-units")
-        turns.append(members.join(big, "leader", "left_anti").select("node", "leader", F.lit(2 * k).alias("part"), whole.alias("low"), whole.alias("high"), F.lit(2).alias("side")))
+        big = staged(sizes.where(F.col("_k") > (PIVOTED if k == 0 else BLOCK)), "big-units")
+        left[-1] = members.join(big, "leader", "left_anti").select("node", "leader", "n")
         if big.isEmpty():
             break
         heads = big.select("pivot").distinct().join(sets, F.col("pivot") == F.col("node")).select("pivot", F.col("hashes").alias("head"))
         inside = members.join(big, "leader").join(sets, "node").join(heads, "pivot")
         shared, of = F.size(F.array_intersect("hashes", "head")).cast("long"), F.size("head").cast("long")
-        inside = inside.select("node", "leader", "n", "pivot", shared.alias("shared"), (F.col("n") + of - shared).alias("union"))
+        inside = inside.select("node", "leader", "n", "pivot", "_k", shared.alias("shared"), (F.col("n") + of - shared).alias("union"))
         linked = F.col("shared") * den >= F.col("union") * num
         near = F.col("shared") * den >= F.col("union") * (2 * num - den)
-        placed = staged(inside.select("node", "leader", "n", "pivot", linked.alias("linked"), near.alias("near")), "pivoted")
+        placed = staged(inside.select("node", "leader", "n", "pivot", "_k", linked.alias("linked"), near.alias("near")), "pivoted")
         found = placed.where("linked and node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         links = found if links is None else links.union(found)
-        turns.append(crossing_turns(placed.where("near").select("node", "leader", "n", "linked"), num, den).withColumn("part", F.lit(2 * k + 1)).select(*names))
-        members = placed.where("not linked").select("node", "leader", "n")
-    else:
-        turns.append(block_turns(members, num, den).withColumn("part", F.lit(2 * PIVOTS)).select(*names))
+        turns.append(crossing_turns(placed.where("near").select("node", "leader", "n", "linked"), num, den).withColumn("part", F.lit(k)).select(*names))
+        useful = placed.groupBy("leader").agg((F.count(F.when(F.col("linked"), 1)) * 8 >= F.max("_k")).alias("_useful")).where("_useful").select("leader")
+        rest = placed.where("not linked").select("node", "leader", "n")
+        left += [rest.join(useful, "leader", "left_anti"), None]
+        members = left[-1] = staged(rest.join(useful, "leader", "left_semi"), "unpivoted")
+    rest = left[0]
+    for more in left[1:]:
+        rest = rest.unionByName(more)  # joins put their key first
+    turns.append(block_turns(staged(rest, "blocked"), num, den).withColumn("part", F.lit(PIVOTS)).select(*names))
     out = turns[0]
     for t in turns[1:]:
         out = out.union(t)

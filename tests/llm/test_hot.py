@@ -196,6 +196,7 @@ def labels(rows):
 def test_pivots_lose_no_link(spark, monkeypatch):
     """Templates at many distances from each other, chains between them, and sets that link with some linked sets only."""
     monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    monkeypatch.setattr(ngram_join, "PIVOTED", 20)
     rng = random.Random(9)
     sets = []
     for _ in range(3):
