@@ -252,6 +252,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``.
 
     Null and empty texts have one piece, the end id. Repeated rows are packed as often as they
-    come. Null ids stay null. Other columns are ignored.
+    come. Null ids stay null. A very long text is encoded whole and cut into pieces of ``capacity`` tokens, the
+    first one shorter if need be; pieces of equal length may take each other's places, as sequences
+    hold the same tokens then. An empty table gives an empty result. Other columns are ignored.
     """
     return pack(staged(token_pieces(docs, tokenizer_path, capacity=capacity, end_id=end_id), "pieces"), capacity=capacity)

@@ -166,7 +166,8 @@ def frequency_table(coded: DataFrame) -> dict[int, int]:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = 2, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts (null: empty), each with ``end_id`` behind, and write them in ascending order of ids.
 
-    Null ids come first, repeated ids in the order of their texts' hashes; an empty table writes
+    Null ids come first, repeated ids in the order of their texts' hashes; of wholly equal rows, which have
+    equal ids, any comes first. Very long texts are encoded whole and may take several blocks. An empty table writes
     empty tables. Other columns are ignored.
     """
     spark = docs.sparkSession

@@ -245,7 +245,7 @@ def best_threshold(scores: np.ndarray, y: np.ndarray, default: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, *, most: int = 4_000, longest: int = 1 << 15, mod: int = 4, held_out: int = 2, label: str = "toxic", threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ConvNet:
     """Fit on labelled documents of at most ``most`` ids and ``longest`` bytes outside the held-out fold, a fifth of them kept to calibrate.
 
-    What reaches the driver is the row numbers of their words, of one document for each id: at most
+    Longer documents are no examples and take no places; they are scored whole all the same. What reaches the driver is the row numbers of their words, of one document for each id: at most
     ``most`` times ``longest`` times four bytes, whatever the size of the corpus.
     """
     short = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= longest)
