@@ -29,6 +29,9 @@ def written(df: DataFrame, what: str, by: tuple[str, ...] = (), order: tuple[str
     path = f"{shared_dir(df.sparkSession)}/factloom/{what}-{uuid.uuid4().hex}"
     rows = df.sortWithinPartitions(*by, *order) if order else df
     (rows.write.partitionBy(*by) if by else rows.write).parquet(path)
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the driver's end, whatever still reads it until then
     return path
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.operators import edges, maintenance, resolution, search
-from factloom.plans import itineraries, layering, postings
+from factloom.plans import itineraries, layering, postings, traversals
 from factloom.queries import EFFECTIVE, EP, FIELDS, KAFKA, REST, _keyword_sql, kafka_index, query, rest_index
 from factloom.scratch import listing_digest, shared_dir
 from factloom.sources import facts
@@ -169,6 +169,21 @@ def persistence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.persistence_classes(roots, fields, p.where("p_size % 3 > 0").select(full.alias("qualified")))
 
 
+@query(f"""with recursive {DEP}, ends as (select (select min(source) from dep where source not in (select target from dep)) as a, (select max(target) from dep where target not in (select source from dep)) as b),
+dist(node, depth) as (select a, 0 from ends union select d.target, x.depth + 1 from dist x join dep d on d.source = x.node where x.depth < 12),
+near as (select node, min(depth) as depth from dist group by node), goal as (select near.depth from near join ends on near.node = ends.b),
+walk(node, depth, nodes) as (select a, 0, [a] from ends union all select d.target, w.depth + 1, w.nodes || [d.target] from walk w join dep d on d.source = w.node join near n on n.node = d.target and n.depth = w.depth + 1 join goal g on w.depth < g.depth),
+best as (select walk.nodes, walk.depth from walk join ends on walk.node = ends.b join goal g on walk.depth = g.depth)
+select cast(depth as integer) as depth, array_to_string(nodes, ' > ') as path, (select count(*) from best) > 20 as truncated from best order by nodes limit 20""")
+def dependency_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first module that nothing needs to the last one that needs nothing: several layers."""
+    dep = facts.module_dependencies(spark, sf_dir)
+    source, target = dep.select(F.col("source").alias("node")), dep.select(F.col("target").alias("node"))
+    first = source.join(target, "node", "left_anti").agg(F.min("node")).first()[0]
+    last = target.join(source, "node", "left_anti").agg(F.max("node")).first()[0]
+    return traversals.shortest_paths(dep, first or "", last or "")
+
+
 def posted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings' postings, written once for each state of the documents."""
     path = postings.postings_path(spark, listing_digest(spark, [f"{sf_dir}/documents.parquet"])[:16])
