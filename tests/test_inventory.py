@@ -97,7 +97,7 @@ def test_terciles_over_ranges(spark):
 def test_layers(spark):
     rows = [("x-repository", True, "core", "persistence"), ("domain-x", True, None, "domain"), ("x", True, "PORTAIL", "api"), ("x", True, "cycle-de-vie", "orchestration"), ("contract-x", False, "", "api"), ("x-infra", False, "", "infrastructure"), ("lib-x", False, "", "shared"), ("x", True, "", "application"), ("x", False, "", "module")]
     df = spark.createDataFrame(rows, "name string, runs boolean, space string, want string")
-    assert df.where(ranking.layer(F.col("name"), F.col("runs"), F.col("space")) != F.col("want")).count() == 0
+    assert df.where(ranking.layer(F.col("name"), F.col("runs"), F.col("space"), conventions=True) != F.col("want")).count() == 0
 
 
 def test_blank_search_is_the_inventory(spark):
