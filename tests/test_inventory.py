@@ -137,7 +137,7 @@ def test_files_roots_owners_and_properties(spark):
     assert [r.path for r in ranked] == ["m/application.properties", "m/application-prod.yml", "application.yml"]
     yml = "a:\n  b: 1\n  'c': \"x y\" # no\n  list:\n    - k: v\n    - w\n  d:\n    e: true\ntop: |\n  text: here\nurl: http://h:80/x\nempty:\n"
     flat = {r.key: r.value for r in manifests.flattened(spark.createDataFrame([("f", yml), ("g", None), ("h", "")], "path string, text string")).collect()}
-    assert flat == {"a.b": "1", "a.c": "x y", "a.d.e": "true", "url": "http://h:80/x"}
+    assert flat == {"a.b": "1", "a.c": "x y", "a.d.e": "true", "top": "text: here\n", "url": "http://h:80/x"}
     texts = spark.createDataFrame([("f", "one\ntwo\nthree")], "path string, text string")
     spots = spark.createDataFrame([(1, "f", 2, 9), (2, "f", 0, None), (3, "f", 7, 8)], "id int, path string, start_line int, end_line int")
     assert {tuple(r) for r in manifests.snippets(texts, spots).collect()} == {(1, "two\nthree"), (2, None), (3, None)}
