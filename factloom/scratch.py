@@ -58,26 +58,29 @@ class Grown:
 
 
 def listing_digest(spark: SparkSession, paths: list[str]) -> str:
-    """A digest of the files below some paths: names, sizes and times of change, from the file system's listing alone."""
+    """A digest of the files below some paths: names, sizes and times of change, from the file system's listing alone; a path that isn't there has none."""
     jvm = spark._jvm
     rows = []
     for path in paths:
         top = jvm.org.apache.hadoop.fs.Path(path)
-        files = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(top):
+            continue
+        files = fs.listFiles(top, True)
         while files.hasNext():
             f = files.next()
             rows.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
 
 
-def index(spark: SparkSession, sf_dir: str, name: str, make, sources: list[str], by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
-    """The table that ``make()`` derives from the tables ``sources``, written once for a session, folder and state of the sources' files.
+def index(spark: SparkSession, sf_dir: str, name: str, make, sources: list[str] | None = None, by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """The table that ``make()`` derives from the tables ``sources`` (by default any of the folder), written once for a session, folder and state of the sources' files.
 
     Each later query scans only the columns it needs, of the folders (``by``) and row groups (``order``) that
     its filters leave. A table whose files have changed is derived anew.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    digest = listing_digest(spark, [f"{sf_dir}/{source}.parquet" for source in sources])
+    digest = listing_digest(spark, [sf_dir or "."] if sources is None else [f"{sf_dir}/{source}.parquet" for source in sources])
     known, path = INDEXES.get(key, ((), ""))
     if known[:1] == (digest,):
         try:
