@@ -31,6 +31,8 @@ from factloom.llm.shared import discard, staged
 
 #: A cut is made where the low bits of the rolling hash are zero, on average every 2^CUT_BITS bytes.
 CUT_BITS, LEAST_CHUNK = 8, 64
+#: Bytes that a rolling hash of 32 bits holds.
+HASHED = 32
 #: The Bloom filter has 16 bits for each repeated chunk, and so many bits at most (32 MB); beyond that it fills and more chunks count as repeated.
 MOST_FILTER_BITS = 28
 FILTER_BLOCK = 1 << 15
@@ -58,7 +60,7 @@ def chunk_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     The rolling hash of 32 bytes is made of those of 16, 8, ... A cut stays if it is between
     characters and ``LEAST_CHUNK`` bytes behind the last candidate and the text's begin, so that cuts
-    depend on some bytes before them only.
+    depend on some bytes before them only, and never on another text: equal texts have equal chunks.
     """
     h = GEAR[data]
     for n in (1, 2, 4, 8, 16):
@@ -69,6 +71,8 @@ def chunk_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = ends[1:][np.diff(ends) > 0]
     inner = inner[~np.isin(inner, ends)]
     start = ends[np.searchsorted(ends, inner, side="right") - 1] if len(inner) else inner
+    own = inner - start >= HASHED  # the others' hashes hold bytes of the text before
+    inner, start = inner[own], start[own]
     gap = np.diff(inner, prepend=-LEAST_CHUNK)
     inner = inner[(np.minimum(gap, inner - start) >= LEAST_CHUNK)]
     cuts = np.union1d(inner, last)

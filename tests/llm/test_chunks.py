@@ -66,6 +66,24 @@ def test_cuts_depend_on_the_text_before_them_only():
     assert b"".join(bytes(view[a:b]) for a, b in zip(begins, cuts, strict=True)).decode() == body + "another begin " + body
 
 
+def test_equal_texts_have_equal_chunks_behind_any_other_text():
+    rng = random.Random(9)
+    for k in range(300):
+        body = "".join(rng.choices(PARTS, k=120))
+        before = "".join(rng.choices(PARTS, k=rng.randint(1, 60)))
+        _, begins, cuts, hashes, first = chunk_reuse.chunked(pa.array([body, before, body], pa.large_string()))
+        assert hashes[: first[1]].tolist() == hashes[first[2] : first[3]].tolist(), k
+
+
+def test_equal_texts_in_several_tasks_are_pieced_together_once(spark):
+    rng = random.Random(10)
+    bodies = ["".join(rng.choices(PARTS, k=150)) for _ in range(60)]
+    rows = [text for copy in range(6) for body in bodies for text in ("".join(rng.choices(PARTS, k=rng.randint(1, 60))), body)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(rows)), 24), "doc_id long, text string")
+    got = [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in chunk_reuse.encoded_documents(docs, PATH).orderBy("doc_id").collect()]
+    assert got == plain(rows)
+
+
 @pytest.fixture(scope="module")
 def mixed():
     rng = random.Random(8)
