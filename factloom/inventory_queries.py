@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import audit, deltas, filters, resolution, search
 from factloom.plans import catalog, traversals
-from factloom.queries import COLL, DEPENDENCY_EDGES, EFFECTIVE, EP, FI, KAFKA, LINKS, MOD, NEIGHBOURS, REST, _links, dependency_graph, query, rest_index
+from factloom.queries import ALL_NEIGHBOURS, COLL, DEPENDENCY_EDGES, EFFECTIVE, EP, FI, KAFKA, LINKS, MOD, REST, WHOLE, _links, dependency_graph, query, rest_index
 from factloom.sources import facts, manifests
 
 WRITES_SQL = "operation in ('bulkOps', 'findAndModify', 'findAndReplace', 'insert', 'remove', 'save', 'updateFirst', 'updateMulti', 'upsert')"
@@ -24,11 +24,11 @@ def object_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(f"{NEIGHBOURS} select near.* from near join (select distinct 'topic' as kind, concat(p_brand, '/', cast(p_size as varchar), '/0') as name from part union select 'module', concat('svc-', cast(n_nationkey as varchar)) from nation) w on near.kind = w.kind and near.name = w.name")
+@query(f"{ALL_NEIGHBOURS} select near.* from near join (select distinct 'topic' as kind, concat(p_brand, '/', cast(p_size as varchar), '/0') as name from part union select 'module', concat('svc-', cast(n_nationkey as varchar)) from nation) w on near.kind = w.kind and near.name = w.name")
 def shown_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = facts.table(spark, sf_dir, "part").select(F.lit("topic").alias("kind"), F.concat("p_brand", F.lit("/"), facts.text("p_size"), F.lit("/0")).alias("name"))
     wanted = wanted.union(facts.table(spark, sf_dir, "nation").select(F.lit("module"), F.concat(F.lit("svc-"), facts.text("n_nationkey"))))
-    return catalog.show_objects(wanted, catalog.neighbours(facts.endpoints(spark, sf_dir), facts.module_dependencies(spark, sf_dir)))
+    return catalog.show_objects(wanted, catalog.neighbours(facts.endpoints(spark, sf_dir), facts.module_dependencies(spark, sf_dir, WHOLE)))
 
 
 @query(f"with {EP}, {REST} select distinct module, topic as api from ep where system = 'rest' and role = 'call' and module is not null and not exists (select 1 from rest r where r.call_id = ep.id and r.source = ep.module)")
