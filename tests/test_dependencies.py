@@ -65,3 +65,32 @@ def test_pairs_of_a_large_component_are_not_written(spark, monkeypatch):
     out = traversals.reachable(edges)
     assert max(counted) <= len(ring) and out.count() == n * n
     assert out.select(F.count_distinct("source", "target")).first()[0] == n * n
+
+
+def test_sides_of_messages_are_those_of_the_edges(spark):
+    from factloom.operators import edges
+
+    rng = random.Random(4)
+    rows = [(str(k), rng.choice(["produce", "consume"]), "kafka", f"t{rng.randrange(12)}", rng.random() < 0.1, rng.choice(["manifest", "code"]), rng.choice([None, "a", "b", "c", "d"])) for k in range(60)]
+    e = spark.createDataFrame(rows, "id string, role string, system string, topic string, topic_dynamic boolean, source string, module string")
+    whole = edges.kafka_edges(e).collect()
+    want = {(r.source, None, r.topic) for r in whole} | {(None, r.target, r.topic) for r in whole}
+    got = [tuple(r) for r in edges.kafka_sides(e).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_legs_with_one_end_share_their_search(spark, monkeypatch):
+    from factloom.plans import itineraries
+
+    n, counted, plain = 60, [], scratch.written
+
+    def written(df, *a, **more):
+        counted.append(df.count())
+        return plain(df, *a, **more)
+
+    monkeypatch.setattr(scratch, "written", written)
+    links = [(f"a{k:02}", "m1") for k in range(n)] + [(f"a{k:02}", "m2") for k in range(n)] + [("m1", f"b{k:02}") for k in range(n)] + [("m2", "z")] + [(f"b{k:02}", "z") for k in range(n)]
+    asked = spark.createDataFrame([(f"q{k}", [f"a{k:02}", "z"]) for k in range(n)], "query string, stops array<string>")
+    got = itineraries.itineraries(spark.createDataFrame(links, "source string, target string"), asked).collect()
+    assert {(r.query, r.path, r.depth) for r in got} == {(f"q{k}", f"a{k:02} > m2 > z", 2) for k in range(n)}
+    assert max(counted) <= len(links)  # sixty legs times sixty nodes were written
