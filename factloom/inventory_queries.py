@@ -198,7 +198,7 @@ def fact_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.delete_keys(_manifest_facts(spark, sf_dir), gone).select("id", "fact_type")
 
 
-@query(f"with {EP} select concat(module, ':', id) as id, case when role in ('serve', 'call') then module else 'shared' end as module, topic from ep")
+@query(f"with {EP}, f as (select concat(module, ':', id) as id, case when role in ('serve', 'call') then module else 'shared' end as module, topic from ep) select id, module, topic from f qualify row_number() over (partition by id order by module nulls first, topic nulls first) = 1")
 def federated_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts.endpoints(spark, sf_dir)
     rows = e.select("id", F.col("module").alias("service"), F.when(F.col("system") == "rest", "local").otherwise("shared").alias("module"), "topic")

@@ -94,3 +94,17 @@ def test_legs_with_one_end_share_their_search(spark, monkeypatch):
     got = itineraries.itineraries(spark.createDataFrame(links, "source string, target string"), asked).collect()
     assert {(r.query, r.path, r.depth) for r in got} == {(f"q{k}", f"a{k:02} > m2 > z", 2) for k in range(n)}
     assert max(counted) <= len(links)  # sixty legs times sixty nodes were written
+
+
+def test_a_repeated_id_stays_once_in_federations_and_their_sql(spark, tmp_path):
+    import duckdb
+
+    t = lambda name: facts.table(spark, SF, name)
+    t("lineitem").union(t("lineitem").limit(50)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t("part").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    for name in ("lineitem", "part"):
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    for name in ("federated_endpoints", "federated_relations"):
+        got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(db.execute(queries.ORACLE_SQL[name]).fetchall()) and len({r[0] for r in got}) == len(got)
