@@ -206,7 +206,7 @@ def federated_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.federated(rows, services).select("id", "module", "topic")
 
 
-@query(f"with {EP} select concat(module, ':', role, id) as id, case when system = 'kafka' then module else 'me' end as source_name, case when role in ('consume', 'serve') then module else topic end as target_name from ep")
+@query(f"with {EP}, f as (select concat(module, ':', role, id) as id, case when system = 'kafka' then module else 'me' end as source_name, case when role in ('consume', 'serve') then module else topic end as target_name from ep) select id, source_name, target_name from f qualify row_number() over (partition by id order by source_name nulls first, target_name nulls first) = 1")
 def federated_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = facts.endpoints(spark, sf_dir)
     kind = F.when(F.col("system") == "kafka", "microservice").otherwise("module")
