@@ -108,3 +108,16 @@ def test_a_repeated_id_stays_once_in_federations_and_their_sql(spark, tmp_path):
     for name in ("federated_endpoints", "federated_relations"):
         got = sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(db.execute(queries.ORACLE_SQL[name]).fetchall()) and len({r[0] for r in got}) == len(got)
+
+
+def test_pairs_of_services_equal_those_of_the_edges(spark, monkeypatch):
+    from factloom.operators import edges
+
+    monkeypatch.setattr(edges, "SOURCE_BLOCKS", 3)
+    monkeypatch.setattr(edges, "TARGET_ROWS", 7)
+    rng = random.Random(5)
+    rows = [(str(k), rng.choice(["produce", "consume"]), "kafka", f"t{rng.randrange(9)}", rng.random() < 0.1, rng.choice(["manifest", "code"]), rng.choice([None, *"abcdefgh"])) for k in range(120)]
+    e = spark.createDataFrame(rows, "id string, role string, system string, topic string, topic_dynamic boolean, source string, module string")
+    got = [tuple(r) for r in edges.kafka_pairs(e).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r.source, r.target) for r in edges.kafka_edges(e).collect()}
+    assert edges.kafka_pairs(e.limit(0)).collect() == []
