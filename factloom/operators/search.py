@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import tokens
@@ -12,6 +12,11 @@ from factloom.operators.filters import filter_findings
 WEIGHTS = {"rule_id": 6, "message": 4, "path": 3, "cwe": 5, "owasp": 5, "snippet": 2, "severity": 1}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def keyword_hits(findings: DataFrame, query: str) -> DataFrame:
     """Findings with a score over 0, as column ``score``.
 
@@ -23,17 +28,27 @@ def keyword_hits(findings: DataFrame, query: str) -> DataFrame:
     low = F.lit(query.strip()).cast("string")
     q, q_tokens = F.lower(low), F.array_distinct(tokens(low))
     q_norm = F.array_join(tokens(low), " ")
-    rows = findings.withColumns({f"_t_{f}": tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields})
-    score = F.lit(0.0)
-    for f in fields:
-        w, x, own = float(WEIGHTS[f]), F.lower(F.coalesce(F.col(f), F.lit(""))), F.col(f"_t_{f}")
-        norm = F.array_join(own, " ")
-        raw = F.when(x == q, 8 * w).when(F.instr(x, q) > 0, 4 * w).otherwise(0.0)
-        flat = F.when(F.size(q_tokens) == 0, 0.0).when(norm == q_norm, 6 * w).when(F.instr(norm, q_norm) > 0, 3 * w).otherwise(0.0)
-        score = score + F.when(x == "", 0.0).otherwise(raw + flat + w * F.size(F.array_intersect(q_tokens, own)))
-    every = F.flatten(F.array(*(F.col(f"_t_{f}") for f in fields)))
-    gate = F.size(F.array_except(q_tokens, every)) == 0
-    return rows.withColumn("score", F.when(gate, score).otherwise(0.0)).where("score > 0").drop(*(f"_t_{f}" for f in fields))
+
+    def of_field(f: str) -> Column:
+        """The field's score and the query's tokens in it, from its text and tokens, which are made once."""
+        w = float(WEIGHTS[f])
+        flat = lambda norm: F.when(F.size(q_tokens) == 0, 0.0).when(norm == q_norm, 6 * w).when(F.instr(norm, q_norm) > 0, 3 * w).otherwise(0.0)
+
+        def scored(t: Column) -> Column:
+            x, hit = t["x"], F.array_intersect(q_tokens, t["own"])
+            raw = F.when(x == q, 8 * w).when(F.instr(x, q) > 0, 4 * w).otherwise(0.0)
+            return F.struct(F.when(x == "", 0.0).otherwise(raw + let(F.array_join(t["own"], " "), flat) + w * F.size(hit)).alias("score"), hit.alias("hit"))
+
+        text = F.coalesce(F.col(f), F.lit(""))
+        return let(F.struct(F.lower(text).alias("x"), tokens(text).alias("own")), scored)
+
+    def whole(parts: Column) -> Column:
+        gate = F.size(F.array_except(q_tokens, F.flatten(F.transform(parts, lambda p: p["hit"])))) == 0
+        return F.when(gate, F.aggregate(parts, F.lit(0.0), lambda a, p: a + p["score"])).otherwise(0.0)
+
+    score = let(F.array(*(of_field(f) for f in fields)), whole) if fields else F.lit(0.0)
+    # A filter would be pushed below the score and make it a second time.
+    return findings.select(*(c for c in findings.columns if c != "score"), F.explode(F.filter(F.array(score), lambda x: x > 0)).alias("score"))
 
 
 def search_page(hits: DataFrame, *, limit: int, offset: int = 0) -> DataFrame:
