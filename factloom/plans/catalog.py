@@ -204,17 +204,16 @@ def visual_edges(endpoints: DataFrame) -> DataFrame:
 
 def graph_totals(graph: DataFrame) -> DataFrame:
     """measure, n: nodes, links, and links by kind and confidence of a dependency graph."""
-    nodes = graph.select(F.col("source").alias("node")).union(graph.select("target")).distinct()
-    parts = [
-        nodes.agg(F.lit("nodes").alias("measure"), F.count("*").alias("n")),
-        graph.agg(F.lit("links"), F.count("*")),
-        graph.groupBy(F.concat(F.lit("kind "), "kind")).agg(F.count("*")),
-        graph.groupBy(F.concat(F.lit("confidence "), "confidence")).agg(F.count("*")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    # One pass over the graph: its links and their ends are counted by kind and confidence, or by node, and these counts are added up.
+    of = lambda *values: F.struct(*(v.alias(c) for v, c in zip(values, ("node", "kind", "confidence"), strict=True)))
+    nothing = F.lit(None).cast("string")
+    each = F.array(of(nothing, F.col("kind"), F.col("confidence")), of(F.col("source"), nothing, nothing), of(F.col("target"), nothing, nothing))
+    counted = graph.select(F.posexplode(each).alias("at", "x")).groupBy((F.col("at") == 0).alias("link"), "x").agg(F.count("*").alias("n"))
+    measure = lambda name, n: F.struct(name.alias("measure"), n.alias("n"))
+    links = F.array(measure(F.lit("links"), F.col("n")), measure(F.concat(F.lit("kind "), "x.kind"), F.col("n")), measure(F.concat(F.lit("confidence "), "x.confidence"), F.col("n")))
+    rows = counted.select(F.explode(F.when(F.col("link"), links).otherwise(F.array(measure(F.lit("nodes"), F.lit(1).cast("long"))))).alias("m")).select("m.*")
+    none = graph.sparkSession.createDataFrame([("nodes", 0), ("links", 0)], "measure string, n long")
+    return rows.union(none).groupBy("measure").agg(F.sum("n").alias("n"))
 
 
 def endpoints_by_module(endpoints: DataFrame, *, keep_null: bool = False) -> DataFrame:
@@ -225,10 +224,12 @@ def endpoints_by_module(endpoints: DataFrame, *, keep_null: bool = False) -> Dat
 def unresolved_samples(endpoints: DataFrame, rest: DataFrame, n: int = 20) -> DataFrame:
     """category, id, module, topic, path, start_line, truncated: the first ``n`` dynamic topics, topics of unknown type and unmatched calls by place."""
     calls = endpoints.where("system = 'rest' and role = 'call'").join(rest.select(F.col("call_id").alias("id")).distinct(), "id", "left_anti")
-    own = lambda df, name: df.select(F.lit(name).alias("category"), "id", "module", "topic", "path", "start_line")
+    order = ["path", "start_line", "id"]
+    # Each category keeps its first rows without a sort of all of them.
+    own = lambda df, name: df.select(F.lit(name).alias("category"), "id", "module", "topic", "path", "start_line").orderBy(*order).limit(n + 1)
     k = endpoints.where("system = 'kafka'")
     every = own(k.where("topic_dynamic"), "dynamic_kafka_topics").union(own(k.where("message_type is null"), "unknown_kafka_message_types")).union(own(calls, "unmatched_http_calls"))
-    return first_per_category(every, "category", ["path", "start_line", "id"], n)
+    return first_per_category(every, "category", order, n)
 
 
 def deployable(endpoints: DataFrame, modules: DataFrame) -> DataFrame:
