@@ -273,17 +273,26 @@ def flattened(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInArrow(run, "path string, key string, value string")
 
 
+#: A task remembers so many texts it has read last, and reads equal ones once.
+KNOWN_TEXTS = 1024
+
+
 def yaml_as_json(files: DataFrame) -> DataFrame:
     """path, text: the first document of each YAML file (path, text) as JSON, all scalars as texts; null where it can't be read."""
 
     def run(batches):
         import json
+        from functools import lru_cache
 
         import pyarrow as pa
 
+        @lru_cache(maxsize=KNOWN_TEXTS)
+        def shown(text):
+            found = _documents(text)
+            return json.dumps(found[0]) if found else None
+
         for batch in batches:
-            found = [_documents(t) for t in batch.column("text").to_pylist()]
-            texts = [json.dumps(d[0]) if d else None for d in found]
+            texts = [shown(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(texts, pa.string())], names=["path", "text"])
 
     return files.select("path", "text").mapInArrow(run, "path string, text string")
