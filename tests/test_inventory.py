@@ -1,3 +1,4 @@
+import uuid
 import json
 
 import pytest
@@ -248,3 +249,51 @@ def test_deleted_files_leave(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         incremental.replace_facts(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ck")).awaitTermination()
     assert {(r.path, r.v) for r in incremental.current(spark, out).collect()} == {("b", "kept")}
+
+
+def test_equal_yaml_texts_are_read_once_a_task(spark, tmp_path):
+    from factloom.sources import manifests
+
+    folder = str(tmp_path)
+
+    def counted(text):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return [{"a": text}]
+
+    known = manifests._documents
+    manifests._documents = counted
+    try:
+        files = spark.createDataFrame([(f"{k}.yml", f"t{k % 3}") for k in range(30)] + [("none.yml", None)], "path string, text string").coalesce(1)
+        got = dict(tuple(r) for r in manifests.yaml_as_json(files).collect())
+    finally:
+        manifests._documents = known
+    assert got["4.yml"] == '{"a": "t1"}' and len(got) == 31 and len(list(tmp_path.iterdir())) == 4
+
+
+def test_totals_read_the_graph_once(spark):
+    graph = spark.createDataFrame([("a", "b", "http", "high"), ("b", "c", "http", "medium"), ("c", None, "uses", "high")], "source string, target string, kind string, confidence string")
+    out = catalog.graph_totals(graph)
+    assert {tuple(r) for r in out.collect()} == {("nodes", 4), ("links", 3), ("kind http", 2), ("kind uses", 1), ("confidence high", 2), ("confidence medium", 1)}
+    assert {tuple(r) for r in catalog.graph_totals(graph.limit(0)).collect()} == {("nodes", 0), ("links", 0)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("source#") and out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+
+
+def test_few_routes_are_sent_to_the_calls(spark):
+    row = lambda i, role, topic, module, snippet="": (i, role, "rest", topic, False, "code", f"{i}.java", 1, 1, snippet, module, None)
+    schema = "id string, role string, system string, topic string, topic_dynamic boolean, source string, path string, start_line int, end_line int, snippet string, module string, message_type string"
+    e = spark.createDataFrame([row("c", "call", "GET /x/1", "a", "get(http://b/x)"), row("g", "call", "ANY /x/**", "a", "lb://b"), row("s", "serve", "GET /x/{id}", "b"), row("t", "serve", "POST /x/{id}", "b"), row("u", "serve", "GET /x/1", "lone")], schema)
+    rest = edges.rest_edges(e)
+    assert {(r.call_id, r.serve_id) for r in rest.collect()} == {("c", "s"), ("g", "s")}
+    assert "ResolvedHint (strategy=broadcast)" in rest._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in rest._jdf.queryExecution().optimizedPlan().toString()
+    assert edges.sent_if_small(e, 4)._jdf.queryExecution().analyzed().toString().count("broadcast") == 0
+
+
+def test_relations_are_sent_without_a_sort_and_by_what_is_asked(spark):
+    from factloom.operators import relations
+
+    e = spark.createDataFrame([("produce", "kafka", "t", False, "code", "p", 1, "", "m", "x"), ("produce", "kafka", "retour_t", False, "code", "p", 2, "", "m", None)], "role string, system string, topic string, topic_dynamic boolean, source string, path string, start_line int, snippet string, module string, message_type string")
+    nothing, run = spark.createDataFrame([], "source string, target string"), spark.createDataFrame([("m",)], "module string")
+    whole = relations.architecture_relations(e, nothing, run, nothing, nothing, replies=True)
+    some = relations.architecture_relations(e, nothing, run, nothing, nothing, replies=True, only=["request_reply"])
+    assert some.collect() == whole.where("relation = 'request_reply'").collect() and some.count() == 1 and whole.count() == 4
+    assert whole._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
