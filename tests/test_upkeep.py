@@ -121,3 +121,22 @@ def test_changed_files_of_two_inventories(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "path string, sha256 string")
     new = spark.createDataFrame([("a", "1"), ("b", "2"), ("d", "1")], "path string, sha256 string")
     assert rows(maintenance.changed_files(old, new)) == [("added", "d"), ("deleted", "c"), ("modified", "b")]
+
+
+def test_edges_of_messages_are_not_written_and_only_the_asked_table_is_maintained(spark):
+    from factloom import structure_queries
+
+    folder, app = "/root/testdata/sf0.001", spark.sparkContext.applicationId
+    for name in ("kafka", "rest"):
+        scratch.INDEXES.pop((app, folder, name), None)
+    structure_queries.refreshed_kafka_edges(spark, folder)
+    assert not {(app, folder, name) for name in ("kafka", "rest")} & set(scratch.INDEXES)
+
+
+def test_endpoints_are_made_by_tasks_of_a_number_of_lines(spark, monkeypatch):
+    from factloom.sources import facts
+
+    monkeypatch.setattr(facts, "ROWS_A_TASK", 1000)
+    made = facts.derived_endpoints(spark, "/root/testdata/sf0.001")
+    n = facts.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert made.rdd.getNumPartitions() == -(-n // 1000) > 1 and made.count() == n
