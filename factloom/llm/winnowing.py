@@ -4,11 +4,11 @@ A text's k-grams of code points are hashed, each window of ``w`` neighbouring ha
 least one (of equal ones the rightmost), and the picks with their places are the fingerprint. Two
 texts that share ``k + w - 1`` code points in a row share a pick.
 
-Hashes and minima are built by widening: the hash of 4 code points from 4 of 1, of 16 from 4 of 4;
-the minimum over 4 places, then 16, then 32. So each step is one pass over an array, whatever k
-and w are. A pick is one long: 31 bits of hash above, and below them the place counted down from
-2^31 - 1, so that of equal hashes the rightmost is the least. Texts of under k code points have one
-pick, the hash of the whole; the empty text has none.
+A text is encoded once with four bytes for each code point, so a k-gram is ``4 * k`` bytes at a known
+place and is cut and hashed in one step. Minima are built by widening: over 4 places, then 16, then
+32, each one pass over an array, whatever w is. A pick is one long: 31 bits of hash above, and below
+them the place counted down from 2^31 - 1, so that of equal hashes the rightmost is the least. Texts of
+under k code points have one pick, the hash of the whole; the empty text has none.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import staged
 
 TOP = (1 << 31) - 1
+BYTES_A_CHAR = 4
 K, W = 16, 32
 ROWS_A_BUCKET = 1024
 MOST_BUCKETS = 10_000
@@ -38,7 +39,7 @@ def widened(array: Column, step: int, times: int, merge) -> Column:
 def factors(n: int) -> list[int]:
     """A power of two as 4s, and a 2 if need be."""
     if n < 2 or n & (n - 1):
-        raise ValueError("k and w are powers of two")
+        raise ValueError("w is a power of two")
     bits = n.bit_length() - 1
     return [4] * (bits // 2) + [2] * (bits % 2)
 
@@ -50,17 +51,21 @@ def widen_to(array: Column, width: int, merge) -> Column:
     return array
 
 
-def picked(hashes: Column, offset: Column) -> Column:
-    """Hashes with their places below, as one long each; places count from ``offset``."""
-    return F.transform(hashes, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(TOP).cast("long")), 32) + (F.lit(TOP).cast("long") - i - offset))
+def pick(hashed: Column, place: Column, offset: Column) -> Column:
+    """A hash with its place below, as one long; places count from ``offset``."""
+    return hashed.bitwiseAND(F.lit(TOP << 32).cast("long")) + (F.lit(TOP).cast("long") - offset - place)
+
+
+def grams(text: Column, n: Column, offset: Column, k: int) -> Column:
+    """The picks of all k-grams of a text of ``n`` >= ``k`` code points, in order."""
+    starts = F.sequence(F.lit(1), F.greatest((n - k) * BYTES_A_CHAR + 1, F.lit(1)), F.lit(BYTES_A_CHAR))
+    return let(F.encode(text, "UTF-32"), lambda b: F.transform(starts, lambda at, i: pick(F.xxhash64(F.substring(b, at, F.lit(BYTES_A_CHAR * k))), i, offset)))
 
 
 def windows(text: Column, n: Column, offset: Column, k: int = K, w: int = W) -> Column:
     """The pick of every window of a text of ``n`` code points, in order; one window if there are fewer places than ``w``."""
-    chars = F.transform(F.split(text, ""), lambda c: F.xxhash64(c))
-    grams = F.slice(widen_to(chars, k, F.xxhash64), F.lit(1), F.greatest(n - k + 1, F.lit(0)))
-    every = F.slice(widen_to(picked(grams, offset), w, F.least), F.lit(1), F.greatest(n - (k + w - 2), F.lit(1)))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, picked(F.array(F.xxhash64(text)), offset)).otherwise(every)
+    every = F.slice(widen_to(grams(text, n, offset, k), w, F.least), F.lit(1), F.greatest(n - (k + w - 2), F.lit(1)))
+    return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(pick(F.xxhash64(text), F.lit(0), offset))).otherwise(every)
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
@@ -78,6 +83,11 @@ def hashes_of(picks: Column) -> Column:
     return F.array_distinct(F.transform(picks, lambda p: F.shiftright(p, 32)))
 
 
+def first_picks(picks: Column, last: Column) -> Column:
+    """Distinct picks in order of their windows, up to ``last``; none if it is null."""
+    return F.when(last.isNull(), F.array().cast("array<bigint>")).otherwise(F.slice(picks, F.lit(1), F.array_position(picks, last).cast("int")))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared hashes over all hashes of two fingerprints (distinct hashes each); 1 if both are empty."""
     both = F.size(F.array_intersect(a, b))
@@ -150,12 +160,12 @@ def fingerprints(docs: DataFrame, *, k: int = K, w: int = W, id_col: str = "doc_
     zero = F.lit(0).cast("long")
     t = t.withColumns({"own_windows": windows(F.col("text"), F.col("n_chars"), zero, k, w), "cut": F.floor(F.col("n_chars") / 4).cast("int")})
     kept = F.greatest(F.col("n_chars") - F.col("cut") - (k + w - 2), F.lit(0))
-    t = t.withColumns({"kept": kept, "picks": F.array_distinct("own_windows"), "edited": F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), F.col("cut")))})
-    t = t.withColumns({"kept_picks": F.array_distinct(F.slice("own_windows", F.lit(1), F.col("kept"))), "tail": F.substring("edited", F.col("kept") + 1, F.greatest(F.length("edited") - F.col("kept"), F.lit(0))), "next_picks": F.lead("picks").over(order)})
-    t = t.where(F.col("copy") == 0).withColumn("tail_chars", F.length("tail"))
+    t = t.withColumns({"kept": kept, "picks": F.array_distinct("own_windows"), "last_kept": F.get("own_windows", kept - 1), "edited": F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("cut")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), F.col("cut")))})
+    t = t.withColumns({"own": hashes_of(F.col("picks")), "kept_picks": first_picks(F.col("picks"), F.col("last_kept")), "tail": F.substring("edited", F.col("kept") + 1, F.greatest(F.length("edited") - F.col("kept"), F.lit(0)))})
+    t = t.withColumn("after", F.lead("own").over(order)).where(F.col("copy") == 0).withColumn("tail_chars", F.length("tail"))
     rest = F.when((F.col("kept") > 0) & (F.col("tail_chars") < k + w - 1), F.array().cast("array<bigint>")).otherwise(windows(F.col("tail"), F.col("tail_chars"), F.col("kept").cast("long"), k, w))
     t = t.withColumn("edited_picks", F.array_distinct(F.concat("kept_picks", rest)))
-    t = t.withColumns({"own": hashes_of(F.col("picks")), "other": hashes_of(F.col("edited_picks")), "after": hashes_of(F.col("next_picks"))})
+    t = t.withColumn("other", hashes_of(F.col("edited_picks")))
     return t.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),

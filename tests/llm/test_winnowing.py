@@ -49,3 +49,22 @@ def test_row_numbers_are_made_once(spark):
     assert len(rows) == 400 and len({r.row for r in rows}) == 400
     buckets = {r.bucket for r in rows}
     assert got.where("copy = 1").count() == len(buckets) > 5
+
+
+def test_grams_are_cut_from_four_bytes_a_code_point(spark):
+    """A k-gram is hashed at once, from its bytes at a known place, not from hashes of single code points."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é🙂\ufeff\x00") for _ in range(n)) for n in (15, 16, 17, 46, 47, 48, 200)]
+    grams = sorted({t[i : i + K] for t in texts for i in range(len(t) - K + 1)})
+    rows = spark.createDataFrame([(g, g.encode("utf-32-be")) for g in grams], "g string, b binary")
+    table = {r.g: r.h & winnowing.TOP for r in rows.select("g", F.shiftright(F.xxhash64("b"), 32).alias("h")).collect()}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", winnowing.fingerprint(F.col("t")).alias("f"))
+    for t, f in got.collect():
+        picks = []
+        for i in range(max(1, len(t) - K - W + 2) if len(t) >= K else 0):
+            hashes = [table[t[j : j + K]] for j in range(i, min(i + W, len(t) - K + 1))]
+            pick = (min(hashes), i + max(j for j, h in enumerate(hashes) if h == min(hashes)))
+            picks += [pick] if pick not in picks else []
+        assert len(t) < K or [(p >> 32, winnowing.TOP - (p & 0xFFFFFFFF)) for p in f] == picks
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("xxhash64(") == 2
