@@ -121,3 +121,20 @@ def test_pairs_of_services_equal_those_of_the_edges(spark, monkeypatch):
     got = [tuple(r) for r in edges.kafka_pairs(e).collect()]
     assert len(got) == len(set(got)) and set(got) == {(r.source, r.target) for r in edges.kafka_edges(e).collect()}
     assert edges.kafka_pairs(e.limit(0)).collect() == []
+    counts = edges.kafka_fan_out(e).collect()
+    assert len({r.source for r in counts}) == len(counts) and {(r.source, r.targets) for r in counts} == {(s, sum(a == s for a, _ in got)) for s, _ in got}
+    assert edges.kafka_fan_out(e.limit(0)).collect() == []
+
+
+def test_fan_out_counts_pairs_in_blocks_of_a_bounded_size(spark, monkeypatch):
+    import pyarrow as pa
+
+    from factloom.operators import edges
+
+    monkeypatch.setattr(edges, "PAIRS_A_BATCH", 4)
+    rows = pa.record_batch({"role": ["produce"] * 2 + ["consume"] * 9, "topic": ["t"] * 11, "module": ["a", "z", *(f"b{k}" for k in range(8)), "a"]})
+    made = list(edges._pairs_of_block(iter([rows])))
+    assert max(b.num_rows for b in made) <= 4 and sum(b.num_rows for b in made) == 8 + 9
+    assert [b.to_pydict() for b in edges._counts_of_block(iter([rows]))] == [{"source": ["a", "z"], "targets": [8, 9]}]
+    plan = queries.all_kafka_fan_out(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "target#" not in plan  # no pair leaves its block

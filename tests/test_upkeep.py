@@ -140,3 +140,15 @@ def test_endpoints_are_made_by_tasks_of_a_number_of_lines(spark, monkeypatch):
     made = facts.derived_endpoints(spark, "/root/testdata/sf0.001")
     n = facts.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert made.rdd.getNumPartitions() == -(-n // 1000) > 1 and made.count() == n
+
+
+def test_lines_are_sent_once_for_their_endpoints(spark, monkeypatch):
+    from factloom.sources import facts
+
+    monkeypatch.setattr(facts, "ROWS_A_TASK", 1000)
+    want = rows(facts.derived_endpoints(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(facts, "PARTS_SENT", 0)  # as with many parts
+    made = facts.derived_endpoints(spark, "/root/testdata/sf0.001")
+    assert rows(made) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "l_quantity" not in plan.split("Exchange")[0]  # lines and parts, each once
