@@ -138,3 +138,35 @@ def test_fan_out_counts_pairs_in_blocks_of_a_bounded_size(spark, monkeypatch):
     assert [b.to_pydict() for b in edges._counts_of_block(iter([rows]))] == [{"source": ["a", "z"], "targets": [8, 9]}]
     plan = queries.all_kafka_fan_out(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "target#" not in plan  # no pair leaves its block
+
+
+def test_relations_are_sent_only_where_ids_repeat(spark, monkeypatch):
+    from factloom.operators import relations
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["produce", "consume"]), "kafka", rng.choice([None, "t", "u"]), rng.random() < 0.2, rng.choice(["manifest", "code"]), rng.choice([None, f"f{k // 3}", f"f{k // 3}"]), rng.choice([None, 10, 20]), rng.choice(["${k}", "${k} ${z}", None]), rng.choice(["a", "b", "c", None]), rng.choice([None, "T"])) for k in range(90)]
+    rows += [("produce", "kafka", f"t{k}", False, "code", f"g{k}", 10, "${k}", "a", "T") for k in range(60)]  # nothing else is there
+    e = spark.createDataFrame(rows, "role string, system string, topic string, topic_dynamic boolean, source string, path string, start_line int, snippet string, module string, message_type string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), (None, "c")], "source string, target string")
+    uses = spark.createDataFrame([("a", "c", "save", "x", 1), ("a", "c", "save", "x", 1), ("a", "c", "count", "x", 1), ("b", None, "save", "y", None)], "module string, collection string, operation string, path string, start_line int")
+    run = spark.createDataFrame([("a",), ("a",)], "module string")
+    sent, plain = [], relations._last_written
+    monkeypatch.setattr(relations, "_last_written", lambda df: sent.append(df.count()) or plain(df))
+    made = lambda **more: sorted((tuple(r) for r in relations.architecture_relations(e, pairs, run, pairs, pairs, collections=uses, **more).collect()), key=repr)
+    got = made()
+    monkeypatch.setattr(relations, "NAMES_SENT", 0)  # too many repeat: all are sent
+    assert got == made() and len({r[0] for r in got}) == len(got)
+    assert sent[0] <= sent[1] - 180
+    some = made(only=["reads", "writes"])
+    assert [r for r in some if r[0]] == [r for r in got if r[0] and r[3] in ("reads", "writes")]
+
+
+def test_relations_are_neither_written_nor_counted_one_by_one(spark, monkeypatch):
+    from factloom.operators import edges
+
+    monkeypatch.setattr(edges, "kafka_pairs", lambda *_: 1 / 0)
+    want = {(r.measure, r.value): r.n for r in queries.coverage_counts(spark, SF).collect()}
+    monkeypatch.undo()
+    got = queries.architecture_relations(spark, SF).groupBy("relation").count().collect()
+    assert {("relations", r.relation): r["count"] for r in got} == {k: n for k, n in want.items() if k[0] == "relations"}
+    assert (spark.sparkContext.applicationId, SF, "relations") not in scratch.INDEXES
