@@ -170,3 +170,31 @@ def test_relations_are_neither_written_nor_counted_one_by_one(spark, monkeypatch
     got = queries.architecture_relations(spark, SF).groupBy("relation").count().collect()
     assert {("relations", r.relation): r["count"] for r in got} == {k: n for k, n in want.items() if k[0] == "relations"}
     assert (spark.sparkContext.applicationId, SF, "relations") not in scratch.INDEXES
+
+
+def test_thinned_edges_reach_the_same_and_whole_graphs_are_searched_by_tasks(spark, monkeypatch):
+    for seed, n, room in ((1, 40, 2_000_000), (2, 70, 9), (3, 200, 25), (4, 30, 4)):
+        monkeypatch.setattr(traversals, "EDGES_A_TASK", room)
+        rng = random.Random(seed)
+        pairs = {(f"s{rng.randrange(24)}", f"s{rng.randrange(24)}") for _ in range(n)} | {("x", "x"), ("y", "x")}
+        edges = spark.createDataFrame(sorted(pairs) * 2, "source string, target string")
+        want = plain_closure(pairs)
+        assert plain_closure({tuple(r) for r in traversals.thinned(edges).collect()}) == want
+        of = {a: min(b for b in {a} | {b for c, b in want if c == a and (b, a) in want}) for a in {a for p in pairs for a in p}}
+        big = {a: c for a, c in of.items() if list(of.values()).count(c) > 1}
+        assert {r.node: r.component for r in traversals.strong_components(edges).collect()} == big
+
+
+def test_a_dense_graph_is_thinned_before_it_is_sent_about(spark, monkeypatch):
+    n, counted, plain = 60, [], scratch.written
+
+    def written(df, *a, **more):
+        counted.append(df.count())
+        return plain(df, *a, **more)
+
+    monkeypatch.setattr(scratch, "written", written)
+    edges = spark.createDataFrame([(f"s{a}", f"s{b}") for a in range(n) for b in range(n) if a != b], "source string, target string")
+    assert traversals.reachable(edges).count() == n * n
+    roots = edges.select(F.col("source").alias("root"), F.col("source").alias("node"))
+    assert resolution.closures(roots, edges).count() == n * n
+    assert max(counted) <= 2 * n
