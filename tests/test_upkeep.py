@@ -152,3 +152,26 @@ def test_lines_are_sent_once_for_their_endpoints(spark, monkeypatch):
     assert rows(made) == want
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "l_quantity" not in plan.split("Exchange")[0]  # lines and parts, each once
+
+
+def test_kafka_edges_alone_are_refreshed_from_what_they_derive_from(spark, monkeypatch):
+    rng = random.Random(3)
+    before = drawn(rng, [f"f{k}" for k in range(30)])
+    fresh = [r for r in before if r[6] in ("f1", "f2") and r[7] != 10]
+    make = lambda r: spark.createDataFrame(r, COLUMNS)
+    whole = make([r for r in before if r[6] not in ("f1", "f2")] + fresh)
+    seen, plain = [], scratch.written
+    monkeypatch.setattr(scratch, "written", lambda df, *a, **more: seen.append(set(df.columns)) or plain(df, *a, **more))
+    got = maintenance.refreshed({"endpoints": make(before), "kafka": edges.kafka_edges(make(before))}, make(fresh), spark.createDataFrame([("f1",), ("f2",)], "path string"))
+    assert rows(got["kafka"]) == rows(edges.kafka_edges(whole)) and rows(got["endpoints"]) == rows(whole)
+    assert seen and not any({"snippet", "message_type", "end_line"} & columns for columns in seen)
+
+
+def test_the_service_graph_makes_rest_edges_once(spark, monkeypatch):
+    from factloom import queries
+
+    folder, made, plain = "/root/testdata/sf0.001", [], edges.rest_edges
+    monkeypatch.setattr(edges, "rest_edges", lambda *a: made.append(1) or plain(*a))
+    scratch.INDEXES.pop((spark.sparkContext.applicationId, folder, "rest"), None)
+    first = queries.service_graph(spark, folder)
+    assert "rest-" in str(first.inputFiles()) and rows(first) == rows(queries.service_graph(spark, folder)) and len(made) == 1
