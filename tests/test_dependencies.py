@@ -198,3 +198,23 @@ def test_a_dense_graph_is_thinned_before_it_is_sent_about(spark, monkeypatch):
     roots = edges.select(F.col("source").alias("root"), F.col("source").alias("node"))
     assert resolution.closures(roots, edges).count() == n * n
     assert max(counted) <= 2 * n
+
+
+def test_lists_of_services_are_joined_in_blocks_of_ranges(spark, monkeypatch):
+    from factloom import summary_queries
+    from factloom.operators import edges
+
+    monkeypatch.setattr(edges, "SOURCE_BLOCKS", 3)
+    monkeypatch.setattr(edges, "TARGET_ROWS", 7)
+    monkeypatch.setattr(edges, "CHARACTERS_A_BATCH", 5)
+    rng = random.Random(7)
+    rows = [(str(k), rng.choice(["produce", "consume"]), "kafka", f"t{rng.randrange(9)}", rng.random() < 0.1, "code", rng.choice([None, *"abcdefgh"])) for k in range(60)]
+    e = spark.createDataFrame(rows, "id string, role string, system string, topic string, topic_dynamic boolean, source string, module string")
+    calls = {("a", "x"), ("y", "b"), ("y", "x"), ("a", "b")}
+    rest = spark.createDataFrame(sorted(calls) * 2, "source string, target string")
+    want = {(r.source, r.target) for r in edges.kafka_edges(e).collect()} | calls
+    joined = lambda names: ",".join(sorted(names)) or None
+    got = edges.neighbour_lists(e, rest)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((m, joined(t for s, t in want if s == m), joined(s for s, t in want if t == m)) for m in {x for pair in want for x in pair})
+    plan = summary_queries.service_cards(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(to" not in plan  # no set of names
